@@ -20,12 +20,12 @@ _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _IPV4_TAIL = rf"^(.*:)({_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET})$"
 
 
+_WRAPPING = r"(?s)^\[([^\]]*)\].*$|^([^:]*):\d+$"
+
+
 def bare_address(c: Column) -> Column:
     """Drop quotes, brackets and a port."""
-    text = F.btrim(strip(c), F.lit("'"))
-    return (F.when(text.rlike(r"^\[[^\]]*\]"), F.regexp_extract(text, r"^\[([^\]]*)\]", 1))
-            .when(text.rlike(r"^[^:]*:\d+$"), F.substring_index(text, ":", 1))
-            .otherwise(text))
+    return F.regexp_replace(F.btrim(strip(c), F.lit("'")), _WRAPPING, "$1$2")
 
 
 def _v4_hex(c: Column) -> Column:
@@ -57,16 +57,16 @@ def _eight_groups(c: Column) -> Column:
     return F.when(c.contains("::"), F.when(usable, F.replace(filled, F.lit(" "), F.lit(":")))).otherwise(c)
 
 
+# A run of two to eight zero groups with what precedes and follows it; longer runs are tried first
+# and the lazy prefix finds the first run of that length.
+_ZERO_RUN = "^(?:" + "|".join(
+    rf"(|.*?[^:]:)0(?::0){{{run - 1}}}(?::(.*))?" for run in range(8, 1, -1)) + ")$"
+_AROUND_ZEROS = "".join(f"${g}" for g in range(1, 15, 2)) + ":::" + "".join(f"${g}" for g in range(2, 15, 2))
+
+
 def _short_form(groups: Column) -> Column:
     """The longest run of zero groups, first one on a tie, becomes ``::``."""
-    result = groups
-    for run in range(2, 9):
-        zeros = "0" + ":0" * (run - 1)
-        pattern = rf"^(|.*?[^:]:){zeros}(?::(.*))?$"
-        replaced = F.regexp_replace(groups, pattern, "$1:::$2")
-        replaced = F.regexp_replace(replaced, ":{3,}", "::")
-        result = F.when(groups.rlike(pattern), replaced).otherwise(result)
-    return result
+    return F.regexp_replace(F.regexp_replace(groups, _ZERO_RUN, _AROUND_ZEROS), ":{3,}", "::")
 
 
 def _normalize_v6(c: Column) -> Column:
@@ -78,7 +78,7 @@ def _normalize_v6(c: Column) -> Column:
         return F.when(full.rlike(r"^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"), let(lean, lambda g: F.when(
             g.rlike(r"^0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), _dotted(g))).otherwise(_short_form(g))))
 
-    return F.concat(let(let(address, lambda a: _eight_groups(_plain_groups(a))), canonical), scope)
+    return F.concat(let(let(let(address, _plain_groups), _eight_groups), canonical), scope)
 
 
 def _dotted(groups: Column) -> Column:
@@ -97,8 +97,7 @@ def normalize_ip(c: Column) -> Column:
 def ip_key(ip: Column) -> Column:
     """Hexadecimal key of a canonical address; an IPv4 address mapped into IPv6 counts as IPv4."""
     def v6(a: Column) -> Column:
-        return F.array_join(F.transform(F.split(_eight_groups(_plain_groups(a)), ":"),
-                                        lambda g: F.lpad(g, 4, "0")), "")
+        return F.array_join(F.transform(F.split(_eight_groups(a), ":"), lambda g: F.lpad(g, 4, "0")), "")
     return (F.when(ip.rlike(_IPV4), _v4_hex(ip))
             .when(ip.startswith("::ffff:") & ip.contains("."), _v4_hex(F.substring_index(ip, ":", -1)))
             .when(ip.contains(":"), let(F.substring_index(ip, "%", 1), v6)))

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from .. import presets
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Every character that counts as white space at the edge of a value.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 TAIL = "fields"
 
 
@@ -84,9 +86,8 @@ def first_populated(df: DataFrame, names: list[str]) -> Column:
 
 def shorten(c: Column, limit: int = 320) -> Column:
     """Collapse white space and cut long text with an ellipsis."""
-    clean = strip(F.regexp_replace(c, r"\s+", " "))
-    return F.when(F.length(clean) <= limit, clean).otherwise(
-        F.concat(F.substring(clean, 1, limit - 1), F.lit("…")))
+    clean = strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.regexp_replace(clean, rf"(?s)^(.{{{limit - 1}}}).{{2,}}$", "$1…")
 
 
 def first_text(df: DataFrame, names: list[str], limit: int = 320) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import presets
 from ..functions.categories import in_category
 from ..functions.network import normalize_ip
-from ..functions.text import field, first_text, ref, text_of, truthy
+from ..functions.text import TAIL, field, first_text, let, ref, text_of, truthy, typed_column
 
 
 def join_findings(df: DataFrame, findings: DataFrame, prefix: str, *, row_id: str = "_Row") -> DataFrame:
@@ -78,14 +78,15 @@ def _clause(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value)
 
 
-def ip_context(df: DataFrame) -> tuple[Column, Column]:
-    """The address a narrative speaks of, and what is known about it as one text.
+def ip_context(df: DataFrame) -> Column:
+    """The address a narrative speaks of and what is known about it, as struct of ip and text.
 
     The first address column that has joined attributes, else the first that holds an address.
     """
-    none = F.lit(None).cast("string")
     known, plain = [], []
     for column in presets.CONTEXT_IP_COLUMNS:
+        if typed_column(df, column) is None and TAIL not in df.columns:
+            continue
         address = normalize_ip(field(df, column))
 
         def value(suffix: str, column: str = column) -> Column:
@@ -97,15 +98,14 @@ def ip_context(df: DataFrame) -> tuple[Column, Column]:
         context = F.concat_ws("; ", _clause("geo-location ", place), _clause("ISP ", value("ISP")),
                               F.when(truthy(value("Proxy_VPN_TOR")), F.lit("VPN/Proxy/TOR")),
                               F.when(truthy(value("Hosting")), F.lit("Hosting")))
-        if not any(c.lower() == column.lower() for c in df.columns) and "fields" not in df.columns:
-            continue
         plain.append(address)
         if held:
             informed = F.coalesce(*[value(s) for s in held]).isNotNull()
-            known.append(F.when(address.isNotNull() & informed, F.struct(address.alias("ip"), context.alias("text"))))
-    empty = F.struct(F.coalesce(*plain, none).alias("ip"), F.lit("").alias("text"))
-    chosen = F.coalesce(*known, empty)
-    return chosen["ip"], F.nullif(chosen["text"], F.lit(""))
+            known.append(F.when(informed, F.struct(address.alias("ip"), context.alias("text"))))
+    bare = [F.struct(ip.alias("ip"), F.lit("").alias("text")) for ip in plain]
+    if not bare:
+        return F.struct(F.lit(None).cast("string").alias("ip"), F.lit("").alias("text"))
+    return F.get(F.filter(F.array(*known, *bare), lambda x: x["ip"].isNotNull()), 0)
 
 
 def activity_narrative(df: DataFrame, operation: str = "Operation") -> Column:
@@ -114,7 +114,8 @@ def activity_narrative(df: DataFrame, operation: str = "Operation") -> Column:
         return first_text(df, list(names))
 
     user = value("UserId", "MailboxOwnerUPN", "Actor.UserId", "Sender", "UserKey")
-    address, context = ip_context(df)
+    place = let(ip_context(df), lambda at: F.concat_ws(
+        "; ", _clause("from IP ", at["ip"]), F.nullif(at["text"], F.lit(""))))
     logins, rules, teams, files, mail = [in_category(df, c, operation) for c in (
         "logins", "inbox_rules", "teams", "files", "mail")]
     source, target = value("SourceFileName", "ItemName", "ObjectId"), value("DestinationFileName")
@@ -139,7 +140,7 @@ def activity_narrative(df: DataFrame, operation: str = "Operation") -> Column:
         .otherwise(_clause("object ", value("ObjectId", "ItemName"))))
     result = value("ResultStatus", "Result", "Login.ResultStatusDetail", "LogonError")
     clauses = F.concat_ws(
-        "; ", user, _clause("from IP ", address), F.when(address.isNotNull(), context),
+        "; ", user, F.nullif(place, F.lit("")),
         F.nullif(by_kind, F.lit("")), F.when(~logins, _clause("workload ", value("Workload"))),
         F.when(~logins, _clause("result ", result)))
     return F.concat(F.coalesce(value(operation), F.lit("Audit event")), F.lit(": "), F.coalesce(
