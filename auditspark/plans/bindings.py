@@ -412,7 +412,10 @@ def pending_lookups(spark, sf_dir):
 @query
 def local_lookups(spark, sf_dir):
     """Addresses that no lookup service knows."""
-    return enrich.local_references(_document_ips(spark, sf_dir).select("ip").distinct())
+    df = records(spark, sf_dir).join(table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("_Row"), F.concat((_k() + 100).cast("string"), F.lit(".64.0.1")).alias("FromIP"),
+        F.concat((_k() + 100).cast("string"), F.lit(".254.0.1:80")).alias("ToIP")), "_Row")
+    return enrich.local_references(enrich.distinct_ips(df, ["FromIP", "ToIP", "ActorIpAddress"]))
 
 
 @query
@@ -518,7 +521,8 @@ def findings_join(spark, sf_dir):
     """J4."""
     rows = logins(spark, sf_dir).select("_Row", "UserId")
     found = QUERIES["impossible_travel"](spark, sf_dir).select("_Row", "Risk", "Score")
-    return review.join_findings(rows, found, "Travel")
+    joined = review.join_findings(rows, found, "Travel")
+    return joined.select("_Row", "UserId", ref("Travel.Risk").alias("risk"), ref("Travel.Score").alias("score"))
 
 
 def _ids(spark, sf_dir, test: str) -> DataFrame:
@@ -555,7 +559,8 @@ def tag_change(spark, sf_dir):
 def tagged_review(spark, sf_dir):
     """J5, F15."""
     rows, tags, _ = _tag_tables(spark, sf_dir)
-    return review.tagged_only(review.mark_tagged(rows.select("_Row", "UserId"), tags))
+    tagged = review.tagged_only(review.mark_tagged(rows.select("_Row", "UserId"), tags))
+    return tagged.withColumnRenamed("Review.Tag", "tag")
 
 
 @query
@@ -589,7 +594,8 @@ def reviewed_page(spark, sf_dir):
     kept = activity_plan.filtered(view, P.field_equals(view, "Travel.Risk", "high"))
     order = ordering.review_order(kept, "Travel.Score", "desc").order
     page = ordering.page_rows(kept, order, 2, 40)
-    return shape.select_columns(page, ["_Row", "UserId", "Travel.Score", "ClientIP_IPAPI_Country"])
+    shown = shape.select_columns(page, ["_Row", "UserId", "Travel.Score", "ClientIP_IPAPI_Country"])
+    return shown.withColumnRenamed("Travel.Score", "score")
 
 
 # --- shaping -----------------------------------------------------------------------------------
@@ -603,7 +609,7 @@ def flatten_props(spark, sf_dir):
                  F.col("props"), F.lit(',"None":{}},"Tags":["a",{"b":1}],"Gone":null'),
                  F.when(F.col("value") < 2, "").otherwise("}")).alias("AuditData"))
     wide = shape.expand_payload(df, promote=["Actor.Id"])
-    return wide.select("_Row", "Operation", "`Actor.Id`", "_ParseError",
+    return wide.select("_Row", "Operation", ref("Actor.Id").alias("actor"), "_ParseError",
                        *[F.try_element_at("fields", F.lit(k)).alias(k.replace(".", "_")) for k in (
                            "AuditData.Operation", "Actor.Props.k", "Tags", "Gone")],
                        F.size("fields").cast("bigint").alias("leaves"))
@@ -741,7 +747,7 @@ def clean_table(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("\x01"), F.col("text"), F.lit("\x0b")).alias("body"),
         F.lit(" ").alias("blank"), F.col("lang").alias("tag"), F.when(F.col("lang") == "en", F.col("source")).alias("origin"))
-    return shape.clean_table(df, ["id", "body", "blank", "Tag", "tag"])
+    return shape.clean_table(df, ["id", "body", "blank", "Tag", "tag"]).withColumnRenamed("tag (2)", "tag_2")
 
 
 @query
@@ -749,7 +755,7 @@ def populated_view(spark, sf_dir):
     """Populated columns of a filtered frame, in display order."""
     df = records(spark, sf_dir).filter("RecordType = 'view'").withColumn("Zone", F.lit(""))
     names = facets.populated_columns(df)
-    return shape.select_columns(df, available=names, default=9)
+    return shape.select_columns(df, available=names, default=9).withColumnRenamed("Review.Tag", "tag")
 
 
 @query
@@ -842,7 +848,8 @@ def sort_risk(spark, sf_dir):
 def page_rows(spark, sf_dir):
     """O4."""
     df = _time_texts(spark, sf_dir)
-    return ordering.page_rows(df, ordering.review_order(df, "Registered date").order, 3, 25)
+    page = ordering.page_rows(df, ordering.review_order(df, "Registered date").order, 3, 25)
+    return page.withColumnRenamed("Registered date", "registered")
 
 
 @query

@@ -63,11 +63,11 @@ _CLASS = r"A-Z0-9.!#$%&''*+/=?^_`{|}~-"
 # One row per document and distinct domain of its text, with the order of appearance.
 DOMAINS = f"""found AS (
   SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, '(?i)[{_CLASS}]+@([A-Z0-9.-]+)', 1),
-           d -> trim(lower(d), '.')),
-           d -> length(d) <= 253 AND regexp_full_match(d, '{_LABEL}(?:\\.{_LABEL})+')) AS all_domains
+           lambda d: trim(lower(d), '.')),
+           lambda d: length(d) <= 253 AND regexp_full_match(d, '{_LABEL}(?:\\.{_LABEL})+')) AS all_domains
   FROM documents),
 domains AS (
-  SELECT doc_id, text, list_filter(all_domains, (d, i) -> list_position(all_domains, d) = i) AS domains FROM found)"""
+  SELECT doc_id, text, list_filter(all_domains, lambda d, i: list_position(all_domains, d) = i) AS domains FROM found)"""
 
 
 def travel(country: float, region: float, elevated: float, device: bool) -> str:
@@ -136,8 +136,8 @@ def mail_hunt(ranged: bool) -> str:
     else:
         hit = f"epoch_us({now}) - epoch_us(born) BETWEEN -86400000000 AND 365 * 86400000000"
         detail = "domain || ' is ' || age || ' days old (registered ' || born_text || ')'"
-        terms = "list_filter(['license','the one','Password'], t -> contains(lower(text), lower(t)))"
-        services = "list_filter(domains, d -> d IN ('mail3.example.com','mail5.example.com','example.org') OR ends_with(d, '.mail3.example.com') OR ends_with(d, '.mail5.example.com') OR ends_with(d, '.example.org'))"
+        terms = "list_filter(['license','the one','Password'], lambda t: contains(lower(text), lower(t)))"
+        services = "list_filter(domains, lambda d: d IN ('mail3.example.com','mail5.example.com','example.org') OR ends_with(d, '.mail3.example.com') OR ends_with(d, '.mail5.example.com') OR ends_with(d, '.example.org'))"
     shown = "CASE WHEN d IN ('mail3.example.com','mail5.example.com','example.org') THEN d ELSE d || ' (matches ' || CASE WHEN ends_with(d, '.mail3.example.com') THEN 'mail3.example.com' WHEN ends_with(d, '.mail5.example.com') THEN 'mail5.example.com' ELSE 'example.org' END || ')' END"
     return f"""
 WITH {DOMAINS}, {DOMREF},
@@ -157,17 +157,17 @@ SELECT doc_id AS _Row, true AS "Flag",
   array_to_string(services, '; ') AS "ServiceDomains",
   concat_ws('; ', CASE WHEN ds IS NOT NULL THEN 'Newly registered domain: ' || array_to_string(details, ', ') END,
     CASE WHEN len(terms) > 0 THEN 'Subject contains suspicious keyword' || CASE WHEN len(terms) <> 1 THEN 's' ELSE '' END || ': '
-      || array_to_string(list_transform(terms, t -> '"' || t || '"'), ', ') END,
+      || array_to_string(list_transform(terms, lambda t: '"' || t || '"'), ', ') END,
     CASE WHEN len(services) > 0 THEN 'Third-party survey/messaging service sender domain: '
-      || array_to_string(list_transform(services, d -> {shown}), ', ') END) AS "SuspiciousReason"
+      || array_to_string(list_transform(services, lambda d: {shown}), ', ') END) AS "SuspiciousReason"
 FROM s"""
 
 
 QUADS = r"""quads AS (
-  SELECT doc_id, unnest(list_transform(m, (x, i) -> {'raw': x, 'pos': i - 1}), recursive := true)
+  SELECT doc_id, unnest(list_transform(m, lambda x, i: {'raw': x, 'pos': i - 1}), recursive := true)
   FROM (SELECT doc_id, regexp_extract_all(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}') AS m FROM documents)),
 parts AS (SELECT *, string_split(raw, '.') AS p FROM quads),
-valid AS (SELECT *, len(list_filter(p, o -> o::INT > 255 OR (length(o) > 1 AND o[1] = '0'))) = 0 AS ok FROM parts),
+valid AS (SELECT *, len(list_filter(p, lambda o: o::INT > 255 OR (length(o) > 1 AND o[1] = '0'))) = 0 AS ok FROM parts),
 ips AS (SELECT doc_id, pos, raw, CASE WHEN ok THEN raw END AS ip,
           CASE WHEN ok THEN p[1]::BIGINT * 16777216 + p[2]::BIGINT * 65536 + p[3]::BIGINT * 256 + p[4]::BIGINT END AS n FROM valid)"""
 
@@ -326,8 +326,11 @@ SQL = {
             ("Lookup_Status", "status"), ("Error", "NULL"))) + "FROM records LEFT JOIN ipref ON ip4 = ip",
     "pending_lookups": f"""WITH {RECORDS}, {IPREF} SELECT DISTINCT ip4 AS ip FROM records
         WHERE ip4 NOT IN (SELECT ip FROM ipref WHERE status <> 'Failed' AND provider = 'service')""",
-    "local_lookups": f"""WITH {QUADS} SELECT DISTINCT ip, {IP_CLASS} AS "IP_Class", 'Skipped (non-public)' AS "Lookup_Status",
-        'Local' AS "Provider" FROM ips WHERE NOT ({IS_GLOBAL})""",
+    "local_lookups": f"""WITH {RECORDS}, ips AS (SELECT DISTINCT ip FROM (SELECT (k + 100)::VARCHAR || '.64.0.1' AS ip FROM records UNION ALL
+          SELECT (k + 100)::VARCHAR || '.254.0.1' FROM records UNION ALL SELECT ip6 FROM records WHERE ip6 IS NOT NULL)),
+        classed AS (SELECT ip, CASE WHEN ip LIKE '127.%' THEN 'Loopback' WHEN ip LIKE '169.254.%' THEN 'Link-local'
+          WHEN ip LIKE '%:%' THEN 'Private' WHEN ip LIKE '100.64.%' THEN 'Public' END AS c FROM ips)
+        SELECT ip, c AS "IP_Class", 'Skipped (non-public)' AS "Lookup_Status", 'Local' AS "Provider" FROM classed WHERE c IS NOT NULL""",
     "lookup_plan": f"""SELECT DISTINCT ({K} + 1)::VARCHAR || '.8.4.4' AS ip FROM events WHERE {K} + 1 <> 10""",
     "reference_upsert": f"""WITH {IPREF}, fresh AS (SELECT '198.51.100.' || (c_nationkey + 10) AS ip, 'Fresh ' || count(*) AS country
         FROM customer GROUP BY c_nationkey) SELECT ip, country AS "Country", NULL::VARCHAR AS "ISP" FROM fresh UNION ALL
@@ -343,7 +346,7 @@ SQL = {
         u AS (SELECT doc_id, list(domain ORDER BY i) AS a, list(registrar ORDER BY i) AS b, list(born_text ORDER BY i) AS c,
                 list(status ORDER BY i) AS s FROM x GROUP BY doc_id)
         SELECT d.doc_id AS _Row, """ + ", ".join(
-            f"""coalesce(array_to_string(list_filter({c}, (v, i) -> list_position({c}, v) = i), '; '), '') AS "SenderAddress_WHOIS_{n}" """
+            f"""coalesce(array_to_string(list_filter({c}, lambda v, i: list_position({c}, v) = i), '; '), '') AS "SenderAddress_WHOIS_{n}" """
             for c, n in (("a", "Domain"), ("b", "Registrar"), ("c", "RegistrationDate"), ("s", "Lookup_Status"))) + """,
         '' AS "SenderAddress_WHOIS_DNSSEC" FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id""",
     "pending_domains": f"""WITH {DOMAINS}, {DOMREF} SELECT DISTINCT d AS "Domain" FROM (SELECT unnest(domains) AS d FROM domains)
@@ -356,18 +359,18 @@ SQL = {
     "ip_classes": f"WITH {QUADS} SELECT doc_id, pos, raw, ip, {IP_CLASS} AS ip_class, {IS_GLOBAL} AS is_global FROM ips",
     "network_match": f"""WITH {QUADS}, nets AS (
           SELECT (n_nationkey * 9 + 10)::BIGINT * 16777216 AS lo, (n_nationkey * 9 + 10)::BIGINT * 16777216 + 16777215 AS hi,
-                 n_name AS label, n_nationkey AS at FROM nation UNION ALL
+                 n_name AS label, n_nationkey AS place FROM nation UNION ALL
           SELECT n_regionkey::BIGINT * 32 * 16777216, n_regionkey::BIGINT * 32 * 16777216 + 268435455, min(n_name), n_regionkey + 100
           FROM nation GROUP BY n_regionkey)
-        SELECT doc_id, pos, ip, (SELECT arg_min(label, at) FROM nets WHERE n BETWEEN lo AND hi) AS network FROM ips""",
+        SELECT doc_id, pos, ip, (SELECT arg_min(label, place) FROM nets WHERE n BETWEEN lo AND hi) AS network FROM ips""",
     "findings_join": f"""WITH l AS (SELECT event_id AS _Row, user_id::VARCHAR AS "UserId" FROM events), f AS ({travel(12, 3, 24, True)})
-        SELECT l.*, f."Risk" AS "Travel.Risk", f."Score" AS "Travel.Score" FROM l LEFT JOIN f USING (_Row)""",
+        SELECT l.*, f."Risk" AS risk, f."Score" AS score FROM l LEFT JOIN f USING (_Row)""",
     "tag_rows": f"WITH {TAGS} SELECT _Row FROM tags UNION SELECT _Row FROM asked",
     "untag_rows": f"WITH {TAGS} SELECT _Row FROM tags EXCEPT SELECT _Row FROM asked",
     "tag_change": f"""WITH {TAGS} SELECT (SELECT count(*) FROM asked) AS matched,
         (SELECT count(*) FROM asked WHERE _Row NOT IN (SELECT _Row FROM tags)) AS changed,
         (SELECT count(*) FROM (SELECT _Row FROM tags UNION SELECT _Row FROM asked)) AS "taggedCount" """,
-    "tagged_review": """SELECT event_id AS _Row, user_id::VARCHAR AS "UserId", 'Of interest' AS "Review.Tag" FROM events WHERE value > 10""",
+    "tagged_review": """SELECT event_id AS _Row, user_id::VARCHAR AS "UserId", 'Of interest' AS tag FROM events WHERE value > 10""",
     "narrative_activity": f"""WITH {RECORDS}, {IPREF}, j AS (SELECT * FROM records LEFT JOIN ipref ON ip4 = ip)
         SELECT _Row, CASE WHEN value > 2 THEN CASE WHEN op = '' THEN 'Audit event' ELSE op END || ': ' || concat_ws('; ',
           coalesce(uid, ukey), 'from IP ' || ip4, 'geo-location ' || country || ', ' || region || ', ' || city, 'ISP ' || isp,
@@ -381,11 +384,11 @@ SQL = {
     "narrative_trace": f"""SELECT doc_id, 'Subject: ' || {short('text')} || '; Sender: ' || {short('source')} || '; Recipient: ' ||
         {short('lang')} AS "Event" FROM documents""",
     "reviewed_page": f"""WITH f AS ({travel(12, 3, 24, True)}), j AS (
-        SELECT event_id AS _Row, user_id::VARCHAR AS "UserId", f."Score" AS "Travel.Score", n_name AS "ClientIP_IPAPI_Country",
+        SELECT event_id AS _Row, user_id::VARCHAR AS "UserId", f."Score" AS score, n_name AS "ClientIP_IPAPI_Country",
           value > 10 AS tagged FROM events JOIN f ON event_id = f._Row LEFT JOIN nation ON {K} % 25 = n_nationkey WHERE f."Risk" = 'High')
-        SELECT _Row, "UserId", "Travel.Score", "ClientIP_IPAPI_Country", _Row AS "__RowId", tagged AS "__Tagged" FROM j
-        ORDER BY "Travel.Score" DESC, _Row LIMIT 40 OFFSET 40""",
-    "flatten_props": """SELECT event_id AS _Row, event_type AS "Operation", CASE WHEN value >= 2 THEN user_id::VARCHAR END AS "Actor.Id",
+        SELECT _Row, "UserId", score, "ClientIP_IPAPI_Country", _Row AS "__RowId", tagged AS "__Tagged" FROM j
+        ORDER BY score DESC, _Row LIMIT 40 OFFSET 40""",
+    "flatten_props": """SELECT event_id AS _Row, event_type AS "Operation", CASE WHEN value >= 2 THEN user_id::VARCHAR END AS actor,
         CASE WHEN value < 2 THEN 'AuditData is not valid JSON' END AS "_ParseError",
         CASE WHEN value >= 2 THEN 'inner' END AS "AuditData_Operation",
         CASE WHEN value >= 2 THEN json_extract_string(props, '$.k') END AS "Actor_Props_k",
@@ -403,8 +406,8 @@ SQL = {
         CASE WHEN event_type = 'view' THEN CASE WHEN value > 8 THEN 'Agent/' || user_id || ' x' WHEN value > 4 THEN 'Client=OWA'
           ELSE 'Reported' END END AS useragent, NULL::VARCHAR AS clientinfostring FROM events""",
     "message_ids": r"""WITH m AS (SELECT doc_id, list_transform(regexp_extract_all(text, '<?([^<>\s]+@[^<>\s]+)>?', 1),
-          x -> '<' || x || '>') AS l FROM documents)
-        SELECT doc_id, array_to_string(list_filter(l, (x, i) -> list_position(l, x) = i), '; ') AS "InternetMessageIDs" FROM m""",
+          lambda x: '<' || x || '>') AS l FROM documents)
+        SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '; ') AS "InternetMessageIDs" FROM m""",
     "normalized_message_ids": f"""SELECT event_id AS _Row, '<m' || {K} || '@x.org>; <m' || user_id || '@x.org>' AS "InternetMessageIDs" FROM events""",
     "message_pairs": f"WITH {TURNS} SELECT _Row, position::BIGINT AS position, message_id, subject, size FROM pairs",
     "message_subjects": f"""WITH {TURNS} SELECT _Row, string_agg(message_id, '; ' ORDER BY position) AS "InternetMessageIDs",
@@ -421,8 +424,8 @@ SQL = {
     "trace_headers": """SELECT o_orderkey AS _Row, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE o_orderpriority END AS "SenderAddress",
         strftime(o_orderdate, '%Y-%m-%d') AS "Received", o_orderstatus AS original FROM orders""",
     "clean_table": r"""SELECT doc_id::VARCHAR AS id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS body, lang AS "Tag",
-        CASE WHEN lang = 'en' THEN source ELSE '' END AS "tag (2)" FROM documents""",
-    "populated_view": f"""WITH {RECORDS} SELECT _Row, ts AS "CreationTime", op AS "Operation", tag AS "Review.Tag", uid AS "UserId",
+        CASE WHEN lang = 'en' THEN source ELSE '' END AS tag_2 FROM documents""",
+    "populated_view": f"""WITH {RECORDS} SELECT _Row, ts AS "CreationTime", op AS "Operation", tag, uid AS "UserId",
         ukey AS "UserKey", ip4 || ':443' AS "ClientIP", load AS "Workload", event_type AS "RecordType", _Row AS "__RowId",
         tag IS NOT NULL AS "__Tagged" FROM records WHERE event_type = 'view'""",
     "domain_registration": """SELECT lower(n_name) AS "Domain", lower(n_name) || '.com' AS "RegisteredDomain",
@@ -437,20 +440,20 @@ SQL = {
         CASE WHEN n_regionkey = 0 THEN 'unitedstates' ELSE regexp_replace(lower(n_name), '[^a-z]', '', 'g') END AS country,
         regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS compact FROM nation""",
     "parsed_times": f"WITH {TIME_TEXTS} SELECT _Row, us AS micros, coalesce(us, slashed) AS sort_micros FROM texts",
-    "sort_time": positions(TIME_TEXTS, "CASE WHEN trim(t) = '' THEN 2 WHEN coalesce(us, slashed) IS NULL THEN 1 ELSE 0 END, coalesce(us, slashed) DESC, t DESC, _Row"),
+    "sort_time": positions(TIME_TEXTS, "CASE WHEN trim(t) = '' THEN 2 WHEN coalesce(us, slashed) IS NULL THEN 1 ELSE 0 END, coalesce(us, slashed) DESC, CASE WHEN coalesce(us, slashed) IS NULL THEN t END DESC, _Row"),
     "sort_number": positions("""texts AS (SELECT o_orderkey AS _Row, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority || '?'
         WHEN o_orderpriority = '5-LOW' THEN '' END AS t, o_totalprice::DECIMAL(12, 2) AS n FROM orders)""",
                              "CASE WHEN t IS NULL THEN 0 WHEN t = '' THEN 2 ELSE 1 END, CASE WHEN t IS NULL THEN n END, t, _Row"),
     "sort_risk": positions("""texts AS (SELECT o_orderkey AS _Row, CASE WHEN o_orderstatus = 'P' THEN '' ELSE lower(string_split(o_orderpriority, '-')[2]) END AS t
         FROM orders)""", """t = '', CASE t WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END DESC,
         CASE WHEN t IN ('low', 'medium', 'high') THEN '' ELSE t END DESC, _Row"""),
-    "page_rows": f"""WITH {TIME_TEXTS} SELECT _Row, t AS "Registered date" FROM texts ORDER BY CASE WHEN trim(t) = '' THEN 2
-        WHEN coalesce(us, slashed) IS NULL THEN 1 ELSE 0 END, coalesce(us, slashed), t, _Row LIMIT 25 OFFSET 50""",
+    "page_rows": f"""WITH {TIME_TEXTS} SELECT _Row, t AS registered FROM texts ORDER BY CASE WHEN trim(t) = '' THEN 2
+        WHEN coalesce(us, slashed) IS NULL THEN 1 ELSE 0 END, coalesce(us, slashed), CASE WHEN coalesce(us, slashed) IS NULL THEN t END, _Row LIMIT 25 OFFSET 50""",
     "top_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "row_ordinals": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS ordinal FROM events",
     "previous_event": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events",
-    "first_event": """SELECT user_id, event_type, arg_min(event_id, epoch_us(ts) * 10000000 + event_id) AS event_id FROM events
-        GROUP BY user_id, event_type""",
+    "first_event": """SELECT user_id, event_type, event_id FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
     "target_check": f"""WITH {TARGETS} SELECT o_orderkey, mailbox AS "MailboxOwnerUPN", mid AS "InternetMessageId", problem FROM targets""",
     "target_split": """SELECT p_partkey, p_brand || '@x.org' AS "MailboxOwnerUPN", unnest([p_name, p_type]) AS "InternetMessageId" FROM part""",
     "target_dedup": f"""WITH {TARGETS} SELECT mailbox AS "MailboxOwnerUPN", mid AS "InternetMessageId" FROM uniq""",
