@@ -1,22 +1,18 @@
 """Nested payloads: flattening, Name/Value lists, nested messages, registration records.
 
 Nesting is followed level by level inside one row with array functions, so no payload is
-shuffled.  The number of levels comes from the data (``nesting_depth``); an object that lies
-deeper than the levels asked for is kept as JSON text under its path, never dropped.
+shuffled.  The number of levels is that of the row's own payload.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import presets
 from .mail import format_message_id
 from .text import let, strip
 
-# More levels than any real payload has.  What lies deeper stays JSON text (flattening) or is
-# searched by pattern (messages), so nothing is lost and no single payload can inflate the plan.
-MAX_LEVELS = 32
 _ENTRY = "array<struct<path:string,value:variant>>"
 _MESSAGES = "array<struct<message_id:string,subject:string,size:string>>"
 
@@ -45,24 +41,23 @@ def scalar_text(v: Column) -> Column:
                       .otherwise(v.cast("string")), F.lit(""))
 
 
-def nesting_depth(df: DataFrame, *payloads: Column) -> int:
-    """Deepest bracket nesting of payloads in the data, ``MAX_LEVELS`` at most.
+def nesting_depth(text: Column) -> Column:
+    """Deepest bracket nesting of a JSON text."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
+    steps = F.transform(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""),
+                        lambda ch: F.when(ch.isin("{", "["), 1).when(ch.isin("}", "]"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    return F.aggregate(steps, start, lambda a, s: F.struct(
+        (a["now"] + s).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")))["top"]
 
-    One aggregate; one number reaches the driver.
-    """
-    def deepest(payload: Column) -> Column:
-        bare = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*+"', "")
-        steps = F.transform(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""),
-                            lambda ch: F.when(ch.isin("{", "["), 1).when(ch.isin("}", "]"), -1).otherwise(0))
-        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-        return F.aggregate(steps, start, lambda a, s: F.struct(
-            F.greatest(a["now"] + s, F.lit(0)).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")))["top"]
 
-    found = df.agg(*[F.max(deepest(p)).alias(f"d{i}") for i, p in enumerate(payloads)]).first()
-    return min(MAX_LEVELS, max([1, *[v for v in found if v is not None]]))
+def _levels(v: Column) -> Column:
+    """One number for every level below the root."""
+    return let(nesting_depth(F.to_json(v)), lambda depth: F.when(depth > 1, F.sequence(F.lit(1), depth - 1))
+               .otherwise(F.array().cast("array<int>")))
 
 
-def flatten_entries(v: Column, depth: int) -> Column:
+def flatten_entries(v: Column) -> Column:
     """R2: (dotted path, value) of every leaf; lists are leaves, empty objects leave nothing."""
     entries = F.transform(F.map_entries(as_object(v)),
                           lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))).cast(_ENTRY)
@@ -72,14 +67,12 @@ def flatten_entries(v: Column, depth: int) -> Column:
             F.concat(entry["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))
         return F.coalesce(inner.cast(_ENTRY), F.array(entry).cast(_ENTRY))
 
-    for _ in range(depth - 1):
-        entries = F.flatten(F.transform(entries, open_up))
-    return entries
+    return F.aggregate(_levels(v), entries, lambda done, _: F.flatten(F.transform(done, open_up)))
 
 
-def flatten_map(v: Column, depth: int) -> Column:
+def flatten_map(v: Column) -> Column:
     """R2 as one MAP: path -> text.  NULL when the payload is no object."""
-    return let(flatten_entries(v, depth), lambda entries: F.map_from_arrays(
+    return let(flatten_entries(v), lambda entries: F.map_from_arrays(
         F.transform(entries, lambda e: e["path"]), F.transform(entries, lambda e: scalar_text(e["value"]))))
 
 
@@ -118,29 +111,26 @@ def _message(m: Column) -> Column:
                     strip(text("subject")).alias("subject"), strip(text("sizeinbytes")).alias("size"))
 
 
-def nested_messages(v: Column, depth: int) -> Column:
+def nested_messages(v: Column) -> Column:
     """Every object of a payload that carries a message id, at any depth, in document order.
 
     Keys of one object are visited in alphabetical order, list members in list order.
     """
-    node = "array<struct<level:int,place:string,value:variant>>"
-    root = F.struct(F.lit(0).alias("level"), F.lit("").alias("place"), v.alias("value"))
-    nodes = F.array(root).cast(node)
+    node = "array<struct<place:string,value:variant>>"
+    root = F.array(F.struct(F.lit("").alias("place"), v.alias("value"))).cast(node)
 
     def children(n: Column) -> Column:
         members = F.coalesce(as_list(n["value"]), F.map_values(as_object(n["value"])),
                              F.array().cast("array<variant>"))
         below = F.transform(members, lambda m, i: F.struct(
-            (n["level"] + 1).alias("level"),
             F.concat(n["place"], F.lpad(i.cast("string"), 10, "0"), F.lit("/")).alias("place"), m.alias("value")))
         return F.filter(below.cast(node), lambda k: F.schema_of_variant(k["value"]).rlike("^(?:OBJECT|ARRAY)"))
 
-    def one_level_more(reached: int):
-        return lambda seen: F.concat(seen, F.flatten(F.transform(
-            F.filter(seen, lambda n: n["level"] == reached), children)))
+    def step(state: Column, _: Column) -> Column:
+        return let(F.flatten(F.transform(state["edge"], children)), lambda edge: F.struct(
+            F.concat(state["seen"], edge).alias("seen"), edge.alias("edge")))
 
-    for reached in range(depth - 1):
-        nodes = let(nodes, one_level_more(reached))
+    nodes = F.aggregate(_levels(v), F.struct(root.alias("seen"), root.alias("edge")), step)["seen"]
 
     def carries_id(m: Column) -> Column:
         return F.exists(F.map_keys(m), lambda k: F.lower(k) == "internetmessageid")
@@ -149,13 +139,7 @@ def nested_messages(v: Column, depth: int) -> Column:
                                                            as_object(n["value"]).alias("object"))),
                      lambda n: F.coalesce(carries_id(n["object"]), F.lit(False)))
     messages = F.transform(found, lambda n: F.struct(n["place"].alias("place"), _message(n["object"]).alias("m")))
-    ordered = F.transform(F.array_sort(messages), lambda n: n["m"]).cast(_MESSAGES)
-    if depth < MAX_LEVELS:
-        return ordered
-    last = F.filter(nodes, lambda n: n["level"] == depth - 1)
-    below = F.flatten(F.transform(last, lambda n: F.flatten(F.transform(
-        children(n), lambda k: messages_by_pattern(F.to_json(k["value"]))))))
-    return F.concat(ordered, below)
+    return F.transform(F.array_sort(messages), lambda n: n["m"]).cast(_MESSAGES)
 
 
 def messages_by_pattern(c: Column) -> Column:
@@ -166,10 +150,10 @@ def messages_by_pattern(c: Column) -> Column:
         format_message_id(i).alias("message_id"), strip(s).alias("subject"), F.lit("").alias("size"))).cast(_MESSAGES)
 
 
-def messages_of_text(c: Column, depth: int) -> Column:
+def messages_of_text(c: Column) -> Column:
     """Messages inside one text column: JSON where it reads as JSON, the pattern otherwise."""
     text = strip(c)
-    nested = let(parse_payload(text), lambda v: F.when(v.isNotNull(), nested_messages(v, depth)))
+    nested = let(parse_payload(text), lambda v: F.when(v.isNotNull(), nested_messages(v)))
     looks_nested = text.rlike(r"^[\[{]")
     found = F.when(looks_nested, F.coalesce(nested, messages_by_pattern(text))).otherwise(messages_by_pattern(text))
     return F.when(F.lower(c).contains("internetmessageid"), found).otherwise(F.array().cast(_MESSAGES))

@@ -107,12 +107,12 @@ def bad_json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             .select(F.col("__f").alias("file"), "line", text.alias("text")))
 
 
-def read_activity(df: DataFrame, payload: str = "AuditData", *, depth: int | None = None, tail: str = TAIL,
+def read_activity(df: DataFrame, payload: str = "AuditData", *, tail: str = TAIL,
                   promote: Sequence[str] = tuple(presets.PROMOTED_COLUMNS)) -> DataFrame:
     """Audit records with their payload taken apart and their message ids listed."""
     raw = F.coalesce(field(df, payload, tail), F.lit(""))
     kept = df.withColumn("__payload", raw)
-    wide = expand_payload(kept, payload, depth=depth, tail=tail, promote=promote)
+    wide = expand_payload(kept, payload, tail=tail, promote=promote)
     return with_message_ids(wide, F.col("__payload"), tail=tail).drop("__payload")
 
 

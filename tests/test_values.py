@@ -91,13 +91,14 @@ def test_flatten_keeps_every_leaf(spark):
     doc = {"A": {"B": 1, "C": [{"x": 1}], "E": {}, "F": {"G": {"H": "deep"}}}, "D": None, "T": True, "U": "é"}
     df = spark.createDataFrame([(json.dumps(doc),), ("[1]",), ("bad",)], "v string")
     value = payload.parse_payload(F.col("v"))
-    depth = payload.nesting_depth(df, F.col("v"))
-    got = [r["m"] for r in df.select(payload.flatten_map(value, depth).alias("m")).collect()]
-    assert depth == 4
+    got = [r["m"] for r in df.select(payload.flatten_map(value).alias("m")).collect()]
     assert got == [{"A.B": "1", "A.C": '[{"x":1}]', "A.F.G.H": "deep", "D": "", "T": "true", "U": "é"}, None, None]
-    # Levels beyond the ones asked for stay as text.
-    shallow = df.select(payload.flatten_map(value, 2).alias("m")).first()["m"]
-    assert shallow["A.F"] == '{"G":{"H":"deep"}}'
+
+
+def test_nesting_depth(spark):
+    long = json.dumps({"a": "x\\n\"[{" * 50000, "b": [[]]})
+    df = spark.createDataFrame([('{"a":"}}[["}',), (long,), ("[[[1]],{}]",), ("1",)], "v string")
+    assert [r["d"] for r in df.select(payload.nesting_depth(F.col("v")).alias("d")).collect()] == [1, 3, 3, 0]
 
 
 def test_named_properties(spark):
