@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from datetime import timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -148,18 +149,29 @@ def field_compare(df: DataFrame, name: str, operator: str, value: str, tail: str
         except ValueError:
             pass
 
-    def as_number(v: Column) -> Column:
-        return F.when(strip(v).rlike(_NUMBER), strip(v).try_cast("double"))
-
-    def test(v: Column, column: str | None) -> Column:
-        kind = df.schema[column].dataType if column else None
+    def native(column: str) -> Column | None:
+        kind = df.schema[column].dataType
         if number is not None and isinstance(kind, T.NumericType):
-            return compare(ref(column), F.lit(number))
+            whole = isinstance(kind, T.IntegralType) and number.is_integer() and abs(number) < 2 ** 63
+            return compare(ref(column), F.lit(int(number) if whole else number))
         if moment is not None and isinstance(kind, T.TimestampNTZType):
-            return compare(ref(column), F.lit(moment.astimezone(tz=None if moment.tzinfo is None else moment.tzinfo)
-                                              .astimezone(_utc()).replace(tzinfo=None)).cast("timestamp_ntz"))
+            naive = moment.astimezone(timezone.utc).replace(tzinfo=None)
+            return compare(ref(column), F.lit(naive.isoformat(sep=" ")).cast("timestamp_ntz"))
         if moment is not None and isinstance(kind, (T.TimestampType, T.DateType)):
             return compare(ref(column).cast("timestamp"), F.timestamp_micros(F.lit(literal_micros(moment))))
+        return None
+
+    named = _only_column(df, name, tail)
+    if named is not None and native(named) is not None:
+        return native(named)
+
+    def as_number(v: Column) -> Column:
+        return F.when(strip(v).rlike(_NUMBER), strip(v).try_cast("double"))
+
+    def test(v: Column, column: str | None) -> Column:
+        direct = native(column) if column else None
+        if direct is not None:
+            return direct
         as_text = compare(F.lower(v), F.lower(F.lit(str(value))))
         when = parse_time(v)
         if moment is not None:
@@ -176,9 +188,15 @@ def field_compare(df: DataFrame, name: str, operator: str, value: str, tail: str
     return _hit(df, name, test, tail)
 
 
-def _utc():
-    from datetime import timezone
-    return timezone.utc
+def _only_column(df: DataFrame, name: str, tail: str) -> str | None:
+    """The column a name means when nothing else can: one known alias column or one exact name."""
+    if tail in df.columns:
+        return None
+    aliases = presets.FIELD_ALIASES.get(name.lower())
+    wanted = {a.lower() for a in aliases} if aliases else {name.lower()}
+    found = [c for c in df.columns if c.lower() in wanted]
+    partial = [] if aliases else [c for c in df.columns if name.lower() in c.lower() and c not in found]
+    return found[0] if len(found) == 1 and not partial else None
 
 
 def before(df: DataFrame, name: str, moment: str, tail: str = TAIL) -> Column:

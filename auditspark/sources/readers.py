@@ -36,10 +36,12 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",
         raise ValueError("The delimiter must be one of , tab ; |")
     df = (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').option("encoding", encoding).option("inferSchema", False)
-          .option("nullValue", "\x00").option("emptyValue", "").csv(path))
+          .csv(path))
+    # A header without a value is a blank, not an absent field.
+    values = [F.coalesce(ref(c), F.lit("")).alias(c) for c in df.columns]
     if not row_id:
-        return df
-    meta = df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"))
+        return df.select(*values)
+    meta = df.select(*values, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"))
     return number_rows(meta, F.col("__f"), F.col("__b"), row_id).drop("__f", "__b")
 
 
@@ -60,7 +62,7 @@ def read_json_document(spark: SparkSession, path: str | Sequence[str], row_id: s
     A JSON document is one value and cannot be split, so the unit of work is the file; its records
     leave the reading task at once.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(
+    raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("__path"), F.btrim("value", F.lit(WHITESPACE + "﻿")).alias("doc"))
     holder = F.from_json("doc", _DOCUMENT)
     records = F.when(F.col("doc").startswith("["), F.from_json("doc", "array<string>")).otherwise(
@@ -123,7 +125,7 @@ def read_trace(df: DataFrame, row_id: str = "_Row") -> DataFrame:
 
 def load_app_reference(spark: SparkSession, path: str) -> DataFrame:
     """Application ids and names from a JSON object ``{"apps": {id: name}}``."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     apps = F.from_json("value", "struct<source:string,apps:map<string,string>>")
     return (whole.select(apps.alias("a")).select(F.col("a.source").alias("source"), F.explode("a.apps"))
             .select(F.lower("key").alias("app_id"), F.col("value").alias("name"), "source"))
