@@ -18,13 +18,20 @@ _MESSAGES = "array<struct<message_id:string,subject:string,size:string>>"
 
 
 def parse_payload(c: Column) -> Column:
-    """JSON text -> VARIANT; text quoted with single quotes and bare literals is read too; else NULL."""
-    strict = F.try_parse_json(c)
-    relaxed = F.from_json(c, "variant")
-    literals = F.from_json(F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        c, r"(?<=[:,\[\s])None(?=\s*[,}\]])", "null"), r"(?<=[:,\[\s])True(?=\s*[,}\]])", "true"),
-        r"(?<=[:,\[\s])False(?=\s*[,}\]])", "false"), "variant")
-    return F.coalesce(strict, relaxed, literals)
+    """JSON text -> struct of ``value`` (VARIANT) and ``json`` (its strict text); NULL when unreadable.
+
+    Text quoted with single quotes and bare literals is read too.
+    """
+    literals = c
+    for bare, proper in (("None", "null"), ("True", "true"), ("False", "false")):
+        literals = F.regexp_replace(literals, rf"(?<=[:,\[\s]){bare}(?=\s*[,}}\]])", proper)
+    relaxed = F.coalesce(F.from_json(c, "variant"), F.from_json(literals, "variant"))
+
+    def pack(value: Column, text: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(value.alias("value"), text.alias("json")))
+
+    return let(F.try_parse_json(c), lambda strict: F.coalesce(
+        pack(strict, c), let(relaxed, lambda v: pack(v, F.to_json(v)))))
 
 
 def as_object(v: Column) -> Column:
@@ -36,9 +43,8 @@ def as_list(v: Column) -> Column:
 
 
 def scalar_text(v: Column) -> Column:
-    """Scalars as text, JSON null as blank, lists and leftover objects as JSON text."""
-    return F.coalesce(F.when(as_object(v).isNotNull() | as_list(v).isNotNull(), F.to_json(v))
-                      .otherwise(v.cast("string")), F.lit(""))
+    """Scalars as text, JSON null as blank, lists as JSON text."""
+    return F.coalesce(v.cast("string"), F.lit(""))
 
 
 def nesting_depth(text: Column) -> Column:
@@ -51,14 +57,17 @@ def nesting_depth(text: Column) -> Column:
         (a["now"] + s).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")))["top"]
 
 
-def _levels(v: Column) -> Column:
+def _levels(text: Column) -> Column:
     """One number for every level below the root."""
-    return let(nesting_depth(F.to_json(v)), lambda depth: F.when(depth > 1, F.sequence(F.lit(1), depth - 1))
+    return let(nesting_depth(text), lambda depth: F.when(depth > 1, F.sequence(F.lit(1), depth - 1))
                .otherwise(F.array().cast("array<int>")))
 
 
-def flatten_entries(v: Column) -> Column:
-    """R2: (dotted path, value) of every leaf; lists are leaves, empty objects leave nothing."""
+def flatten_entries(v: Column, text: Column) -> Column:
+    """R2: (dotted path, value) of every leaf of ``v``, whose JSON text is ``text``.
+
+    Lists are leaves, empty objects leave nothing.
+    """
     entries = F.transform(F.map_entries(as_object(v)),
                           lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))).cast(_ENTRY)
 
@@ -67,27 +76,34 @@ def flatten_entries(v: Column) -> Column:
             F.concat(entry["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))
         return F.coalesce(inner.cast(_ENTRY), F.array(entry).cast(_ENTRY))
 
-    return F.aggregate(_levels(v), entries, lambda done, _: F.flatten(F.transform(done, open_up)))
+    return F.aggregate(_levels(text), entries, lambda done, _: F.flatten(F.transform(done, open_up)))
 
 
-def flatten_map(v: Column) -> Column:
+def flatten_map(v: Column, text: Column) -> Column:
     """R2 as one MAP: path -> text.  NULL when the payload is no object."""
-    return let(flatten_entries(v), lambda entries: F.map_from_arrays(
+    return let(flatten_entries(v, text), lambda entries: F.map_from_arrays(
         F.transform(entries, lambda e: e["path"]), F.transform(entries, lambda e: scalar_text(e["value"]))))
 
 
 def named_properties(c: Column) -> Column:
     """JSON list of Name/Value -> MAP, the last value of a name wins; malformed -> empty map."""
     pair = "struct<Name:string,Value:string>"
-    members = F.transform(F.from_json(c, "array<string>"), lambda m: F.from_json(m, pair))
-    items = F.filter(members, lambda i: F.coalesce(i["Name"], F.lit("")) != "")
+    whole = F.from_json(c, f"array<{pair}>")
+    # A list with a member that is no object does not read as a whole; its members are read one by one.
+    one_by_one = F.transform(F.from_json(c, "array<string>"), lambda m: F.from_json(m, pair))
+    named = F.filter(F.coalesce(F.when(F.size(whole) > 0, whole), one_by_one, F.array().cast(f"array<{pair}>")),
+                     lambda i: F.coalesce(i["Name"], F.lit("")) != "")
+    items = F.transform(named, lambda i: F.struct(i["Name"].alias("Name"),
+                                                  F.coalesce(i["Value"], F.lit("")).alias("Value")))
 
     def build(pairs: Column) -> Column:
-        names = F.array_distinct(F.transform(pairs, lambda i: i["Name"]))
-        return F.map_from_arrays(names, F.transform(names, lambda n: F.coalesce(
-            F.element_at(F.filter(pairs, lambda i: i["Name"] == n), -1)["Value"], F.lit(""))))
+        names = F.transform(pairs, lambda i: i["Name"])
+        return let(F.array_distinct(names), lambda distinct: F.when(
+            F.size(distinct) == F.size(pairs), F.map_from_entries(pairs)
+        ).otherwise(F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.element_at(
+            F.filter(pairs, lambda i: i["Name"] == n), -1)["Value"]))))
 
-    return let(F.coalesce(items, F.array().cast(f"array<{pair}>")), build)
+    return let(items, build)
 
 
 def property_value(properties: Column, name: str) -> Column:
@@ -111,7 +127,7 @@ def _message(m: Column) -> Column:
                     strip(text("subject")).alias("subject"), strip(text("sizeinbytes")).alias("size"))
 
 
-def nested_messages(v: Column) -> Column:
+def nested_messages(v: Column, text: Column) -> Column:
     """Every object of a payload that carries a message id, at any depth, in document order.
 
     Keys of one object are visited in alphabetical order, list members in list order.
@@ -130,7 +146,7 @@ def nested_messages(v: Column) -> Column:
         return let(F.flatten(F.transform(state["edge"], children)), lambda edge: F.struct(
             F.concat(state["seen"], edge).alias("seen"), edge.alias("edge")))
 
-    nodes = F.aggregate(_levels(v), F.struct(root.alias("seen"), root.alias("edge")), step)["seen"]
+    nodes = F.aggregate(_levels(text), F.struct(root.alias("seen"), root.alias("edge")), step)["seen"]
 
     def carries_id(m: Column) -> Column:
         return F.exists(F.map_keys(m), lambda k: F.lower(k) == "internetmessageid")
@@ -153,7 +169,7 @@ def messages_by_pattern(c: Column) -> Column:
 def messages_of_text(c: Column) -> Column:
     """Messages inside one text column: JSON where it reads as JSON, the pattern otherwise."""
     text = strip(c)
-    nested = let(parse_payload(text), lambda v: F.when(v.isNotNull(), nested_messages(v)))
+    nested = let(parse_payload(text), lambda p: F.when(p.isNotNull(), nested_messages(p["value"], p["json"])))
     looks_nested = text.rlike(r"^[\[{]")
     found = F.when(looks_nested, F.coalesce(nested, messages_by_pattern(text))).otherwise(messages_by_pattern(text))
     return F.when(F.lower(c).contains("internetmessageid"), found).otherwise(F.array().cast(_MESSAGES))

@@ -83,10 +83,20 @@ def first_by(df: DataFrame, key: Sequence[Column], order: Column, names: Sequenc
 
 @dataclass(frozen=True)
 class ReviewOrder:
-    """Sort columns and the slices that agree with them."""
+    """Derived key columns, the sort columns over them, and the slices that agree with the order.
+
+    The keys are parsed once per row by ``attach``, before anything sorts or counts.
+    """
+    keys: dict[str, Column]
     order: list[Column]
     slices: list[Column]
 
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self.keys) if self.keys else df
+
+    def detach(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.keys)
+
 
 def _kind(column: str, row_id: str) -> str:
     if is_time_like(column):
@@ -106,60 +116,66 @@ def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row
     descending = direction == "desc"
     sign = F.lit(-1 if descending else 1)
     source = ref(row_id)
+    # Source order within a slice keeps a value that a third of all rows share in many tasks.
     block = F.floor(source / F.lit(BLOCK)).cast("bigint")
     kind = (kind or _kind(column, row_id)) if column else "none"
     if kind == "none":
-        return ReviewOrder([source.asc()], [block])
+        return ReviewOrder({}, [source.asc()], [block])
     text = text_of(df, column)
-    blank = non_blank(text).isNull()
+    rank, number, loose = F.col("__rank"), F.col("__number"), F.col("__loose")
 
     def directed(c: Column) -> Column:
         return c.desc() if descending else c.asc()
 
-    def letters(c: Column) -> list[Column]:
-        return [F.coalesce(F.ascii(c), F.lit(0)) * sign,
-                F.coalesce(F.ascii(F.substring(c, 2, 1)), F.lit(0)) * sign]
+    def built(value: Column, late: Column, loose_rank: int, blank_rank: int, value_rank: int,
+              plain: Column, cut: Column, blocked: Column) -> ReviewOrder:
+        """Ranks of values, unreadable texts and blanks; the slices of each."""
+        blank = non_blank(text).isNull()
+        keys = {"__number": F.when(~blank, value), "__blank": blank}
+        ranked = F.when(F.col("__blank"), F.lit(blank_rank)).when(
+            late, F.lit(loose_rank)).otherwise(F.lit(value_rank))
+        keys["__rank"] = ranked
+        keys["__loose"] = F.when(F.col("__rank") == loose_rank, plain)
+        letters = [F.coalesce(F.ascii(c), F.lit(0)) * sign for c in (loose, F.substring(loose, 2, 1))]
+        hold = (rank == blank_rank) | ((rank == value_rank) & blocked)
+        return ReviewOrder(keys, [rank.asc(), directed(number), directed(loose), source.asc()],
+                           [rank, cut, *letters, F.when(hold, block).otherwise(F.lit(0))])
 
     if kind == "time":
         typed = isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         moment = F.unix_micros(time_of(df, column) if typed else parse_sortable_time(text))
-        rank = F.when(blank, F.lit(2)).when(moment.isNull(), F.lit(1)).otherwise(F.lit(0))
-        loose = F.when(rank == 1, F.lower(text))
-        return ReviewOrder(
-            [rank.asc(), directed(moment), directed(loose), source.asc()],
-            [rank, F.coalesce(F.floor(moment * sign / F.lit(HOUR_MICROS)), F.lit(0)), *letters(loose),
-             F.when(rank == 2, block).otherwise(F.lit(0))])
+        return built(moment, number.isNull(), 1, 2, 0, F.lower(text),
+                     F.coalesce(F.floor(number * sign / F.lit(HOUR_MICROS)), F.lit(0)), F.lit(False))
     if kind == "number":
-        number = F.when(strip(text).rlike(_NUMBER), strip(text).try_cast("double"))
-        rank = F.when(blank, F.lit(2)).when(number.isNull(), F.lit(0 if descending else 1)).otherwise(
-            F.lit(1 if descending else 0))
-        loose = F.when(number.isNull() & ~blank, text)
+        value = F.when(strip(text).rlike(_NUMBER), strip(text).try_cast("double"))
         signed = F.coalesce(number * sign, F.lit(0.0))
         cut = signed if width is None else F.floor(signed / F.lit(float(width)))
-        by_block = F.when(blank | (number.isNotNull() & F.lit(width is None)), block).otherwise(F.lit(0))
-        return ReviewOrder([rank.asc(), directed(number), directed(loose), source.asc()],
-                           [rank, cut, *letters(loose), by_block])
+        late, early = (0, 1) if descending else (1, 0)
+        return built(value, number.isNull(), late, 2, early, text, cut, F.lit(width is None))
     level = F.lower(strip(text))
-    number = F.lit(0)
-    for word, value in presets.RISK_ORDER.items():
-        number = F.when(level == word, F.lit(value)).otherwise(number)
-    loose = F.when((number == 0) & ~blank, level)
-    return ReviewOrder(
-        [blank.asc(), directed(F.when(~blank, number)), directed(loose), source.asc()],
-        [blank, F.coalesce(number * sign, F.lit(0)), *letters(loose),
-         F.when(blank | (number > 0), block).otherwise(F.lit(0))])
+    value = F.coalesce(*[F.when(level == w, F.lit(v)) for w, v in presets.RISK_ORDER.items()], F.lit(0))
+    late, early = (1, 0) if descending else (0, 1)
+    return built(value, number == 0, late, 2, early, level, F.coalesce(number * sign, F.lit(0)), F.lit(True))
 
 
 def sort_rows(df: DataFrame, column: str = "", direction: str = "asc", **options) -> DataFrame:
     """O1-O3."""
-    return df.orderBy(*review_order(df, column, direction, **options).order)
+    spec = review_order(df, column, direction, **options)
+    return spec.detach(spec.attach(df).orderBy(*spec.order))
 
 
 def sorted_positions(df: DataFrame, column: str = "", direction: str = "asc", name: str = "position",
                      **options) -> DataFrame:
     """O1-O3 as a position column over the whole table."""
     spec = review_order(df, column, direction, **options)
-    return with_position(df, spec.order, spec.slices, name)
+    return spec.detach(with_position(spec.attach(df), spec.order, spec.slices, name))
+
+
+def sorted_page(df: DataFrame, column: str = "", direction: str = "asc", page: int = 1, size: int = 50,
+                **options) -> DataFrame:
+    """One page of the review order."""
+    spec = review_order(df, column, direction, **options)
+    return spec.detach(page_rows(spec.attach(df), spec.order, page, size))
 
 
 def page_rows(df: DataFrame, order: Sequence[Column], page: int = 1, size: int = 50) -> DataFrame:

@@ -592,8 +592,7 @@ def reviewed_page(spark, sf_dir):
         travel=QUERIES["impossible_travel"](spark, sf_dir), tags=_ids(spark, sf_dir, "value > 10"))
     view = activity_plan.review(rows, data)
     kept = activity_plan.filtered(view, P.field_equals(view, "Travel.Risk", "high"))
-    order = ordering.review_order(kept, "Travel.Score", "desc").order
-    page = ordering.page_rows(kept, order, 2, 40)
+    page = ordering.sorted_page(kept, "Travel.Score", "desc", 2, 40)
     shown = shape.select_columns(page, ["_Row", "UserId", "Travel.Score", "ClientIP_IPAPI_Country"])
     return shown.withColumnRenamed("Travel.Score", "score")
 
@@ -848,7 +847,7 @@ def sort_risk(spark, sf_dir):
 def page_rows(spark, sf_dir):
     """O4."""
     df = _time_texts(spark, sf_dir)
-    page = ordering.page_rows(df, ordering.review_order(df, "Registered date").order, 3, 25)
+    page = ordering.sorted_page(df, "Registered date", "asc", 3, 25)
     return page.withColumnRenamed("Registered date", "registered")
 
 

@@ -80,16 +80,15 @@ def test_review_order(rows, column, samples, ascending, descending):
 def test_positions_agree_with_a_plain_sort(rows, kind, pool, direction):
     rnd = random.Random(7)
     df = rows(*[{"_Row": i, "v": rnd.choice(pool)} for i in range(300)])
-    spec = ordering.review_order(df, "v", direction, kind=kind)
-    plain = [r["_Row"] for r in df.orderBy(*spec.order).collect()]
-    placed = ordering.with_position(df, spec.order, spec.slices, "p").orderBy("p").collect()
+    plain = [r["_Row"] for r in ordering.sort_rows(df, "v", direction, kind=kind).collect()]
+    placed = ordering.sorted_positions(df, "v", direction, "p", kind=kind).orderBy("p").collect()
+    assert ordering.sort_rows(df, "v", direction, kind=kind).columns == df.columns
     assert [r["_Row"] for r in placed] == plain and [r["p"] for r in placed] == list(range(1, 301))
 
 
 def test_pages_cover_the_order_once(rows):
     df = rows(*[{"_Row": i, "v": str(i % 7)} for i in range(45)])
-    order = ordering.review_order(df, "v", kind="number").order
-    seen = [r["_Row"] for p in range(1, 6) for r in ordering.page_rows(df, order, p, 1).collect()]
+    seen = [r["_Row"] for p in range(1, 6) for r in ordering.sorted_page(df, "v", page=p, size=1, kind="number").collect()]
     assert len(seen) == 45 and len(set(seen)) == 45  # a size of 1 is raised to 10
     follow = ordering.page_after(df, [F.col("_Row")], F.col("_Row") > 39, 10)
     assert [r["_Row"] for r in follow.collect()] == [40, 41, 42, 43, 44]

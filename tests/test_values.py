@@ -90,8 +90,8 @@ def test_mail_texts(spark):
 def test_flatten_keeps_every_leaf(spark):
     doc = {"A": {"B": 1, "C": [{"x": 1}], "E": {}, "F": {"G": {"H": "deep"}}}, "D": None, "T": True, "U": "é"}
     df = spark.createDataFrame([(json.dumps(doc),), ("[1]",), ("bad",)], "v string")
-    value = payload.parse_payload(F.col("v"))
-    got = [r["m"] for r in df.select(payload.flatten_map(value).alias("m")).collect()]
+    parsed = df.select(payload.parse_payload(F.col("v")).alias("p"))
+    got = [r["m"] for r in parsed.select(payload.flatten_map(F.col("p.value"), F.col("p.json")).alias("m")).collect()]
     assert got == [{"A.B": "1", "A.C": '[{"x":1}]', "A.F.G.H": "deep", "D": "", "T": "true", "U": "é"}, None, None]
 
 
