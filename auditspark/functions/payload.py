@@ -1,7 +1,7 @@
 """Nested payloads: flattening, Name/Value lists, nested messages, registration records.
 
 Nesting is followed level by level inside one row with array functions, so no payload is
-shuffled.  The number of levels is that of the row's own payload.
+shuffled.  The opening brackets of a text bound its levels; the walk ends at the last one.
 """
 
 from __future__ import annotations
@@ -18,20 +18,14 @@ _MESSAGES = "array<struct<message_id:string,subject:string,size:string>>"
 
 
 def parse_payload(c: Column) -> Column:
-    """JSON text -> struct of ``value`` (VARIANT) and ``json`` (its strict text); NULL when unreadable.
+    """JSON text -> VARIANT; NULL when unreadable.
 
     Text quoted with single quotes and bare literals is read too.
     """
     literals = c
     for bare, proper in (("None", "null"), ("True", "true"), ("False", "false")):
         literals = F.regexp_replace(literals, rf"(?<=[:,\[\s]){bare}(?=\s*[,}}\]])", proper)
-    relaxed = F.coalesce(F.from_json(c, "variant"), F.from_json(literals, "variant"))
-
-    def pack(value: Column, text: Column) -> Column:
-        return F.when(value.isNotNull(), F.struct(value.alias("value"), text.alias("json")))
-
-    return let(F.try_parse_json(c), lambda strict: F.coalesce(
-        pack(strict, c), let(relaxed, lambda v: pack(v, F.to_json(v)))))
+    return F.coalesce(F.try_parse_json(c), F.from_json(c, "variant"), F.from_json(literals, "variant"))
 
 
 def as_object(v: Column) -> Column:
@@ -47,20 +41,10 @@ def scalar_text(v: Column) -> Column:
     return F.coalesce(v.cast("string"), F.lit(""))
 
 
-def nesting_depth(text: Column) -> Column:
-    """Deepest bracket nesting of a JSON text."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
-    steps = F.transform(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""),
-                        lambda ch: F.when(ch.isin("{", "["), 1).when(ch.isin("}", "]"), -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(steps, start, lambda a, s: F.struct(
-        (a["now"] + s).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")))["top"]
-
-
 def _levels(text: Column) -> Column:
-    """One number for every level below the root."""
-    return let(nesting_depth(text), lambda depth: F.when(depth > 1, F.sequence(F.lit(1), depth - 1))
-               .otherwise(F.array().cast("array<int>")))
+    """At least one number for every level below the root of a JSON text."""
+    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+    return F.sequence(F.lit(0), F.greatest(brackets, F.lit(0)))
 
 
 def flatten_entries(v: Column, text: Column) -> Column:
@@ -76,7 +60,16 @@ def flatten_entries(v: Column, text: Column) -> Column:
             F.concat(entry["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))
         return F.coalesce(inner.cast(_ENTRY), F.array(entry).cast(_ENTRY))
 
-    return F.aggregate(_levels(text), entries, lambda done, _: F.flatten(F.transform(done, open_up)))
+    def paths(of: Column) -> Column:
+        return F.transform(of, lambda e: e["path"])
+
+    def step(state: Column, _: Column) -> Column:
+        opened = let(F.flatten(F.transform(state["entries"], open_up)), lambda new: F.struct(
+            new.alias("entries"), (paths(new) != paths(state["entries"])).alias("more")))
+        return F.when(state["more"], opened).otherwise(state)
+
+    start = F.struct(entries.alias("entries"), F.lit(True).alias("more"))
+    return F.when(entries.isNotNull(), F.aggregate(_levels(text), start, step)["entries"])
 
 
 def flatten_map(v: Column, text: Column) -> Column:
@@ -88,6 +81,7 @@ def flatten_map(v: Column, text: Column) -> Column:
 def named_properties(c: Column) -> Column:
     """JSON list of Name/Value -> MAP, the last value of a name wins; malformed -> empty map."""
     pair = "struct<Name:string,Value:string>"
+    c = F.when(F.ltrim(c).startswith("["), c)
     whole = F.from_json(c, f"array<{pair}>")
     # A list with a member that is no object does not read as a whole; its members are read one by one.
     one_by_one = F.transform(F.from_json(c, "array<string>"), lambda m: F.from_json(m, pair))
@@ -106,10 +100,24 @@ def named_properties(c: Column) -> Column:
     return let(items, build)
 
 
-def property_value(properties: Column, name: str) -> Column:
-    """First value whose name matches without regard to case; NULL when there is none."""
-    hit = F.filter(F.map_entries(properties), lambda e: F.lower(e["key"]) == name)
-    return F.get(hit, 0)["value"]
+def folded(properties: Column) -> Column:
+    """The same MAP under lower-case names; of names that differ in case only, the first counts."""
+    lowered = F.transform(F.map_entries(properties), lambda e: F.struct(F.lower(e["key"]).alias("k"),
+                                                                        e["value"].alias("v")))
+
+    def build(pairs: Column) -> Column:
+        names = F.transform(pairs, lambda e: e["k"])
+        return let(F.array_distinct(names), lambda distinct: F.when(
+            F.size(distinct) == F.size(pairs), F.map_from_entries(pairs)
+        ).otherwise(F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.get(
+            F.filter(pairs, lambda e: e["k"] == n), 0)["v"]))))
+
+    return let(lowered, lambda pairs: F.when(pairs.isNotNull(), build(pairs)))
+
+
+def property_value(folded_properties: Column, name: str) -> Column:
+    """Value of a lower-case name; NULL when there is none."""
+    return F.try_element_at(folded_properties, F.lit(name))
 
 
 def property_details(properties: Column, noise: list[str]) -> Column:
@@ -138,13 +146,14 @@ def nested_messages(v: Column, text: Column) -> Column:
     def children(n: Column) -> Column:
         members = F.coalesce(as_list(n["value"]), F.map_values(as_object(n["value"])),
                              F.array().cast("array<variant>"))
-        below = F.transform(members, lambda m, i: F.struct(
-            F.concat(n["place"], F.lpad(i.cast("string"), 10, "0"), F.lit("/")).alias("place"), m.alias("value")))
-        return F.filter(below.cast(node), lambda k: F.schema_of_variant(k["value"]).rlike("^(?:OBJECT|ARRAY)"))
+        return F.transform(members, lambda m, i: F.struct(
+            F.concat(n["place"], F.lpad(i.cast("string"), 10, "0"), F.lit("/")).alias("place"),
+            m.alias("value"))).cast(node)
 
     def step(state: Column, _: Column) -> Column:
-        return let(F.flatten(F.transform(state["edge"], children)), lambda edge: F.struct(
+        lower = let(F.flatten(F.transform(state["edge"], children)), lambda edge: F.struct(
             F.concat(state["seen"], edge).alias("seen"), edge.alias("edge")))
+        return F.when(F.size(state["edge"]) > 0, lower).otherwise(state)
 
     nodes = F.aggregate(_levels(text), F.struct(root.alias("seen"), root.alias("edge")), step)["seen"]
 
@@ -169,7 +178,7 @@ def messages_by_pattern(c: Column) -> Column:
 def messages_of_text(c: Column) -> Column:
     """Messages inside one text column: JSON where it reads as JSON, the pattern otherwise."""
     text = strip(c)
-    nested = let(parse_payload(text), lambda p: F.when(p.isNotNull(), nested_messages(p["value"], p["json"])))
+    nested = let(parse_payload(text), lambda v: F.when(v.isNotNull(), nested_messages(v, text)))
     looks_nested = text.rlike(r"^[\[{]")
     found = F.when(looks_nested, F.coalesce(nested, messages_by_pattern(text))).otherwise(messages_by_pattern(text))
     return F.when(F.lower(c).contains("internetmessageid"), found).otherwise(F.array().cast(_MESSAGES))

@@ -8,39 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import ref, strip, text_of
+from .text import let, ref, strip, text_of
 
-# Complete ISO text, by far the most common shape; the rest takes the slower path.
-_COMPLETE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|z|[+-]\d{2}:\d{2})?$"
-_ZONED = r"(?:Z|z|[+-]\d{2}:\d{2})$"
+# Dates and complete ISO times, by far the most common shapes; the rest takes the slower path.
+_COMPLETE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|z|[+-]\d{2}:\d{2})?)?$"
 _ANY = (r"^(\d{4})(-?)(\d{2})\2(\d{2})"
         r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?$")
 
 
-def parse_time(c: Column) -> Column:
-    text = strip(c)
-    complete = F.try_to_timestamp(F.when(text.rlike(_ZONED), text).otherwise(F.concat(text, F.lit("Z"))))
-
+def _rebuilt(text: Column) -> Column:
+    """Any other ISO shape, written out in full."""
     def part(group: int, default: str) -> Column:
         return F.coalesce(F.nullif(F.regexp_extract(text, _ANY, group), F.lit("")), F.lit(default))
 
-    zone = F.regexp_replace(part(9, "Z"), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
-    zone = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
-    rebuilt = F.concat(part(1, ""), F.lit("-"), part(3, ""), F.lit("-"), part(4, ""), F.lit("T"), part(5, "00"),
-                       F.lit(":"), part(6, "00"), F.lit(":"), part(7, "00"), F.lit("."),
-                       F.substring(part(8, "0"), 1, 6), zone)
-    return F.when(text.rlike(_COMPLETE), complete).when(text.rlike(_ANY), F.try_to_timestamp(rebuilt))
+    zone = F.regexp_replace(F.regexp_replace(part(9, "Z"), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2"), ":$", ":00")
+    full = F.concat(part(1, ""), F.lit("-"), part(3, ""), F.lit("-"), part(4, ""), F.lit("T"), part(5, "00"),
+                    F.lit(":"), part(6, "00"), F.lit(":"), part(7, "00"), F.lit("."),
+                    F.substring(part(8, "0"), 1, 6), zone)
+    return F.when(text.rlike(_ANY), F.try_to_timestamp(full))
 
 
-def parse_sortable_time(c: Column) -> Column:
-    """ISO text plus the three slashed shapes that sorting accepts."""
+def parse_time(c: Column) -> Column:
+    """ISO text -> TIMESTAMP; the session runs in UTC, so text without an offset means UTC."""
     text = strip(c)
+    return F.when(text.rlike(_COMPLETE), F.try_to_timestamp(text)).when(
+        text.rlike(r"^\d{4}-?\d{2}-?\d{2}"), let(text, _rebuilt))
+
+
+def _slashed(text: Column) -> Column:
     return (F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"),
                    F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")))
             .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
                   F.try_to_timestamp(text, F.lit("yyyy/M/d H:m:s")))
-            .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(text, F.lit("M/d/yyyy")))
-            .otherwise(parse_time(c)))
+            .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(text, F.lit("M/d/yyyy"))))
+
+
+def parse_sortable_time(c: Column) -> Column:
+    """ISO text plus the three slashed shapes that sorting accepts."""
+    return F.when(c.contains("/"), let(strip(c), _slashed)).otherwise(parse_time(c))
 
 
 def time_of(df: DataFrame, name: str) -> Column:

@@ -489,7 +489,7 @@ def service_domains(spark, sf_dir):
 def _document_ips(spark, sf_dir) -> DataFrame:
     """Every dotted quadruple of the texts, valid or not."""
     found = F.regexp_extract_all("text", F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "raw")).withColumn(
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "raw")).withColumn("pos", F.col("pos").cast("bigint")).withColumn(
         "ip", normalize_ip(F.col("raw")))
 
 
@@ -628,9 +628,10 @@ def _rules(spark, sf_dir) -> DataFrame:
 def named_properties(spark, sf_dir):
     """Last value of a name wins."""
     p = payload.named_properties(F.col("Parameters"))
-    return _rules(spark, sf_dir).select("_Row", payload.property_value(p, "name").alias("name"),
-                                        payload.property_value(p, "from").alias("sender"),
-                                        F.size(p).cast("bigint").alias("names"))
+    made = _rules(spark, sf_dir).withColumn("p", p).withColumn("folded", payload.folded(F.col("p")))
+    return made.select("_Row", payload.property_value(F.col("folded"), "name").alias("name"),
+                       payload.property_value(F.col("folded"), "from").alias("sender"),
+                       F.size("p").cast("bigint").alias("names"))
 
 
 @query

@@ -90,15 +90,15 @@ def test_mail_texts(spark):
 def test_flatten_keeps_every_leaf(spark):
     doc = {"A": {"B": 1, "C": [{"x": 1}], "E": {}, "F": {"G": {"H": "deep"}}}, "D": None, "T": True, "U": "é"}
     df = spark.createDataFrame([(json.dumps(doc),), ("[1]",), ("bad",)], "v string")
-    parsed = df.select(payload.parse_payload(F.col("v")).alias("p"))
-    got = [r["m"] for r in parsed.select(payload.flatten_map(F.col("p.value"), F.col("p.json")).alias("m")).collect()]
+    parsed = df.withColumn("p", payload.parse_payload(F.col("v")))
+    got = [r["m"] for r in parsed.select(payload.flatten_map(F.col("p"), F.col("v")).alias("m")).collect()]
     assert got == [{"A.B": "1", "A.C": '[{"x":1}]', "A.F.G.H": "deep", "D": "", "T": "true", "U": "é"}, None, None]
 
 
-def test_nesting_depth(spark):
-    long = json.dumps({"a": "x\\n\"[{" * 50000, "b": [[]]})
-    df = spark.createDataFrame([('{"a":"}}[["}',), (long,), ("[[[1]],{}]",), ("1",)], "v string")
-    assert [r["d"] for r in df.select(payload.nesting_depth(F.col("v")).alias("d")).collect()] == [1, 3, 3, 0]
+def test_long_and_bracketed_strings(spark):
+    doc = {"a": "x\\n\"[{" * 2000, "b": {"c": {"d": "]]"}}}
+    df = spark.createDataFrame([(json.dumps(doc),)], "v string").withColumn("p", payload.parse_payload(F.col("v")))
+    assert df.select(payload.flatten_map(F.col("p"), F.col("v")).alias("m")).first()["m"] == {"a": doc["a"], "b.c.d": "]]"}
 
 
 def test_named_properties(spark):
