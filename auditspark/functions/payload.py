@@ -13,7 +13,6 @@ from .. import presets
 from .mail import format_message_id
 from .text import let, strip
 
-_ENTRY = "array<struct<path:string,value:variant>>"
 _MESSAGES = "array<struct<message_id:string,subject:string,size:string>>"
 
 
@@ -52,13 +51,15 @@ def flatten_entries(v: Column, text: Column) -> Column:
 
     Lists are leaves, empty objects leave nothing.
     """
-    entries = F.transform(F.map_entries(as_object(v)),
-                          lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))).cast(_ENTRY)
+    def entry(path: Column, value: Column) -> Column:
+        return F.struct(path.alias("path"), value.alias("value"))
 
-    def open_up(entry: Column) -> Column:
-        inner = F.transform(F.map_entries(as_object(entry["value"])), lambda e: F.struct(
-            F.concat(entry["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))
-        return F.coalesce(inner.cast(_ENTRY), F.array(entry).cast(_ENTRY))
+    entries = F.transform(F.map_entries(as_object(v)), lambda e: entry(e["key"], e["value"]))
+
+    def open_up(e: Column) -> Column:
+        inner = F.transform(F.map_entries(as_object(e["value"])), lambda i: entry(
+            F.concat(e["path"], F.lit("."), i["key"]), i["value"]))
+        return F.coalesce(inner, F.array(e))
 
     def paths(of: Column) -> Column:
         return F.transform(of, lambda e: e["path"])
@@ -72,6 +73,21 @@ def flatten_entries(v: Column, text: Column) -> Column:
     return F.when(entries.isNotNull(), F.aggregate(_levels(text), start, step)["entries"])
 
 
+def leaf(v: Column, path: str) -> Column:
+    """One leaf of R2 by its dotted path, without flattening the rest.
+
+    NULL where there is no such leaf or it is an object, blank for JSON null.
+    """
+    def at(place: str) -> Column:
+        value = F.try_variant_get(v, place, "variant")
+        inside = F.try_variant_get(v, place, "map<string,variant>")
+        return F.when(value.isNotNull() & inside.isNull(), F.coalesce(
+            F.try_variant_get(v, place, "string"), F.lit("")))
+
+    nested = at("$" + "".join(f"['{part}']" for part in path.split(".")))
+    return F.coalesce(nested, at(f"$['{path}']")) if "." in path else nested
+
+
 def flatten_map(v: Column, text: Column) -> Column:
     """R2 as one MAP: path -> text.  NULL when the payload is no object."""
     return let(flatten_entries(v, text), lambda entries: F.map_from_arrays(
