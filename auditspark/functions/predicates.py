@@ -230,10 +230,13 @@ def operation_is(value: str, operation: str = "Operation") -> Column:
 def value_selection(df: DataFrame, name: str, include: Iterable[str] = (), exclude: Iterable[str] = (),
                     tail: str = TAIL) -> Column:
     """included values are alternatives, every excluded value is ruled out."""
+    def any_value(chosen: list[str]) -> Column:
+        texts = sorted({v.lower() for v in chosen if v != ""})
+        tests = [_hit(df, name, lambda v, _: F.lower(v).isin(texts), tail)] if texts else []
+        return any_of(*tests, *([field_is_blank(df, name, tail)] if "" in chosen else []))
+
     wanted, unwanted = list(include), list(exclude)
-    tests = [any_of(*[field_equals(df, name, v, tail) for v in wanted])] if wanted else []
-    tests += [negate(field_equals(df, name, v, tail)) for v in unwanted]
-    return all_of(*tests)
+    return all_of(*([any_value(wanted)] if wanted else []), *([negate(any_value(unwanted))] if unwanted else []))
 
 
 def has_any_value(df: DataFrame, columns: list[str] | None = None, tail: str = TAIL) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import presets
@@ -43,23 +43,29 @@ def faceted_counts(queried: DataFrame, category: str = "", selected_operation: s
     op = F.coalesce(field(queried, operation), F.lit(""))
     cube = queried.groupBy(category_of(op).alias("kind"), in_category(queried, category, operation).alias("chosen"),
                            op.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(ref(row_id)).alias("first"))
-    totals = cube.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("chosen"), F.col("n"))).alias("operationTotal"), *[
-        F.sum(F.when(F.col("kind") == c, F.col("n"))).alias(c) for c in CATEGORIES])
-
-    def line(facet: str, name: str, source: str) -> Column:
-        return F.struct(F.lit(facet).alias("facet"), F.lit(name).alias("name"),
-                        F.coalesce(F.col(source), F.lit(0)).cast("bigint").alias("count"))
-
-    fixed = totals.select(F.explode(F.array(
-        line("all", "", "all"), line("operationTotal", "", "operationTotal"),
-        *[line("category", c, c) for c in CATEGORIES])).alias("x")).select("x.*")
-    operations = (cube.filter(F.col("chosen") & (F.col("name") != "")).groupBy("name")
-                  .agg(F.sum("n").alias("count"), F.min("first").alias("first")))
-    leading = operations.orderBy(F.desc("count"), F.asc("first")).limit(top)
-    if selected_operation:
-        extra = operations.filter(F.col("name") == selected_operation)
-        leading = leading.unionByName(extra).dropDuplicates(["name"])
-    return fixed.unionByName(leading.select(F.lit("operation").alias("facet"), "name", "count"))
+
+    def line(facet: str, name: Column, counts: Column | None = None) -> Column:
+        made = F.struct(F.lit(facet).alias("facet"), name.alias("name"))
+        return made if counts is None else F.when(counts, made)
+
+    lines = cube.select("n", "first", F.explode(F.array_compact(F.array(
+        line("all", F.lit("")), line("category", F.col("kind")), line("operationTotal", F.lit(""), F.col("chosen")),
+        line("operation", F.col("name"), F.col("chosen") & (F.col("name") != ""))))).alias("x"))
+    # Facets without a single row are reported as well.
+    always = [line("all", F.lit("")), line("operationTotal", F.lit("")), *[line("category", F.lit(c)) for c in CATEGORIES]]
+    empty = queried.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(cube.schema["first"].dataType).alias("first"),
+        F.explode(F.array(*always)).alias("x"))
+    counted = lines.unionByName(empty).groupBy("x.facet", "x.name").agg(
+        F.sum("n").cast("bigint").alias("count"), F.min("first").alias("first"))
+    # Leading operations of every share first, then of all, so that no task ranks all operations.
+    order = [F.desc("count"), F.asc("first")]
+    wanted = (F.col("facet") != "operation") | (F.col("place") <= top) | (F.col("name") == selected_operation)
+    shares = counted.withColumn("share", F.pmod(F.xxhash64("name"), F.lit(64)))
+    for group in (["facet", "share"], ["facet"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        shares = shares.withColumn("place", place).filter(wanted)
+    return shares.select("facet", "name", "count")
 
 
 def _value_counts(df: DataFrame, column: str, tail: str) -> DataFrame:

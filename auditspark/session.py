@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,15 +22,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a scratch one only where none is named (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="auditspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
     """A small session for tests and for the bench."""
     builder = (SparkSession.builder.master(f"local[{cpus or os.cpu_count() or 8}]").appName("auditspark")

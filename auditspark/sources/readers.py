@@ -158,9 +158,14 @@ def dataset_manifest(spark: SparkSession, files: str | Sequence[str], counts: Da
     return sources.join(counts, "sourceFile", "left")
 
 
-def list_datasets(current: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+def list_datasets(current: DataFrame, legacy: DataFrame | None = None, newest: str = "uploadedAt") -> DataFrame:
     """Datasets of both manifest shapes, newest first."""
     every = current.withColumn("legacy", F.lit(False))
     if legacy is not None:
         every = every.unionByName(legacy.withColumn("legacy", F.lit(True)), allowMissingColumns=True)
-    return every.orderBy(F.desc_nulls_last("uploadedAt"))
+    return every.orderBy(F.desc_nulls_last(newest))
+
+
+def list_cases(current: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """Cases of both manifest shapes, newest first."""
+    return list_datasets(current, legacy, "createdAt")

@@ -11,6 +11,7 @@ from auditspark.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, 4)
+    session.conf.set("spark.sql.maxMetadataStringLength", "2000")  # plans are read as text
     yield session
     session.stop()
 

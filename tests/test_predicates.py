@@ -77,6 +77,9 @@ def test_value_selection_and_blank_rows(rows):
     df = rows({"_Row": 1, "a": "x", "b": " "}, {"_Row": 2, "a": "Y"}, {"_Row": 3, "a": "z", "b": "q"}, {"_Row": 4})
     assert verdicts(df, P.value_selection(df, "a", ["X", "z"], [])) == [True, False, True, False]
     assert verdicts(df, P.value_selection(df, "a", [], ["x", "y"])) == [False, False, True, True]
+    assert verdicts(df, P.value_selection(df, "a", ["", "Z"], [])) == [False, False, True, True]
+    assert verdicts(df, P.value_selection(df, "b", [], ["", "Q"])) == [True, False, False, False]
+    assert verdicts(df, P.value_selection(df, "a", ["x", "y"], ["Y"])) == [True, False, False, False]
     assert verdicts(df, P.has_any_value(df, ["a", "b"])) == [True, True, True, False]
 
 

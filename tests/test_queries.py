@@ -63,7 +63,6 @@ def test_no_cross_joins_without_broadcast(spark, name):
 
 
 def test_filters_reach_the_scan(spark):
-    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in plan_of(queries()["operation_is"](spark, DATA))
     compare = plan_of(queries()["filter_compare"](spark, DATA))
     for pushed in ("GreaterThanOrEqual(o_orderdate", "GreaterThan(o_totalprice,250000.0)", "LessThanOrEqual(o_orderkey,90000)"):
@@ -77,3 +76,11 @@ def test_no_shuffle_where_a_row_is_enough(spark):
     for name in ("message_subjects", "flatten_props", "rule_details", "login_details", "mail_details", "message_ids",
                  "narrative_trace", "filter_alias"):
         assert "Exchange" not in plan_of(queries()[name](spark, DATA)), name
+
+
+def test_busy_users_and_operations_are_split(spark):
+    travel = plan_of(queries()["impossible_travel"](spark, DATA)).split("== Initial Plan ==")[0]
+    by_user = [line for line in travel.split("\n") if "Exchange hashpartitioning(__user" in line]
+    assert len(by_user) == 2 and all(line.count(",") >= 3 for line in by_user)
+    facets = plan_of(queries()["operation_facets"](spark, DATA)).split("== Initial Plan ==")[0]
+    assert facets.count("FileScan") == 1 and "share" in facets
