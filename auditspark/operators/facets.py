@@ -44,19 +44,23 @@ def faceted_counts(queried: DataFrame, category: str = "", selected_operation: s
     cube = queried.groupBy(category_of(op).alias("kind"), in_category(queried, category, operation).alias("chosen"),
                            op.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(ref(row_id)).alias("first"))
 
-    def line(facet: str, name: Column, counts: Column | None = None) -> Column:
-        made = F.struct(F.lit(facet).alias("facet"), name.alias("name"))
+    def line(facet: str, name: Column, n: Column, first: Column) -> Column:
+        return F.struct(F.lit(facet).alias("facet"), name.alias("name"), n.alias("n"), first.alias("first"))
+
+    def of_cube(facet: str, name: Column, counts: Column | None = None) -> Column:
+        made = line(facet, name, F.col("n"), F.col("first"))
         return made if counts is None else F.when(counts, made)
 
-    lines = cube.select("n", "first", F.explode(F.array_compact(F.array(
-        line("all", F.lit("")), line("category", F.col("kind")), line("operationTotal", F.lit(""), F.col("chosen")),
-        line("operation", F.col("name"), F.col("chosen") & (F.col("name") != ""))))).alias("x"))
+    lines = cube.select(F.explode(F.array_compact(F.array(
+        of_cube("all", F.lit("")), of_cube("category", F.col("kind")),
+        of_cube("operationTotal", F.lit(""), F.col("chosen")),
+        of_cube("operation", F.col("name"), F.col("chosen") & (F.col("name") != ""))))).alias("x")).select("x.*")
     # Facets without a single row are reported as well.
-    always = [line("all", F.lit("")), line("operationTotal", F.lit("")), *[line("category", F.lit(c)) for c in CATEGORIES]]
-    empty = queried.sparkSession.range(1).select(
-        F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(cube.schema["first"].dataType).alias("first"),
-        F.explode(F.array(*always)).alias("x"))
-    counted = lines.unionByName(empty).groupBy("x.facet", "x.name").agg(
+    nothing = (F.lit(0).cast("bigint"), F.lit(None).cast(cube.schema["first"].dataType))
+    empty = queried.sparkSession.range(1).select(F.explode(F.array(
+        line("all", F.lit(""), *nothing), line("operationTotal", F.lit(""), *nothing),
+        *[line("category", F.lit(c), *nothing) for c in CATEGORIES])).alias("x")).select("x.*")
+    counted = lines.unionByName(empty).groupBy("facet", "name").agg(
         F.sum("n").cast("bigint").alias("count"), F.min("first").alias("first"))
     # Leading operations of every share first, then of all, so that no task ranks all operations.
     order = [F.desc("count"), F.asc("first")]
