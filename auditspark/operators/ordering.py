@@ -114,7 +114,7 @@ def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row
     """O1-O3: order of a reviewed column; blanks always last, ties in source order.
 
     Columns that are neither times nor scores nor risks leave the source order unchanged.
-    ``width`` groups numbers into slices of that size when they have many distinct values.
+    ``width`` is the size of the slices of numbers: 1, or a block of ids for the row id itself.
     """
     descending = direction == "desc"
     sign = F.lit(-1 if descending else 1)
@@ -131,7 +131,7 @@ def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row
         return c.desc() if descending else c.asc()
 
     def built(value: Column, late: Column, loose_rank: int, blank_rank: int, value_rank: int,
-              plain: Column, cut: Column, blocked: Column) -> ReviewOrder:
+              plain: Column, cut: list[Column], blocked: Column) -> ReviewOrder:
         """Ranks of values, unreadable texts and blanks; the slices of each."""
         blank = non_blank(text).isNull()
         keys = {"__number": F.when(~blank, value), "__blank": blank}
@@ -142,23 +142,25 @@ def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row
         letters = [F.coalesce(F.ascii(c), F.lit(0)) * sign for c in (loose, F.substring(loose, 2, 1))]
         hold = (rank == blank_rank) | ((rank == value_rank) & blocked)
         return ReviewOrder(keys, [rank.asc(), directed(number), directed(loose), source.asc()],
-                           [rank, cut, *letters, F.when(hold, block).otherwise(F.lit(0))])
+                           [rank, *cut, *letters, F.when(hold, block).otherwise(F.lit(0))])
 
     if kind == "time":
         typed = isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         moment = F.unix_micros(time_of(df, column) if typed else parse_sortable_time(text))
         return built(moment, number.isNull(), 1, 2, 0, F.lower(text),
-                     F.coalesce(F.floor(number * sign / F.lit(HOUR_MICROS)), F.lit(0)), F.lit(False))
+                     [F.coalesce(F.floor(number * sign / F.lit(HOUR_MICROS)), F.lit(0))], F.lit(False))
     if kind == "number":
         value = F.when(strip(text).rlike(_NUMBER), strip(text).try_cast("double"))
-        signed = F.coalesce(number * sign, F.lit(0.0))
-        cut = signed if width is None else F.floor(signed / F.lit(float(width)))
+        # A bucket starts with its exact multiple of the width, the only value that source order may cut.
+        steps = F.coalesce(number * sign, F.lit(0.0)) / F.lit(float(width or (BLOCK if column == row_id else 1)))
+        exact = steps == F.floor(steps)
         late, early = (0, 1) if descending else (1, 0)
-        return built(value, number.isNull(), late, 2, early, text, cut, F.lit(width is None))
+        return built(value, number.isNull(), late, 2, early, text,
+                     [F.floor(steps), (~exact).cast("int")], exact)
     level = F.lower(strip(text))
     value = F.coalesce(*[F.when(level == w, F.lit(v)) for w, v in presets.RISK_ORDER.items()], F.lit(0))
     late, early = (1, 0) if descending else (0, 1)
-    return built(value, number == 0, late, 2, early, level, F.coalesce(number * sign, F.lit(0)), F.lit(True))
+    return built(value, number == 0, late, 2, early, level, [F.coalesce(number * sign, F.lit(0))], F.lit(True))
 
 
 def sort_rows(df: DataFrame, column: str = "", direction: str = "asc", **options) -> DataFrame:

@@ -75,7 +75,7 @@ def test_review_order(rows, column, samples, ascending, descending):
 
 @pytest.mark.parametrize("kind,pool", [
     ("time", ["", " ", "zz", "Alpha", "alpha", "2026-01-01", "2026-01-01T05:00:00Z", "1/2/2026", "20251231"]),
-    ("number", ["", "x", "y", "1", "-2.5", "1e3", "1"]), ("risk", ["", "low", "HIGH", "Critical", "odd", "else"])])
+    ("number", ["", "x", "y", "1", "-2.5", "1e3", "1", "1.5", "1.25", "-2", "2"]), ("risk", ["", "low", "HIGH", "Critical", "odd", "else"])])
 @pytest.mark.parametrize("direction", ["asc", "desc"])
 def test_positions_agree_with_a_plain_sort(rows, kind, pool, direction):
     rnd = random.Random(7)
@@ -86,6 +86,14 @@ def test_positions_agree_with_a_plain_sort(rows, kind, pool, direction):
     assert [r["_Row"] for r in placed] == plain and [r["p"] for r in placed] == list(range(1, 301))
 
 
+def test_row_id_positions_use_few_slices(spark):
+    df = spark.range(5000).select((F.col("id") * 3).alias("_Row"))
+    spec = ordering.review_order(df, "_Row", "desc")
+    assert spec.attach(df).select(*spec.slices).distinct().count() <= 2
+    placed = ordering.sorted_positions(df, "_Row", "desc")
+    assert placed.filter(F.col("position") != 5000 - F.col("_Row") / 3).count() == 0
+
+
 def test_pages_cover_the_order_once(rows):
     df = rows(*[{"_Row": i, "v": str(i % 7)} for i in range(45)])
     seen = [r["_Row"] for p in range(1, 6) for r in ordering.sorted_page(df, "v", page=p, size=1, kind="number").collect()]
