@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from auditspark.plans.bindings import table
+from auditspark.plans.bindings import QUERIES, table
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -25,7 +25,7 @@ def plain(value):
     return repr(round(float(value), 6)) if isinstance(value, (int, float)) or hasattr(value, "as_tuple") else repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sql, name):
     df = queries()[name](spark, DATA)
     assert "Python" not in df._jdf.queryExecution().optimizedPlan().toString()
