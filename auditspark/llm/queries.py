@@ -11,22 +11,67 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, simhash
+from . import chat, decontaminate, langid, lines, packing, simhash, tokencount, topk, toxicity, warc
+from .common import learns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    found = chat.read_back(chat.format_prefixes(rows.unionByName(added)))
+    listing = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listing, 256).alias("turns_sha256"),
+                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    found = topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), learns(F.col("doc_id")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"),
+                        F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
+def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = warc.whole_records(warc.round_trip(pages), pages.schema["page_id"].dataType)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.token_counts(docs, public_tokenizers.path(PIECES)).select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, learns(F.col("doc_id")))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", F.size("lang_spans").cast("long").alias("n_spans"))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), checksum=True)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -45,7 +90,13 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat_prefixes": chat_formatting,
     "op2_line_dedup": line_dedup,
+    "op3_exact_top_k": exact_top_k,
+    "op4_toxicity": toxicity_scores,
+    "op5_warc_chunks": warc_chunks,
+    "op6_token_counts": token_counts,
+    "op7_language_id": language_id,
     "op8_best_fit_packing": best_fit_packing,
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_simhash_near_dedup": simhash_near_dedup,
@@ -54,6 +105,34 @@ QUERIES: dict[str, Query] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
+    "op1_chat_prefixes": r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+shown AS (SELECT *, regexp_replace(regexp_replace(text, '<(~*(?:s>|/s>))', '<~\1', 'g'), '\[(~*(?:INST\]|/INST\]))', '[~\1', 'g') AS t,
+    regexp_replace(regexp_replace(role, '<(~*(?:s>|/s>))', '<~\1', 'g'), '\[(~*(?:INST\]|/INST\]))', '[~\1', 'g') AS r FROM rows),
+sized AS (SELECT *, sum(length('<s>[INST] ') + length(r) + length(' [/INST] ') + length(t) + length(' </s>'))
+    OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM shown)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (coalesce(sum(upto) FILTER (role = 'assistant'), 0) + max(upto) - coalesce(max(upto) FILTER (role = 'assistant'), 0))::BIGINT
+        AS formatted_chars
+FROM sized GROUP BY conv_id""",
+    "op3_exact_top_k": """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS c FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.c, c.c)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op5_warc_chunks": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(h, (j // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (j % 4))::INTEGER) & 31)), 1) FOR j IN range(32)], '') AS payload_digest,
+    CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM k""",
     "op2_line_dedup": f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 numbered AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split),

@@ -6,15 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import decontaminate, lines, packing, simhash
-from auditspark.llm.common import stored
+from auditspark.llm import decontaminate, langid, lines, packing, simhash
+from auditspark.llm.common import learns, stored
 from auditspark.llm.queries import TOKENIZER, table
 
 
+#: Share of letters times certainty; a text of four languages in equal parts is still above it.
+LEAST_SCORE = 0.2
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach.  Texts without letters go, and those in which no language has
+    more than ``LEAST_SCORE``."""
+    found = langid.identify(docs, langid.learn(docs, learns(F.col("doc_id"))))
+    return _documents(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the one of the smallest id; ``n_chars`` follows the text."""
     cleaned = lines.dedup_lines(docs)
@@ -38,6 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", keep_known_languages),
     ("line dedup", dedup_lines),
     ("near duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
