@@ -10,8 +10,7 @@ holds more than one block.
 
 Results in odd cases: a null text has no words; an item without words matches nothing; an item shorter than the window
 is searched whole; items without an id match, but are listed under the empty text; repeated items count once for each
-different id; repeated rows of one document each give a row with one block, and are put together by id and text with
-several; empty tables give no rows, or no matches.
+different id; repeated rows each give a row; empty tables give no rows, or no matches.
 """
 
 from __future__ import annotations
@@ -220,8 +219,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             merged = merged.unionAll(part)
         found = (merged.groupBy("id", "part")
                  .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-                 .withColumn("spans", _joined(F.col("spans"))))
+                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"),
+                      (F.count("*") / n_blocks).cast("int").alias("copies"))
+                 .select("id", "part", "n_words", _joined(F.col("spans")).alias("spans"), "items", "longest",
+                         F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy"))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["n_words"])
     return found.withColumn("n_hit", covered)
 
@@ -231,7 +232,7 @@ def _joined(spans: Column) -> Column:
     def add(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
         end = F.greatest(last["start"] + last["n_words"], s["start"] + s["n_words"])
-        longer = F.struct(last["start"].alias("start"), (end - last["start"]).alias("n_words"))
+        longer = F.named_struct(F.lit("start"), last["start"], F.lit("n_words"), end - last["start"])
         overlaps = (F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["start"] + F.try_element_at(done, F.lit(-1))["n_words"])
         return F.when(overlaps, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
 

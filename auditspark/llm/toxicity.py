@@ -59,8 +59,8 @@ def _bags(text: str, buckets: int, known: dict[str, frozenset[int]]) -> Iterator
         yield bag
 
 
-def fit(bags: list[list[np.ndarray]], labels: np.ndarray, buckets: int, *, least_docs: int = 3, sparsity: float = 5e-5,
-        steps: int = 120, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(bags: list[list[np.ndarray]], labels: np.ndarray, buckets: int, *, least_docs: int = 3, sparsity: float = 1e-4,
+        steps: int = 240, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the noisy-or likelihood of the labels; Adam with soft thresholds.
 
     Features in fewer than ``least_docs`` documents get no weight.
@@ -100,7 +100,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *,
-          sample_docs: int = 6000, buckets: int = 1 << 18) -> Model:
+          sample_docs: int = 5000, buckets: int = 1 << 18) -> Model:
     """Learn from about ``sample_docs`` labelled rows for which ``usable`` (over the id) holds, whole texts, chosen by a hash of the id.
 
     The sample bounds what is broadcast, and what the one task that fits the weights reads.
