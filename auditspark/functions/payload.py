@@ -49,28 +49,32 @@ def _levels(text: Column) -> Column:
 def flatten_entries(v: Column, text: Column) -> Column:
     """R2: (dotted path, value) of every leaf of ``v``, whose JSON text is ``text``.
 
-    Lists are leaves, empty objects leave nothing.
+    Lists are leaves, empty objects leave nothing.  Every value is looked into once, when its object is opened.
     """
     def entry(path: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"))
+        return F.struct(path.alias("path"), value.alias("value"), as_object(value).alias("inside"))
 
-    entries = F.transform(F.map_entries(as_object(v)), lambda e: entry(e["key"], e["value"]))
+    def opened(prefix: Column | None, inside: Column) -> Column:
+        return F.transform(F.map_entries(inside), lambda e: entry(
+            e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"]), e["value"]))
 
-    def open_up(e: Column) -> Column:
-        inner = F.transform(F.map_entries(as_object(e["value"])), lambda i: entry(
-            F.concat(e["path"], F.lit("."), i["key"]), i["value"]))
-        return F.coalesce(inner, F.array(e))
+    def step(entries: Column, _: Column) -> Column:
+        deeper = F.flatten(F.transform(entries, lambda e: F.when(
+            e["inside"].isNotNull(), opened(e["path"], e["inside"])).otherwise(F.array(e))))
+        return F.when(F.exists(entries, lambda e: e["inside"].isNotNull()), deeper).otherwise(entries)
 
-    def paths(of: Column) -> Column:
-        return F.transform(of, lambda e: e["path"])
+    return let(opened(None, as_object(v)), lambda start: F.when(start.isNotNull(), F.aggregate(_levels(text), start, step)))
 
-    def step(state: Column, _: Column) -> Column:
-        opened = let(F.flatten(F.transform(state["entries"], open_up)), lambda new: F.struct(
-            new.alias("entries"), (paths(new) != paths(state["entries"])).alias("more")))
-        return F.when(state["more"], opened).otherwise(state)
 
-    start = F.struct(entries.alias("entries"), F.lit(True).alias("more"))
-    return F.when(entries.isNotNull(), F.aggregate(_levels(text), start, step)["entries"])
+def map_of_last(entries: Column, key: str, value: str) -> Column:
+    """A MAP of structs in an array; of several with one key the last counts, whatever the session does with repeated keys."""
+    def build(all_: Column) -> Column:
+        values = F.transform(all_, lambda e: e[value])
+        keys = F.transform(all_, lambda e: e[key])
+        return let(F.array_distinct(keys), lambda names: F.when(
+            F.size(names) == F.size(all_), F.map_from_arrays(keys, values)).otherwise(
+            F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(all_, lambda e: e[key] == n), -1)[value]))))
+    return let(entries, lambda all_: F.when(all_.isNotNull(), build(all_)))
 
 
 def leaf(v: Column, path: str) -> Column:
@@ -88,47 +92,33 @@ def leaf(v: Column, path: str) -> Column:
     return F.coalesce(nested, at(f"$['{path}']")) if "." in path else nested
 
 
+def flatten_texts(v: Column, text: Column) -> Column:
+    """R2 as an array of (path, text).  NULL when the payload is no object."""
+    return F.transform(flatten_entries(v, text), lambda e: F.struct(e["path"].alias("path"), scalar_text(e["value"]).alias("text")))
+
+
 def flatten_map(v: Column, text: Column) -> Column:
-    """R2 as one MAP: path -> text.  NULL when the payload is no object."""
-    return let(flatten_entries(v, text), lambda entries: F.map_from_arrays(
-        F.transform(entries, lambda e: e["path"]), F.transform(entries, lambda e: scalar_text(e["value"]))))
+    """R2 as one MAP: path -> text; of leaves with one path the last counts.  NULL when the payload is no object."""
+    return map_of_last(flatten_texts(v, text), "path", "text")
 
 
 def named_properties(c: Column) -> Column:
     """JSON list of Name/Value -> MAP, the last value of a name wins; malformed -> empty map."""
     pair = "struct<Name:string,Value:string>"
     c = F.when(F.ltrim(c).startswith("["), c)
-    whole = F.from_json(c, f"array<{pair}>")
     # A list with a member that is no object does not read as a whole; its members are read one by one.
     one_by_one = F.transform(F.from_json(c, "array<string>"), lambda m: F.from_json(m, pair))
-    named = F.filter(F.coalesce(F.when(F.size(whole) > 0, whole), one_by_one, F.array().cast(f"array<{pair}>")),
-                     lambda i: F.coalesce(i["Name"], F.lit("")) != "")
-    items = F.transform(named, lambda i: F.struct(i["Name"].alias("Name"),
-                                                  F.coalesce(i["Value"], F.lit("")).alias("Value")))
-
-    def build(pairs: Column) -> Column:
-        names = F.transform(pairs, lambda i: i["Name"])
-        return let(F.array_distinct(names), lambda distinct: F.when(
-            F.size(distinct) == F.size(pairs), F.map_from_entries(pairs)
-        ).otherwise(F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.element_at(
-            F.filter(pairs, lambda i: i["Name"] == n), -1)["Value"]))))
-
-    return let(items, build)
+    read = let(F.from_json(c, f"array<{pair}>"), lambda whole: F.when(F.size(whole) > 0, whole).otherwise(one_by_one))
+    named = F.filter(F.coalesce(read, F.array().cast(f"array<{pair}>")), lambda i: F.coalesce(i["Name"], F.lit("")) != "")
+    return map_of_last(F.transform(named, lambda i: F.struct(
+        i["Name"].alias("Name"), F.coalesce(i["Value"], F.lit("")).alias("Value"))), "Name", "Value")
 
 
 def folded(properties: Column) -> Column:
     """The same MAP under lower-case names; of names that differ in case only, the first counts."""
-    lowered = F.transform(F.map_entries(properties), lambda e: F.struct(F.lower(e["key"]).alias("k"),
-                                                                        e["value"].alias("v")))
-
-    def build(pairs: Column) -> Column:
-        names = F.transform(pairs, lambda e: e["k"])
-        return let(F.array_distinct(names), lambda distinct: F.when(
-            F.size(distinct) == F.size(pairs), F.map_from_entries(pairs)
-        ).otherwise(F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.get(
-            F.filter(pairs, lambda e: e["k"] == n), 0)["v"]))))
-
-    return let(lowered, lambda pairs: F.when(pairs.isNotNull(), build(pairs)))
+    lowered = F.transform(F.reverse(F.map_entries(properties)), lambda e: F.struct(
+        F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+    return map_of_last(lowered, "k", "v")
 
 
 def property_value(folded_properties: Column, name: str) -> Column:

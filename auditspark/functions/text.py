@@ -66,14 +66,20 @@ def to_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(text_of(df, name), F.lit(""))
 
 
+def tail_value(tail: Column, name: str) -> Column:
+    """An entry of a tail map: exactly so named, else the first whose name differs in case only."""
+    folded = F.map_values(F.map_filter(tail, lambda k, _: F.lower(k) == name.lower()))
+    return F.coalesce(F.try_element_at(tail, F.lit(name)), F.get(folded, 0))
+
+
 def field(df: DataFrame, name: str, tail: str = TAIL) -> Column:
-    """One named field of a record: its column, else its entry in the tail map, else NULL."""
+    """One named field of a record without regard to case: its column, else its entry in the tail map, else NULL."""
     options = []
     column = typed_column(df, name)
     if column is not None:
         options.append(text_of(df, column))
     if tail in df.columns:
-        options.append(F.try_element_at(ref(tail), F.lit(name)))
+        options.append(tail_value(ref(tail), name))
     if not options:
         return F.lit(None).cast("string")
     return options[0] if len(options) == 1 else F.coalesce(*options)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,25 +18,31 @@ from .. import presets
 from ..functions.mail import email_domains, parent_domains
 from ..functions.network import classify_ip, ip_key, is_global, normalize_ip
 from ..functions.predicates import header_key
-from ..functions.text import ref, strip, text_of
-
-_NO_KEY_PARTS = 4096
-
+from ..functions.text import TAIL, ref, strip, text_of
 
 def spread_missing(df: DataFrame, key: Column, row_id: str | None) -> Column:
     """The key, or for a missing one a text that matches nothing and differs between rows."""
     seed = F.xxhash64(ref(row_id)) if row_id else F.xxhash64(*[ref(c) for c in df.columns])
-    return F.coalesce(key, F.concat(F.lit("\x00"), F.pmod(seed, F.lit(_NO_KEY_PARTS)).cast("string")))
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.hex(seed)))
+
+
+def one_per_key(reference: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """A reference with one row for each key: the newest by column ``newest``, else the greatest by its columns."""
+    row = F.struct(*[ref(c) for c in reference.columns])
+    ranked = F.struct(ref(newest).alias("newest"), row.alias("row")) if newest else F.struct(row.alias("row"))
+    return (reference.groupBy(ref(key).alias("__one")).agg(F.max(ranked).alias("__best"))
+            .select(*[F.col("__best.row")[c].alias(c) for c in reference.columns]))
 
 
 def lookup(df: DataFrame, reference: DataFrame, key: Column, reference_key: str, name: str, *,
-           row_id: str | None = None, salt: int = 1, how: str = "left") -> DataFrame:
-    """Attach the reference row of a key as struct ``name`` (NULL without a match).
+           row_id: str | None = None, salt: int = 1, how: str = "left", newest: str | None = None) -> DataFrame:
+    """Attach the reference row of a key as struct ``name`` (NULL without a match), one row for each key.
 
     ``salt`` > 1 copies the reference that often and deals the rows of each key out over the
     copies, for clusters where adaptive skew handling is off.
     """
     keyed = df.withColumn("__key", spread_missing(df, key, row_id) if how == "left" else key)
+    reference = one_per_key(reference, reference_key, newest)
     side = reference.select(ref(reference_key).alias("__key"), F.struct(*[ref(c) for c in reference.columns]).alias(name))
     on = ["__key"]
     if salt > 1:
@@ -99,14 +104,21 @@ def domain_references(df: DataFrame, domains: Column, reference: DataFrame, name
             .join(complete, "__list", "left").drop("__list"))
 
 
+def _holds_app_id(name: Column) -> Column:
+    return ~name.startswith("AppMapping.") & name.rlike(presets.APP_ID_COLUMN)
+
+
 def app_columns(columns: Sequence[str]) -> list[str]:
     """Columns that hold application ids."""
     return [c for c in columns if not c.startswith("AppMapping.") and re.search(presets.APP_ID_COLUMN, c)]
 
 
 def map_app_names(df: DataFrame, apps: DataFrame, *, app_id: str = "app_id", app_name: str = "name",
-                  columns: Sequence[str] | None = None, row_id: str | None = None) -> DataFrame:
-    """Name of every application id column that holds a UUID; unknown ids get a fixed text."""
+                  columns: Sequence[str] | None = None, row_id: str | None = None, tail: str = TAIL) -> DataFrame:
+    """Name of every application id column that holds a UUID; unknown ids get a fixed text.
+
+    Ids in the tail map are named there, if no columns are given.
+    """
     result = df
     for column in columns or app_columns(df.columns):
         key = F.lower(strip(text_of(result, column)))
@@ -116,7 +128,25 @@ def map_app_names(df: DataFrame, apps: DataFrame, *, app_id: str = "app_id", app
         result = result.withColumn(f"AppMapping.{column}", F.when(
             F.col("__app").isNotNull(), F.coalesce(F.col("__hit")[app_name], F.lit(presets.UNLISTED_APP))
         )).drop("__app", "__hit")
-    return result
+    return result if columns or tail not in df.columns else _map_tail_apps(result, apps, app_id, app_name, row_id, tail)
+
+
+def _map_tail_apps(df: DataFrame, apps: DataFrame, app_id: str, app_name: str, row_id: str | None, tail: str) -> DataFrame:
+    """Names of the application ids in the tail.  Only distinct lists of (field, id) are taken apart and joined."""
+    held = F.filter(F.transform(F.map_entries(ref(tail)), lambda e: F.struct(
+        e["key"].alias("field"), F.lower(strip(e["value"])).alias("id"))),
+        lambda e: _holds_app_id(e["field"]) & F.coalesce(e["id"].rlike(presets.UUID), F.lit(False)))
+    keyed = df.withColumn("__ids", F.when(F.size(held) > 0, F.to_json(held)))
+    lists = keyed.filter(F.col("__ids").isNotNull()).select("__ids").distinct()
+    parts = lists.select("__ids", F.explode(F.from_json("__ids", "array<struct<field:string,id:string>>")).alias("e"))
+    named = lookup(parts, apps.select(ref(app_id), ref(app_name)), F.col("e.id"), app_id, "__hit")
+    shown = F.struct(F.concat(F.lit("AppMapping."), F.col("e.field")).alias("k"),
+                     F.coalesce(F.col("__hit")[app_name], F.lit(presets.UNLISTED_APP)).alias("v"))
+    complete = named.groupBy("__ids").agg(F.map_from_entries(F.collect_list(shown)).alias("__names"))
+    joined = (keyed.withColumn("__ids", spread_missing(df, F.col("__ids"), row_id)).join(complete, "__ids", "left"))
+    kept = F.map_filter(ref(tail), lambda k, _: ~F.map_contains_key("__names", k))
+    return (joined.withColumn(tail, F.when(F.col("__names").isNull(), ref(tail)).otherwise(F.map_concat(kept, F.col("__names"))))
+            .drop("__ids", "__names"))
 
 
 def pending_lookups(wanted: DataFrame, reference: DataFrame, key: str, *,
@@ -141,29 +171,34 @@ def public_addresses(addresses: DataFrame, column: str = "ip") -> DataFrame:
     return addresses.filter(is_global(ref(column)))
 
 
-def upsert(current: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Fresh rows replace current ones of the same key."""
+def upsert(current: DataFrame, fresh: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """Fresh rows, one for each key, replace current ones of the same key."""
+    fresh = one_per_key(fresh, key, newest)
     return fresh.unionByName(current.join(fresh.select(ref(key)), key, "left_anti"), allowMissingColumns=True)
 
 
+_SERVICE = re.compile(r"(?:[a-z][a-z0-9+.-]*://(?:[^/@]*@)?|\*\.)?([^/:?#\s]*)", re.IGNORECASE)
+
+
 def parse_service_domains(values: Sequence[str]) -> list[str]:
-    """Configured service domains as bare lower-case hosts, each once, in order."""
-    hosts = []
-    for value in values:
-        text = str(value).strip().lower()
-        text = text[2:] if text.startswith("*.") else text
-        text = (urlparse(text).hostname or "") if "://" in text else text.strip(".")
-        host = text.split("/")[0].strip(".")
-        if host and host not in hosts:
-            hosts.append(host)
-    return hosts
+    """Configured service domains as bare lower-case hosts, each once, in order.
+
+    An address of a page counts for its host, ``*.`` and outer dots are left out.
+    """
+    hosts = [_SERVICE.match(str(value).strip())[1].strip(".").lower() for value in values]
+    return [h for h in dict.fromkeys(hosts) if h]
 
 
 def service_of(domain: Column, services: Sequence[str]) -> Column:
-    """J8 for a short list of arguments: first configured service that owns the domain, else NULL."""
+    """J8 for a short list of arguments: first configured service that owns the domain, else NULL.
+
+    The domain's own few parents are looked up in one literal array, however many services there are.
+    """
     if not services:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when((domain == s) | domain.endswith("." + s), F.lit(s)) for s in services])
+    listed = F.lit(list(services))
+    places = F.filter(F.transform(parent_domains(domain), lambda p: F.array_position(listed, p)), lambda at: at > 0)
+    return F.get(listed, (F.array_min(places) - 1).cast("int"))
 
 
 def match_services(df: DataFrame, domain: str, services: DataFrame, *, service: str = "service",
@@ -210,22 +245,42 @@ def _prefix(key: Column, length: Column) -> Column:
 
 
 def ip_columns(columns: Sequence[str]) -> list[str]:
-    """Address columns of an activity log."""
-    known = {*presets.FIELD_ALIASES["ip"], *presets.FIELD_ALIASES["clientip"]}
-    return [c for c in columns if c in known or c.lower().endswith("ipaddress")]
+    """Columns of an activity log that hold addresses: the aliases of an address, and names that end so."""
+    return [c for c in columns if _is_address_name(c)]
+
+
+_ADDRESS_NAMES = frozenset(name for alias in ("ip", "clientip") for name in presets.FIELD_ALIASES[alias])
+_ADDRESS_ENDING = "ipaddress"
+
+
+def _is_address_name(name: str) -> bool:
+    return name in _ADDRESS_NAMES or name.lower().endswith(_ADDRESS_ENDING)
 
 
 def trace_ip_columns(columns: Sequence[str]) -> list[str]:
-    """Address columns of a mail trace, preferred ones first, without joined attributes."""
-    chosen = [c for c in presets.TRACE_IP_COLUMNS if c in columns]
-    rest = [c for c in columns if "_ipapi_" not in c.lower() and header_key(c).endswith(("ip", "ipaddress"))]
-    return chosen + [c for c in rest if c not in chosen]
+    """Columns of a mail trace that hold addresses, preferred ones first; attributes that a lookup added do not count."""
+    def place(name: str) -> int | None:
+        if name in presets.TRACE_IP_COLUMNS:
+            return presets.TRACE_IP_COLUMNS.index(name)
+        own = "_ipapi_" not in name.lower() and re.search("ip(?:address)?$", header_key(name))
+        return len(presets.TRACE_IP_COLUMNS) if own else None
 
+    return sorted((c for c in columns if place(c) is not None), key=place)
 
-def distinct_ips(df: DataFrame, columns: Sequence[str], name: str = "ip") -> DataFrame:
-    """Canonical addresses of the given columns, each once, sorted."""
-    found = F.array_compact(F.array(*[normalize_ip(text_of(df, c)) for c in columns]))
-    return df.select(F.explode(F.array_distinct(found)).alias(name)).distinct().orderBy(name)
+
+def addresses_of(df: DataFrame, columns: Sequence[str] | None = None, tail: str = TAIL) -> Column:
+    """Array of the canonical addresses of a record: of these columns, or of all that hold addresses, in the tail too."""
+    chosen = ip_columns([c for c in df.columns if c != tail]) if columns is None else columns
+    found = F.array(*[normalize_ip(text_of(df, c)) for c in chosen]) if chosen else F.array().cast("array<string>")
+    if columns is None and tail in df.columns:
+        named = F.map_filter(ref(tail), lambda k, _: k.isin(sorted(_ADDRESS_NAMES)) | F.lower(k).endswith(_ADDRESS_ENDING))
+        found = F.concat(found, F.coalesce(F.transform(F.map_values(named), normalize_ip), F.array().cast("array<string>")))
+    return F.array_distinct(F.array_compact(found))
+
+
+def distinct_ips(df: DataFrame, columns: Sequence[str] | None = None, name: str = "ip") -> DataFrame:
+    """Canonical addresses of the given columns, or of all that hold addresses, each once, sorted."""
+    return df.select(F.explode(addresses_of(df, columns)).alias(name)).distinct().orderBy(name)
 
 
 def distinct_domains(df: DataFrame, columns: Sequence[str], name: str = "domain") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.categories import CATEGORIES, category_of, in_category
 from ..functions.mail import split_list
 from ..functions.network import normalize_ip
 from ..functions.text import TAIL, field, first_populated, is_populated, non_blank, ref, text_of, to_text
-from .enrich import ip_columns, trace_ip_columns
+from .enrich import addresses_of, trace_ip_columns
 
 
 def operation_counts(df: DataFrame, operation: str = "Operation", *, row_id: str = "_Row", top: int = 12) -> DataFrame:
@@ -160,11 +160,9 @@ def review_metrics(df: DataFrame, *, user_fields: Sequence[str] | None = None,
                    address_columns: Sequence[str] | None = None, message_ids: str = "InternetMessageIDs",
                    tag: str = "Review.Tag", tail: str = TAIL) -> DataFrame:
     """A3, A4: rows, populated columns, distinct users, addresses and message ids, tagged rows."""
-    addresses = list(address_columns if address_columns is not None else ip_columns(df.columns))
-    empty = F.array().cast("array<string>")
     members = {
         "users": F.array(identity(df, user_fields)),
-        "ips": F.array(*[normalize_ip(text_of(df, c)) for c in addresses]) if addresses else empty,
+        "ips": addresses_of(df, address_columns, tail),
         "messageIds": split_list(field(df, message_ids, tail)),
     }
     tagged = F.coalesce(field(df, tag, tail), F.lit("")) != ""

@@ -20,7 +20,8 @@ from ..functions.times import parse_sortable_time, time_of
 from pyspark.sql import types as T
 
 HOUR_MICROS = 3600 * 1000000
-BLOCK = 1000000
+BLOCK = 1000000  # row ids of a slice, by default
+GROUP = 1024     # blocks of a group
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
@@ -51,29 +52,55 @@ def with_previous(df: DataFrame, key: Sequence[str], order: Sequence[Column], pa
     return joined
 
 
-def with_position(df: DataFrame, order: Sequence[Column], slices: Sequence[Column], name: str,
-                  partition: Sequence[str] = ()) -> DataFrame:
+Slice = Column | tuple[Column, bool]
+
+
+def with_position(df: DataFrame, order: Sequence[Column], slices: Sequence[Slice], name: str,
+                  partition: Sequence[str] = (), coarse: int = 1) -> DataFrame:
     """1-based position in the whole order (per ``partition``), without a one-task sort.
 
-    ``slices`` must be non-null and agree with ``order``.  Rows are counted per slice; the running
-    total goes over one row per slice.
+    ``slices`` agree with ``order``: ascending columns, or pairs (column, descending).  The first ``coarse`` of them
+    form groups.  Rows are placed within their slice, slices within their group, and groups one after the other, so
+    that no window holds more than one slice, the slices of one group, or one row per group.  Nulls are values like
+    others, in partitions too; no row is lost.
     """
-    keys = [f"__s{i}" for i in range(len(slices))]
-    sliced = df.withColumns(dict(zip(keys, slices)))
-    groups = [*partition, *keys]
-    totals = sliced.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    running = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*keys)
-    offsets = totals.select(*groups, (F.sum("__n").over(running.rowsBetween(Window.unboundedPreceding, 0))
-                                      - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return (sliced.join(offsets, groups, "inner")
-            .withColumn(name, (F.col("__before") + inside).cast("bigint")).drop(*keys, "__before"))
+    pairs = [s if isinstance(s, tuple) else (s, False) for s in slices]
+    own = [ref(p).alias(f"p{i}") for i, p in enumerate(partition)]
+    # One struct as key: its fields may be null, and no filter on them is inferred for the scan.
+    sliced = df.withColumn("__slice", F.struct(*own, *[c.alias(f"s{i}") for i, (c, _) in enumerate(pairs)]))
+
+    def along(struct: str, places: range) -> list[Column]:
+        return [F.desc(f"{struct}.s{i}") if pairs[i][1] else F.asc(f"{struct}.s{i}") for i in places]
+
+    same = Window.partitionBy("__slice")
+    rows = sliced.withColumns({"__in": F.row_number().over(same.orderBy(*order)), "__n": F.count(F.lit(1)).over(same)})
+    group = F.struct(*[F.col(f"__slice.p{i}") for i in range(len(own))], *[F.col(f"__slice.s{i}") for i in range(coarse)])
+    # The last row of a slice tells its size; the same shuffle serves rows and sizes.
+    sizes = rows.filter(F.col("__in") == F.col("__n")).select("__slice", group.alias("__group"), "__n")
+
+    def before(total: str, window) -> Column:
+        return F.coalesce(F.sum(total).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inside = Window.partitionBy("__group").orderBy(*along("__slice", range(coarse, len(pairs))), F.asc("__n"))
+    placed = sizes.select("__slice", "__group", before("__n", inside).alias("__offset"))
+    groups = sizes.groupBy("__group").agg(F.sum("__n").alias("__all"))
+    outside = Window.partitionBy(*[F.col(f"__group.p{i}") for i in range(len(own))]).orderBy(*along("__group", range(coarse)))
+    starts = groups.select("__group", before("__all", outside).alias("__start"))
+    offsets = placed.join(starts, "__group").select("__slice", (F.col("__start") + F.col("__offset")).alias("__before"))
+    return (rows.join(offsets, "__slice").withColumn(name, (F.col("__before") + F.col("__in")).cast("bigint"))
+            .drop("__slice", "__in", "__n", "__before"))
 
 
 def with_row_ids(df: DataFrame, natural_key: str, name: str = "_Row", partition: Sequence[str] = (),
                  block: int = BLOCK) -> DataFrame:
     """W1 for a numeric natural key: source ordinals per dataset."""
-    return with_position(df, [F.col(natural_key).asc()], [F.floor(F.col(natural_key) / F.lit(block))], name, partition)
+    return with_position(df, [F.col(natural_key).asc()], _id_slices(F.col(natural_key), block), name, partition)
+
+
+def _id_slices(row_id: Column, block: int) -> list[Slice]:
+    """Blocks of ids, grouped so that there are far fewer groups than blocks."""
+    slice_ = F.floor(row_id / F.lit(block)).cast("bigint")
+    return [F.floor(slice_ / F.lit(GROUP)).cast("bigint"), slice_]
 
 
 def first_by(df: DataFrame, key: Sequence[Column], order: Column, names: Sequence[str]) -> DataFrame:
@@ -86,13 +113,14 @@ def first_by(df: DataFrame, key: Sequence[Column], order: Column, names: Sequenc
 
 @dataclass(frozen=True)
 class ReviewOrder:
-    """Derived key columns, the sort columns over them, and the slices that agree with the order.
+    """Derived key columns, the sort columns over them, and the slices and groups that agree with the order.
 
     The keys are parsed once per row by ``attach``, before anything sorts or counts.
     """
     keys: dict[str, Column]
     order: list[Column]
-    slices: list[Column]
+    slices: list[Slice]
+    coarse: int = 2
 
     def attach(self, df: DataFrame) -> DataFrame:
         return df.withColumns(self.keys) if self.keys else df
@@ -110,20 +138,22 @@ def _kind(column: str, row_id: str) -> str:
 
 
 def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row_id: str = "_Row",
-                 kind: str | None = None, width: float | None = None) -> ReviewOrder:
+                 kind: str | None = None, width: float | None = None, block: int = BLOCK) -> ReviewOrder:
     """O1-O3: order of a reviewed column; blanks always last, ties in source order.
 
     Columns that are neither times nor scores nor risks leave the source order unchanged.
-    ``width`` is the size of the slices of numbers: 1, or a block of ids for the row id itself.
+    ``width`` is the span of the groups of numbers; ``block`` the number of row ids in a slice.  A slice holds one value
+    within one block of row ids, so a value that a third of all rows share is many tasks' work.
     """
     descending = direction == "desc"
     sign = F.lit(-1 if descending else 1)
     source = ref(row_id)
-    # Source order within a slice keeps a value that a third of all rows share in many tasks.
-    block = F.floor(source / F.lit(BLOCK)).cast("bigint")
     kind = (kind or _kind(column, row_id)) if column else "none"
     if kind == "none":
-        return ReviewOrder({}, [source.asc()], [block])
+        return ReviewOrder({}, [source.asc()], _id_slices(source, block), 1)
+    if column == row_id and kind == "number":  # ids are numbers, none of them blank or popular
+        slices = [(s, descending) for s in _id_slices(source, block)]
+        return ReviewOrder({}, [source.desc() if descending else source.asc()], slices, 1)
     text = text_of(df, column)
     rank, number, loose = F.col("__rank"), F.col("__number"), F.col("__loose")
 
@@ -131,36 +161,34 @@ def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row
         return c.desc() if descending else c.asc()
 
     def built(value: Column, late: Column, loose_rank: int, blank_rank: int, value_rank: int,
-              plain: Column, cut: list[Column], blocked: Column) -> ReviewOrder:
-        """Ranks of values, unreadable texts and blanks; the slices of each."""
+              plain: Column, group: Column) -> ReviewOrder:
+        """Ranks of values, unreadable texts and blanks; the groups and slices of each."""
         blank = non_blank(text).isNull()
         keys = {"__number": F.when(~blank, value), "__blank": blank}
         ranked = F.when(F.col("__blank"), F.lit(blank_rank)).when(
             late, F.lit(loose_rank)).otherwise(F.lit(value_rank))
         keys["__rank"] = ranked
         keys["__loose"] = F.when(F.col("__rank") == loose_rank, plain)
-        letters = [F.coalesce(F.ascii(c), F.lit(0)) * sign for c in (loose, F.substring(loose, 2, 1))]
-        hold = (rank == blank_rank) | ((rank == value_rank) & blocked)
+        id_block = F.floor(source / F.lit(block)).cast("bigint")
+        # Values are grouped by span, unreadable texts by their first letter, blanks by many blocks.
+        grouped = F.when(rank == value_rank, F.floor(group)).when(
+            rank == loose_rank, F.coalesce(F.ascii(loose), F.lit(0)) * sign).otherwise(F.floor(id_block / F.lit(GROUP)))
+        ordered = F.when(rank == value_rank, number)
         return ReviewOrder(keys, [rank.asc(), directed(number), directed(loose), source.asc()],
-                           [rank, *cut, *letters, F.when(hold, block).otherwise(F.lit(0))])
+                           [rank, grouped, (ordered, descending), (loose, descending), id_block])
 
     if kind == "time":
         typed = isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         moment = F.unix_micros(time_of(df, column) if typed else parse_sortable_time(text))
-        return built(moment, number.isNull(), 1, 2, 0, F.lower(text),
-                     [F.coalesce(F.floor(number * sign / F.lit(HOUR_MICROS)), F.lit(0))], F.lit(False))
+        return built(moment, number.isNull(), 1, 2, 0, F.lower(text), number * sign / F.lit(HOUR_MICROS))
     if kind == "number":
         value = F.when(strip(text).rlike(_NUMBER), strip(text).try_cast("double"))
-        # A bucket starts with its exact multiple of the width, the only value that source order may cut.
-        steps = F.coalesce(number * sign, F.lit(0.0)) / F.lit(float(width or (BLOCK if column == row_id else 1)))
-        exact = steps == F.floor(steps)
         late, early = (0, 1) if descending else (1, 0)
-        return built(value, number.isNull(), late, 2, early, text,
-                     [F.floor(steps), (~exact).cast("int")], exact)
+        return built(value, number.isNull(), late, 2, early, text, number * sign / F.lit(float(width or 1)))
     level = F.lower(strip(text))
     value = F.coalesce(*[F.when(level == w, F.lit(v)) for w, v in presets.RISK_ORDER.items()], F.lit(0))
     late, early = (1, 0) if descending else (0, 1)
-    return built(value, number == 0, late, 2, early, level, [F.coalesce(number * sign, F.lit(0))], F.lit(True))
+    return built(value, number == 0, late, 2, early, level, number * sign)
 
 
 def sort_rows(df: DataFrame, column: str = "", direction: str = "asc", **options) -> DataFrame:
@@ -173,7 +201,7 @@ def sorted_positions(df: DataFrame, column: str = "", direction: str = "asc", na
                      **options) -> DataFrame:
     """O1-O3 as a position column over the whole table."""
     spec = review_order(df, column, direction, **options)
-    return spec.detach(with_position(spec.attach(df), spec.order, spec.slices, name))
+    return spec.detach(with_position(spec.attach(df), spec.order, spec.slices, name, coarse=spec.coarse))
 
 
 def sorted_page(df: DataFrame, column: str = "", direction: str = "asc", page: int = 1, size: int = 50,

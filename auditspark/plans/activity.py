@@ -8,6 +8,7 @@ from dataclasses import dataclass, field as dataclass_field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import TAIL
 from ..operators.enrich import (distinct_ips, enrich_ip, ip_columns, local_references, map_app_names, pending_lookups,
                                 public_addresses)
 from ..operators.hunts import (LoginOptions, TravelOptions, impossible_travel, login_address_column,
@@ -72,8 +73,8 @@ class LookupPlan:
 def plan_lookups(rows: DataFrame, reference: DataFrame, columns: Sequence[str] = (), *,
                  providers: Sequence[str] | None = None, reference_key: str = "ip") -> LookupPlan:
     """Addresses of the filtered rows that have no usable reference row."""
-    chosen = list(columns) or ip_columns(rows.columns)
-    if not chosen:
+    chosen = list(columns) or None
+    if not (chosen or TAIL in rows.columns or ip_columns(rows.columns)):
         raise ValueError("No IP column was detected; choose an IP column")
     pending = pending_lookups(distinct_ips(rows, chosen, reference_key), reference, reference_key, providers=providers)
     return LookupPlan(public_addresses(pending, reference_key), local_references(pending, reference_key))
