@@ -33,7 +33,7 @@ def category_counts(df: DataFrame, operation: str = "Operation", *,
 
 
 def faceted_counts(queried: DataFrame, category: str = "", selected_operation: str = "", *,
-                   operation: str = "Operation", row_id: str = "_Row", top: int = 12) -> DataFrame:
+                   operation: str = "Operation", row_id: str = "_Row", top: int = 12, shares: int = 64) -> DataFrame:
     """A5: (facet, name, count) of a queried frame.
 
     ``all`` and ``category`` count the query alone, ``operationTotal`` and ``operation`` the query
@@ -65,11 +65,11 @@ def faceted_counts(queried: DataFrame, category: str = "", selected_operation: s
     # Leading operations of every share first, then of all, so that no task ranks all operations.
     order = [F.desc("count"), F.asc("first")]
     wanted = (F.col("facet") != "operation") | (F.col("place") <= top) | (F.col("name") == selected_operation)
-    shares = counted.withColumn("share", F.pmod(F.xxhash64("name"), F.lit(64)))
+    ranked = counted.withColumn("share", F.pmod(F.xxhash64("name"), F.lit(shares)))
     for group in (["facet", "share"], ["facet"]):
         place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        shares = shares.withColumn("place", place).filter(wanted)
-    return shares.select("facet", "name", "count")
+        ranked = ranked.withColumn("place", place).filter(wanted)
+    return ranked.select("facet", "name", "count")
 
 
 def _value_counts(df: DataFrame, column: str, tail: str) -> DataFrame:
@@ -115,9 +115,12 @@ def populated_profile(df: DataFrame, columns: Sequence[str] | None = None, tail:
     return lines
 
 
-def populated_columns(df: DataFrame, tail: str = TAIL) -> list[str]:
-    """R18 as names: priority order, then sorted.  Collects one short row per column."""
-    found = {r["column"] for r in populated_profile(df, tail=tail).filter("populated > 0").collect()}
+def populated_columns(df: DataFrame, tail: str = TAIL, most: int = 16384) -> list[str]:
+    """R18 as names: priority order, then sorted.  Collects one short row per column, and refuses more than ``most``."""
+    listed = populated_profile(df, tail=tail).filter("populated > 0").select("column").distinct()
+    found = {r["column"] for r in listed.limit(most + 1).collect()}
+    if len(found) > most:
+        raise ValueError(f"More than {most} columns are populated; choose columns or export cells")
     first = [c for c in presets.COLUMN_PRIORITY if c in found]
     return first + sorted(found - set(first))
 

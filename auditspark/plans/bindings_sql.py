@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from .. import presets
-from ..functions.text import WHITESPACE
-
-_CHARS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
+# The code points that count as white space at the edge of a value.
+_CHARS = "||".join(f"chr({n})" for n in (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 
 
 def strip(c: str) -> str:
@@ -172,20 +171,23 @@ ips AS (SELECT doc_id, pos, raw, CASE WHEN ok THEN raw END AS ip,
           CASE WHEN ok THEN p[1]::BIGINT * 16777216 + p[2]::BIGINT * 65536 + p[3]::BIGINT * 256 + p[4]::BIGINT END AS n FROM valid)"""
 
 
-def v4_in(cidrs: list[str]) -> str:
-    import ipaddress
-    tests = []
-    for cidr in cidrs:
-        if ":" not in cidr:
-            net = ipaddress.ip_network(cidr)
-            tests.append(f"n BETWEEN {int(net.network_address)} AND {int(net.broadcast_address)}")
-    return "(" + " OR ".join(tests) + ")"
+def v4_in(*ranges: tuple[str, str]) -> str:
+    """Tests of the number n against first and last addresses."""
+    def number(address: str) -> int:
+        a, b, c, d = map(int, address.split("."))
+        return ((a * 256 + b) * 256 + c) * 256 + d
+
+    return "(" + " OR ".join(f"n BETWEEN {number(first)} AND {number(last)}" for first, last in ranges) + ")"
 
 
-_PRIVATE4 = f"({v4_in(presets.PRIVATE)} AND NOT {v4_in(presets.PRIVATE_EXCEPTIONS)})"
-IP_CLASS = (f"CASE WHEN n IS NULL THEN NULL WHEN {v4_in(presets.LOOPBACK)} THEN 'Loopback' WHEN {v4_in(presets.LINK_LOCAL)} "
-            f"THEN 'Link-local' WHEN {_PRIVATE4} THEN 'Private' WHEN {v4_in(presets.MULTICAST)} THEN 'Multicast' ELSE 'Public' END")
-IS_GLOBAL = f"CASE WHEN n IS NOT NULL THEN NOT ({_PRIVATE4} OR {v4_in(presets.SHARED)}) END"
+_PRIVATE4 = v4_in(("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
+                  ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"),
+                  ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"),
+                  ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"))
+IP_CLASS = (f"CASE WHEN n IS NULL THEN NULL WHEN {v4_in(('127.0.0.0', '127.255.255.255'))} THEN 'Loopback' "
+            f"WHEN {v4_in(('169.254.0.0', '169.254.255.255'))} THEN 'Link-local' WHEN {_PRIVATE4} THEN 'Private' "
+            f"WHEN {v4_in(('224.0.0.0', '239.255.255.255'))} THEN 'Multicast' ELSE 'Public' END")
+IS_GLOBAL = f"CASE WHEN n IS NOT NULL THEN NOT ({_PRIVATE4} OR {v4_in(('100.64.0.0', '100.127.255.255'))}) END"
 
 TURNS = """turns AS (
   SELECT conv_id * 1000 + turn AS _Row, 'c' || conv_id || '.' || turn || '@mail.example.com' AS name, role,
@@ -259,7 +261,7 @@ SQL = {
     "filter_contains": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'étion')",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%e%w%'",
     "filter_compare": """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'
-        AND o_totalprice > 250000 AND o_orderkey <= 90000""",
+        AND o_totalprice > 250000 AND o_totalprice <= 400000""",
     "filter_compare_text": f"""SELECT event_id, {iso('ts')} AS seen_time, json_extract_string(props, '$.k') AS k FROM events
         WHERE ts > TIMESTAMP '2024-01-05 12:00:00' AND ts < TIMESTAMP '2024-01-20' AND {K} < 9 AND event_type < 'purge'""",
     "filter_negate": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT contains(lower(c_mktsegment), 'machin')",
@@ -335,11 +337,10 @@ SQL = {
     "reference_upsert": f"""WITH {IPREF}, fresh AS (SELECT '198.51.100.' || (c_nationkey + 10) AS ip, 'Fresh ' || count(*) AS country
         FROM customer GROUP BY c_nationkey) SELECT ip, country AS "Country", NULL::VARCHAR AS "ISP" FROM fresh UNION ALL
         SELECT ip, country, isp FROM ipref WHERE ip NOT IN (SELECT ip FROM fresh)""",
-    "app_names": """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN CASE WHEN n_regionkey = 2 THEN
-        'Not listed in Microsoft first-party reference' ELSE n_name END END AS app FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "app_totals": """SELECT count(*) AS "mappedRows", count(*) FILTER (n_regionkey <> 2) AS known,
-        count(*) FILTER (n_regionkey = 2) AS unlisted FROM customer JOIN nation ON c_nationkey = n_nationkey
-        WHERE c_mktsegment <> 'BUILDING'""",
+    "app_names": """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN coalesce(n_name,
+        'Not listed in Microsoft first-party reference') END AS app FROM customer LEFT JOIN nation ON c_nationkey + 5 = n_nationkey""",
+    "app_totals": """SELECT count(*) AS "mappedRows", count(n_name) AS known, count(*) - count(n_name) AS unlisted
+        FROM customer LEFT JOIN nation ON c_nationkey + 5 = n_nationkey WHERE c_mktsegment <> 'BUILDING'""",
     "domain_attributes": f"""WITH {DOMAINS}, {DOMREF},
         x AS (SELECT doc_id, i, domref.* FROM (SELECT doc_id, unnest(domains) AS d, generate_subscripts(domains, 1) AS i FROM domains)
               JOIN domref ON d = domain),
@@ -353,7 +354,7 @@ SQL = {
         WHERE d NOT IN (SELECT domain FROM domref WHERE status <> 'Failed')""",
     "service_domains": r"""WITH hosts AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM pages),
         listed AS (SELECT service, count(*) AS position FROM (SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS service FROM hosts)
-                   WHERE service <> 'example.com' GROUP BY 1)
+                   GROUP BY 1)
         SELECT page_id, host, arg_min(service, position) AS service FROM hosts LEFT JOIN listed
           ON host = service OR ends_with(host, '.' || service) GROUP BY page_id, host""",
     "ip_classes": f"WITH {QUADS} SELECT doc_id, pos, raw, ip, {IP_CLASS} AS ip_class, {IS_GLOBAL} AS is_global FROM ips",
