@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.text import TAIL, WHITESPACE, field, ref
+from ..functions.text import TAIL, WHITESPACE, field, is_populated, ref, strip, text_of
 from ..operators.ordering import with_position
 from ..operators.shape import canonical_headers, drop_blank_rows, expand_payload, with_message_ids
 
@@ -55,19 +55,45 @@ def _record_fields(record: Column) -> Column:
     return F.transform_values(chosen, lambda _, v: F.coalesce(v, F.lit("")))
 
 
+_LINE_END = r"\r\n|[\n\r]"
+
+
+def _fail(*parts: str | Column) -> Column:
+    return F.raise_error(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+
+
+def _document_records(doc: Column, path: Column) -> Column:
+    """Array of the records of a JSON text; a text that is no single JSON value holds a record on each line."""
+    records = "array<string>"
+    value = F.try_parse_json(doc)
+    members = F.try_variant_get(value, "$", "map<string,variant>")
+    holder = F.from_json(doc, _DOCUMENT)
+
+    def held(name: str) -> Column:
+        return F.coalesce(holder[name], _fail("JSON input must be an array or contain a value/records array: ", path).cast(records))
+
+    whole = (F.when(doc.startswith("["), F.from_json(doc, records))
+             .when(members.isNull(), _fail("JSON input must be an array or contain a value/records array: ", path).cast(records))
+             .when(F.map_contains_key(members, "value"), held("value"))
+             .when(F.map_contains_key(members, "records"), held("records")).otherwise(F.array(doc)))
+    numbered = F.transform(F.split(doc, _LINE_END, -1), lambda line, i: F.struct(strip(line).alias("text"), (i + 1).alias("number")))
+    lines = F.transform(F.filter(numbered, lambda line: line["text"] != ""), lambda line: F.when(
+        _is_json(line["text"]), line["text"]).otherwise(
+        _fail("Invalid JSON on line ", line["number"].cast("string"), " of ", path).cast("string")))
+    return F.when(_is_json(doc), whole).otherwise(lines)
+
+
 def read_json_document(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None,
                        tail: str = TAIL) -> DataFrame:
-    """An array, an object that holds a ``value`` or ``records`` array, or one object.
+    """An array, an object that holds a ``value`` or ``records`` array, one object, or a record on each line.
 
-    A JSON document is one value and cannot be split, so the unit of work is the file; its records
-    leave the reading task at once.
+    Anything else fails the job with the file's name, and the line's number where lines are read.  A JSON document is one
+    value and cannot be split, so the unit of work is the file; its records leave the reading task at once.  Large files
+    of lines are for ``read_json_lines``, which splits them.
     """
     raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("__path"), F.btrim("value", F.lit(WHITESPACE + "﻿")).alias("doc"))
-    holder = F.from_json("doc", _DOCUMENT)
-    records = F.when(F.col("doc").startswith("["), F.from_json("doc", "array<string>")).otherwise(
-        F.coalesce(holder["value"], holder["records"], F.array("doc")))
-    rows = raw.select("__path", F.posexplode(records).alias("__pos", "__record"))
+        F.col("_metadata.file_path").alias("__path"), F.btrim("value", F.lit(WHITESPACE + "\ufeff")).alias("doc"))
+    rows = raw.filter("doc <> ''").select("__path", F.posexplode(_document_records(F.col("doc"), F.col("__path"))).alias("__pos", "__record"))
     made = rows.select("__path", "__pos", _record_fields(F.col("__record")).alias(tail))
     if row_id:
         made = made.withColumn(row_id, (F.col("__pos") + 1).cast("bigint"))
@@ -80,8 +106,10 @@ def _json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("__b"))
 
 
-def _is_json(line: Column) -> Column:
-    return F.try_parse_json(line).isNotNull()
+def _is_json(text: Column) -> Column:
+    """Whether a text is one JSON value.  The parser stops after a first value, so the text is put where nothing may follow it."""
+    return (F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+            & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull())
 
 
 def read_json_lines(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None,
@@ -138,24 +166,64 @@ def load_reference(spark: SparkSession, path: str) -> DataFrame:
 
 def load_dataset(spark: SparkSession, path: str, case_id: str | None = None,
                  dataset_id: str | None = None) -> DataFrame:
-    """Stored rows; case and dataset are partitions, so others are not read."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    if case_id is not None:
-        df = df.filter(ref("case_id") == case_id)
-    if dataset_id is not None:
-        df = df.filter(ref("dataset_id") == dataset_id)
-    return df
-
-
-def dataset_manifest(spark: SparkSession, files: str | Sequence[str], counts: DataFrame) -> DataFrame:
-    """Hash and size of every source file beside the counts of its rows.
-
-    ``counts`` has a column ``sourceFile`` (file name) and whatever was counted.
+    """Stored rows; only the folders of the case and dataset are opened, for their schema too."""
+    folder = path
+    for name, value in (("case_id", case_id), ("dataset_id", dataset_id)):
+        if value is None:
+            break
+        folder = f"{folder}/{name}={_escaped(spark, value)}"
+    df = spark.read.option("basePath", path).option("mergeSchema", True).parquet(folder)
+    return df if dataset_id is None or case_id is not None else df.filter(ref("dataset_id") == dataset_id)
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as it is written in folder names."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def _file_hashes(files: DataFrame) -> DataFrame:
+    """(sourcePath, sourceSha256) of files (path): each is read as a stream, so its size does not matter."""
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                store, place = FileSystem.from_uri(path)
+                state = hashlib.sha256()
+                with store.open_input_stream(place, compression=None) as stream:
+                    while chunk := stream.read(1 << 22):
+                        state.update(chunk)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["sourcePath", "sourceSha256"])
+
+    return files.select("path").mapInArrow(digest, "sourcePath string, sourceSha256 string")
+
+
+def dataset_manifest(spark: SparkSession, files: str | Sequence[str], rows: DataFrame, *, file: str = "sourcePath",
+                     error: str = "_ParseError") -> DataFrame:
+    """Hash and size of every source file beside the counts of its rows, columns and parse errors.
+
+    ``rows`` has the full path of its file in column ``file`` (the scan's ``_metadata.file_path``), which tells files of
+    equal names apart.
     """
-    sources = spark.read.format("binaryFile").load(files).select(
-        F.element_at(F.split("path", "/"), -1).alias("sourceFile"), F.sha2("content", 256).alias("sourceSha256"),
-        F.col("modificationTime").alias("uploadedAt"))
-    return sources.join(counts, "sourceFile", "left")
+    found = spark.read.format("binaryFile").load(files)
+    sources = found.select(F.col("path").alias("sourcePath"), F.element_at(F.split("path", "/"), -1).alias("sourceFile"),
+                           F.col("length").alias("sizeBytes"), F.col("modificationTime").alias("uploadedAt"))
+    own = [c for c in rows.columns if c not in (file, error, TAIL)]
+    wrong = F.coalesce(field(rows, error), F.lit("")) != ""
+    populated = sum((F.max(is_populated(text_of(rows, c)).cast("int")) for c in own), F.lit(0)).cast("bigint")
+    counts = rows.groupBy(_plain_path(ref(file)).alias("__path")).agg(
+        F.count(F.lit(1)).alias("rowCount"), F.count_if(wrong).alias("parseErrors"), populated.alias("columnCount"))
+    return (sources.join(_file_hashes(found), "sourcePath").withColumn("__path", _plain_path(F.col("sourcePath")))
+            .join(counts, "__path", "left").drop("__path"))
+
+
+def _plain_path(path: Column) -> Column:
+    """Scans write a local path with one slash after the scheme or with three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def list_datasets(current: DataFrame, legacy: DataFrame | None = None, newest: str = "uploadedAt") -> DataFrame:

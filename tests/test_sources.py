@@ -62,6 +62,23 @@ def test_json_lines(spark, tmp_path):
         readers.read_json_lines(spark, path).collect()
 
 
+def test_documents_of_lines_and_broken_ones(spark, tmp_path):
+    def read(text, **options):
+        path = tmp_path / f"{abs(hash(text))}.json"
+        path.write_text(text)
+        return readers.read_json_document(spark, str(path), **options)
+
+    three = read('{"n":1}\r\n\n{"n":"x"}\n7\n', row_id="_Row").orderBy("_Row").collect()
+    assert [r["fields"] for r in three] == [{"n": "1"}, {"n": "x"}, {"value": "7"}]
+    assert [r["fields"] for r in read('{"records":[{"a":1},2]}').collect()] == [{"a": "1"}, {"value": "2"}]
+    assert [r["fields"] for r in read('{"a":{"b":1}}').collect()] == [{"a": '{"b":1}'}] and read("  ").count() == 0
+    for text in ('{"value": 5}', "12", '{"value":null}'):
+        with pytest.raises(Exception, match="must be an array or contain"):
+            read(text).collect()
+    with pytest.raises(Exception, match="Invalid JSON on line 3"):
+        read('{"n":1}\n\nnot json').collect()
+
+
 def test_line_numbers_across_blocks(spark, tmp_path):
     path = str(tmp_path / "big.jsonl")
     open(path, "w").write("".join('{"n":%d}\n' % i for i in range(1, 4001)))
@@ -99,8 +116,15 @@ def test_from_file_to_review(spark, rows, tmp_path):
     writers.write_dataset(parsed.limit(0), store, "case1", "set2")
     stored = readers.load_dataset(spark, store, "case1", "set1")
     assert stored.count() == 4 and "set1" in stored._jdf.queryExecution().executedPlan().toString()
-    manifest = readers.dataset_manifest(spark, str(source), spark.createDataFrame([("audit.csv", 4)], "sourceFile string, rowCount long"))
-    assert manifest.first()["sourceSha256"] == hashlib.sha256(source.read_bytes()).hexdigest()
+    (tmp_path / "other").mkdir()
+    twin = tmp_path / "other" / "audit.csv"
+    twin.write_text("RecordId,AuditData\n")
+    listed = parsed.withColumn("sourcePath", F.lit(f"file://{source}"))
+    manifest = {r["sourcePath"].replace("file:", "").lstrip("/"): r for r in readers.dataset_manifest(spark, [str(source), str(twin)], listed).collect()}
+    made = manifest[str(source).lstrip("/")]
+    assert made["sourceSha256"] == hashlib.sha256(source.read_bytes()).hexdigest() and made["sizeBytes"] == source.stat().st_size
+    assert (made["rowCount"], made["parseErrors"]) == (4, 1) and made["columnCount"] > 5
+    assert len(manifest) == 2 and manifest[str(twin).lstrip("/")]["rowCount"] is None
 
     base = activity.derive(stored)
     plan = activity.plan_lookups(base, rows({"ip": "8.8.8.8", "Lookup_Status": "Failed", "Provider": "p"}), ["ClientIP"])
