@@ -11,6 +11,17 @@ from .text import WHITESPACE, strip
 # A local part starts where its run of characters starts or right after the last match, so a
 # long run without an @ is read once rather than once per character.
 _ADDRESS = (rf"(?i)(?:\G|(?<![{presets.EMAIL_LOCAL_CLASS}]))[{presets.EMAIL_LOCAL_CLASS}]++@([A-Z0-9.-]+)")
+
+
+def quoted_member(name: str) -> str:
+    """Pattern of a member of a quoted record up to the opening quote of its value."""
+    return rf"""["']?{name}["']?\s*+:\s*+["']"""
+
+
+# An id in angle brackets as the value of such a member.
+_ID_MEMBER = rf"(?i){quoted_member('internetmessageid')}<([^<>]++)>"
+# What follows the name of the agent and its separator in a list with semicolons.
+_AGENT = r"(?is)(?:^|;)\s*+useragent\s*+[=:-](.*)"
 _DOMAIN = rf"^{presets.DOMAIN_LABEL}(?:\.{presets.DOMAIN_LABEL})+$"
 
 
@@ -37,8 +48,7 @@ def ids_in_text(c: Column) -> Column:
 
 
 def ids_in_payload(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(presets.MESSAGE_ID_IN_PAYLOAD),
-                                            F.lit(1)), format_message_id)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_ID_MEMBER), F.lit(1)), format_message_id)
 
 
 def clean_domain(c: Column) -> Column:
@@ -56,7 +66,7 @@ def email_domains(c: Column) -> Column:
 
 def actor_user_agent(c: Column) -> Column:
     """The part after ``UserAgent=`` of an actor string; blank when there is none."""
-    return strip(F.regexp_extract(strip(F.coalesce(c, F.lit(""))), presets.ACTOR_USER_AGENT, 1))
+    return strip(F.regexp_extract(F.coalesce(c, F.lit("")), _AGENT, 1))
 
 
 def parent_domains(c: Column) -> Column:

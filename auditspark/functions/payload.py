@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import presets
-from .mail import format_message_id
+from .mail import format_message_id, quoted_member
 from .text import let, strip
 
 _MESSAGES = "array<struct<message_id:string,subject:string,size:string>>"
@@ -173,10 +173,15 @@ def nested_messages(v: Column, text: Column) -> Column:
     return F.transform(F.array_sort(messages), lambda n: n["m"]).cast(_MESSAGES)
 
 
+# An id, then the subject that follows before the next id.
+_ID_THEN_SUBJECT = (rf"(?is){quoted_member('internetmessageid')}([^'\"]*+)['\"](?:(?!internetmessageid).)*?"
+                    rf"{quoted_member('subject')}([^'\"]*+)['\"]")
+
+
 def messages_by_pattern(c: Column) -> Column:
     """Id/subject pairs of a text that no JSON reader accepts."""
-    ids = F.regexp_extract_all(c, F.lit(presets.SUBJECT_AFTER_ID), F.lit(1))
-    subjects = F.regexp_extract_all(c, F.lit(presets.SUBJECT_AFTER_ID), F.lit(2))
+    ids = F.regexp_extract_all(c, F.lit(_ID_THEN_SUBJECT), F.lit(1))
+    subjects = F.regexp_extract_all(c, F.lit(_ID_THEN_SUBJECT), F.lit(2))
     return F.zip_with(ids, subjects, lambda i, s: F.struct(
         format_message_id(i).alias("message_id"), strip(s).alias("subject"), F.lit("").alias("size"))).cast(_MESSAGES)
 
