@@ -93,13 +93,14 @@ def first_populated(df: DataFrame, names: list[str]) -> Column:
 def shorten(c: Column, limit: int = 320) -> Column:
     """Collapse white space and cut long text with an ellipsis."""
     clean = strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
-    return F.regexp_replace(clean, rf"(?s)^(.{{{limit - 1}}}).{{2,}}$", "$1…")
+    cut = F.regexp_replace(clean, rf"(?s)^(.{{{limit - 1}}}).{{2,}}$", "$1…")
+    return F.when(F.length(c) <= limit, clean).otherwise(cut)  # most texts are short
 
 
 def first_text(df: DataFrame, names: list[str], limit: int = 320) -> Column:
     """First non-blank field, collapsed and shortened; NULL when there is none."""
-    return F.coalesce(*[F.nullif(shorten(field(df, n), limit), F.lit("")) for n in names],
-                      F.lit(None).cast("string"))
+    fields = [field(df, n) for n in names]
+    return shorten(F.coalesce(*[F.when(is_populated(f), f) for f in fields], F.lit(None).cast("string")), limit)
 
 
 def truthy(c: Column) -> Column:

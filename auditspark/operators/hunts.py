@@ -87,7 +87,7 @@ def login_address_column(enriched: Sequence[str]) -> str:
 def impossible_travel(events: DataFrame, ip_reference: DataFrame, options: TravelOptions = TravelOptions(), *,
                       row_id: str = "_Row", time: str = "CreationTime", operation: str = "Operation",
                       users: Sequence[str] = ("UserId", "UserKey"), address: str = "ClientIP",
-                      reference_key: str = "ip", slice_hours: float = 1.0, salt: int = 1) -> DataFrame:
+                      reference_key: str = "ip", slice_hours: float = 1 / 60, salt: int = 1) -> DataFrame:
     """H1: successful logins whose place changed too fast since the user's previous one."""
     blank = F.lit("")
     given_user = F.coalesce(*[F.nullif(field(events, u), blank) for u in users], blank)

@@ -30,26 +30,22 @@ def with_previous(df: DataFrame, key: Sequence[str], order: Sequence[Column], pa
     """``payload`` of the previous row of the same key as column ``name`` (NULL for the first row).
 
     ``order`` lists ascending columns and ``payload`` is never NULL.
-    ``slice_key`` must never decrease along ``order``.  Rows inside a slice find their
-    predecessor there; only the first and last row of every slice meet in the second window.
-    ``keep(previous)`` says which rows the caller wants: rows without a predecessor and rows that
-    fail it are dropped, most of them before the second shuffle.
+    ``slice_key`` must never decrease along ``order``.  Rows inside a slice find their predecessor there; only the
+    first and last row of every slice move on to the second window, which therefore holds two rows for each slice of a
+    key at most, however many rows a slice has.
+    ``keep(previous)`` says which rows the caller wants; others, and rows without a predecessor, are dropped.
     """
-    part, rest, first, following = "__slice", "__boundary", "__payload", "__following"
+    part, first, following = "__slice", "__payload", "__following"
     keys = {f"__o{i}": c for i, c in enumerate(order)}
     inner = Window.partitionBy(*key, part).orderBy(*keys)
     # Both neighbours come from one window, so one shuffle and one sort serve them.
     sliced = (df.withColumns({part: slice_key, first: payload, **keys})
-              .withColumns({name: F.lag(first).over(inner), following: F.lead(F.lit(1)).over(inner)})
-              .withColumn(rest, F.col(name).isNull() | F.col(following).isNull()).drop(following))
-    if keep is not None:
-        sliced = sliced.filter(F.col(rest) | F.coalesce(keep(F.col(name)), F.lit(False)))
-    outer = Window.partitionBy(*key, F.when(F.col(rest), F.lit(None)).otherwise(F.col(part))).orderBy(*keys)
-    joined = (sliced.withColumn(name, F.coalesce(F.col(name), F.lag(first).over(outer)))
-              .drop(part, rest, first, *keys))
-    if keep is not None:
-        joined = joined.filter(F.col(name).isNotNull() & F.coalesce(keep(F.col(name)), F.lit(False)))
-    return joined
+              .withColumns({name: F.lag(first).over(inner), following: F.lead(F.lit(1)).over(inner)}))
+    at_end = F.col(name).isNull() | F.col(following).isNull()
+    wanted = F.lit(True) if keep is None else F.col(name).isNotNull() & F.coalesce(keep(F.col(name)), F.lit(False))
+    ends = sliced.filter(at_end).withColumn(name, F.coalesce(F.col(name), F.lag(first).over(
+        Window.partitionBy(*key).orderBy(*keys))))
+    return sliced.filter(~at_end).unionAll(ends).filter(wanted).drop(part, first, following, *keys)
 
 
 Slice = Column | tuple[Column, bool]
