@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .. import presets
@@ -218,6 +218,26 @@ def page_after(df: DataFrame, order: Sequence[Column], beyond: Column, size: int
     return df.filter(beyond).orderBy(*order).limit(min(500, max(10, int(size))))
 
 
+def sorted_page_after(df: DataFrame, column: str, direction: str, last: Row | None, size: int = 50, *, row_id: str = "_Row",
+                      **options) -> DataFrame:
+    """O1-O4 for deep pages: the page that follows ``last``, the last row of a page of this function (None: the first page).
+
+    Pages carry the sort keys in ``__rank``, ``__number`` and ``__loose``, so that no page has to skip the rows before it.
+    """
+    spec = review_order(df, column, direction, row_id=row_id, **options)
+    keyed = spec.attach(df)
+    falling = direction == "desc"
+    names = [("__rank", False), ("__number", falling), ("__loose", falling)] if spec.keys else []
+    fields = [*names, (row_id, falling and not spec.keys and column == row_id)]
+    beyond, same = F.lit(last is None), F.lit(True)
+    for name, down in fields if last is not None else ():
+        value = last[name]
+        if value is not None:  # within a rank, a key is null in all rows or in none
+            beyond = beyond | (same & (ref(name) < F.lit(value) if down else ref(name) > F.lit(value)))
+        same = same & ref(name).eqNullSafe(F.lit(value))
+    return page_after(keyed, spec.order, beyond, size)
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """O5."""
     return df.orderBy(*order).limit(k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions.categories import in_category
 from ..functions.text import ref
 from ..operators import enrich, facets, hunts, ordering, shape
@@ -214,6 +215,34 @@ SQL["ordinals_missing_parts"] = """SELECT event_id, nullif(event_type, 'view') A
     row_number() OVER (PARTITION BY nullif(event_type, 'view') ORDER BY event_id) AS ordinal FROM events"""
 
 
+@query
+def deep_page(spark, sf_dir):
+    """The third page, reached from the last row of the second without skipping rows."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_Row"), F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise(
+        (F.col("o_orderkey") % 50).cast("string")).alias("Travel.Score"))
+    last = None
+    for _ in range(2):  # a page is a few rows
+        last = ordering.sorted_page_after(df, "Travel.Score", "desc", last, 40).collect()[-1]
+    return ordering.sorted_page_after(df, "Travel.Score", "desc", last, 40).select("_Row", ref("Travel.Score").alias("score"))
+
+
+SQL["deep_page"] = """SELECT o_orderkey AS _Row, (o_orderkey % 50)::VARCHAR AS score FROM orders WHERE o_orderkey % 4 <> 0
+    ORDER BY o_orderkey % 50 DESC, o_orderkey LIMIT 40 OFFSET 80"""
+
+
+@query
+def selected_by_table(spark, sf_dir):
+    """a selection as long as a table."""
+    customers = table(spark, sf_dir, "customer")
+    chosen = customers.filter("c_acctbal > 0").select(F.upper("c_name").alias("value"))
+    barred = customers.filter("c_nationkey = 3").select(F.col("c_name").alias("value"))
+    df = customers.select("c_custkey", "c_name")
+    return P.selected_rows(df, "C_NAME", chosen, barred)
+
+
+SQL["selected_by_table"] = "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 3"
+
+
 # --- long lists of operations, categories, countries -----------------------------------------------
 
 def _many(spark, sf_dir) -> DataFrame:

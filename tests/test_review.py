@@ -94,6 +94,44 @@ def test_row_id_positions_use_few_slices(spark):
     assert placed.filter(F.col("position") != 5000 - F.col("_Row") / 3).count() == 0
 
 
+@pytest.mark.parametrize("kind,direction", [("time", "asc"), ("number", "desc"), ("risk", "desc")])
+def test_pages_by_key_follow_the_plain_sort(rows, kind, direction):
+    pool = {"time": ["", "zz", "2026-01-01", "2026-01-02"], "number": ["", "x", "1", "-2.5", "7"], "risk": ["", "low", "HIGH", "odd"]}[kind]
+    rnd = random.Random(3)
+    df = rows(*[{"_Row": i, "v": rnd.choice(pool)} for i in range(34)])
+    plain = [r["_Row"] for r in ordering.sort_rows(df, "v", direction, kind=kind).collect()]
+    seen, last = [], None
+    while page := ordering.sorted_page_after(df, "v", direction, last, 10, kind=kind).collect():
+        seen += [r["_Row"] for r in page]
+        last = page[-1]
+    assert seen == plain
+
+
+def test_positions_keep_rows_without_ids_or_partitions(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "a"), (2, None), (3, None), (None, None)], "id bigint, part string")
+    numbered = ordering.with_row_ids(df, "id", "at", ["part"]).collect()
+    assert sorted(((r["part"], r["at"]) for r in numbered), key=repr) == sorted([("a", 1), ("a", 2), (None, 1), (None, 2), (None, 3)], key=repr)
+    scored = spark.createDataFrame([(1, "5"), (None, "5"), (None, ""), (4, None)], "_Row bigint, s string")
+    placed = ordering.sorted_positions(scored, "s", "asc", kind="number").collect()
+    assert sorted(r["position"] for r in placed) == [1, 2, 3, 4]
+
+
+def test_one_value_of_a_third_of_all_rows_is_cut(spark):
+    df = spark.range(3000).select(F.col("id").alias("_Row"), F.when(F.col("id") % 3 == 0, "0.7").otherwise(F.col("id").cast("string")).alias("v"))
+    spec = ordering.review_order(df, "v", kind="number", block=100)
+    sizes = spec.attach(df).groupBy(*[c if not isinstance(c, tuple) else c[0] for c in spec.slices]).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 40
+    placed = ordering.sorted_positions(df, "v", kind="number", block=100)
+    assert placed.filter("v = '0.7'").agg(F.min("position"), F.max("position")).first()[:] == (1, 1000)
+
+
+def test_references_count_once(rows):
+    reference = rows({"ip": "1.1.1.1", "Country": "A", "t": "1"}, {"ip": "1.1.1.1", "Country": "B", "t": "2"}, {"ip": "1.1.1.1", "Country": "C", "t": "0"})
+    assert [r["Country"] for r in enrich.one_per_key(reference, "ip", "t").collect()] == ["B"]
+    got = enrich.enrich_ip(rows({"_Row": 1, "ClientIP": "1.1.1.1"}), "ClientIP", reference, row_id="_Row").collect()
+    assert len(got) == 1 and enrich.upsert(reference.limit(0), reference, "ip").count() == 1
+
+
 def test_pages_cover_the_order_once(rows):
     df = rows(*[{"_Row": i, "v": str(i % 7)} for i in range(45)])
     seen = [r["_Row"] for p in range(1, 6) for r in ordering.sorted_page(df, "v", page=p, size=1, kind="number").collect()]
