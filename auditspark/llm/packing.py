@@ -309,11 +309,11 @@ def _slots(plan: Counter[Pattern], capacity: int) -> tuple[np.ndarray, ...]:
 
 # --- places ------------------------------------------------------------------------------------
 
-def place(cut: DataFrame, capacity: int = 2048, *, slice_rows: int = 50_000, **search) -> DataFrame:
+def place(cut: DataFrame, capacity: int = 2048, *, slice_rows: int = 1000, **search) -> DataFrame:
     """A stored table of pieces (id, piece, length, ...) with ``sequence_id`` and ``offset``.
 
     The counts by length, at most ``capacity`` rows, are planned on the driver, and the plan, a few thousand rows at most,
-    goes to the tasks.
+    goes to the tasks.  Pieces of a length are ranked in slices of about ``slice_rows``, as many as its count asks for.
     """
     by_length = cut.groupBy("length").agg(F.count("*").alias("n")).collect()
     counts = np.zeros(capacity + 1, np.int64)
@@ -321,8 +321,8 @@ def place(cut: DataFrame, capacity: int = 2048, *, slice_rows: int = 50_000, **s
         counts[row["length"]] = row["n"]
     lengths, firsts, bases, offsets = _slots(pack(counts, **search), capacity)
 
-    n_slices = -(-int(counts.sum()) // slice_rows) or 1
-    sliced = cut.withColumn("__slice", F.pmod(F.xxhash64("id", "piece", "start"), F.lit(n_slices)))
+    n_slices = F.element_at(F.lit((counts // slice_rows + 1).tolist()), F.col("length").cast("int") + 1)
+    sliced = cut.withColumn("__slice", F.pmod(F.xxhash64("id", "piece", "start"), n_slices))
     sizes = sliced.groupBy("length", "__slice").agg(F.count("*").alias("__n"))
     ahead = Window.partitionBy("length").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "__slice", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
