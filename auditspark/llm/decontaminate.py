@@ -243,8 +243,8 @@ def _joined(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows without any match.  Rows without an id are judged by their text alone."""
     found = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0")
-    part = free_name(docs.columns, "__part")
-    gone = found.select(F.col("id").alias("__gone"), F.col("part").alias("__gone_part")).distinct()
+    part, gone_id, gone_part = (free_name(docs.columns, n) for n in ("__part", "__gone", "__gone_part"))
+    gone = found.select(F.col("id").alias(gone_id), F.col("part").alias(gone_part)).distinct()
     marked = docs.withColumn(part, F.xxhash64(column(text_col)))
-    matches = column(id_col).eqNullSafe(F.col("__gone")) & (column(part) == F.col("__gone_part"))
+    matches = column(id_col).eqNullSafe(F.col(gone_id)) & (F.col(part) == F.col(gone_part))
     return marked.join(gone, matches, "left_anti").drop(part)

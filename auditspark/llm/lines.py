@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = docs.columns
     part, drops, id_gone = (free_name(names, n) for n in ("__part", "__drops", "__id"))
     gone = gone.select(F.col("id").alias(id_gone), F.col("part").alias(part), F.col("gone").alias(drops))
-    whole = docs.withColumn(part, _part(text_col)) if part not in names else docs
+    whole = docs.withColumn(part, _part(text_col))
     joined = (whole.alias("d").join(gone.alias("g"), (F.col(f"d.{part}") == F.col(f"g.{part}"))
                                     & column(id_col).eqNullSafe(F.col(f"g.{id_gone}")), "left")
               .select(*[F.col("d.`" + n.replace("`", "``") + "`") for n in names], F.col(f"g.{drops}")))

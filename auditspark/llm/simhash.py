@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, in_batches, stored, text_bytes
+from .common import column, free_name, in_batches, stored, text_bytes
 
 BITS = 64
 SEED = 42
@@ -147,8 +147,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows whose id names their component; rows without an id stay, and so do all rows of one kept id."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where((F.col("id") != F.col("component"))).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, column(id_col) == F.col("__gone"), "left_anti")
+    name = free_name(docs.columns, "__gone")
+    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, column(id_col) == F.col(name), "left_anti")
 
 
 def as_hex(fp: Column) -> Column:

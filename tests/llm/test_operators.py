@@ -79,7 +79,7 @@ def test_lines_odd_cases(spark):
     data = docs(spark, (5, f"{shared}\n{rest}"), (3, f" a shared line here\t\n\nshort\nshort"), (4, f"{shared}\n{shared}"), (9, None), (10, ""),
                 (None, f"{shared}\nxyz"), (None, "only nulls hold this\n1"), (None, "only nulls hold this\n2"), (7, "ÄÄÄÄÄ\nÄÄÄÄÄÄÄÄÄÄ"), (8, "äääääääääää\nÄÄÄÄÄÄÄÄÄÄ\nÄÄÄÄÄ"),
                 (6, "twice in one row\ntwice in one row"), (11, "same id, other row"), (11, "same id, other row\nmore"))
-    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped, r.source) for r in lines.dedup_lines(data.withColumn("N_LINES", F.lit(1))).collect()), key=repr)
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped, r.source) for r in lines.dedup_lines(data.withColumn("N_LINES", F.lit(1)).withColumn("__drops", F.lit("x"))).collect()), key=repr)
     want = [(5, rest, 2, 1), (3, " a shared line here\t\n\nshort\nshort", 4, 0), (4, "", 2, 2), (9, "", 1, 0), (10, "", 1, 0), (None, "xyz", 2, 1),
             (None, "only nulls hold this\n1", 2, 0), (None, "only nulls hold this\n2", 2, 0), (7, "ÄÄÄÄÄ\nÄÄÄÄÄÄÄÄÄÄ", 2, 0), (8, "äääääääääää\nÄÄÄÄÄ", 3, 1),
             (6, "twice in one row\ntwice in one row", 2, 0), (11, "same id, other row", 1, 0), (11, "same id, other row\nmore", 2, 0)]
@@ -339,7 +339,7 @@ def test_contamination_equals_search(spark, block_bytes):
     got = sorted((r.id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect() if r.id != 32)
     assert got == sorted((i, *plain_matches(t, items, 4)) for i, t in texts if i != 32)
     assert found.where("id = 32").first().n_hit == 20000
-    clean = {r.doc_id for r in decontaminate.decontaminate(df, benchmark, window=4, block_bytes=block_bytes).collect()}
+    clean = {r.doc_id for r in decontaminate.decontaminate(df.withColumn("__GONE", F.lit("x")).withColumn("__part", F.lit(1)), benchmark, window=4, block_bytes=block_bytes).collect()}
     assert clean == {i for i, t in texts if i != 32 and not plain_matches(t, items, 4)[1]}
     if block_bytes > 10:
         assert decontaminate.contamination(df.limit(0), benchmark).count() == 0
@@ -390,6 +390,6 @@ def test_near_duplicates_odd_cases(spark):
     df = docs(spark, (4, long), (2, f"{long} more"), (9, long.upper()), (7, None), (8, ""), (6, " \n\t"), (3, "one"), (3, "one"), (None, "one"), (None, "lonely words"))
     got = sorted(((r.id, r.component) for r in simhash.near_duplicates(df.withColumn("fp", F.lit("old"))).collect()), key=repr)
     assert got == sorted([(4, 2), (2, 2), (9, 2), (7, 6), (8, 6), (6, 6), (3, 3), (3, 3), (None, 3), (None, None)], key=repr)
-    kept = sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=repr)
+    kept = sorted((r.doc_id for r in simhash.keep_one(df.withColumn("__gone", F.lit(4))).collect()), key=repr)
     assert kept == sorted([2, 6, 3, 3, None, None], key=repr)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
