@@ -2,9 +2,10 @@
 
 Texts become token pieces of at most the capacity.  How many pieces there are of each length is all that the packing
 depends on, and that count has no more rows than the capacity, whatever the size of the corpus.  The plan over these
-counts is made by branch and bound: around the largest length left, fillings that no other filling dominates are tried,
-least waste first, each as often as the counts allow; a branch ends when its waste rules out a better result than the
-incumbent, which best-fit decreasing gives first.  Then every piece finds its place in the plan by its rank among the
+counts is made by branch and bound: around the largest length left, all fillings that no other filling dominates are
+tried, least waste first, each in every number that the counts allow; a branch ends when the lower bound rules out a
+better result than the incumbent, which best-fit decreasing gives first.  Only a budget of tries ends the search before
+all is tried.  Then every piece finds its place in the plan by its rank among the
 pieces of its length; ranks are counted in slices, so that a length which many pieces share is many tasks' work.
 
 Results in odd cases: a null or empty text is one piece that holds the end token alone; repeated rows of one id are
@@ -18,7 +19,8 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -141,18 +143,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 def lower_bound(counts: np.ndarray) -> int:
     """Bins that any packing needs: the sum, and Martello and Toth's bound for every threshold up to half the capacity."""
     capacity = len(counts) - 1
-    lengths = np.arange(capacity + 1)
     below = np.concatenate([[0], np.cumsum(counts)])             # pieces shorter than x
-    weight = np.concatenate([[0], np.cumsum(counts * lengths)])
+    weight = np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
     half = capacity // 2
-    best = -(-int(weight[-1]) // capacity)
-    for least in range(half + 1):
-        alone = below[-1] - below[capacity - least + 1]
-        large = below[capacity - least + 1] - below[half + 1]
-        room = large * capacity - (weight[capacity - least + 1] - weight[half + 1])
-        small = weight[half + 1] - weight[least]
-        best = max(best, int(alone + large + max(0, -(-(small - room) // capacity))))
-    return best
+    least = np.arange(half + 1)
+    top = capacity - least + 1
+    alone = below[-1] - below[top]
+    large = below[top] - below[half + 1]
+    room = large * capacity - (weight[top] - weight[half + 1])
+    small = weight[half + 1] - weight[least]
+    bounds = alone + large + np.maximum(0, -((room - small) // capacity))
+    return max(-(-int(weight[-1]) // capacity), int(bounds.max()))
 
 
 def best_fit(counts: np.ndarray) -> Counter[Pattern]:
@@ -195,8 +196,72 @@ def best_fit(counts: np.ndarray) -> Counter[Pattern]:
     return plan
 
 
-def fillings(room: int, counts: np.ndarray, tries: int, width: int) -> list[Pattern]:
-    """Fillings of a room from the lengths left that none other dominates, least waste first."""
+def fillings(largest: int, counts: np.ndarray, most_waste: int, after: Pattern | None = None) -> Iterator[Pattern | None]:
+    """What can fill up a bin around a piece of the ``largest`` length left: least waste first, then longest pieces first.
+
+    All fillings that waste at most ``most_waste`` come, of those behind ``after`` in this order; None stands for one that
+    another dominates, so that the caller can count it.
+    """
+    capacity = len(counts) - 1
+    room = capacity - largest
+    lengths = np.flatnonzero(counts[:min(room, largest) + 1]).tolist()
+    if lengths and lengths[-1] == largest and counts[largest] == 1:
+        lengths.pop()  # the bin has it already
+    number = {x: int(counts[x]) - (x == largest) for x in lengths}
+    if lengths and lengths[-1] == room:
+        if after is None:
+            yield (room,)  # one piece that fits exactly dominates all others
+        return
+
+    full = (1 << room + 1) - 1
+    sums = [1]  # bit s of sums[i]: some of the i shortest lengths add up to s
+    for x in lengths:
+        reached, copies, step = sums[-1], min(number[x], room // x), 1
+        while copies:
+            step = min(step, copies)
+            reached |= reached << step * x
+            copies -= step
+            step *= 2
+        sums.append(reached & full)
+
+    def exact(shortest: int, total: int, after: Pattern | None) -> Iterator[Pattern]:
+        """From that many shortest lengths, those of this sum that come behind ``after``."""
+        if not total:
+            if after is None:
+                yield ()
+            return
+        for i in range(min(shortest, bisect_right(lengths, min(total, after[0] if after else total))), 0, -1):
+            if not sums[i] >> total & 1:
+                return
+            x = lengths[i - 1]
+            most = min(number[x], total // x)
+            same = after.count(x) if after and x == after[0] else 0
+            for n in range(min(most, same) if same else most, 0, -1):
+                if sums[i - 1] >> total - n * x & 1:
+                    for rest in exact(i - 1, total - n * x, after[n:] if n == same else None):
+                        yield (x,) * n + rest
+
+    def dominated(pattern: Pattern, waste: int) -> bool:
+        """A free piece fits in, or could take the place of a shorter one or of two."""
+        pairs = {a + b for a, b in combinations(pattern, 2)}
+        for own in {0, *pattern} | pairs:
+            for y in lengths[bisect_right(lengths, own - (own in pairs)):bisect_right(lengths, own + waste)]:
+                if number[y] > pattern.count(y):
+                    return True
+        return False
+
+    first = room - sum(after) if after is not None else 0
+    for waste in range(first, min(room, most_waste) + 1):
+        if sums[-1] >> room - waste & 1:
+            for pattern in exact(len(lengths), room - waste, after if waste == first else None):
+                yield None if dominated(pattern, waste) else pattern
+
+
+def long_fillings(largest: int, counts: np.ndarray, *_, tries: int = 32, width: int = 4) -> list[Pattern]:
+    """A few fillings of the longest pieces, least waste first: for narrow searches, as it leaves others out."""
+    room = len(counts) - 1 - largest
+    counts = counts.copy()
+    counts[largest] -= 1
     if room <= 0:
         return [()]
     if counts[room]:
@@ -235,60 +300,84 @@ def fillings(room: int, counts: np.ndarray, tries: int, width: int) -> list[Patt
     return [pattern for _, pattern in found[:width]] or [()]
 
 
-def pack(counts: np.ndarray, *, nodes: int = 20_000, tries: int = 32, width: int = 4) -> Counter[Pattern]:
+def pack(counts: np.ndarray, *, nodes: int = 20_000) -> Counter[Pattern]:
     """How often to use which combination of lengths, for ``counts[length]`` pieces of each length up to the capacity.
 
-    All pieces are packed whatever the limits: ``nodes``, ``tries`` and ``width`` only bound the search for a plan with
-    fewer bins than best fit gives.
+    All pieces are packed whatever the limit: ``nodes``, the fillings and numbers of bins that a search tries, only bounds
+    the search for a plan with fewer bins than best fit gives.  The first search leaves nothing out and has found the
+    fewest bins if it ends by itself; only if it does not, two narrow ones, each as long, go on from its plan.
     """
-    capacity = len(counts) - 1
     plan = best_fit(counts)
     bound = lower_bound(counts)
-    total = int((counts * np.arange(capacity + 1)).sum())
+    if sum(plan.values()) > bound:
+        plan, ended = _search(counts, plan, bound, nodes)
+        for options in () if ended else (fillings, long_fillings):
+            plan, _ = _search(counts, plan, bound, nodes, options, 4)
+    return plan
+
+
+def _search(counts: np.ndarray, plan: Counter[Pattern], bound: int, nodes: int, options: Callable[..., Iterable[Pattern | None]] = fillings,
+            width: int | None = None) -> tuple[Counter[Pattern], bool]:
+    """A plan of fewer bins, or else the same one; and whether nothing was left to try.
+
+    With a ``width`` only so many fillings are tried around a largest piece, each as often as the counts allow.
+    """
+    capacity = len(counts) - 1
+    lengths = np.arange(capacity + 1)
     bins = sum(plan.values())
     left = counts.astype(np.int64).copy()
     path: list[tuple[Pattern, int]] = []
-    waste = used = 0
+    used = 0
 
-    def choices() -> Iterator[tuple[Pattern, int]]:
+    def choices() -> Iterator[tuple[Pattern, int] | None]:
+        """Bins with the largest length left, as many as possible first; those of one largest length come in order, so
+        that no set of bins comes twice."""
         largest = int(np.flatnonzero(left)[-1])
-        left[largest] -= 1
-        options = fillings(capacity - largest, left, tries, width)
-        left[largest] += 1
-        for filling in options:
+        after = path[-1][0][1:] if path and path[-1][0][0] == largest else None
+        spare = (bins - 1 - used) * capacity - int(left @ lengths)
+        tried = 0
+        for filling in options(largest, left.copy(), spare, after):
+            if filling is None:
+                yield None
+                continue
             pattern = (largest, *filling)
-            yield pattern, min(int(left[x]) // n for x, n in Counter(pattern).items())
+            most = min(int(left[x]) // n for x, n in Counter(pattern).items())
+            forced = len(filling) == 1 and sum(pattern) == capacity
+            for times in range(most, most - 1 if forced or width else 0, -1):
+                yield pattern, times
+            tried += 1
+            if tried == width:
+                return
 
     def apply(pattern: Pattern, times: int) -> None:
-        nonlocal waste, used
+        nonlocal used
         for length in pattern:
             left[length] -= times
-        waste += times * (capacity - sum(pattern))
         used += times
 
-    stack = [choices()] if bins > bound else []
+    stack = [choices()]
     while stack and nodes > 0 and bins > bound:
-        step = next(stack[-1], None)
-        if step is None:
+        step = next(stack[-1], ())
+        if step == ():
             stack.pop()
             if path:
-                pattern, times = path.pop()
-                apply(pattern, -times)
+                apply(path[-1][0], -path.pop()[1])
             continue
         nodes -= 1
+        if step is None:
+            continue
         apply(*step)
-        if waste > (bins - 1) * capacity - total:  # whatever follows, not fewer bins than the incumbent
-            apply(step[0], -step[1])
-        elif left.any():
-            path.append(step)
-            stack.append(choices())
-        else:
+        if used + lower_bound(left) < bins:
+            if left.any():
+                path.append(step)
+                stack.append(choices())
+                continue
             plan = Counter()
             for pattern, times in [*path, step]:
                 plan[pattern] += times
             bins = used
-            apply(step[0], -step[1])
-    return plan
+        apply(step[0], -step[1])  # else, whatever follows, not fewer bins than the incumbent
+    return plan, not stack or bins == bound
 
 
 def _slots(plan: Counter[Pattern], capacity: int) -> tuple[np.ndarray, ...]:

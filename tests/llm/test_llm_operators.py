@@ -292,6 +292,50 @@ def test_best_fit_alone_is_improved():
     assert sum(packing.pack(counts).values()) == 4
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 10, 1000])
+def test_pieces_other_than_the_longest_fill_up(times):
+    lengths = [820, 820, 790, 780, 770, 760, 614, 614, 614, 614, 518, 478]  # 820 + 614 + 614 twice, 790 + 780 + 478, 770 + 760 + 518
+    counts = np.bincount(lengths, minlength=2049).astype(np.int64) * times
+    assert packing.lower_bound(counts) == sum(packing.pack(counts).values()) == 4 * times
+
+
+def test_fillings_leave_out_dominated_ones_only():
+    random.seed(5)
+    for _ in range(300):
+        capacity = random.choice([9, 14, 20])
+        counts = np.bincount([random.randint(1, capacity) for _ in range(random.randint(1, 8))], minlength=capacity + 1)
+        largest = int(np.flatnonzero(counts)[-1])
+        items = sorted(np.repeat(np.arange(capacity + 1), counts).tolist(), reverse=True)[1:]
+        room = capacity - largest
+        every = {tuple(c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+        every = sorted(every, key=lambda p: (sum(p), p), reverse=True)
+        kept = [f for f in packing.fillings(largest, counts, capacity) if f is not None]
+        assert kept == [p for p in every if p in set(kept)]  # in order, each once
+        for own in every:
+            others = [a for a in kept if a != own and fits_into(own, a)]
+            assert own in kept or others, (counts, own)
+        for at, own in enumerate(kept):
+            rest = [f for f in packing.fillings(largest, counts, capacity, own) if f is not None]
+            assert rest == kept[at + 1:]
+
+
+def fits_into(small, large):
+    """Whether the pieces of one filling find place in those of the other."""
+    if not small:
+        return True
+    return any(small[0] <= x and fits_into(small[1:], (*large[:i], x - small[0], *large[i + 1:])) for i, x in enumerate(large))
+
+
+def test_larger_plans_are_as_small_as_possible():
+    random.seed(6)
+    for _ in range(60):
+        capacity = random.choice([50, 100, 2048])
+        items = [random.randint(capacity // 6, capacity // 2) for _ in range(random.randint(9, 13))]
+        plan = packing.pack(np.bincount(items, minlength=capacity + 1).astype(np.int64))
+        assert sorted(x for p, n in plan.items() for x in p * n) == sorted(items) and max(map(sum, plan)) <= capacity
+        assert sum(plan.values()) == fewest_bins(items, capacity)
+
+
 def test_token_ids_equal_the_tokenizer():
     random.seed(4)
     own = packing.TokenIds(path("byte_bpe_50k.json"), limit=50)
