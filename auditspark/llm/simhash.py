@@ -7,7 +7,7 @@ directly or through others, are one component.
 
 Results in odd cases: a text that is null, empty or blank has the fingerprint zero and is linked like any other; rows
 without an id take part, but name a component only if it has no other rows (null then); repeated rows of one id each
-give a row; an empty table gives an empty table.
+give a row, and with different texts each belongs to its own text's component; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -52,15 +52,21 @@ def fingerprint(text: bytes, shingle: int) -> int:
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp): the fingerprint of every document as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, *, parts: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of every document as a signed long; with ``parts`` also ``part``, a hash of the whole text."""
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], schema.fieldNames())
 
-    source = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
-    return in_batches(source, compute, T.StructType([source.schema["id"], T.StructField("fp", T.LongType())]))
+    own = [_part(text_col).alias("part")] if parts else []
+    source = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), *own)
+    schema = T.StructType([source.schema["id"], T.StructField("fp", T.LongType()), *source.schema.fields[2:]])
+    return in_batches(source, compute, schema)
+
+
+def _part(text_col: str) -> Column:
+    return F.xxhash64(column(text_col))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -130,9 +136,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3,
-                    max_bits: int = 3, segments: int = 2) -> DataFrame:
-    """(id, fp, component): for every row its fingerprint and the smallest id that it reaches over links."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle))
+                    max_bits: int = 3, segments: int = 2, parts: bool = False) -> DataFrame:
+    """(id, fp, component): for every row its fingerprint and the smallest id that it reaches over links.
+
+    With ``parts`` also ``part``, a hash of the text that tells apart different texts of one id.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, parts=parts))
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(classes, max_bits, segments))
     roots = stored(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()))
@@ -141,15 +150,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only classes with links need the smallest id of others.
     named = grown.groupBy("root").agg(F.min("first").alias("component"))
     named = stored(grown.select("fp", "root").join(named, "root").select("fp", "component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return prints.join(named, "fp").select(*prints.columns, "component")
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, drop_unnamed: bool = False, **options) -> DataFrame:
+    """The rows whose id names the component of their text, and so all rows of one kept id and text.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id names their component; rows without an id stay, and so do all rows of one kept id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    name = free_name(docs.columns, "__gone")
-    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(name)).distinct()
-    return docs.join(gone, column(id_col) == F.col(name), "left_anti")
+    Different texts of one id stay or go by themselves.  Rows without an id stay; with ``drop_unnamed`` only those do
+    whose component has no row with an id.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options, parts=True)
+    name, part = (free_name(docs.columns, n) for n in ("__gone", "__part"))
+    other = ~F.col("id").eqNullSafe(F.col("component")) if drop_unnamed else F.col("id") != F.col("component")
+    gone = found.where(other).select(F.col("id").alias(name), F.col("part").alias(part)).distinct()
+    same = column(id_col).eqNullSafe(F.col(name)) if drop_unnamed else column(id_col) == F.col(name)
+    return docs.join(gone, same & (_part(text_col) == F.col(part)), "left_anti")
 
 
 def as_hex(fp: Column) -> Column:

@@ -33,8 +33,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return _documents(simhash.keep_one(docs, shingle=3, max_bits=3))
+    """One document of each group of near duplicates, that of the smallest id; a group without any id stays as it is."""
+    return _documents(simhash.keep_one(docs, drop_unnamed=True, shingle=3, max_bits=3))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

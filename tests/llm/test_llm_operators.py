@@ -437,3 +437,21 @@ def test_near_duplicates_odd_cases(spark):
     kept = sorted((r.doc_id for r in simhash.keep_one(df.withColumn("__gone", F.lit(4))).collect()), key=repr)
     assert kept == sorted([2, 6, 3, 3, None, None], key=repr)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_are_kept_by_themselves(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    other = " ".join(f"other{i}" for i in range(3000))
+    df = docs(spark, (2, long), (4, f"{long} more"), (4, other), (4, other), (5, f"{other} more"), (None, long), (None, "lonely words"), (None, None))
+    kept = lambda **options: sorted(((r.doc_id, r.text) for r in simhash.keep_one(df.withColumn("__part", F.lit(1)), **options).collect()), key=repr)
+    named = [(2, long), (4, other), (4, other), (None, "lonely words"), (None, None)]
+    assert kept() == sorted([*named, (None, long)], key=repr)
+    assert kept(drop_unnamed=True) == sorted(named, key=repr)
+
+
+def test_pipeline_keeps_one_of_each_named_group(spark):
+    import corpus_pipeline
+
+    df = docs(spark, (3, "one"), (None, "one"), (8, "one"), (8, "two words"), (None, "lonely words"))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()), key=repr)
+    assert got == sorted([(3, "one"), (8, "two words"), (None, "lonely words")], key=repr)
