@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import predicates as P
+from ..functions import payload, predicates as P
 from ..functions.categories import in_category
-from ..functions.text import ref
+from ..functions.text import compact, country_key, falsey, ref, truthy
 from ..operators import enrich, facets, hunts, ordering, shape
 from ..sources import readers, writers
 from . import activity as activity_plan
@@ -349,3 +349,54 @@ SQL["mail_hunt_many"] = """WITH m AS (SELECT c_custkey AS _Row, c_mktsegment, c_
       (5 * fresh::INT + 3 * term::INT + 3 * hot::INT)::BIGINT AS "Score", CASE WHEN fresh THEN 'd' || d || '.example.org' ELSE '' END AS "NewDomains",
       CASE WHEN fresh THEN age END AS "DomainAgeDays", CASE WHEN hot THEN 'hot.example.com' ELSE '' END AS "ServiceDomains"
     FROM s WHERE fresh OR term OR hot"""
+
+
+# --- values over a table that grows ----------------------------------------------------------------
+
+@query
+def word_readings_documents(spark, sf_dir):
+    """R27, R29 over all documents: the id chooses the word and the country's spelling."""
+    shape_of = F.col("doc_id") % 5
+    key = F.col("doc_id").cast("string")
+    word = F.element_at(F.array(F.lit(" Yes"), F.lit("0"), F.lit("TRUE "), F.concat(F.lit("maybe "), key), F.lit("no")),
+                        (shape_of + 1).cast("int"))
+    country = F.when(shape_of == 0, "U.S.A.").otherwise(F.concat(F.col("source"), F.lit(" - "), key))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", truthy(word).alias("is_true"), falsey(word).alias("is_false"), country_key(country).alias("country"),
+        compact(F.concat(F.col("source"), F.lit("#"), key)).alias("compact"))
+
+
+SQL["word_readings_documents"] = """SELECT doc_id, doc_id % 5 IN (0, 2) AS is_true, doc_id % 5 IN (1, 4) AS is_false,
+    CASE WHEN doc_id % 5 = 0 THEN 'unitedstates' ELSE regexp_replace(lower(source), '[^a-z]', '', 'g') END AS country,
+    regexp_replace(lower(source || doc_id), '[^a-z0-9]', '', 'g') AS compact FROM documents"""
+
+
+@query
+def domain_registration_documents(spark, sf_dir):
+    """R21 over all documents: the id chooses which parts a registration has."""
+    shape_of = F.col("doc_id") % 5
+    key = F.col("doc_id").cast("string")
+    name = F.concat(F.lit("Site-"), key)
+    born = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 10000).cast("int")), "yyyy-MM-dd")
+    text = F.concat(
+        F.lit('{"ldhName":"'), F.upper(name), F.lit('.COM","status":["active","'), F.col("lang"), F.lit('"],"events":['),
+        F.lit('{"eventAction":"Registration","eventDate":"'), born, F.lit('T00:00:00Z"},'),
+        F.lit('{"eventAction":"last changed","eventDate":""}],"entities":[{"roles":["abuse"],"handle":"no"},'),
+        F.lit('{"roles":["registrar"],"handle":"H'), key, F.lit('","vcardArray":["vcard",[["version",{},"text","4.0"],'),
+        F.when(shape_of == 1, F.concat(F.lit('["fn",{},"text","Reg '), key, F.lit('"],'))).otherwise(""),
+        F.when(shape_of < 3, F.concat(F.lit('["org",{},"text",["Org","Unit '), key, F.lit('"]],'))).otherwise(""),
+        F.lit('["x",{},"text","y"]]]}],"nameservers":[{"ldhName":"NS2.X'), key, F.lit('"},{"ldhName":"ns1.x'), key,
+        F.lit('"},{"ldhName":"ns2.x'), key, F.lit('"}],"secureDNS":{"delegationSigned":'),
+        F.when(shape_of == 0, "true").otherwise("false"), F.lit("}}"))
+    parsed = payload.parse_domain_registration(text, F.lower(name))
+    return table(spark, sf_dir, "documents").select(parsed.alias("p")).select("p.*")
+
+
+SQL["domain_registration_documents"] = """WITH c AS (SELECT doc_id AS k, doc_id % 5 AS shape, lang,
+      'site-' || doc_id AS name FROM documents)
+    SELECT name AS "Domain", name || '.com' AS "RegisteredDomain",
+      CASE WHEN shape = 1 THEN 'Reg ' || k WHEN shape < 3 THEN 'Org, Unit ' || k ELSE 'H' || k END AS "Registrar",
+      strftime(DATE '1990-01-01' + (k % 10000)::INT, '%Y-%m-%dT00:00:00Z') AS "RegistrationDate", '' AS "ExpirationDate",
+      '' AS "LastChangedDate", 'active; ' || lang AS "Status", 'ns1.x' || k || '; ns2.x' || k AS "NameServers",
+      CASE WHEN shape = 0 THEN 'Signed' ELSE 'Unsigned' END AS "DNSSEC", 'Success' AS "Lookup_Status", 'RDAP' AS "Provider",
+      '' AS "Error" FROM c"""

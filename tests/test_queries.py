@@ -87,3 +87,9 @@ def test_busy_users_and_operations_are_split(spark):
     assert sum("__slice" not in line for line in by_user) == 1
     facets = plan_of(queries()["operation_facets"](spark, DATA)).split("== Initial Plan ==")[0]
     assert facets.count("FileScan") == 1 and "share" in facets
+
+
+@pytest.mark.parametrize("name", ["word_readings_documents", "domain_registration_documents"])
+def test_values_of_a_growing_table(spark, sql, name):
+    got = queries()[name](spark, DATA)
+    assert got.count() == got.distinct().count() == sql.execute("SELECT count(*) FROM documents").fetchone()[0] > 25
