@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 #: White space at the ends of lines and between words: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = " \t\n\x0b\x0c\r"
 
+_RUN = re.compile(r"[^\W\d_]+")  # letters, and numerals that are not digits
+
 _own_folder: list[str] = []
 _shipped: set[str] = set()
 
@@ -88,3 +91,14 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
 def rows_of(index: list[int], column: pa.Array) -> pa.Array:
     """The values of a column at these rows."""
     return column.take(pa.array(index, pa.int64()))
+
+
+def letters_only(run: str) -> list[str]:
+    """The runs of letters of a run of letters and numerals."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
+def letter_words(text: str) -> list[str]:
+    """The runs of letters of a text; numerals of any kind are no letters."""
+    found = _RUN.findall(text)
+    return found if not found or "".join(found).isalpha() else [w for run in found for w in letters_only(run)]

@@ -7,14 +7,15 @@ document has the language of most of its letters.
 The model is learned from a sample of labelled rows whose size is a parameter: n-gram counts for each language, hashed to
 a fixed number of buckets.  It has buckets x languages numbers and goes to the tasks with their code.
 
-Results in odd cases: a text that is null or has no letter is ``und`` with score 0 and no spans; rows without a label are
-not learned from; ties go to the language that sorts first; with nothing to learn from, every text is ``und``; repeated
-rows each give a row; an empty table gives an empty table.
+Results in odd cases: a text that is null or has no letter (numerals and signs are none) is ``und`` with score 0 and no
+spans, also where a whole partition holds only such texts; rows without a label are not learned from; ties go to the
+language that sorts first; with nothing to learn from, every text is ``und``; repeated rows each give a row; an empty
+table gives an empty table; a very long text is labelled whole, in a batch of its own; columns named like the results
+are replaced, all others stay.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, free_name, in_batches
-
-WORD = re.compile(r"[^\W\d_]+")
+from .common import column, free_name, in_batches, letter_words
 
 # The first code points of Unicode's blocks of letters, by script.
 SCRIPT_STARTS = [
@@ -117,6 +116,8 @@ class Model:
             for a in range(0, len(fresh), 50_000):
                 some = fresh[a:a + 50_000]
                 self.scores[begin + a:begin + a + len(some)] = self.score(some)
+        if not words:
+            return np.zeros((0, len(self.languages)), np.float32)
         return self.scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
 
@@ -177,7 +178,7 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = WORD.findall((text.as_py() or "").lower())
+                words = letter_words((text.as_py() or "").lower())
                 if not words:
                     continue
                 own = totals.setdefault(language, np.zeros(buckets + len(SCRIPTS), np.int64))
@@ -256,7 +257,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", *, switch_pe
             held: list[list[str]] = []
             begin = size = 0
             for i, value in enumerate(batch.column(batch.num_columns - 1)):
-                held.append(WORD.findall((value.as_py() or "").lower()) if model.languages else [])
+                held.append(letter_words((value.as_py() or "").lower()) if model.languages else [])
                 size += len(held[-1])
                 if size >= batch_words or i + 1 == batch.num_rows:
                     found = list(_label(model, held, switch_penalty)) if model.languages else [("und", 0.0, [])] * len(held)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, free_name, in_batches
+from .common import column, free_name, in_batches, letters_only
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
@@ -32,9 +32,10 @@ BEGINNINGS = range(3, 9)
 
 
 def word_features(word: str, buckets: int) -> frozenset[int]:
-    """Buckets of a whole word and of its beginnings."""
-    low = word.lower()
-    names = {f"{low} ", *(low[:n] for n in BEGINNINGS if n < len(low))}
+    """Buckets of a whole word and of its beginnings; numerals within it part words."""
+    names: set[str] = set()
+    for low in letters_only(word.lower()):
+        names |= {f"{low} ", *(low[:n] for n in BEGINNINGS if n < len(low))}
     return frozenset(zlib.crc32(n.encode()) % buckets for n in names)
 
 

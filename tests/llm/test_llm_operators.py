@@ -249,6 +249,17 @@ def test_languages_scripts_and_spans(spark):
     assert langid.identify(df.limit(0), model).count() == 0
 
 
+def test_partitions_without_letters(spark):
+    odd = [None, "", "12 !?", "² ½ ①", "Ⅷ", "٣٤"]
+    taught = docs(spark, *[(i, "the cat and the dog") for i in range(6)])
+    model = langid.learn(taught, F.lit(True))
+    got = langid.identify(docs(spark, *[(i, t) for i, t in enumerate(odd)]).coalesce(1), model).collect()
+    assert [(r.lang_pred, r.score, r.lang_spans) for r in got] == [("und", 0.0, [])] * len(odd)
+    mixed = langid.identify(docs(spark, (1, "½"), (2, "dog½cat Ⅷ")).coalesce(1), model).collect()
+    assert [(r.lang_pred, [s.n_words for s in r.lang_spans]) for r in mixed] == [("und", []), ("en", [2])]
+    assert toxicity.word_features("½", 99) == frozenset() and toxicity.word_features("a½", 99) == toxicity.word_features("a", 99)
+
+
 # --- packing -------------------------------------------------------------------------------------
 
 def fewest_bins(items, capacity):

@@ -108,6 +108,72 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_id_equals_plain_scores(spark):
+    """Words, n-gram sums, Viterbi, language and score again, a letter and a word at a time."""
+    from auditspark.llm import langid
+    from auditspark.llm.common import learns
+    from pyspark.sql import functions as F
+    model = langid.learn(spark.read.parquet(f"{DATA}/documents.parquet"), learns(F.col("doc_id")))
+    factors, names = [int(f) for f in langid._FACTORS], model.languages
+    known = {}
+
+    def word_score(word):
+        padded, total = f"\x01{word}\x01", [0.0] * len(names)
+        for order in langid.ORDERS:
+            for at in range(len(padded) - order + 1):
+                mixed = order
+                for k in range(order):
+                    mixed = ((mixed ^ ord(padded[at + k])) * factors[k]) & 0xFFFFFFFF
+                    mixed ^= mixed >> 15
+                for j in range(len(names)):
+                    total[j] += float(model.logs[mixed % len(model.logs), j]) / len(langid.ORDERS)
+        allowed = model.candidates[langid.word_scripts([word])[0]]
+        mean = sum(t for t, a in zip(total, allowed) if a) / sum(allowed)
+        return [t - mean if a else langid.FAR_BELOW for t, a in zip(total, allowed)]
+
+    got = {r.doc_id: r for r in QUERIES["op7_language_id"](spark, DATA).collect()}
+    for row in rows("documents"):
+        low = (row["text"] or "").lower()
+        words = "".join(c if c.isalpha() else " " for c in low).split()
+        r = got[row["doc_id"]]
+        if not words:
+            assert (r.lang_pred, r.score, r.n_spans) == ("und", 0.0, 0)
+            continue
+        scores = [known.setdefault(w, None) or known.update({w: word_score(w)}) or known[w] for w in words]
+        best, paths = scores[0], [[j] for j in range(len(names))]
+        back = []
+        for own in scores[1:]:
+            top = max(range(len(names)), key=lambda j: best[j])
+            came = [j if best[j] >= best[top] - 12.0 else top for j in range(len(names))]
+            best = [max(best[j], best[top] - 12.0) + own[j] for j in range(len(names))]
+            back.append(came)
+        label = [max(range(len(names)), key=lambda j: best[j])]
+        for came in reversed(back):
+            label.append(came[label[-1]])
+        label.reverse()
+        letters = [sum(len(w) for w, x in zip(words, label) if x == j) for j in range(len(names))]
+        chosen = max(range(len(names)), key=lambda j: letters[j])
+        own = [sum(s[j] for s, x in zip(scores, label) if x == chosen) for j in range(len(names))]
+        odds = [np.exp(o - max(own)) for o in own]
+        assert r.lang_pred == names[chosen] and r.n_spans == 1 + sum(a != b for a, b in zip(label, label[1:]))
+        assert abs(r.score - letters[chosen] / sum(letters) * odds[chosen] / sum(odds)) < 1e-3
+
+
+def test_pipeline_with_texts_without_letters(spark, tmp_path):
+    import pyarrow as pa
+    import shutil
+    for name in ("documents", "benchmark"):
+        (tmp_path / f"{name}.parquet").mkdir()
+        shutil.copy(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet" / "a.parquet")
+    known = pq.read_table(f"{DATA}/documents.parquet")
+    odd = [(900001, None), (900002, ""), (900003, "12 !?"), (900004, "² ½ ①")]
+    data = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": 0} for i, t in odd]
+    pq.write_table(pa.Table.from_pylist(data, known.schema), tmp_path / "documents.parquet" / "b.parquet")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op7_language_id"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(known) + 4 and all(found[i] == ("und", 0.0) for i, _ in odd)
+    assert not {r.doc_id for r in run(spark, str(tmp_path)).collect()} & {i for i, _ in odd}
+
+
 def test_toxicity_of_held_out_documents(spark):
     toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
     got = QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.1").collect()
