@@ -6,9 +6,9 @@ first send the fingerprints of their least grams to buckets, which answer with t
 
 In a bucket each block's strings are a shard with a Burrows-Wheeler transform of its own.  The transforms are merged by
 refining their interleave: a merged order by the first h bytes gives, moved by the preceding byte of each row, the order
-by h + 1 bytes; where a row's neighbour first differs tells the length of their common prefix.  After ``width`` rounds the
-rows with a common prefix of ``width`` are the repeated intervals, and the smallest document of an interval keeps its
-window.  No suffix of one shard is compared with one of another.
+by h + 1 bytes.  The round in which a row stands alone tells its longest common prefix, and it takes no part from then on,
+since no longer suffix of it is shared either.  What is left after ``width`` rounds are the repeated intervals, and the
+smallest document of an interval keeps its window.  No suffix of one shard is compared with one of another.
 
 A gram that more than ``hot_blocks`` blocks hold is *hot*: its windows travel one by one, dealt by all their bytes, so the
 many surroundings of one popular passage do not meet in one task.
@@ -34,8 +34,9 @@ from .blocks import DEALT, LAST, REST, is_in, per_group, per_pair, runs
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SHARD_BYTES = 1 << 18  # strings that are merged at once, about
 
-_WORDS = [T.StructField(n, T.BinaryType()) for n in ("lens", "ids", "rows", "starts", "keys", "data", "done")]
-STRINGS = T.StructType([*DEALT.fields[:2], *_WORDS])
+_NUMBERS = (("ids", "<i8"), ("keys", "<u4"), ("rows", "<u4"), ("starts", "<u4"), ("lens", "<u2"))  # of each string
+STRINGS = T.StructType([*DEALT.fields[:2], T.StructField("n", T.LongType()), T.StructField("numbers", T.BinaryType()),
+                        T.StructField("data", T.BinaryType()), T.StructField("done", T.BinaryType())])
 ANSWER = T.StructType([*DEALT.fields[:2], T.StructField("some", T.BinaryType()), T.StructField("hot", T.BinaryType())])
 DONE = T.StructType([T.StructField("block", T.LongType()), T.StructField("done", T.BinaryType())])
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -95,7 +96,8 @@ def super_strings(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
         inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         starts = np.repeat(starts, parts) + inside * span
         lengths = np.diff(np.append(starts, len(least)))
-    return text, row[starts], places[starts], lengths, least[starts]
+    spread = least[starts] * _MIX[2]  # the least of many are small; buckets go by leading bits
+    return text, row[starts], places[starts], lengths, (spread ^ (spread >> np.uint64(31))) * _MIX[0]
 
 
 def matrix_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, longest: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def send_strings(table: pa.Table, answers: pa.Table, *, width: int, bits: int, b
 
     Of equal strings those of the smallest id travel; the others are removed whole.
     """
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(f.name, pa.binary()) for f in _WORDS]])
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), *[(k, pa.binary()) for k in ("numbers", "data", "done")]])
     if not table.num_rows:
         return schema.empty_table()
     block = table["block"][0].as_py()
@@ -195,7 +197,7 @@ def send_strings(table: pa.Table, answers: pa.Table, *, width: int, bits: int, b
     inside = start - base[row]
     rows = []
     if later.any():
-        rows.append((block % buckets, block, *[b""] * 6, _triples(row[later], inside[later], (inside + lens)[later])))
+        rows.append((block % buckets, block, 0, b"", b"", _triples(row[later], inside[later], (inside + lens)[later])))
     keep = ~later
     row, start, inside, lens, count, short = (a[keep] for a in (row, start, inside, lens, count, short))
     key = short * _MIX[0]
@@ -216,9 +218,9 @@ def send_strings(table: pa.Table, answers: pa.Table, *, width: int, bits: int, b
         at = order[a:b]
         n = lens[at]
         data = text[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
-        rows.append((int(deal[at[0]]), block, n.astype("<u2").tobytes(), ids[row[at]].astype("<i8").tobytes(), row[at].astype("<u4").tobytes(),
-                     inside[at].astype("<i8").tobytes(), (key[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                     pa.compress(data, "zstd", asbytes=True), b""))
+        of = {"ids": ids[row[at]], "keys": key[at] & np.uint64(0xFFFFFFFF), "rows": row[at], "starts": inside[at], "lens": n}
+        numbers = b"".join(of[name].astype(kind).tobytes() for name, kind in _NUMBERS)
+        rows.append((int(deal[at[0]]), block, len(at), pa.compress(numbers, "zstd", asbytes=True), pa.compress(data, "zstd", asbytes=True), b""))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema) if rows else schema.empty_table()
 
 
@@ -255,9 +257,10 @@ def shard_arrays(text: np.ndarray, ends: np.ndarray, shard: np.ndarray, depth: i
 
 
 def merge_transforms(text: np.ndarray, firsts: np.ndarray, ends: np.ndarray, shard: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places in merged order, common prefix of each with the one before, up to ``width``).
+    """(for every place the longest prefix, up to ``width``, that it shares with another place; where places share all of it, in order).
 
     ``shard`` holds ascending numbers; ``text`` holds the strings, each followed by one byte of any value at its end place.
+    The second result numbers the repeated intervals of the merged order: pairs (interval, place).
     """
     n = len(text)
     suffixes = shard_arrays(text, ends, shard, width)
@@ -269,31 +272,27 @@ def merge_transforms(text: np.ndarray, firsts: np.ndarray, ends: np.ndarray, sha
     transform = text[suffixes - 1]
     longer = back[suffixes - 1]
     whole = begins[suffixes]  # nothing stands before a whole string
-    finals = back[np.flatnonzero(np.arange(n) == ends)]
-    finals.sort()
-    merged = np.arange(n, dtype=np.int32)  # by no byte: shard after shard
-    block = np.zeros(n, np.int32)
-    common = np.full(n, width, np.int32)
-    common[0] = 0
-    seen = np.zeros(n, bool)
-    seen[0] = True
-    lead = len(finals)
+    shared = np.zeros(n, np.int32)
+    rows = np.arange(n, dtype=np.int32)  # the interleave by no byte: shard after shard
+    interval = np.zeros(n, np.int32)
     for depth in range(1, width + 1):
-        moved = ~whole[merged]
-        rows, owner = merged[moved], block[moved]
+        moved = ~whole[rows]
+        rows, interval = rows[moved], interval[moved]
         byte = transform[rows]
         turn = np.argsort(byte, kind="stable")
-        byte, owner = byte[turn], owner[turn]
-        merged = np.concatenate([finals, longer[rows[turn]]])  # ends of strings come first, in shard order
-        fresh = np.zeros(n, bool)
-        fresh[0] = fresh[lead] = True
-        fresh[lead + 1:] = (byte[1:] != byte[:-1]) | (owner[1:] != owner[:-1])
-        common[fresh & ~seen] = depth - 1
-        seen |= fresh
-        block = np.cumsum(fresh, dtype=np.int32)
-        if seen.all():
+        byte, interval, rows = byte[turn], interval[turn], longer[rows[turn]]
+        fresh = np.ones(len(rows) + 1, bool)
+        fresh[1:-1] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
+        # What stands alone from here on stays alone when a byte is put before it.
+        several = ~(fresh[:-1] & fresh[1:])
+        interval = np.cumsum(fresh[:-1], dtype=np.int32)[several]
+        rows = rows[several]
+        if not len(rows):
             break
-    return suffixes[merged], common
+        shared[rows] = depth
+    by_place = np.empty(n, np.int32)
+    by_place[suffixes] = shared
+    return by_place, np.stack([interval.astype(np.int64), suffixes[rows]], 1)
 
 
 def earliest(matrix: np.ndarray, lens: np.ndarray, ids: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
@@ -314,13 +313,12 @@ def earliest(matrix: np.ndarray, lens: np.ndarray, ids: np.ndarray, shard: np.nd
     wide[:, :-1] = matrix[lead]
     text = wide[owner, inside]
     ends = (begin + n - 1)[owner]
-    places, common = merge_transforms(text, begin, ends, shard[lead][owner], width)
-    whole = inside[places] + width <= lens[lead][owner[places]]
-    value = np.where(whole, ids[lead][owner[places]], LAST)
-    starts = np.flatnonzero(common < width)
-    least = np.repeat(np.minimum.reduceat(value, starts), np.diff(np.append(starts, len(value))))
-    found = np.empty(len(text), np.int64)
-    found[places] = least
+    _, repeated = merge_transforms(text, begin, ends, shard[lead][owner], width)
+    found = ids[lead][owner]
+    if len(repeated):
+        starts = runs(repeated[:, 0])
+        least = np.minimum.reduceat(found[repeated[:, 1]], starts)
+        found[repeated[:, 1]] = np.repeat(least, np.diff(np.append(starts, len(repeated))))
     counts = lens - width + 1
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return found[np.repeat(begin[number], counts) + step]
@@ -332,13 +330,16 @@ def resolve(table: pa.Table, *, width: int) -> pa.Table:
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("lens", "ids", "rows", "starts", "keys", "data")}
     shard_of: list[int] = []
     numbers = table["block"].to_pylist()
-    for i, row in enumerate(table.select([f.name for f in _WORDS]).to_pylist()):
+    each = sum(np.dtype(kind).itemsize for _, kind in _NUMBERS)
+    for i, row in enumerate(table.select(["n", "numbers", "data", "done"]).to_pylist()):
         if row["done"]:
             by_block.setdefault(numbers[i], []).append(row["done"])
-        if not row["lens"]:
+        if not row["n"]:
             continue
-        for name, kind in (("lens", "<u2"), ("ids", "<i8"), ("rows", "<u4"), ("starts", "<i8"), ("keys", "<u4")):
-            parts[name].append(np.frombuffer(row[name], kind).astype(np.int64))
+        own, at = pa.decompress(row["numbers"], row["n"] * each, "zstd", asbytes=True), 0
+        for name, kind in _NUMBERS:
+            parts[name].append(np.frombuffer(own, kind, row["n"], at).astype(np.int64))
+            at += row["n"] * np.dtype(kind).itemsize
         size = int(parts["lens"][-1].sum())
         parts["data"].append(np.frombuffer(pa.decompress(row["data"], size, "zstd", asbytes=True), np.uint8))
         shard_of.append(i)
@@ -402,8 +403,8 @@ def remove(table: pa.Table, done: pa.Table) -> pa.Table:
                      pa.array(kept, pa.binary())], schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, block_bytes: int = 2 << 20,
-                   bucket_bytes: int = 4 << 20, hot_blocks: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, block_bytes: int = 4 << 20,
+                   bucket_bytes: int = 8 << 20, hot_blocks: int = 64) -> DataFrame:
     """One row per document: ``id``, ``n_bytes``, ``n_removed``, ``spans`` (the maximal removed runs of bytes) and ``kept`` (bytes).
 
     Ids are whole numbers.  A byte goes if a string of ``width`` bytes that covers it also starts in a document of a smaller id.
@@ -414,6 +415,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = blocks.blocked(docs, id_col, text_col, total, block_bytes)
     grams = per_group(texts, "block", partial(send_grams, width=width, bits=bits), DEALT)
     answers = per_group(grams, "bucket", partial(answer_grams, hot_blocks=hot_blocks), ANSWER)
-    strings = per_pair(texts, answers, "block", partial(send_strings, width=width, bits=bits, buckets=1 << bits), STRINGS)
+    strings = per_pair(texts, answers, "block", partial(send_strings, width=width, bits=bits, buckets=max(64, total // bucket_bytes)), STRINGS)
     done = per_group(strings, "bucket", partial(resolve, width=width), DONE)
     return per_pair(texts, done, "block", remove, KEPT)
