@@ -404,7 +404,7 @@ def remove(table: pa.Table, done: pa.Table) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 50, block_bytes: int = 4 << 20,
-                   bucket_bytes: int = 8 << 20, hot_blocks: int = 64) -> DataFrame:
+                   bucket_bytes: int = 8 << 20, hot_blocks: int = 4096) -> DataFrame:
     """One row per document: ``id``, ``n_bytes``, ``n_removed``, ``spans`` (the maximal removed runs of bytes) and ``kept`` (bytes).
 
     Ids are whole numbers.  A byte goes if a string of ``width`` bytes that covers it also starts in a document of a smaller id.
