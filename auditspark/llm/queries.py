@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, packing, repeats, simhash, tokencount, topk, toxicity, warc
+from . import chat, decontaminate, langid, lines, packing, phrases, repeats, simhash, tokencount, topk, toxicity, warc
 from .common import learns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,10 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_prefixes": chat_formatting,
     "op2_line_dedup": line_dedup,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_simhash_near_dedup": simhash_near_dedup,
     "op11_repeated_strings": repeated_strings,
+    "op12_phrase_collocations": phrase_collocations,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -163,6 +168,25 @@ cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
     sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)""",
+    "op12_phrase_collocations": f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM d),
+w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[ \t]+') IF x <> ''] AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM
+    (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y FROM
+    (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (SELECT cuts.*, fl.f AS l, fr.f AS r, ((1000000::HUGEINT * a * a) // (fl.f::HUGEINT * fr.f))::BIGINT AS score FROM cuts
+    JOIN f AS fl ON fl.lang = cuts.lang AND fl.phrase = x JOIN f AS fr ON fr.lang = cuts.lang AND fr.phrase = y),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM scored),
+longer AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part, a
+    FROM c WHERE k = 3) GROUP BY lang, part),
+ranked AS (SELECT worst.lang, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+    FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND part = phrase WHERE place = 1 AND coalesce(100 * most < 50 * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op9_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
     FROM documents),
