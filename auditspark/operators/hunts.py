@@ -23,7 +23,7 @@ from ..functions.text import (country_key, falsey, field, hundredths_of_hours, i
                               two_places, typed_column)
 from ..functions.times import literal_micros, literal_time, parse_time, time_of
 from .enrich import domain_references, lookup, parse_service_domains, service_of, successful
-from .ordering import HOUR_MICROS, with_previous
+from .ordering import HOUR_MICROS, Key, sample_borders, with_previous
 
 DAY_MICROS = 24 * HOUR_MICROS
 
@@ -87,7 +87,7 @@ def login_address_column(enriched: Sequence[str]) -> str:
 def impossible_travel(events: DataFrame, ip_reference: DataFrame, options: TravelOptions = TravelOptions(), *,
                       row_id: str = "_Row", time: str = "CreationTime", operation: str = "Operation",
                       users: Sequence[str] = ("UserId", "UserKey"), address: str = "ClientIP",
-                      reference_key: str = "ip", slice_hours: float = 1 / 60, salt: int = 1) -> DataFrame:
+                      reference_key: str = "ip", ranges: int | None = None, salt: int = 1) -> DataFrame:
     """H1: successful logins whose place changed too fast since the user's previous one."""
     blank = F.lit("")
     given_user = F.coalesce(*[F.nullif(field(events, u), blank) for u in users], blank)
@@ -139,10 +139,10 @@ def impossible_travel(events: DataFrame, ip_reference: DataFrame, options: Trave
                 "by_country": country | elevated, "within_country": within(options.country_hours),
                 "candidate": country | region | elevated}
 
-    pairs = with_previous(
-        seen, ["__user"], [F.col("now.micros"), F.col("__row")], now,
-        F.floor(F.col("now.micros") / F.lit(int(slice_hours * HOUR_MICROS))), "was",
-        keep=lambda was: rules(was)["candidate"])
+    # The borders come from the logins before any lookup.
+    borders = sample_borders(logins, [Key(F.col("__user")), Key(F.unix_micros("__time")), Key(F.col("__row"))], ranges)
+    pairs = with_previous(seen, ["__user"], [F.col("now.micros"), F.col("__row")], now, "was",
+                          keep=lambda was: rules(was)["candidate"], borders=borders)
     was = F.col("was")
     r = rules(was)
     facts = pairs.select("__row", "now", "was", *[r[k].alias(k) for k in r if k != "candidate"])

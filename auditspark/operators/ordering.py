@@ -1,13 +1,14 @@
 """Previous events, positions, review order, pages.
 
-A window over one key would put a key that holds a third of all rows into one task.  The
-operators here first work within *slices* of the order (an hour of one user, a block of row
-ids) and then connect the slices through a far smaller table, so the largest task is one slice.
+A window over one key would put a key that holds a third of all rows into one task, and a window without a key all rows.
+The operators here deal rows out by *ranges* of the whole order, ties broken to the end, so that equal values are cut like
+others.  The borders come from a bounded sample.  One window works within each range; what one range hands to the next
+(totals, last rows) is a table of at most one row per range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -20,83 +21,181 @@ from ..functions.times import parse_sortable_time, time_of
 from pyspark.sql import types as T
 
 HOUR_MICROS = 3600 * 1000000
-BLOCK = 1000000  # row ids of a slice, by default
-GROUP = 1024     # blocks of a group
+MOST_RANGES = 4096
+LEAST_ROWS = 1024   # of a range, unless the caller asks for a number of ranges
+SAMPLED_ROWS = 24   # of each range, about
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def with_previous(df: DataFrame, key: Sequence[str], order: Sequence[Column], payload: Column, slice_key: Column,
-                  name: str, keep=None) -> DataFrame:
-    """``payload`` of the previous row of the same key as column ``name`` (NULL for the first row).
+@dataclass(frozen=True)
+class Key:
+    """A sort column.  Nulls come first, and last where it falls."""
+    value: Column
+    descending: bool = False
+
+    @property
+    def order(self) -> Column:
+        return self.value.desc() if self.descending else self.value.asc()
 
-    ``order`` lists ascending columns and ``payload`` is never NULL.
-    ``slice_key`` must never decrease along ``order``.  Rows inside a slice find their predecessor there; only the
-    first and last row of every slice move on to the second window, which therefore holds two rows for each slice of a
-    key at most, however many rows a slice has.
-    ``keep(previous)`` says which rows the caller wants; others, and rows without a predecessor, are dropped.
-    """
-    part, first, following = "__slice", "__payload", "__following"
-    keys = {f"__o{i}": c for i, c in enumerate(order)}
-    inner = Window.partitionBy(*key, part).orderBy(*keys)
-    # Both neighbours come from one window, so one shuffle and one sort serve them.
-    sliced = (df.withColumns({part: slice_key, first: payload, **keys})
-              .withColumns({name: F.lag(first).over(inner), following: F.lead(F.lit(1)).over(inner)}))
-    at_end = F.col(name).isNull() | F.col(following).isNull()
-    wanted = F.lit(True) if keep is None else F.col(name).isNotNull() & F.coalesce(keep(F.col(name)), F.lit(False))
-    ends = sliced.filter(at_end).withColumn(name, F.coalesce(F.col(name), F.lag(first).over(
-        Window.partitionBy(*key).orderBy(*keys))))
-    return sliced.filter(~at_end).unionAll(ends).filter(wanted).drop(part, first, following, *keys)
 
+@dataclass(frozen=True)
+class Borders:
+    """The first keys of all ranges but the first."""
+    rows: list[tuple]
+    kinds: list[str]
 
-Slice = Column | tuple[Column, bool]
+    def column(self, place: int) -> Column:
+        """One field of all borders as an array."""
+        return F.array(*[F.lit(r[place]).cast(self.kinds[place]) for r in self.rows])
 
 
-def with_position(df: DataFrame, order: Sequence[Column], slices: Sequence[Slice], name: str,
-                  partition: Sequence[str] = (), coarse: int = 1) -> DataFrame:
-    """1-based position in the whole order (per ``partition``), without a one-task sort.
+def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None) -> Borders:
+    """Borders that cut ``df`` into about equal ranges of these keys: a count and a bounded sample, which the driver sees.
 
-    ``slices`` agree with ``order``: ascending columns, or pairs (column, descending).  The first ``coarse`` of them
-    form groups.  Rows are placed within their slice, slices within their group, and groups one after the other, so
-    that no window holds more than one slice, the slices of one group, or one row per group.  Nulls are values like
-    others, in partitions too; no row is lost.
+    Any borders give right results; these give even ones.
     """
-    pairs = [s if isinstance(s, tuple) else (s, False) for s in slices]
-    own = [ref(p).alias(f"p{i}") for i, p in enumerate(partition)]
-    # One struct as key: its fields may be null, and no filter on them is inferred for the scan.
-    sliced = df.withColumn("__slice", F.struct(*own, *[c.alias(f"s{i}") for i, (c, _) in enumerate(pairs)]))
+    names = [f"__k{i}" for i in range(len(keys))]
+    keyed = df.select(*[k.value.alias(n) for k, n in zip(keys, names)])
+    kinds = [f.dataType.simpleString() for f in keyed.schema]
+    total = keyed.count()
+    if ranges is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(4 * tasks, MOST_RANGES, total // LEAST_ROWS + 1)
+    ranges = min(ranges, MOST_RANGES)
+    if ranges < 2 or not total:
+        return Borders([], kinds)
+    share = min(1.0, SAMPLED_ROWS * ranges / total)
+    order = [Key(F.col(n), k.descending).order for k, n in zip(keys, names)]
+    seen = [tuple(r) for r in (keyed if share == 1.0 else keyed.sample(share, seed=17)).orderBy(*order).collect()]
+    picked = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
+    return Borders([r for i, r in enumerate(picked) if not i or repr(r) != repr(picked[i - 1])], kinds)
+
+
+def _range_of(keys: Sequence[Key], borders: Borders) -> Column:
+    """How many borders are at or before the row: a binary search."""
+    count = len(borders.rows)
+    if not count:
+        return F.lit(0)
+    fields = [borders.column(i) for i in range(len(keys))]
+
+    def reached(place: Column) -> Column:
+        found = F.lit(True)
+        for key, values in reversed(list(zip(keys, fields))):
+            border = F.element_at(values, place)
+            before = border > key.value if key.descending else border < key.value
+            missing = key.value.isNull() if key.descending else border.isNull()  # one of the two is null
+            found = F.when(border.eqNullSafe(key.value), found).otherwise(F.coalesce(before, missing))
+        return found
+
+    def step(at: Column, width: Column) -> Column:
+        ahead = F.least(at + width, F.lit(count))  # never beyond the last border
+        return F.when((at + width <= count) & reached(ahead), at + width).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(count.bit_length() - 1, -1, -1)]), F.lit(0), step)
 
-    def along(struct: str, places: range) -> list[Column]:
-        return [F.desc(f"{struct}.s{i}") if pairs[i][1] else F.asc(f"{struct}.s{i}") for i in places]
 
-    same = Window.partitionBy("__slice")
-    rows = sliced.withColumns({"__in": F.row_number().over(same.orderBy(*order)), "__n": F.count(F.lit(1)).over(same)})
-    group = F.struct(*[F.col(f"__slice.p{i}") for i in range(len(own))], *[F.col(f"__slice.s{i}") for i in range(coarse)])
-    # The last row of a slice tells its size; the same shuffle serves rows and sizes.
-    sizes = rows.filter(F.col("__in") == F.col("__n")).select("__slice", group.alias("__group"), "__n")
+@dataclass(frozen=True)
+class Dealt:
+    """Rows with their range; the names of their partition's columns and of their sort keys."""
+    rows: DataFrame
+    parts: list[str]
+    keys: list[Key]
+    crossing: Column  # the row's partition goes over a border of its range
+
+    @property
+    def order(self) -> list[Column]:
+        return [k.order for k in self.keys]
+
+    def within(self):
+        return Window.partitionBy("__range", *self.parts).orderBy(*self.order)
+
+    def handed_on(self, totals: Mapping[str, Column], handed: Mapping[str, Column]) -> DataFrame:
+        """For each range that continues a partition (at most one per range) what ``handed`` says of the ranges before."""
+        own = self.rows.filter(self.crossing).groupBy("__range", *self.parts).agg(*[c.alias(n) for n, c in totals.items()])
+        names = [f"__from{i}" for i in range(len(self.parts))]
+        found = own.select(F.col("__range").alias("__to"), *[F.col(p).alias(n) for p, n in zip(self.parts, names)],
+                           *[c.alias(n) for n, c in handed.items()])
+        return F.broadcast(found.filter(F.coalesce(*[F.col(n) for n in handed]).isNotNull()))
+
+    def before(self):
+        return Window.partitionBy(*self.parts).orderBy("__range")
+
+    def joined(self, rows: DataFrame, handed: DataFrame) -> DataFrame:
+        same = F.col("__range") == F.col("__to")
+        for i, p in enumerate(self.parts):
+            same = same & F.col(p).eqNullSafe(F.col(f"__from{i}"))
+        return rows.join(handed, same, "left").drop("__to", *[f"__from{i}" for i in range(len(self.parts))])
+
+    @property
+    def helpers(self) -> list[str]:
+        return ["__range", *self.parts, *[f"__k{i}" for i in range(len(self.keys))]]
+
+
+def deal_ranges(df: DataFrame, partition: Sequence[Column], keys: Sequence[Key], ranges: int | None = None,
+                borders: Borders | None = None) -> Dealt:
+    """Rows dealt out by ranges of (partition, keys); keys are computed once."""
+    parts, names = [f"__p{i}" for i in range(len(partition))], [f"__k{i}" for i in range(len(keys))]
+    keyed = df.withColumns({**dict(zip(parts, partition)), **{n: k.value for n, k in zip(names, keys)}})
+    own = [Key(F.col(n), k.descending) for n, k in zip(names, keys)]
+    whole = [*[Key(F.col(p)) for p in parts], *own]
+    borders = sample_borders(keyed, whole, ranges) if borders is None else borders
+    rows = keyed.withColumn("__range", _range_of(whole, borders))
+
+    def at_border(place: Column) -> Column:
+        inside = (place >= 1) & (place <= len(borders.rows))
+        valid = F.greatest(F.lit(1), F.least(place, F.lit(len(borders.rows))))
+        for i, p in enumerate(parts):
+            inside = inside & F.element_at(borders.column(i), valid).eqNullSafe(F.col(p))
+        return inside
+
+    crossing = at_border(F.col("__range")) | at_border(F.col("__range") + 1) if borders.rows else F.lit(False)
+    return Dealt(rows, parts, own, crossing)
+
+
+def with_running(df: DataFrame, keys: Sequence[Key], values: Mapping[str, Column], partition: Sequence[str] = (),
+                 ranges: int | None = None) -> DataFrame:
+    """Running sums in the whole order (per ``partition``), the row's own value included, as columns named like ``values``.
+
+    Nulls are values like others, in partitions too; no row is lost.
+    """
+    dealt = deal_ranges(df, [ref(p) for p in partition], keys, ranges)
+    sofar = dealt.within().rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.rows.withColumns({f"__in_{n}": F.sum(v).over(sofar) for n, v in values.items()})
+    earlier = dealt.before().rowsBetween(Window.unboundedPreceding, -1)
+    handed = dealt.handed_on({f"__all_{n}": F.sum(v) for n, v in values.items()},
+                             {f"__before_{n}": F.sum(f"__all_{n}").over(earlier) for n in values})
+    summed = {n: F.col(f"__in_{n}") + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n in values}
+    return (dealt.joined(rows, handed).withColumns(summed)
+            .drop(*dealt.helpers, *[f"__{k}_{n}" for n in values for k in ("in", "before")]))
 
-    def before(total: str, window) -> Column:
-        return F.coalesce(F.sum(total).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    inside = Window.partitionBy("__group").orderBy(*along("__slice", range(coarse, len(pairs))), F.asc("__n"))
-    placed = sizes.select("__slice", "__group", before("__n", inside).alias("__offset"))
-    groups = sizes.groupBy("__group").agg(F.sum("__n").alias("__all"))
-    outside = Window.partitionBy(*[F.col(f"__group.p{i}") for i in range(len(own))]).orderBy(*along("__group", range(coarse)))
-    starts = groups.select("__group", before("__all", outside).alias("__start"))
-    offsets = placed.join(starts, "__group").select("__slice", (F.col("__start") + F.col("__offset")).alias("__before"))
-    return (rows.join(offsets, "__slice").withColumn(name, (F.col("__before") + F.col("__in")).cast("bigint"))
-            .drop("__slice", "__in", "__n", "__before"))
+def with_position(df: DataFrame, keys: Sequence[Key], name: str, partition: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """1-based position in the whole order (per ``partition``), without a one-task sort."""
+    return with_running(df, keys, {name: F.lit(1)}, partition, ranges).withColumn(name, F.col(name).cast("bigint"))
 
 
 def with_row_ids(df: DataFrame, natural_key: str, name: str = "_Row", partition: Sequence[str] = (),
-                 block: int = BLOCK) -> DataFrame:
-    """W1 for a numeric natural key: source ordinals per dataset."""
-    return with_position(df, [F.col(natural_key).asc()], _id_slices(F.col(natural_key), block), name, partition)
+                 ranges: int | None = None) -> DataFrame:
+    """W1 for a natural key: source ordinals per dataset."""
+    return with_position(df, [Key(ref(natural_key))], name, partition, ranges)
+
 
+def with_previous(df: DataFrame, key: Sequence[str], order: Sequence[Column], payload: Column, name: str, keep=None,
+                  ranges: int | None = None, borders: Borders | None = None) -> DataFrame:
+    """``payload`` of the previous row of the same key as column ``name`` (NULL for the first row).
 
-def _id_slices(row_id: Column, block: int) -> list[Slice]:
-    """Blocks of ids, grouped so that there are far fewer groups than blocks."""
-    slice_ = F.floor(row_id / F.lit(block)).cast("bigint")
-    return [F.floor(slice_ / F.lit(GROUP)).cast("bigint"), slice_]
+    ``order`` lists ascending columns and ``payload`` is never NULL.  A key that holds many rows goes over many ranges, whatever
+    their order values; each range gets the last row of the one before.
+    ``keep(previous)`` says which rows the caller wants; others, and rows without a predecessor, are dropped.
+    """
+    keyed = df.withColumn("__payload", payload)
+    dealt = deal_ranges(keyed, [ref(k) for k in key], [Key(c) for c in order], ranges, borders)
+    rows = dealt.rows.withColumn(name, F.lag("__payload").over(dealt.within()))
+    last = F.max_by("__payload", F.struct(*[k.value for k in dealt.keys]))
+    handed = dealt.handed_on({"__last": last}, {"__earlier": F.lag("__last").over(dealt.before())})
+    found = dealt.joined(rows, handed).withColumn(name, F.coalesce(F.col(name), F.col("__earlier")))
+    wanted = F.lit(True) if keep is None else F.col(name).isNotNull() & F.coalesce(keep(F.col(name)), F.lit(False))
+    return found.filter(wanted).drop("__payload", "__earlier", *dealt.helpers)
 
 
 def first_by(df: DataFrame, key: Sequence[Column], order: Column, names: Sequence[str]) -> DataFrame:
@@ -109,20 +208,19 @@ def first_by(df: DataFrame, key: Sequence[Column], order: Column, names: Sequenc
 
 @dataclass(frozen=True)
 class ReviewOrder:
-    """Derived key columns, the sort columns over them, and the slices and groups that agree with the order.
+    """Derived key columns and the sort keys over them.  The keys are parsed once per row by ``attach``."""
+    columns: dict[str, Column]
+    keys: list[Key]
 
-    The keys are parsed once per row by ``attach``, before anything sorts or counts.
-    """
-    keys: dict[str, Column]
-    order: list[Column]
-    slices: list[Slice]
-    coarse: int = 2
+    @property
+    def order(self) -> list[Column]:
+        return [k.order for k in self.keys]
 
     def attach(self, df: DataFrame) -> DataFrame:
-        return df.withColumns(self.keys) if self.keys else df
+        return df.withColumns(self.columns) if self.columns else df
 
     def detach(self, df: DataFrame) -> DataFrame:
-        return df.drop(*self.keys)
+        return df.drop(*self.columns)
 
 
 def _kind(column: str, row_id: str) -> str:
@@ -134,57 +232,41 @@ def _kind(column: str, row_id: str) -> str:
 
 
 def review_order(df: DataFrame, column: str = "", direction: str = "asc", *, row_id: str = "_Row",
-                 kind: str | None = None, width: float | None = None, block: int = BLOCK) -> ReviewOrder:
+                 kind: str | None = None) -> ReviewOrder:
     """O1-O3: order of a reviewed column; blanks always last, ties in source order.
 
     Columns that are neither times nor scores nor risks leave the source order unchanged.
-    ``width`` is the span of the groups of numbers; ``block`` the number of row ids in a slice.  A slice holds one value
-    within one block of row ids, so a value that a third of all rows share is many tasks' work.
     """
     descending = direction == "desc"
-    sign = F.lit(-1 if descending else 1)
-    source = ref(row_id)
+    source = Key(ref(row_id))
     kind = (kind or _kind(column, row_id)) if column else "none"
     if kind == "none":
-        return ReviewOrder({}, [source.asc()], _id_slices(source, block), 1)
-    if column == row_id and kind == "number":  # ids are numbers, none of them blank or popular
-        slices = [(s, descending) for s in _id_slices(source, block)]
-        return ReviewOrder({}, [source.desc() if descending else source.asc()], slices, 1)
+        return ReviewOrder({}, [source])
+    if column == row_id and kind == "number":  # ids are numbers, none of them blank
+        return ReviewOrder({}, [Key(ref(row_id), descending)])
     text = text_of(df, column)
-    rank, number, loose = F.col("__rank"), F.col("__number"), F.col("__loose")
-
-    def directed(c: Column) -> Column:
-        return c.desc() if descending else c.asc()
+    number = F.col("__number")
 
-    def built(value: Column, late: Column, loose_rank: int, blank_rank: int, value_rank: int,
-              plain: Column, group: Column) -> ReviewOrder:
-        """Ranks of values, unreadable texts and blanks; the groups and slices of each."""
+    def built(value: Column, late: Column, loose_rank: int, blank_rank: int, value_rank: int, plain: Column) -> ReviewOrder:
+        """Ranks of values, unreadable texts and blanks."""
         blank = non_blank(text).isNull()
-        keys = {"__number": F.when(~blank, value), "__blank": blank}
-        ranked = F.when(F.col("__blank"), F.lit(blank_rank)).when(
-            late, F.lit(loose_rank)).otherwise(F.lit(value_rank))
-        keys["__rank"] = ranked
-        keys["__loose"] = F.when(F.col("__rank") == loose_rank, plain)
-        id_block = F.floor(source / F.lit(block)).cast("bigint")
-        # Values are grouped by span, unreadable texts by their first letter, blanks by many blocks.
-        grouped = F.when(rank == value_rank, F.floor(group)).when(
-            rank == loose_rank, F.coalesce(F.ascii(loose), F.lit(0)) * sign).otherwise(F.floor(id_block / F.lit(GROUP)))
-        ordered = F.when(rank == value_rank, number)
-        return ReviewOrder(keys, [rank.asc(), directed(number), directed(loose), source.asc()],
-                           [rank, grouped, (ordered, descending), (loose, descending), id_block])
+        columns = {"__number": F.when(~blank, value), "__blank": blank}
+        columns["__rank"] = F.when(F.col("__blank"), F.lit(blank_rank)).when(late, F.lit(loose_rank)).otherwise(F.lit(value_rank))
+        columns["__loose"] = F.when(F.col("__rank") == loose_rank, plain)
+        return ReviewOrder(columns, [Key(F.col("__rank")), Key(number, descending), Key(F.col("__loose"), descending), source])
 
     if kind == "time":
         typed = isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         moment = F.unix_micros(time_of(df, column) if typed else parse_sortable_time(text))
-        return built(moment, number.isNull(), 1, 2, 0, F.lower(text), number * sign / F.lit(HOUR_MICROS))
+        return built(moment, number.isNull(), 1, 2, 0, F.lower(text))
     if kind == "number":
         value = F.when(strip(text).rlike(_NUMBER), strip(text).try_cast("double"))
         late, early = (0, 1) if descending else (1, 0)
-        return built(value, number.isNull(), late, 2, early, text, number * sign / F.lit(float(width or 1)))
+        return built(value, number.isNull(), late, 2, early, text)
     level = F.lower(strip(text))
     value = F.coalesce(*[F.when(level == w, F.lit(v)) for w, v in presets.RISK_ORDER.items()], F.lit(0))
     late, early = (1, 0) if descending else (0, 1)
-    return built(value, number == 0, late, 2, early, level, number * sign)
+    return built(value, number == 0, late, 2, early, level)
 
 
 def sort_rows(df: DataFrame, column: str = "", direction: str = "asc", **options) -> DataFrame:
@@ -193,11 +275,11 @@ def sort_rows(df: DataFrame, column: str = "", direction: str = "asc", **options
     return spec.detach(spec.attach(df).orderBy(*spec.order))
 
 
-def sorted_positions(df: DataFrame, column: str = "", direction: str = "asc", name: str = "position",
-                     **options) -> DataFrame:
+def sorted_positions(df: DataFrame, column: str = "", direction: str = "asc", name: str = "position", *,
+                     ranges: int | None = None, **options) -> DataFrame:
     """O1-O3 as a position column over the whole table."""
     spec = review_order(df, column, direction, **options)
-    return spec.detach(with_position(spec.attach(df), spec.order, spec.slices, name, coarse=spec.coarse))
+    return spec.detach(with_position(spec.attach(df), spec.keys, name, ranges=ranges))
 
 
 def sorted_page(df: DataFrame, column: str = "", direction: str = "asc", page: int = 1, size: int = 50,
@@ -227,8 +309,8 @@ def sorted_page_after(df: DataFrame, column: str, direction: str, last: Row | No
     spec = review_order(df, column, direction, row_id=row_id, **options)
     keyed = spec.attach(df)
     falling = direction == "desc"
-    names = [("__rank", False), ("__number", falling), ("__loose", falling)] if spec.keys else []
-    fields = [*names, (row_id, falling and not spec.keys and column == row_id)]
+    names = [("__rank", False), ("__number", falling), ("__loose", falling)] if spec.columns else []
+    fields = [*names, (row_id, falling and not spec.columns and column == row_id)]
     beyond, same = F.lit(last is None), F.lit(True)
     for name, down in fields if last is not None else ():
         value = last[name]

@@ -832,7 +832,7 @@ def sort_number(spark, sf_dir):
         F.col("o_orderkey").alias("_Row"), F.when(F.col("o_orderstatus") == "P", F.concat(F.col("o_orderpriority"), F.lit("?")))
         .when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
         .alias("Travel.Score"))
-    return ordering.sorted_positions(df, "Travel.Score", "asc", width=10000).select("_Row", "position")
+    return ordering.sorted_positions(df, "Travel.Score", "asc").select("_Row", "position")
 
 
 @query
@@ -862,7 +862,7 @@ def top_orders(spark, sf_dir):
 @query
 def row_ordinals(spark, sf_dir):
     """Ordinal of each event within its type."""
-    return ordering.with_row_ids(table(spark, sf_dir, "events"), "event_id", "ordinal", ["event_type"], block=5000).select(
+    return ordering.with_row_ids(table(spark, sf_dir, "events"), "event_id", "ordinal", ["event_type"]).select(
         "event_id", "event_type", "ordinal")
 
 
@@ -871,7 +871,7 @@ def previous_event(spark, sf_dir):
     """W2."""
     df = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return ordering.with_previous(df, ["user_id"], [F.col("at"), F.col("event_id")], F.col("event_id"),
-                                  F.floor(F.col("at") / F.lit(ordering.HOUR_MICROS)), "previous").select("event_id", "previous")
+                                  "previous").select("event_id", "previous")
 
 
 @query

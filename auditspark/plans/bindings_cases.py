@@ -194,7 +194,7 @@ def sort_missing_ids(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(
         F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey")).alias("_Row"),
         F.when(F.col("o_orderkey") % 3 == 0, "7.25").otherwise((F.col("o_orderkey") % 1000 / 8).cast("string")).alias("Travel.Score"))
-    placed = ordering.sorted_positions(df, "Travel.Score", "desc", block=5000)
+    placed = ordering.sorted_positions(df, "Travel.Score", "desc")
     return placed.groupBy(ref("Travel.Score").alias("score")).agg(
         F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("n"))
 
@@ -208,7 +208,7 @@ SQL["sort_missing_ids"] = """WITH t AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN
 def ordinals_missing_parts(spark, sf_dir):
     """A missing partition is a partition."""
     df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("part"))
-    return ordering.with_row_ids(df, "event_id", "ordinal", ["part"], block=700)
+    return ordering.with_row_ids(df, "event_id", "ordinal", ["part"])
 
 
 SQL["ordinals_missing_parts"] = """SELECT event_id, nullif(event_type, 'view') AS part,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import presets
 from ..functions.text import TAIL, WHITESPACE, field, is_populated, ref, strip, text_of
-from ..operators.ordering import with_position
+from ..operators.ordering import Key, with_position
 from ..operators.shape import canonical_headers, drop_blank_rows, expand_payload, with_message_ids
 
 _DOCUMENT = "struct<value:array<string>,records:array<string>>"
@@ -18,11 +18,11 @@ _DOCUMENT = "struct<value:array<string>,records:array<string>>"
 def number_rows(df: DataFrame, path: Column, block: Column, name: str = "_Row") -> DataFrame:
     """W1 for files: 1-based ordinal of a row within its file.
 
-    Rows are counted per file block, the unit one task reads, so no task sees a whole file.
+    Rows are dealt out by ranges of (file, block, place), so no task sees a whole file.
     ``path`` and ``block`` are the file metadata columns of the scan.
     """
     placed = df.withColumns({"__path": path, "__block": block, "__at": F.monotonically_increasing_id()})
-    numbered = with_position(placed, [F.col("__at").asc()], [F.col("__block")], name, ["__path"])
+    numbered = with_position(placed, [Key(F.col("__block")), Key(F.col("__at"))], name, ["__path"])
     return numbered.drop("__path", "__block", "__at")
 
 

@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from auditspark.plans.bindings import QUERIES, table
+from auditspark.operators import hunts
+from auditspark.plans.bindings import QUERIES, ip_reference, logins, table
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -79,12 +80,11 @@ def test_no_shuffle_where_a_row_is_enough(spark):
 
 
 def test_busy_users_and_operations_are_split(spark):
-    travel = plan_of(queries()["impossible_travel"](spark, DATA)).split("== Initial Plan ==")[0]
-    by_user = [line for line in travel.split("\n") if "Exchange hashpartitioning(__user" in line]
-    # All rows move once, by user and slice; only the ends of slices move again, by user.
-    assert sum("__slice" in line and "ReusedExchange" not in line for line in by_user) == 1
-    assert sum("__slice" in line and "ReusedExchange" in line for line in by_user) == 1
-    assert sum("__slice" not in line for line in by_user) == 1
+    df = hunts.impossible_travel(logins(spark, DATA), ip_reference(spark, DATA), ranges=6)
+    travel = plan_of(df).split("== Initial Plan ==")[0]
+    windows = [line for line in travel.split("\n") if "Window [" in line]
+    # All rows go through one window, by range and user; no window holds a whole user.
+    assert sum("lag(__payload" in line for line in windows) == 1 and all("__range" in line for line in windows)
     facets = plan_of(queries()["operation_facets"](spark, DATA)).split("== Initial Plan ==")[0]
     assert facets.count("FileScan") == 1 and "share" in facets
 

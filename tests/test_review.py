@@ -86,14 +86,45 @@ def test_positions_agree_with_a_plain_sort(rows, kind, pool, direction):
     assert [r["_Row"] for r in placed] == plain and [r["p"] for r in placed] == list(range(1, 301))
 
 
-def test_row_id_positions_use_few_slices(spark):
+def range_sizes(df, keys, partition=(), ranges=16):
+    dealt = ordering.deal_ranges(df, [F.col(p) for p in partition], keys, ranges)
+    return [r["count"] for r in dealt.rows.groupBy("__range").count().collect()]
+
+
+@pytest.mark.parametrize("value", ["id", "xxhash64(id)", "0", "if(id % 3 = 0, 7, id)", "concat('?', hex(xxhash64(id)))", "if(id % 3 = 0, null, -id)"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranges_are_even_whatever_the_keys(spark, value, descending):
+    df = spark.range(20000).select("id", F.expr(value).alias("v"))
+    keys = [ordering.Key(F.col("v"), descending), ordering.Key(F.col("id"))]
+    sizes = range_sizes(df, keys)
+    assert len(sizes) == 16 and max(sizes) <= 3 * 20000 / 16 and sum(sizes) == 20000
+    placed = ordering.with_position(df, keys, "p", ranges=16)
+    plain = df.withColumn("p", F.row_number().over(Window.orderBy(*[k.order for k in keys])))
+    assert placed.exceptAll(plain).count() == 0 and placed.count() == 20000
+
+
+def test_row_id_positions(spark):
     df = spark.range(5000).select((F.col("id") * 3).alias("_Row"))
-    spec = ordering.review_order(df, "_Row", "desc")
-    assert spec.attach(df).select(*[c for c, _ in spec.slices]).distinct().count() <= 2
-    placed = ordering.sorted_positions(df, "_Row", "desc")
+    placed = ordering.sorted_positions(df, "_Row", "desc", ranges=9)
     assert placed.filter(F.col("position") != 5000 - F.col("_Row") / 3).count() == 0
 
 
+def test_running_sums_go_over_borders(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.when(F.col("id") % 2 == 0, (F.col("id") % 40).cast("string"))).alias("u"),
+                                  (F.col("id") % 7).alias("v"))
+    got = ordering.with_running(df, [ordering.Key(F.col("id"), True)], {"s": F.col("v"), "n": F.lit(1)}, ["u"], ranges=20)
+    over = Window.partitionBy("u").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumns({"s": F.sum("v").over(over), "n": F.count(F.lit(1)).over(over)})
+    assert got.exceptAll(plain).count() == 0 and got.count() == 3000
+
+
+def test_no_window_over_all_rows(spark):
+    plan = ordering.with_position(spark.range(20000), [ordering.Key(F.col("id"))], "p", ranges=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2  # one over the rows of ranges, one over what ranges hand on
+    single = [line for line in plan.split("\n") if "SinglePartition" in line]
+    assert len(single) <= 1
+
+
 @pytest.mark.parametrize("kind,direction", [("time", "asc"), ("number", "desc"), ("risk", "desc")])
 def test_pages_by_key_follow_the_plain_sort(rows, kind, direction):
     pool = {"time": ["", "zz", "2026-01-01", "2026-01-02"], "number": ["", "x", "1", "-2.5", "7"], "risk": ["", "low", "HIGH", "odd"]}[kind]
@@ -118,10 +149,9 @@ def test_positions_keep_rows_without_ids_or_partitions(spark):
 
 def test_one_value_of_a_third_of_all_rows_is_cut(spark):
     df = spark.range(3000).select(F.col("id").alias("_Row"), F.when(F.col("id") % 3 == 0, "0.7").otherwise(F.col("id").cast("string")).alias("v"))
-    spec = ordering.review_order(df, "v", kind="number", block=100)
-    sizes = spec.attach(df).groupBy(*[c if not isinstance(c, tuple) else c[0] for c in spec.slices]).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 40
-    placed = ordering.sorted_positions(df, "v", kind="number", block=100)
+    spec = ordering.review_order(df, "v", kind="number")
+    assert max(range_sizes(spec.attach(df), spec.keys, ranges=30)) <= 300
+    placed = ordering.sorted_positions(df, "v", kind="number", ranges=30)
     assert placed.filter("v = '0.7'").agg(F.min("position"), F.max("position")).first()[:] == (1, 1000)
 
 
@@ -142,18 +172,28 @@ def test_pages_cover_the_order_once(rows):
 
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), st.integers(0, 400)), min_size=1, max_size=120),
-       st.sampled_from([1, 10, 1000]))
-def test_previous_row_agrees_with_one_window(spark, events, width):
+       st.sampled_from([1, 4, 30]))
+def test_previous_row_agrees_with_one_window(spark, events, ranges):
     df = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(events)], "id bigint, u string, t bigint")
     plain = df.withColumn("p", F.lag("id").over(Window.partitionBy("u").orderBy("t", "id")))
-    got = ordering.with_previous(df, ["u"], [F.col("t"), F.col("id")], F.col("id"), F.floor(F.col("t") / width), "p")
+    got = ordering.with_previous(df, ["u"], [F.col("t"), F.col("id")], F.col("id"), "p", ranges=ranges)
     assert {r["id"]: r["p"] for r in got.collect()} == {r["id"]: r["p"] for r in plain.collect()}
     wanted = {r["id"]: r["p"] for r in plain.collect() if r["p"] is not None and r["p"] % 2 == 0}
-    kept = ordering.with_previous(df, ["u"], [F.col("t"), F.col("id")], F.col("id"), F.floor(F.col("t") / width), "p",
-                                  keep=lambda p: p % 2 == 0)
+    kept = ordering.with_previous(df, ["u"], [F.col("t"), F.col("id")], F.col("id"), "p",
+                                  keep=lambda p: p % 2 == 0, ranges=ranges)
     assert {r["id"]: r["p"] for r in kept.collect()} == wanted
 
 
+def test_one_minute_of_one_user_is_cut(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("u"), F.lit(5).alias("t"))
+    keys = [ordering.Key(F.col("t")), ordering.Key(F.col("id"))]
+    assert max(range_sizes(df, keys, ["u"], 24)) <= 3 * 6000 / 24
+    got = ordering.with_previous(df, ["u"], [F.col("t"), F.col("id")], F.col("id"), "p", ranges=24)
+    assert got.filter("u = 'hot' and id > 0 and not p <=> id - 3 or u <> 'hot' and p is not null").count() == 0 and got.count() == 6000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lag(__payload") == 1  # rows go through one window
+
+
 def test_upsert_keeps_one_row_per_key(rows):
     old = rows({"ip": "1", "Country": "A"}, {"ip": "2", "Country": "B"})
     new = rows({"ip": "2", "Country": "C"}, {"ip": "3", "Country": "D"})
