@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lines, packing, phrases, repeats, simhash, tokencount, topk, toxicity, warc
-from .common import learns
+from . import chat, decontaminate, langid, lines, packing, phrases, repeats, simhash, tokencount, topk, toxicity, trie, warc
+from ..operators.ordering import Key, with_position
+from .common import learns, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +100,29 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, top=2000)
 
 
+def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that share beginnings: the first h turns of the one whose id is the next lower multiple of 20, then the own
+    turns after the first h; h is the crc32 of the id modulo 4.  Turns (conv, pos, role, text), and all ids."""
+    blank = F.lit("")
+    plain = rows.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
+    placed = stored(with_position(plain, [Key(F.col("turn")), Key(F.col("role")), Key(F.xxhash64("text"))], "at", ["conv_id"]))
+    own = placed.groupBy(F.col("conv_id").alias("conv")).agg(F.max("at").alias("n"))
+    kept = F.crc32(F.coalesce(F.col("conv").cast("string"), blank)) % 4
+    convs = own.select("conv", (F.col("conv") - F.col("conv") % 20).alias("base"), kept.alias("h"))
+    bases = own.select(F.col("conv").alias("base"), F.col("n").alias("there"))
+    convs = stored(convs.join(bases, "base", "left").withColumn("taken", F.least("h", F.coalesce("there", F.lit(0)))))
+    first = convs.join(placed, (F.col("conv_id") == F.col("base")) & (F.col("at") <= F.col("taken")))
+    after = convs.join(placed, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("at") > F.col("h")))
+    turns = first.select("conv", F.col("at").alias("pos"), "role", "text").unionAll(
+        after.select("conv", (F.col("taken") + F.col("at") - F.col("h")).alias("pos"), "role", "text"))
+    return turns, convs.select("conv")
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_prefixes": chat_formatting,
     "op2_line_dedup": line_dedup,
@@ -112,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash_near_dedup": simhash_near_dedup,
     "op11_repeated_strings": repeated_strings,
     "op12_phrase_collocations": phrase_collocations,
+    "op13_conversation_trie": conversation_trie,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -187,6 +212,33 @@ longer AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, unnest([array_to
 ranked AS (SELECT worst.lang, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
     FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND part = phrase WHERE place = 1 AND coalesce(100 * most < 50 * a, true))
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_conversation_trie": r"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at, coalesce(role, '') AS role,
+    coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN
+        string_split(conv_id::VARCHAR, '')], lambda a, b: list_reduce([xor(a, b)] || range(8), lambda d, i:
+        CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384::BIGINT) ELSE d >> 1 END)), 4294967295::BIGINT) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM conversations)),
+first AS (SELECT c.conv_id, o.at AS pos, role, text FROM c JOIN o ON o.conv_id = c.base WHERE o.at <= h),
+taken AS (SELECT conv_id, max(pos) AS n FROM first GROUP BY conv_id),
+after AS (SELECT c.conv_id, coalesce(n, 0) + o.at - h AS pos, role, text FROM c JOIN o USING (conv_id) LEFT JOIN taken USING (conv_id)
+    WHERE o.at > h),
+k AS (SELECT conv_id, pos, text, string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY pos
+    ROWS UNBOUNDED PRECEDING) AS key FROM (SELECT * FROM first UNION ALL SELECT * FROM after)),
+p AS (SELECT conv_id, pos, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY pos), 'root') AS parent,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM k
+    UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM c),
+n AS (SELECT key, min(conv_id) AS conv_id, max(pos)::BIGINT AS depth, min(parent) AS parent, count(*) AS n_convs, max(words) AS words
+    FROM p GROUP BY key),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+sub AS (SELECT DISTINCT a.key AS top, d.key FROM p AS a JOIN p AS d ON a.conv_id = d.conv_id AND d.pos >= a.pos),
+sums AS (SELECT top AS key, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+    FROM sub JOIN n USING (key) LEFT JOIN kids USING (key) GROUP BY top),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM
+    (SELECT conv_id, arg_max(key, pos) AS key FROM p GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+    sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key) LEFT JOIN n AS up ON up.key = n.parent""",
     "op9_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
     FROM documents),
