@@ -88,8 +88,7 @@ def unpack(data: bytes, size: int = 5) -> np.ndarray:
 def by_bucket(short: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Sorted short fingerprints: each bucket and where it lies."""
     buckets = (short >> np.uint64(REST)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(short) else np.zeros(0, np.int64)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(short)], strict=True):
+    for a, b in stretches(runs(buckets), len(short)):
         yield int(buckets[a]), slice(a, b)
 
 
@@ -118,3 +117,8 @@ def runs(*arrays: np.ndarray) -> np.ndarray:
         for a in arrays:
             fresh[1:] |= a[1:] != a[:-1]
     return np.flatnonzero(fresh)
+
+
+def stretches(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Begin and end of the stretches that begin at ``starts`` and fill ``size`` rows."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), size])) if len(starts) else []

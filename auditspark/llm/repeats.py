@@ -25,11 +25,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .blocks import DEALT, LAST, REST, is_in, per_group, per_pair, runs
+from .blocks import DEALT, is_in, per_group, per_pair, runs, stretches
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SHARD_BYTES = 1 << 18  # strings that are merged at once, about
@@ -214,7 +213,7 @@ def send_strings(table: pa.Table, answers: pa.Table, *, width: int, bits: int, b
     deal = (key >> np.uint64(40)).astype(np.int64) % buckets
     order = np.lexsort((key, deal))
     starts = runs(deal[order])
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+    for a, b in stretches(starts, len(order)):
         at = order[a:b]
         n = lens[at]
         data = text[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
@@ -353,7 +352,7 @@ def resolve(table: pa.Table, *, width: int) -> pa.Table:
         amount = np.cumsum(lens[order])
         batch = (np.append(amount[groups[1:] - 1], amount[-1]) - 1) // SHARD_BYTES  # whole groups of one key stay together
         cuts = groups[runs(batch)]
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        for a, b in stretches(cuts, len(order)):
             at = order[a:b]
             own, n = ids[at], lens[at]
             least = earliest(matrix_of(text, begins[at], n, longest), n, own, np.unique(shard[at], return_inverse=True)[1].astype(np.uint16), width)
@@ -370,7 +369,7 @@ def resolve(table: pa.Table, *, width: int) -> pa.Table:
             home = shard[at][who]
             turn = np.argsort(home, kind="stable")
             where = runs(home[turn])
-            for x, y in zip(where.tolist(), [*where[1:].tolist(), len(turn)], strict=True):
+            for x, y in stretches(where, len(turn)):
                 t = turn[x:y]
                 by_block.setdefault(numbers[home[t[0]]], []).append(_triples(rows[at][who[t]], begin[t], end[t]))
     return pa.table([pa.array(list(by_block), pa.int64()), pa.array([b"".join(v) for v in by_block.values()], pa.binary())], ["block", "done"])
