@@ -153,12 +153,12 @@ def deal_ranges(df: DataFrame, partition: Sequence[Column], keys: Sequence[Key],
 
 
 def with_running(df: DataFrame, keys: Sequence[Key], values: Mapping[str, Column], partition: Sequence[str] = (),
-                 ranges: int | None = None) -> DataFrame:
+                 ranges: int | None = None, borders: Borders | None = None) -> DataFrame:
     """Running sums in the whole order (per ``partition``), the row's own value included, as columns named like ``values``.
 
-    Nulls are values like others, in partitions too; no row is lost.
+    Nulls are keys like others, in partitions too; no row is lost.  ``borders`` of (partition, keys) can serve several calls.
     """
-    dealt = deal_ranges(df, [ref(p) for p in partition], keys, ranges)
+    dealt = deal_ranges(df, [ref(p) for p in partition], keys, ranges, borders)
     sofar = dealt.within().rowsBetween(Window.unboundedPreceding, 0)
     rows = dealt.rows.withColumns({f"__in_{n}": F.sum(v).over(sofar) for n, v in values.items()})
     earlier = dealt.before().rowsBetween(Window.unboundedPreceding, -1)

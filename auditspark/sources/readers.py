@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import presets
 from ..functions.text import TAIL, WHITESPACE, field, is_populated, ref, strip, text_of
-from ..operators.ordering import Key, with_position
+from ..operators.ordering import Key, with_position, with_running
 from ..operators.shape import canonical_headers, drop_blank_rows, expand_payload, with_message_ids
+from .split import json_elements, read_large_csv
 
 _DOCUMENT = "struct<value:array<string>,records:array<string>>"
 
@@ -27,13 +28,18 @@ def number_rows(df: DataFrame, path: Column, block: Column, name: str = "_Row")
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = "UTF-8",
-                   row_id: str | None = None, multi_line: bool = True) -> DataFrame:
+                   row_id: str | None = None, multi_line: bool = True, large: bool = False) -> DataFrame:
     """Header CSV or text, all values text; quoted line breaks need ``multi_line``.
 
-    Without line breaks inside values, ``multi_line=False`` lets Spark split large files.
+    Without line breaks inside values, ``multi_line=False`` lets Spark split large files.  ``large`` splits files with such
+    line breaks too; they have to be UTF-8 and double the quotes within values.
     """
     if sep not in (",", "\t", ";", "|"):
         raise ValueError("The delimiter must be one of , tab ; |")
+    if large:
+        if encoding.upper() not in ("UTF-8", "UTF8"):
+            raise ValueError("Only UTF-8 files are split at quoted line breaks")
+        return read_large_csv(spark, path, sep, row_id)
     df = (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').option("encoding", encoding).option("inferSchema", False)
           .csv(path))
@@ -100,6 +106,20 @@ def read_json_document(spark: SparkSession, path: str | Sequence[str], row_id: s
     return made.drop("__path", "__pos")
 
 
+def read_large_json(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None, tail: str = TAIL,
+                    ranges: int | None = None) -> DataFrame:
+    """S2 for large documents: the rows of ``read_json_document``, read by many tasks a file.
+
+    Files of lines are for ``read_json_lines``; here they fail the job like broken documents.
+    """
+    found = json_elements(spark, path, ranges)
+    if row_id:
+        sized = found.withColumn("__one", F.lit(1))
+        found = with_running(sized, [Key(F.col("__group")), Key(F.col("__pos"))], {row_id: F.col("__one")}, ["__path"])
+    own = [ref(row_id).cast("bigint").alias(row_id)] if row_id else []
+    return found.select(_record_fields(F.col("__record")).alias(tail), *own)
+
+
 def _json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path).select(
         F.col("value").alias("__line"), F.col("_metadata.file_path").alias("__f"),
@@ -114,27 +134,34 @@ def _is_json(text: Column) -> Column:
 
 def read_json_lines(spark: SparkSession, path: str | Sequence[str], row_id: str | None = None,
                     tail: str = TAIL, strict: bool = True) -> DataFrame:
-    """S3: one record per non-blank line; a bad line fails the job, or is left to ``bad_json_lines``."""
+    """S3: one record per non-blank line; a bad line fails the job with file and number, or is left to ``bad_json_lines``."""
     lines = _json_lines(spark, path).filter(F.btrim("__line", F.lit(WHITESPACE)) != "")
-    if strict:
-        checked = F.when(_is_json(F.col("__line")), F.col("__line")).otherwise(F.raise_error(
-            F.concat(F.lit("Invalid JSON line in "), F.col("__f"))).cast("string"))
-        lines = lines.withColumn("__line", checked)
-    else:
-        lines = lines.filter(_is_json(F.col("__line")))
-    made = lines.withColumn(tail, _record_fields(F.trim("__line")))
+    made = lines.filter(_is_json(F.col("__line"))).withColumn(tail, _record_fields(F.trim("__line")))
     if row_id:
         made = number_rows(made, F.col("__f"), F.col("__b"), row_id)
-    return made.drop("__line", "__f", "__b")
+    made = made.drop("__line", "__f", "__b")
+    if not strict:
+        return made
+    found = bad_json_lines(spark, path)
+    error = F.raise_error(F.concat(F.lit("Invalid JSON on line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))).cast("string")
+    failed = found.filter(error.isNotNull())  # a filter, so that no choice of columns leaves it out
+    return made.unionAll(failed.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema.fields]))
 
 
 def bad_json_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """S3: file, line number and text of the lines that are no JSON."""
-    lines = _json_lines(spark, path)
-    numbered = number_rows(lines, F.col("__f"), F.col("__b"), "line")
+    """S3: file, line number and text of the lines that are no JSON.
+
+    Lines are counted per file block; only bad ones meet these counts, so nothing else moves.
+    """
+    lines = _json_lines(spark, path).withColumn("__at", F.monotonically_increasing_id())
+    blocks = lines.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    earlier = Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("__f").alias("file"), F.col("__b").alias("__block"), "__first",
+                           F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     text = F.col("__line")
-    return (numbered.filter((F.btrim(text, F.lit(WHITESPACE)) != "") & ~_is_json(text))
-            .select(F.col("__f").alias("file"), "line", text.alias("text")))
+    bad = lines.filter((F.btrim(text, F.lit(WHITESPACE)) != "") & ~_is_json(text))
+    return (bad.join(blocks, (F.col("__f") == F.col("file")) & (F.col("__b") == F.col("__block")))
+            .select("file", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line"), text.alias("text")))
 
 
 def read_activity(df: DataFrame, payload: str = "AuditData", *, tail: str = TAIL,

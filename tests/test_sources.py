@@ -2,6 +2,7 @@ import csv
 import glob
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def test_json_lines(spark, tmp_path):
     open(path, "a").write("{bad\n")
     assert [(r["line"], r["text"]) for r in readers.bad_json_lines(spark, path).collect()] == [(5, "{bad")]
     assert readers.read_json_lines(spark, path, strict=False).count() == 3
-    with pytest.raises(Exception, match="Invalid JSON line"):
+    with pytest.raises(Exception, match="Invalid JSON on line 5 of"):
         readers.read_json_lines(spark, path).collect()
 
 
@@ -195,3 +196,68 @@ def test_client_table(spark, tmp_path):
     writers.write_client_table(readers.read_delimited(spark, str(path)), str(tmp_path / "out"))
     assert lines(tmp_path / "out") == [{"Name": "Alice", "Country": "Canada"}, {"Name": "=2+2", "Country": "US"}]
     assert writers.remember_columns(["a", "b"], ["c", "a"]) == ["a", "b", "c"]
+
+
+def awkward(rnd, n):
+    return rnd.choice([{"a": n, "b": {"c": [1, {"d": "}"}]}, "t": 'x"}],[{"\\'}, {"a": "\\\"value\": [ }"}, 7, "s,}", [1, [2, {"q": 3}]], None, True,
+                       {"z": "é\n ", "value": [1]}, {}])
+
+
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_documents_equal_whole_files(spark, tmp_path, small_blocks):
+    rnd = random.Random(6)
+    items = [awkward(rnd, n) for n in range(80)]
+    documents = [items, {"m": {"value": [{"x": 1}]}, "value": items, "next": {"records": [1], "k": {"l": 2}}}, {"records": items},
+                 {"records": [{"a": 1}], "value": items[:9]}, {"m": items, "n": {"value": items}}, [], [1, 2], {"value": []}, {}]
+    styles = [{"indent": 1}, {}, {"separators": (",", ":"), "ensure_ascii": False}]
+    for k, document in enumerate(documents):
+        for i, style in enumerate(styles):
+            mark, end = ("\ufeff", "") if i == 1 else ("", "\n" * (i == 0))
+            (tmp_path / f"{k}_{i}.json").write_text(mark + json.dumps(document, **style) + end)
+    path = str(tmp_path)
+    whole = sorted((r["_Row"], sorted(r["fields"].items())) for r in readers.read_json_document(spark, path, row_id="_Row").collect())
+    split = sorted((r["_Row"], sorted(r["fields"].items())) for r in readers.read_large_json(spark, path, row_id="_Row", ranges=7).collect())
+    assert split == whole and len(whole) > 700
+    assert spark.read.option("lineSep", "}").text(f"{path}/0_0.json").rdd.getNumPartitions() >= 4  # one file, several tasks
+
+
+@pytest.mark.parametrize("text", ['[{"a":1},', "7", '[{"a":1}{"b":2}]', '{"value":3}', '{"a":1}\n{"b":2}', "[1] x"])
+def test_broken_large_documents_fail(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="JSON.*bad.json"):
+        readers.read_large_json(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_large_quoted_files_equal_whole_files(spark, tmp_path, small_blocks):
+    rnd = random.Random(2)
+    rows = [[rnd.choice(["a", "x\ny", 'q"u"o', "", ", ,", "line\n\nend", "é"]) for _ in range(4)] for _ in range(300)]
+    for name, eol in (("a", "\n"), ("b", "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=eol)
+            writer.writerow(["A", "B", "c.d", "E"])
+            writer.writerows(rows)
+    path = str(tmp_path)
+    whole, split = readers.read_delimited(spark, path), readers.read_delimited(spark, path, large=True)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) and split.columns == whole.columns
+    assert spark.read.text(path).rdd.getNumPartitions() > 8
+    numbered = readers.read_delimited(spark, f"{path}/a.csv", large=True, row_id="n").orderBy("n").collect()
+    assert [list(r)[:4] for r in numbered] == rows and [r["n"] for r in numbered] == list(range(1, 301))
+
+
+def test_bad_line_in_the_last_block(spark, tmp_path, small_blocks):
+    lines = [json.dumps({"a": n}) if n % 7 else "" for n in range(900)]
+    (tmp_path / "l.jsonl").write_text("\n".join([*lines, "{bad", "{}"]))
+    (tmp_path / "ok.jsonl").write_text("\n".join(lines))
+    assert [r["line"] for r in readers.bad_json_lines(spark, str(tmp_path)).collect()] == [901]
+    for action in ("count", "collect"):
+        with pytest.raises(Exception, match="Invalid JSON on line 901 of .*l.jsonl"):
+            getattr(readers.read_json_lines(spark, str(tmp_path)), action)()
+    assert readers.read_json_lines(spark, str(tmp_path / "ok.jsonl")).count() == sum(bool(x) for x in lines)
