@@ -2,6 +2,8 @@
 
 Nesting is followed level by level inside one row with array functions, so no payload is
 shuffled.  The opening brackets of a text bound its levels; the walk ends at the last one.
+Members are read from the text itself, so they keep the order of the document and numbers
+their fractions (``1.0``); VARIANT, which sorts members, only tells the kinds of values.
 """
 
 from __future__ import annotations
@@ -16,15 +18,60 @@ from .text import let, strip
 _MESSAGES = "array<struct<message_id:string,subject:string,size:string>>"
 
 
+def _json_literals(c: Column) -> Column:
+    for bare, proper in (("None", "null"), ("True", "true"), ("False", "false")):
+        c = F.regexp_replace(c, rf"(?<=[:,\[\s]){bare}(?=\s*[,}}\]])", proper)
+    return c
+
+
 def parse_payload(c: Column) -> Column:
     """JSON text -> VARIANT; NULL when unreadable.
 
     Text quoted with single quotes and bare literals is read too.
     """
-    literals = c
-    for bare, proper in (("None", "null"), ("True", "true"), ("False", "false")):
-        literals = F.regexp_replace(literals, rf"(?<=[:,\[\s]){bare}(?=\s*[,}}\]])", proper)
-    return F.coalesce(F.try_parse_json(c), F.from_json(c, "variant"), F.from_json(literals, "variant"))
+    return F.coalesce(F.try_parse_json(c), F.from_json(c, "variant"), F.from_json(_json_literals(c), "variant"))
+
+
+def normal_text(c: Column) -> Column:
+    """The same JSON without blanks, in double quotes and with its members in order; NULL when unreadable."""
+    def read(text: Column) -> Column:
+        return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>")["v"]
+
+    return F.coalesce(read(c), read(_json_literals(c)))
+
+
+_MEMBERS = "array<struct<key:string,text:string,kind:string>>"
+
+
+def _kind(v: Column) -> Column:
+    return F.when(as_object(v).isNotNull(), "object").when(as_list(v).isNotNull(), "list").otherwise("")
+
+
+def members(text: Column) -> Column:
+    """(key, text, kind) of the members of a JSON object, in order; of several with one key the last counts, in the place of the first.
+
+    Strings are unescaped, other values are JSON text, null is NULL; the kind is ``object``, ``list`` or blank.
+    """
+    entries = F.map_entries(F.from_json(text, "map<string,string>"))
+    kinds = F.map_values(F.from_json(text, "map<string,variant>"))
+
+    def typed(all_: Column) -> Column:
+        plain = F.transform(all_, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"), F.lit("").alias("kind")))
+        looked = F.zip_with(all_, kinds, lambda e, v: F.struct(e["key"].alias("key"), e["value"].alias("text"), _kind(v).alias("kind")))
+        return F.when(F.exists(all_, lambda e: e["value"].rlike(r"^[\[{]")), looked).otherwise(plain)
+
+    def last(all_: Column) -> Column:
+        return let(F.array_distinct(F.transform(all_, lambda m: m["key"])), lambda keys: F.when(
+            F.size(keys) == F.size(all_), all_).otherwise(F.transform(keys, lambda k: F.element_at(F.filter(all_, lambda m: m["key"] == k), -1))))
+
+    return let(entries, lambda all_: F.when(all_.isNotNull(), let(typed(all_).cast(_MEMBERS), last)))
+
+
+def items(text: Column) -> Column:
+    """The same for the elements of a JSON list; their keys are blank."""
+    kinds = F.from_json(text, "array<variant>")
+    return F.zip_with(F.from_json(text, "array<string>"), kinds, lambda t, v: F.struct(
+        F.lit("").alias("key"), t.alias("text"), _kind(v).alias("kind"))).cast(_MEMBERS)
 
 
 def as_object(v: Column) -> Column:
@@ -35,35 +82,31 @@ def as_list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def scalar_text(v: Column) -> Column:
-    """Scalars as text, JSON null as blank, lists as JSON text."""
-    return F.coalesce(v.cast("string"), F.lit(""))
-
-
 def _levels(text: Column) -> Column:
     """At least one number for every level below the root of a JSON text."""
     brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
     return F.sequence(F.lit(0), F.greatest(brackets, F.lit(0)))
 
 
-def flatten_entries(v: Column, text: Column) -> Column:
-    """R2: (dotted path, value) of every leaf of ``v``, whose JSON text is ``text``.
+def flatten_texts(c: Column) -> Column:
+    """R2: (dotted path, text) of every leaf of a JSON text, in document order.  NULL when it is no object.
 
-    Lists are leaves, empty objects leave nothing.  Every value is looked into once, when its object is opened.
+    Lists are leaves, JSON null is blank, empty objects leave nothing.  Every object is opened once.
     """
-    def entry(path: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"), as_object(value).alias("inside"))
-
-    def opened(prefix: Column | None, inside: Column) -> Column:
-        return F.transform(F.map_entries(inside), lambda e: entry(
-            e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"]), e["value"]))
+    def opened(prefix: Column | None, text: Column) -> Column:
+        return F.transform(members(text), lambda m: F.struct(
+            (m["key"] if prefix is None else F.concat(prefix, F.lit("."), m["key"])).alias("path"),
+            F.coalesce(m["text"], F.lit("")).alias("text"), (m["kind"] == "object").alias("deep")))
 
     def step(entries: Column, _: Column) -> Column:
-        deeper = F.flatten(F.transform(entries, lambda e: F.when(
-            e["inside"].isNotNull(), opened(e["path"], e["inside"])).otherwise(F.array(e))))
-        return F.when(F.exists(entries, lambda e: e["inside"].isNotNull()), deeper).otherwise(entries)
+        deeper = F.flatten(F.transform(entries, lambda e: F.when(e["deep"], opened(e["path"], e["text"])).otherwise(F.array(e))))
+        return F.when(F.exists(entries, lambda e: e["deep"]), deeper).otherwise(entries)
+
+    def walked(text: Column) -> Column:
+        return let(opened(None, text), lambda start: F.when(start.isNotNull(), F.aggregate(_levels(text), start, step)))
 
-    return let(opened(None, as_object(v)), lambda start: F.when(start.isNotNull(), F.aggregate(_levels(text), start, step)))
+    leaves = let(F.when(F.ltrim(c).startswith("{"), normal_text(c)), walked)
+    return F.transform(leaves, lambda e: F.struct(e["path"].alias("path"), e["text"].alias("text")))
 
 
 def map_of_last(entries: Column, key: str, value: str) -> Column:
@@ -77,29 +120,25 @@ def map_of_last(entries: Column, key: str, value: str) -> Column:
     return let(entries, lambda all_: F.when(all_.isNotNull(), build(all_)))
 
 
-def leaf(v: Column, path: str) -> Column:
-    """One leaf of R2 by its dotted path, without flattening the rest.
+def leaf(v: Column, text: Column, path: str) -> Column:
+    """One leaf of R2 by its dotted path, without flattening the rest; ``v`` is the VARIANT of ``text``.
 
     NULL where there is no such leaf or it is an object, blank for JSON null.
     """
     def at(place: str) -> Column:
         value = F.try_variant_get(v, place, "variant")
         inside = F.try_variant_get(v, place, "map<string,variant>")
-        return F.when(value.isNotNull() & inside.isNull(), F.coalesce(
-            F.try_variant_get(v, place, "string"), F.lit("")))
+        plain = F.try_variant_get(v, place, "string")
+        number = F.try_variant_get(v, place, "double").isNotNull() | plain.startswith("[")  # VARIANT writes these anew
+        return F.when(value.isNotNull() & inside.isNull(), F.coalesce(F.when(number, F.get_json_object(text, place)), plain, F.lit("")))
 
     nested = at("$" + "".join(f"['{part}']" for part in path.split(".")))
     return F.coalesce(nested, at(f"$['{path}']")) if "." in path else nested
 
 
-def flatten_texts(v: Column, text: Column) -> Column:
-    """R2 as an array of (path, text).  NULL when the payload is no object."""
-    return F.transform(flatten_entries(v, text), lambda e: F.struct(e["path"].alias("path"), scalar_text(e["value"]).alias("text")))
-
-
-def flatten_map(v: Column, text: Column) -> Column:
+def flatten_map(c: Column) -> Column:
     """R2 as one MAP: path -> text; of leaves with one path the last counts.  NULL when the payload is no object."""
-    return map_of_last(flatten_texts(v, text), "path", "text")
+    return map_of_last(flatten_texts(c), "path", "text")
 
 
 def named_properties(c: Column) -> Column:
@@ -133,43 +172,39 @@ def property_details(properties: Column, noise: list[str]) -> Column:
     return F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
 
 
-def _message(m: Column) -> Column:
+def _message(own: Column) -> Column:
+    """A message from the members of its object; names count without regard to case, the last one."""
     def text(name: str) -> Column:
-        return F.coalesce(F.get(F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name), 0)["value"]
-                          .cast("string"), F.lit(""))
+        named = F.filter(own, lambda m: F.lower(m["key"]) == name)
+        return F.coalesce(F.try_element_at(named, F.lit(-1))["text"], F.lit(""))
     return F.struct(format_message_id(text("internetmessageid")).alias("message_id"),
                     strip(text("subject")).alias("subject"), strip(text("sizeinbytes")).alias("size"))
 
 
-def nested_messages(v: Column, text: Column) -> Column:
-    """Every object of a payload that carries a message id, at any depth, in document order.
+def nested_messages(text: Column) -> Column:
+    """Every object of a JSON text that carries a message id, at any depth, in document order.  ``text`` comes from ``normal_text``."""
+    node = f"struct<place:string,key:string,members:{_MEMBERS}>"
+    none = F.array().cast(_MEMBERS)
 
-    Keys of one object are visited in alphabetical order, list members in list order.
-    """
-    node = "array<struct<place:string,value:variant>>"
-    root = F.array(F.struct(F.lit("").alias("place"), v.alias("value"))).cast(node)
+    def at(place: Column, inner: Column, kind: Column) -> Column:
+        """A node: its place in the document, its kind, and its members."""
+        own = F.when(kind == "object", members(inner)).when(kind == "list", items(inner)).otherwise(none)
+        return F.struct(place.alias("place"), kind.alias("key"), F.coalesce(own, none).alias("members")).cast(node)
 
     def children(n: Column) -> Column:
-        members = F.coalesce(as_list(n["value"]), F.map_values(as_object(n["value"])),
-                             F.array().cast("array<variant>"))
-        return F.transform(members, lambda m, i: F.struct(
-            F.concat(n["place"], F.lpad(i.cast("string"), 10, "0"), F.lit("/")).alias("place"),
-            m.alias("value"))).cast(node)
+        placed = F.transform(n["members"], lambda m, i: F.struct(i.alias("i"), m.alias("m")))
+        deep = F.filter(placed, lambda p: p["m"]["kind"] != "")
+        return F.transform(deep, lambda p: at(F.concat(n["place"], F.lpad(p["i"].cast("string"), 10, "0"), F.lit("/")), p["m"]["text"], p["m"]["kind"]))
 
     def step(state: Column, _: Column) -> Column:
         lower = let(F.flatten(F.transform(state["edge"], children)), lambda edge: F.struct(
             F.concat(state["seen"], edge).alias("seen"), edge.alias("edge")))
         return F.when(F.size(state["edge"]) > 0, lower).otherwise(state)
 
-    nodes = F.aggregate(_levels(text), F.struct(root.alias("seen"), root.alias("edge")), step)["seen"]
-
-    def carries_id(m: Column) -> Column:
-        return F.exists(F.map_keys(m), lambda k: F.lower(k) == "internetmessageid")
-
-    found = F.filter(F.transform(nodes, lambda n: F.struct(n["place"].alias("place"),
-                                                           as_object(n["value"]).alias("object"))),
-                     lambda n: F.coalesce(carries_id(n["object"]), F.lit(False)))
-    messages = F.transform(found, lambda n: F.struct(n["place"].alias("place"), _message(n["object"]).alias("m")))
+    root = F.array(at(F.lit(""), text, F.when(text.startswith("{"), "object").when(text.startswith("["), "list").otherwise("")))
+    nodes = let(root, lambda first: F.aggregate(_levels(text), F.struct(first.alias("seen"), first.alias("edge")), step)["seen"])
+    found = F.filter(nodes, lambda n: (n["key"] == "object") & F.exists(n["members"], lambda m: F.lower(m["key"]) == "internetmessageid"))
+    messages = F.transform(found, lambda n: F.struct(n["place"].alias("place"), _message(n["members"]).alias("m")))
     return F.transform(F.array_sort(messages), lambda n: n["m"]).cast(_MESSAGES)
 
 
@@ -189,7 +224,7 @@ def messages_by_pattern(c: Column) -> Column:
 def messages_of_text(c: Column) -> Column:
     """Messages inside one text column: JSON where it reads as JSON, the pattern otherwise."""
     text = strip(c)
-    nested = let(parse_payload(text), lambda v: F.when(v.isNotNull(), nested_messages(v, text)))
+    nested = let(normal_text(text), lambda plain: F.when(plain.isNotNull(), nested_messages(plain)))
     looks_nested = text.rlike(r"^[\[{]")
     found = F.when(looks_nested, F.coalesce(nested, messages_by_pattern(text))).otherwise(messages_by_pattern(text))
     return F.when(F.lower(c).contains("internetmessageid"), found).otherwise(F.array().cast(_MESSAGES))

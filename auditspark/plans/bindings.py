@@ -758,11 +758,16 @@ def populated_view(spark, sf_dir):
     return shape.select_columns(df, available=names, default=9).withColumnRenamed("Review.Tag", "tag")
 
 
+def _customer_nations(spark, sf_dir) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
 @query
 def domain_registration(spark, sf_dir):
-    """R21."""
-    nation = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey").cast("string")
+    """Registrations that customers hold."""
+    nation = _customer_nations(spark, sf_dir)
+    key = F.col("c_custkey").cast("string")
     text = F.concat(
         F.lit('{"ldhName":"'), F.upper("n_name"), F.lit('.COM","status":["active","'), key, F.lit('"],"events":['),
         F.lit('{"eventAction":"Registration","eventDate":"19'), F.lpad(key, 2, "0"), F.lit('-01-01T00:00:00Z"},'),
@@ -790,8 +795,8 @@ def word_readings(spark, sf_dir):
     """R27, R29."""
     word = F.element_at(F.array(F.lit(" Yes"), F.lit("0"), F.lit("TRUE "), F.lit("maybe"), F.lit("no")),
                         (F.col("n_regionkey") + 1))
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey", truthy(word).alias("is_true"), falsey(word).alias("is_false"),
+    return _customer_nations(spark, sf_dir).select(
+        "c_custkey", truthy(word).alias("is_true"), falsey(word).alias("is_false"),
         country_key(F.when(F.col("n_regionkey") == 0, "U.S.A.").otherwise(F.col("n_name"))).alias("country"),
         compact(F.col("n_name")).alias("compact"))
 

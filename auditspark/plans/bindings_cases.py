@@ -23,7 +23,7 @@ def _events(spark, sf_dir) -> DataFrame:
 
 @query
 def payload_collisions(spark, sf_dir):
-    """Leaves that share a path, and a leaf that takes the name another one is moved to."""
+    """Leaves that share a path, and a leaf with the name that one before it is moved to."""
     text = F.concat(F.lit('{"a":{"b":'), F.col("k").cast("string"), F.lit('},"a.b":"last","Operation":"inner","AuditData.Operation":'),
                     F.col("user_id").cast("string"), F.lit("}"))
     df = _events(spark, sf_dir).select(F.col("event_id").alias("_Row"), F.col("event_type").alias("Operation"), text.alias("AuditData"))
@@ -32,7 +32,39 @@ def payload_collisions(spark, sf_dir):
                        F.col("fields")["AuditData.Operation"].isin("inner", "last").alias("moved"))
 
 
-SQL["payload_collisions"] = """SELECT event_id AS _Row, event_type AS "Operation", 'last' AS a_b, 2::BIGINT AS leaves, true AS moved FROM events"""
+SQL["payload_collisions"] = """SELECT event_id AS _Row, event_type AS "Operation", 'last' AS a_b, 3::BIGINT AS leaves, true AS moved FROM events"""
+
+
+@query
+def payload_order(spark, sf_dir):
+    """Leaves in the order of the document, numbers with their fractions; of repeated members the last."""
+    number = F.concat((F.col("k") % 9).cast("string"), F.lit(".0"))
+    text = F.concat(F.lit('{"Zone":'), number, F.lit(',"Actor": {"Type":"t'), F.col("user_id").cast("string"), F.lit('", "Id":'), number,
+                    F.lit(',"Inner":{"B":1,"A":"{\\"x\\":2}"}}, "Gone":{"x":1}, "Beta":['), number, F.lit(', {"y":1,"x":2}],"Alpha":null, "Gone":"'),
+                    F.col("event_type"), F.lit('"}'))
+    leaves = payload.flatten_texts(text)
+    return _events(spark, sf_dir).select("event_id", F.array_join(F.transform(leaves, lambda e: e["path"]), "|").alias("paths"),
+                                         F.array_join(F.transform(leaves, lambda e: e["text"]), "|").alias("texts"))
+
+
+SQL["payload_order"] = f"""WITH e AS (SELECT event_id, user_id, event_type, ({K} % 9)::VARCHAR || '.0' AS n FROM events)
+    SELECT event_id, 'Zone|Actor.Type|Actor.Id|Actor.Inner.B|Actor.Inner.A|Gone|Beta|Alpha' AS paths,
+      n || '|t' || user_id || '|' || n || '|1|{{"x":2}}|' || event_type || '|[' || n || ',{{"y":1,"x":2}}]|' AS texts FROM e"""
+
+
+@query
+def message_order(spark, sf_dir):
+    """The first subject and size in the order of the document, whatever its members are called."""
+    key = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("@mail.example.com"))
+    text = F.concat(F.lit('{"Zulu":{"Subject":"'), F.col("role"), F.lit('","InternetMessageId":"'), key, F.lit('"},"Mike":[{"SizeInBytes":'),
+                    F.length("text").cast("string"), F.lit('.5,"internetMessageID":"'), key, F.lit('","Alpha":{"Subject":"inner","InternetMessageId":"'),
+                    key, F.lit('"}}],"Bravo":{"SizeInBytes":1.0,"Subject":"late","InternetMessageId":"'), key, F.lit('"}}'))
+    df = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("_Row"), text.alias("Folders"))
+    return shape.unique_messages(shape.message_pairs(df), include_size=True)
+
+
+SQL["message_order"] = """WITH t AS (SELECT 'c' || conv_id || '@mail.example.com' AS id, arg_min(role, turn) AS role, arg_min(length(text), turn) AS n
+    FROM conversations GROUP BY conv_id) SELECT '<' || id || '>' AS "InternetMessageId", role AS "Subject", n || '.5' AS "SizeInBytes" FROM t"""
 
 
 def _audit_records(spark, sf_dir) -> DataFrame:

@@ -430,16 +430,16 @@ SQL = {
         ukey AS "UserKey", ip4 || ':443' AS "ClientIP", load AS "Workload", event_type AS "RecordType", _Row AS "__RowId",
         tag IS NOT NULL AS "__Tagged" FROM records WHERE event_type = 'view'""",
     "domain_registration": """SELECT lower(n_name) AS "Domain", lower(n_name) || '.com' AS "RegisteredDomain",
-        CASE WHEN n_regionkey = 1 THEN 'Reg ' || n_nationkey WHEN n_regionkey < 3 THEN 'Org, Unit' ELSE 'H' || n_nationkey END AS "Registrar",
-        '19' || lpad(n_nationkey::VARCHAR, 2, '0') || '-01-01T00:00:00Z' AS "RegistrationDate", '' AS "ExpirationDate",
-        '' AS "LastChangedDate", 'active; ' || n_nationkey AS "Status", 'ns1.x; ns2.x' AS "NameServers",
+        CASE WHEN n_regionkey = 1 THEN 'Reg ' || c_custkey WHEN n_regionkey < 3 THEN 'Org, Unit' ELSE 'H' || c_custkey END AS "Registrar",
+        '19' || lpad(c_custkey::VARCHAR, 2, '0') || '-01-01T00:00:00Z' AS "RegistrationDate", '' AS "ExpirationDate",
+        '' AS "LastChangedDate", 'active; ' || c_custkey AS "Status", 'ns1.x; ns2.x' AS "NameServers",
         CASE WHEN n_regionkey = 0 THEN 'Signed' ELSE 'Unsigned' END AS "DNSSEC", 'Success' AS "Lookup_Status", 'RDAP' AS "Provider",
-        '' AS "Error" FROM nation""",
+        '' AS "Error" FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "text_renderings": f"""SELECT doc_id, CASE WHEN lang = 'en' OR trim(source) = '' THEN {short('text')} ELSE source END AS shown,
         {short('text', 40)} AS short, CASE WHEN lang = 'en' THEN '  ' ELSE source END AS as_text FROM documents""",
-    "word_readings": """SELECT n_nationkey, n_regionkey IN (0, 2) AS is_true, n_regionkey IN (1, 4) AS is_false,
+    "word_readings": """SELECT c_custkey, n_regionkey IN (0, 2) AS is_true, n_regionkey IN (1, 4) AS is_false,
         CASE WHEN n_regionkey = 0 THEN 'unitedstates' ELSE regexp_replace(lower(n_name), '[^a-z]', '', 'g') END AS country,
-        regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS compact FROM nation""",
+        regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS compact FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "parsed_times": f"WITH {TIME_TEXTS} SELECT _Row, us AS micros, coalesce(us, slashed) AS sort_micros FROM texts",
     "sort_time": positions(TIME_TEXTS, "CASE WHEN trim(t) = '' THEN 2 WHEN coalesce(us, slashed) IS NULL THEN 1 ELSE 0 END, coalesce(us, slashed) DESC, CASE WHEN coalesce(us, slashed) IS NULL THEN t END DESC, _Row"),
     "sort_number": positions("""texts AS (SELECT o_orderkey AS _Row, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority || '?'

@@ -74,7 +74,7 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_no_shuffle_where_a_row_is_enough(spark):
-    for name in ("message_subjects", "flatten_props", "rule_details", "login_details", "mail_details", "message_ids",
+    for name in ("payload_order", "message_subjects", "flatten_props", "rule_details", "login_details", "mail_details", "message_ids",
                  "narrative_trace", "filter_alias"):
         assert "Exchange" not in plan_of(queries()[name](spark, DATA)), name
 

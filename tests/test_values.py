@@ -90,15 +90,30 @@ def test_mail_texts(spark):
 def test_flatten_keeps_every_leaf(spark):
     doc = {"A": {"B": 1, "C": [{"x": 1}], "E": {}, "F": {"G": {"H": "deep"}}}, "D": None, "T": True, "U": "é"}
     df = spark.createDataFrame([(json.dumps(doc),), ("[1]",), ("bad",)], "v string")
-    parsed = df.withColumn("p", payload.parse_payload(F.col("v")))
-    got = [r["m"] for r in parsed.select(payload.flatten_map(F.col("p"), F.col("v")).alias("m")).collect()]
+    got = [r["m"] for r in df.select(payload.flatten_map(F.col("v")).alias("m")).collect()]
     assert got == [{"A.B": "1", "A.C": '[{"x":1}]', "A.F.G.H": "deep", "D": "", "T": "true", "U": "é"}, None, None]
 
 
 def test_long_and_bracketed_strings(spark):
     doc = {"a": "x\\n\"[{" * 2000, "b": {"c": {"d": "]]"}}}
-    df = spark.createDataFrame([(json.dumps(doc),)], "v string").withColumn("p", payload.parse_payload(F.col("v")))
-    assert df.select(payload.flatten_map(F.col("p"), F.col("v")).alias("m")).first()["m"] == {"a": doc["a"], "b.c.d": "]]"}
+    df = spark.createDataFrame([(json.dumps(doc),)], "v string")
+    assert df.select(payload.flatten_map(F.col("v")).alias("m")).first()["m"] == {"a": doc["a"], "b.c.d": "]]"}
+
+
+def test_members_keep_order_and_numbers(spark):
+    doc = ('{"z": 1.0, "a": {"y": 2.50, "b": [1.0, {"q": 1, "c": 2}], "x": "{\\"k\\":1}"}, "s": "[1]", "n": null, "z2": {"n": {"m": 10.0}}, '
+           '"r": {"x": 1}, "r": {"w": 2}, "big": 12345678901234567890}')
+    df = spark.createDataFrame([(doc,), ("{'b': True, 'a': {'d': None, 'c': 'x'}}",), ('{"a":1} x',)], "v string")
+    got = [[tuple(e) for e in r["m"]] if r["m"] is not None else None for r in df.select(payload.flatten_texts(F.col("v")).alias("m")).collect()]
+    assert got == [[("z", "1.0"), ("a.y", "2.5"), ("a.b", '[1.0,{"q":1,"c":2}]'), ("a.x", '{"k":1}'), ("s", "[1]"), ("n", ""), ("z2.n.m", "10.0"),
+                    ("r.w", "2"), ("big", "12345678901234567890")], [("b", "true"), ("a.d", ""), ("a.c", "x")], None]
+
+
+def test_first_subject_and_size_in_document_order(spark):
+    doc = ('{"Z":{"SizeInBytes":7,"InternetMessageId":"a@b","Subject":"first"},"A":[{"Subject":"second","InternetMessageId":"a@b"},'
+           '{"internetmessageid":"<c@d>","subject":"old","Subject":"new","B":{"InternetMessageId":"e@f"},"A":{"InternetMessageId":"g@h"}}]}')
+    df = spark.createDataFrame([(doc,)], "v string").select(payload.messages_of_text(F.col("v")).alias("m"))
+    assert [tuple(m) for m in df.first()["m"]] == [("<a@b>", "first", "7"), ("<a@b>", "second", ""), ("<c@d>", "new", ""), ("<e@f>", "", ""), ("<g@h>", "", "")]
 
 
 def test_named_properties(spark):
