@@ -19,6 +19,8 @@ from ..functions.mail import email_domains, parent_domains
 from ..functions.network import classify_ip, ip_key, is_global, normalize_ip
 from ..functions.predicates import header_key
 from ..functions.text import TAIL, ref, strip, text_of
+from .ordering import Key, with_position, with_running
+
 
 def spread_missing(df: DataFrame, key: Column, row_id: str | None) -> Column:
     """The key, or for a missing one a text that matches nothing and differs between rows."""
@@ -218,30 +220,74 @@ def match_services(df: DataFrame, domain: str, services: DataFrame, *, service:
 
 def match_networks(df: DataFrame, ip: str, networks: DataFrame, *, cidr: str = "cidr", label: str = "label",
                    position: str = "position", name: str = "network", row_id: str | None = None) -> DataFrame:
-    """J9 for a table of ranges: an address is compared by its prefixes, an equi join, not by BETWEEN.
+    """J9 for a table of networks; the first listed one that holds the address wins."""
+    base = _bits(ip_key(F.substring_index(ref(cidr), "/", 1)))
+    length = F.substring_index(ref(cidr), "/", -1).cast("int") + 1  # after the mark of the address family
+    sides = networks.select(F.rpad(F.substring(base, F.lit(1), length), F.length(base), F.lit("0")).alias("__low"),
+                            F.rpad(F.substring(base, F.lit(1), length), F.length(base), F.lit("1")).alias("__high"),
+                            ref(label).alias("__label"), ref(position).alias("__at"))
+    return _in_ranges(df, ip, sides, name, row_id)
+
+
+def match_ranges(df: DataFrame, ip: str, ranges: DataFrame, *, low: str = "low", high: str = "high", label: str = "label",
+                 position: str = "position", name: str = "range", row_id: str | None = None) -> DataFrame:
+    """J9 for a table of ranges from one canonical address to another, ends included; the first listed one that holds
+    the address wins.  Ranges that end before they begin, or in the other address family, hold nothing."""
+    sides = ranges.select(_bits(ip_key(ref(low))).alias("__low"), _bits(ip_key(ref(high))).alias("__high"),
+                          ref(label).alias("__label"), ref(position).alias("__at"))
+    return _in_ranges(df, ip, sides.where(F.length("__low") == F.length("__high")), name, row_id)
+
+
+def _bits(key: Column) -> Column:
+    """A hexadecimal address key as binary digits behind the mark of its family, so that texts sort like addresses."""
+    digits = F.array_join(F.transform(F.split(key, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+    return F.concat(F.when(F.length(key) == 8, "4").otherwise("6"), digits)
 
-    The lengths in use (at most 33 + 129 numbers) come from the table; the first listed range wins.
-    """
-    base = ip_key(F.substring_index(ref(cidr), "/", 1))
-    length = F.substring_index(ref(cidr), "/", -1).cast("int")
-    ranges = networks.select(_prefix(base, length).alias("__key"), ref(label).alias("__label"),
-                             ref(position).alias("__at"), (F.length(base) * 4).alias("__width"),
-                             length.alias("__length"))
-    lengths = sorted((r["__width"], r["__length"]) for r in ranges.select("__width", "__length").distinct().collect())
+
+def _in_ranges(df: DataFrame, ip: str, sides: DataFrame, name: str, row_id: str | None) -> DataFrame:
+    """Every different address meets the one segment that it lies in; rows meet their address."""
+    segments = range_segments(sides.where("__low is not null and __high is not null"))
     addresses = df.select(ref(ip).alias("__ip")).filter(F.col("__ip").isNotNull()).distinct()
-    keyed = addresses.withColumn("__hex", ip_key(F.col("__ip")))
-    options = [F.when(F.length("__hex") * 4 == w, _prefix(F.col("__hex"), F.lit(n))) for w, n in lengths]
-    candidates = keyed.select("__ip", F.explode(F.array_compact(F.array(*options))).alias("__key"))
-    best = (candidates.join(ranges.select("__key", "__label", "__at"), "__key")
-            .groupBy("__ip").agg(F.min_by("__label", "__at").alias("__label")))
+    points = addresses.select("__ip", _bits(ip_key(F.col("__ip"))).alias("__place"), F.lit(1).alias("__side"),
+                              F.lit(None).cast(segments.schema["__found"].dataType).alias("__found"))
+    merged = segments.select(F.lit(None).cast("string").alias("__ip"), "__place", "__side", "__found").unionAll(points.where("__place is not null"))
+    placed = with_running(merged, [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__ip"))],
+                          {"__last": F.when(F.col("__ip").isNull(), F.struct("__place", "__side", "__found"))}, greatest=True)
+    best = placed.where("__ip is not null").select("__ip", F.col("__last.__found.__label").alias("__label"))
     return (df.withColumn("__ip", spread_missing(df, ref(ip), row_id)).join(best, "__ip", "left")
             .withColumn(name, F.col("__label")).drop("__ip", "__label"))
 
 
-def _prefix(key: Column, length: Column) -> Column:
-    """Leading bits of a hexadecimal key, with their number."""
-    digits = F.array_join(F.transform(F.split(key, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
-    return F.concat(F.length(key).cast("string"), F.lit("/"), F.substring(digits, F.lit(1), length))
+def range_segments(sides: DataFrame) -> DataFrame:
+    """Ranges that may overlap, as segments that do not: (__place, __side, __found) in their order, each up to the next one.
+
+    ``__side`` is 0 where a segment begins with the place and 2 where it begins behind it; ``__found`` is the first listed
+    range (__at, __label) that holds the segment, or null.  Each range goes to the few nodes of a binary tree over the
+    segments that make it up, and each segment asks the nodes above it: equi joins, and a row for each range and level.
+    """
+    cuts = sides.select(F.col("__low").alias("__place"), F.lit(0).alias("__side")).unionAll(
+        sides.select(F.col("__high"), F.lit(2))).distinct()
+    numbered = with_position(cuts, [Key(F.col("__place")), Key(F.col("__side"))], "__number")
+    starts = numbered.where("__side = 0").select(F.col("__place").alias("__low"), F.col("__number").alias("__first"))
+    ends = numbered.where("__side = 2").select(F.col("__place").alias("__high"), (F.col("__number") - 1).alias("__last"))
+    levels = (2 * sides.count() + 1).bit_length()
+    node = "array<struct<level:int,at:bigint>>"
+
+    def climb(state: Column, level: Column) -> Column:
+        """The nodes of a level that lie within the range but not within a node above."""
+        first, last = state["first"], state["last"]
+        left = F.when((first <= last) & (first % 2 == 1), F.array(F.struct(level.alias("level"), first.alias("at"))))
+        right = F.when((first <= last) & (last % 2 == 0) & ~((first % 2 == 1) & (first == last)), F.array(F.struct(level.alias("level"), last.alias("at"))))
+        none = F.array().cast(node)
+        return F.struct(F.shiftright(first + 1, 1).alias("first"), F.shiftright(last - 1, 1).alias("last"),
+                        F.concat(state["nodes"], F.coalesce(left.cast(node), none), F.coalesce(right.cast(node), none)).alias("nodes"))
+
+    begin = F.struct(F.col("__first").alias("first"), F.col("__last").alias("last"), F.array().cast(node).alias("nodes"))
+    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), begin, climb)["nodes"]
+    held = (sides.join(starts, "__low").join(ends, "__high").select("__at", "__label", F.explode(nodes).alias("n"))
+            .groupBy("n.level", "n.at").agg(F.min(F.struct("__at", "__label")).alias("__best")))
+    above = numbered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("at", F.expr("shiftright(__number, level)"))
+    return above.join(held, ["level", "at"], "left").groupBy("__place", "__side").agg(F.min("__best").alias("__found"))
 
 
 def ip_columns(columns: Sequence[str]) -> list[str]:

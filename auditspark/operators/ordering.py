@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -115,7 +116,8 @@ class Dealt:
         names = [f"__from{i}" for i in range(len(self.parts))]
         found = own.select(F.col("__range").alias("__to"), *[F.col(p).alias(n) for p, n in zip(self.parts, names)],
                            *[c.alias(n) for n, c in handed.items()])
-        return F.broadcast(found.filter(F.coalesce(*[F.col(n) for n in handed]).isNotNull()))
+        given = [F.col(n).isNotNull() for n in handed]
+        return F.broadcast(found.filter(reduce(lambda a, b: a | b, given)))
 
     def before(self):
         return Window.partitionBy(*self.parts).orderBy("__range")
@@ -153,19 +155,25 @@ def deal_ranges(df: DataFrame, partition: Sequence[Column], keys: Sequence[Key],
 
 
 def with_running(df: DataFrame, keys: Sequence[Key], values: Mapping[str, Column], partition: Sequence[str] = (),
-                 ranges: int | None = None, borders: Borders | None = None) -> DataFrame:
-    """Running sums in the whole order (per ``partition``), the row's own value included, as columns named like ``values``.
+                 ranges: int | None = None, borders: Borders | None = None, greatest: bool = False) -> DataFrame:
+    """Running sums in the whole order (per ``partition``), the row's own value included, as columns named like ``values``;
+    with ``greatest`` the greatest value so far instead of the sum, nulls left out.
 
     Nulls are keys like others, in partitions too; no row is lost.  ``borders`` of (partition, keys) can serve several calls.
     """
     dealt = deal_ranges(df, [ref(p) for p in partition], keys, ranges, borders)
+    total = F.max if greatest else F.sum
     sofar = dealt.within().rowsBetween(Window.unboundedPreceding, 0)
-    rows = dealt.rows.withColumns({f"__in_{n}": F.sum(v).over(sofar) for n, v in values.items()})
+    rows = dealt.rows.withColumns({f"__in_{n}": total(v).over(sofar) for n, v in values.items()})
     earlier = dealt.before().rowsBetween(Window.unboundedPreceding, -1)
-    handed = dealt.handed_on({f"__all_{n}": F.sum(v) for n, v in values.items()},
-                             {f"__before_{n}": F.sum(f"__all_{n}").over(earlier) for n in values})
-    summed = {n: F.col(f"__in_{n}") + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n in values}
-    return (dealt.joined(rows, handed).withColumns(summed)
+    handed = dealt.handed_on({f"__all_{n}": total(v) for n, v in values.items()},
+                             {f"__before_{n}": total(f"__all_{n}").over(earlier) for n in values})
+
+    def joined(own: Column, before: Column) -> Column:
+        return F.greatest(own, before) if greatest else own + F.coalesce(before, F.lit(0))
+
+    found = {n: joined(F.col(f"__in_{n}"), F.col(f"__before_{n}")) for n in values}
+    return (dealt.joined(rows, handed).withColumns(found)
             .drop(*dealt.helpers, *[f"__{k}_{n}" for n in values for k in ("in", "before")]))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import payload, predicates as P
@@ -19,6 +19,31 @@ def _events(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
+def _dotted(number) -> Column:
+    return F.concat_ws(".", *[(F.shiftright(number, bits) % 256).cast("string") for bits in (24, 16, 8, 0)])
+
+
+@query
+def range_match(spark, sf_dir):
+    """Ranges that begin and end anywhere and overlap, as many as parts; the first listed one wins."""
+    start, part = F.lit(3325231104), F.col("p_partkey")  # 198.51.0.0
+    low = start + part * 37 % 65536
+    ranges = table(spark, sf_dir, "part").select(
+        _dotted(low).alias("low"), _dotted(low + part % 50 * (part % 3) - part % 7).alias("high"),
+        F.concat(F.lit("r"), part.cast("string")).alias("label"), (part * 17 % 1000 * 100000000 + part).alias("position"))
+    address = start + (F.col("user_id") * 131 + F.col("k") * 7) % 65536
+    df = _events(spark, sf_dir).select("event_id", _dotted(address.cast("bigint")).alias("ip"))
+    return enrich.match_ranges(df, "ip", ranges, row_id="event_id")
+
+
+SQL["range_match"] = f"""WITH r AS (SELECT 3325231104 + p_partkey * 37 % 65536 AS low, 3325231104 + p_partkey * 37 % 65536 + p_partkey % 50 * (p_partkey % 3)
+      - p_partkey % 7 AS high, 'r' || p_partkey AS label, p_partkey * 17 % 1000 * 100000000 + p_partkey AS position FROM part),
+    e AS (SELECT event_id, 3325231104 + (user_id * 131 + {K} * 7) % 65536 AS a FROM events),
+    best AS (SELECT a, arg_min(label, position) AS label FROM (SELECT DISTINCT a FROM e) JOIN r ON a BETWEEN low AND high GROUP BY a)
+    SELECT event_id, (a >> 24) || '.' || ((a >> 16) % 256) || '.' || ((a >> 8) % 256) || '.' || (a % 256) AS ip, label AS range
+    FROM e LEFT JOIN best USING (a)"""
+
+
 # --- payloads ------------------------------------------------------------------------------------
 
 @query

@@ -1,3 +1,4 @@
+import ipaddress
 import random
 
 import pytest
@@ -274,3 +275,27 @@ def test_negation_is_the_complement(rows):
     df = rows(*[{"_Row": i, "s": v} for i, v in enumerate(("abc", "", None, "B"))])
     test = field_contains(df, "s", "b")
     assert sorted(values(df.filter(test)) + values(df.filter(negate(test)))) == [0, 1, 2, 3]
+
+
+def test_ranges_that_overlap(spark):
+    rnd = random.Random(3)
+    start = int(ipaddress.ip_address("198.51.100.0"))
+    text = lambda n: str(ipaddress.ip_address(n))
+    listed = []
+    for i in range(120):
+        low = start + rnd.randint(0, 600)
+        listed.append((text(low), text(low + rnd.choice([0, 0, 1, 5, 40, 300, -3])), f"r{i}", rnd.randint(0, 99) * 1000 + i))
+    listed += [("2001:db8::1", "2001:db8::ff", "v6", 5), ("1.1.1.1", "2001:db8::", "mixed", 0), ("bad", "1.1.1.1", "bad", 0), ("0.0.0.0", "255.255.255.255", "all", 10**6)]
+    addresses = [text(start + rnd.randint(-5, 950)) for _ in range(300)] + ["2001:db8::7", "2001:db8::1:0", None, "10.0.0.1", "10.0.0.1"]
+
+    def first(address):
+        a = ipaddress.ip_address(address)
+        held = [(p, label) for low, high, label, p in listed[:-3] + listed[-1:]
+                if ipaddress.ip_address(low).version == a.version and ipaddress.ip_address(low) <= a <= ipaddress.ip_address(high)]
+        return min(held)[1] if held else None
+
+    df = spark.createDataFrame(list(enumerate(addresses)), "id bigint, ip string")
+    got = enrich.match_ranges(df, "ip", spark.createDataFrame(listed, "low string, high string, label string, position bigint")).collect()
+    assert {r["id"]: r["range"] for r in got} == {i: first(a) if a else None for i, a in enumerate(addresses)} and len(got) == len(addresses)
+    none = enrich.match_ranges(df, "ip", spark.createDataFrame([], "low string, high string, label string, position bigint"))
+    assert none.where("range is null").count() == len(addresses)
