@@ -174,8 +174,8 @@ def public_addresses(addresses: DataFrame, column: str = "ip") -> DataFrame:
 
 
 def upsert(current: DataFrame, fresh: DataFrame, key: str, newest: str | None = None) -> DataFrame:
-    """Fresh rows, one for each key, replace current ones of the same key."""
-    fresh = one_per_key(fresh, key, newest)
+    """Fresh rows, one for each key, replace current ones of the same key; one row for each key is left."""
+    fresh, current = one_per_key(fresh, key, newest), one_per_key(current, key, newest)
     return fresh.unionByName(current.join(fresh.select(ref(key)), key, "left_anti"), allowMissingColumns=True)
 
 

@@ -84,18 +84,23 @@ def login_address_column(enriched: Sequence[str]) -> str:
     return "ClientIP" if "ClientIP" in enriched else enriched[0]
 
 
+def travel_user(events: DataFrame, users: Sequence[str] = ("UserId", "UserKey")) -> Column:
+    """The user whose logins follow each other: the first given of these columns, without regard to case."""
+    blank = F.lit("")
+    return F.lower(strip(F.coalesce(*[F.nullif(field(events, u), blank) for u in users], blank)))
+
+
 def impossible_travel(events: DataFrame, ip_reference: DataFrame, options: TravelOptions = TravelOptions(), *,
                       row_id: str = "_Row", time: str = "CreationTime", operation: str = "Operation",
                       users: Sequence[str] = ("UserId", "UserKey"), address: str = "ClientIP",
                       reference_key: str = "ip", ranges: int | None = None, salt: int = 1) -> DataFrame:
     """H1: successful logins whose place changed too fast since the user's previous one."""
     blank = F.lit("")
-    given_user = F.coalesce(*[F.nullif(field(events, u), blank) for u in users], blank)
     posture = [field(events, n) for n in ("Login.IsCompliantAndManaged", "Login.IsCompliant", "Login.IsManaged")]
     bad_device = falsey(posture[0]) | falsey(posture[1]) | falsey(posture[2])
     logins = (events.filter(F.lower(field(events, operation)).contains("userloggedin"))
               .select(ref(row_id).alias("__row"), time_of(events, time).alias("__time"),
-                      F.lower(strip(given_user)).alias("__user"),
+                      travel_user(events, users).alias("__user"),
                       normalize_ip(text_of(events, address)).alias("__ip"), bad_device.alias("__device"))
               .filter(F.col("__time").isNotNull() & (F.col("__user") != "") & F.col("__ip").isNotNull()))
 

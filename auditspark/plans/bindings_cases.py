@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import payload, predicates as P
 from ..functions.categories import in_category
 from ..functions.text import compact, country_key, falsey, ref, truthy
-from ..operators import enrich, facets, hunts, ordering, shape
+from ..operators import enrich, facets, hunts, ordering, rehunt, shape
 from ..sources import readers, writers
+from ..sources.reference_store import reference_changes
 from . import activity as activity_plan
 from .bindings import HUNT_MOMENT, ip_reference, logins, query, table
 from .bindings_sql import IPREF, LOGINS, SQL, K
@@ -44,6 +45,40 @@ SQL["range_match"] = f"""WITH r AS (SELECT 3325231104 + p_partkey * 37 % 65536 A
     FROM e LEFT JOIN best USING (a)"""
 
 
+def _older_reference(spark, sf_dir) -> DataFrame:
+    """The address reference before some rows came, went and changed."""
+    newer = ip_reference(spark, sf_dir)
+    number = F.substring_index("ip", ".", -1).cast("int")
+    older = newer.where(number % 6 != 1).withColumns({
+        "Country": F.when(number % 5 == 0, F.lit("Elsewhere")).otherwise(F.col("Country")),
+        "Hosting": F.when(number == 2, "True").otherwise(F.col("Hosting"))})
+    return older.unionByName(newer.where(number == 3).withColumn("ip", F.lit("203.0.113.9")))
+
+
+@query
+def travel_rehunt(spark, sf_dir):
+    """H1, K4: findings of an older reference, brought up to date for the users of changed addresses."""
+    events, before, now = logins(spark, sf_dir), _older_reference(spark, sf_dir), ip_reference(spark, sf_dir)
+    changed = reference_changes(before, now, "ip")
+    return rehunt.rehunt_travel(events, hunts.impossible_travel(events, before), changed, now).select("_Row", "Risk", "Score", "Reasons")
+
+
+SQL["travel_rehunt"] = """SELECT _Row, "Risk", "Score", "Reasons" FROM (""" + SQL["impossible_travel"] + ")"
+
+
+@query
+def login_rehunt(spark, sf_dir):
+    """H2, K4: the same for logins from changed addresses."""
+    options = hunts.LoginOptions(trusted_countries="United States\nnation_3, NATION_5,nation_7,nation_11,nation_14")
+    events, before, now = logins(spark, sf_dir), _older_reference(spark, sf_dir), ip_reference(spark, sf_dir)
+    changed = reference_changes(before, now, "ip")
+    found = rehunt.rehunt_logins(events, hunts.suspicious_logins(events, before, options), changed, now, options)
+    return found.select("_Row", "Risk", "Score", "Reasons")
+
+
+SQL["login_rehunt"] = """SELECT _Row, "Risk", "Score", "Reasons" FROM (""" + SQL["suspicious_logins"] + ")"
+
+
 # --- payloads ------------------------------------------------------------------------------------
 
 @query

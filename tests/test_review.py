@@ -161,6 +161,7 @@ def test_references_count_once(rows):
     assert [r["Country"] for r in enrich.one_per_key(reference, "ip", "t").collect()] == ["B"]
     got = enrich.enrich_ip(rows({"_Row": 1, "ClientIP": "1.1.1.1"}), "ClientIP", reference, row_id="_Row").collect()
     assert len(got) == 1 and enrich.upsert(reference.limit(0), reference, "ip").count() == 1
+    assert enrich.upsert(reference, reference.limit(0), "ip").count() == 1  # repeated current keys end as one too
 
 
 def test_pages_cover_the_order_once(rows):
