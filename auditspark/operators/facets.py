@@ -43,7 +43,11 @@ def faceted_counts(queried: DataFrame, category: str = "", selected_operation: s
     op = F.coalesce(field(queried, operation), F.lit(""))
     cube = queried.groupBy(category_of(op).alias("kind"), in_category(queried, category, operation).alias("chosen"),
                            op.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(ref(row_id)).alias("first"))
+    return facets_of_cube(cube, selected_operation, top=top, shares=shares)
 
+
+def facets_of_cube(cube: DataFrame, selected_operation: str = "", *, top: int = 12, shares: int = 64) -> DataFrame:
+    """A5 from counts (kind, chosen, name, n, first)."""
     def line(facet: str, name: Column, n: Column, first: Column) -> Column:
         return F.struct(F.lit(facet).alias("facet"), name.alias("name"), n.alias("n"), first.alias("first"))
 
@@ -57,7 +61,7 @@ def faceted_counts(queried: DataFrame, category: str = "", selected_operation: s
         of_cube("operation", F.col("name"), F.col("chosen") & (F.col("name") != ""))))).alias("x")).select("x.*")
     # Facets without a single row are reported as well.
     nothing = (F.lit(0).cast("bigint"), F.lit(None).cast(cube.schema["first"].dataType))
-    empty = queried.sparkSession.range(1).select(F.explode(F.array(
+    empty = cube.sparkSession.range(1).select(F.explode(F.array(
         line("all", F.lit(""), *nothing), line("operationTotal", F.lit(""), *nothing),
         *[line("category", F.lit(c), *nothing) for c in CATEGORIES])).alias("x")).select("x.*")
     counted = lines.unionByName(empty).groupBy("facet", "name").agg(
@@ -89,6 +93,23 @@ def value_facets(df: DataFrame, column: str, search: str = "", offset: int = 0,
             .select("value", label.alias("label"), "count"))
 
 
+def value_facets_after(df: DataFrame, column: str, last: tuple[int, str] | None, search: str = "", limit: int = 200, tail: str = TAIL) -> DataFrame:
+    """A6 for deep pages: the values that follow ``last``, the count and value of the last line seen (None: the first page).
+
+    No page skips lines before it, so each costs a bounded top-k however deep it lies.
+    """
+    counts = _value_counts(df, column, tail)
+    if search:
+        counts = counts.filter(F.lower("value").contains(search.lower()))
+    if last is not None:
+        count, value = F.lit(last[0]), F.lit(last[1])
+        folded = F.struct(F.lower("value"), F.col("value")) > F.struct(F.lower(value), value)
+        counts = counts.filter((F.col("count") < count) | ((F.col("count") == count) & folded))
+    label = F.coalesce(F.nullif(F.col("value"), F.lit("")), F.lit(presets.EMPTY_LABEL))
+    return (counts.orderBy(F.desc("count"), F.lower("value"), F.col("value")).limit(min(500, max(1, int(limit))))
+            .select("value", label.alias("label"), "count"))
+
+
 def value_facet_totals(df: DataFrame, column: str, search: str = "", offset: int = 0, limit: int = 200,
                        tail: str = TAIL) -> DataFrame:
     """Distinct values in all and matching the search, and whether a page leaves more."""

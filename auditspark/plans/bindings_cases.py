@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import payload, predicates as P
 from ..functions.categories import in_category
+from ..functions.mail import split_list
 from ..functions.text import compact, country_key, falsey, ref, truthy
-from ..operators import enrich, facets, hunts, ordering, rehunt, shape
-from ..sources import readers, writers
+from ..operators import enrich, facet_tables, facets, hunts, ordering, rehunt, shape
+from ..sources import readers, search_index, writers
 from ..sources.reference_store import reference_changes
 from . import activity as activity_plan
-from .bindings import HUNT_MOMENT, ip_reference, logins, query, table
-from .bindings_sql import IPREF, LOGINS, SQL, K
+from .bindings import HUNT_MOMENT, ip_reference, logins, query, records, table
+from .bindings_sql import IPREF, LOGINS, RECORDS, SQL, K
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -79,6 +80,85 @@ def login_rehunt(spark, sf_dir):
 SQL["login_rehunt"] = """SELECT _Row, "Risk", "Score", "Reasons" FROM (""" + SQL["suspicious_logins"] + ")"
 
 
+def _facet_parts(spark, sf_dir) -> DataFrame:
+    """Parts of nine files: most at once, some added, one replaced, one dropped."""
+    df = records(spark, sf_dir)
+    source = F.concat(F.lit("f"), (F.col("_Row") % 9).cast("string"))
+
+    def parts(chosen: DataFrame) -> DataFrame:
+        members = {"users": F.array(facets.identity(chosen)), "ips": enrich.addresses_of(chosen), "messageIds": split_list(F.col("InternetMessageIDs"))}
+        return facet_tables.facet_parts(chosen, source, members, values=["RecordType"])
+
+    first, later = parts(df.where("_Row % 9 < 6")), parts(df.where("_Row % 9 >= 5"))
+    dropped = spark.createDataFrame([("f2",), ("f5",)], "source string")
+    return facet_tables.without_sources(first, dropped).unionByName(later)
+
+
+@query
+def merged_metrics(spark, sf_dir):
+    """A3, A4: metrics of the files that are left, from their parts."""
+    return facet_tables.metrics_of(_facet_parts(spark, sf_dir), ["users", "ips", "messageIds"])
+
+
+_LEFT = "records WHERE _Row % 9 <> 2"
+SQL["merged_metrics"] = f"""WITH {RECORDS}, q AS (SELECT * FROM {_LEFT}) SELECT 'rows' AS metric, count(*) AS value FROM q UNION ALL
+    SELECT 'users', count(DISTINCT lower(coalesce(uid, ukey))) FROM q UNION ALL
+    SELECT 'ips', count(DISTINCT ip) FROM (SELECT ip4 AS ip FROM q UNION ALL SELECT ip6 FROM q) UNION ALL
+    SELECT 'messageIds', count(DISTINCT i) FROM (SELECT 'm' || k || '@x.org' AS i FROM q UNION ALL SELECT '<m' || user_id || '@x.org>' FROM q) UNION ALL
+    SELECT 'tagged', count(tag) FROM q UNION ALL
+    SELECT 'columns', 9 + (count(uid) > 0)::INT + (count(ip6) > 0)::INT + (count(tag) > 0)::INT - 1 FROM q"""
+
+
+@query
+def merged_facets(spark, sf_dir):
+    """A2, A5: facets of the files that are left, with a category and an operation chosen."""
+    return facet_tables.facets_of(_facet_parts(spark, sf_dir), "mail", "UserLoggedIn")
+
+
+SQL["merged_facets"] = f"""WITH {RECORDS}, q AS (SELECT * FROM {_LEFT})
+    SELECT 'all' AS facet, '' AS name, count(*) AS count FROM q UNION ALL
+    SELECT 'operationTotal', '', count(*) FROM q WHERE event_type = 'view' UNION ALL
+    SELECT 'category', c, count(_Row) FROM (SELECT unnest(['logon','inbox_rules','transport_rules','mailbox_permissions',
+      'email_access','file_access','other']) AS c) LEFT JOIN q ON kind = c GROUP BY c UNION ALL
+    SELECT 'operation', op, count(*) FROM q WHERE event_type = 'view' GROUP BY op"""
+
+
+@query
+def merged_values(spark, sf_dir):
+    """Operations and the values of a column."""
+    parts = _facet_parts(spark, sf_dir)
+    values = facet_tables.values_of(parts, "RecordType").select(F.lit("value").alias("list"), F.col("value").alias("name"), "count")
+    return values.unionByName(facet_tables.operations_of(parts).select(F.lit("operation").alias("list"), "name", "count"))
+
+
+SQL["merged_values"] = f"""WITH {RECORDS}, q AS (SELECT * FROM {_LEFT}) SELECT 'value' AS list, event_type AS name, count(*) AS count FROM q GROUP BY event_type
+    UNION ALL SELECT 'operation', CASE WHEN op = '' THEN 'Unknown' ELSE op END, count(*) FROM q GROUP BY op"""
+
+
+@query
+def value_facets_deep(spark, sf_dir):
+    """The page of values behind a line that was seen, without skipping the lines before."""
+    df = table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), (F.col("c_custkey") % 700).cast("string")).alias("name"))
+    return facets.value_facets_after(df, "name", (3, "n350"), limit=60)
+
+
+SQL["value_facets_deep"] = """WITH c AS (SELECT 'N' || (c_custkey % 700) AS value, count(*) AS count FROM customer GROUP BY 1)
+    SELECT value, value AS label, count FROM c WHERE count < 3 OR (count = 3 AND (lower(value) > 'n350' OR (lower(value) = 'n350' AND value > 'n350')))
+    ORDER BY count DESC, lower(value), value LIMIT 60"""
+
+
+@query
+def searched_documents(spark, sf_dir):
+    """only files whose trigram filter can hold the text take part, then every row is tested."""
+    path, text = f"{sf_dir}/documents.parquet", "License"
+    files = search_index.possible_files(search_index.build_filters(spark, path, ["text"]), "text", text)
+    docs = spark.read.parquet(path).select("doc_id", "text", F.col("_metadata.file_path").alias("opened"))
+    return docs.join(files, F.col("opened") == F.col("file"), "left_semi").where(P.field_contains(docs, "text", text)).select("doc_id")
+
+
+SQL["searched_documents"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')"
+
+
 # --- payloads ------------------------------------------------------------------------------------
 
 @query

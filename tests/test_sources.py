@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from auditspark.operators import enrich, facets, hunts
 from auditspark.plans import activity, trace
-from auditspark.sources import readers, writers
+from auditspark.functions.predicates import any_field_contains, field_contains
+from auditspark.sources import readers, search_index, writers
 
 
 def lines(path):
@@ -261,3 +262,26 @@ def test_bad_line_in_the_last_block(spark, tmp_path, small_blocks):
         with pytest.raises(Exception, match="Invalid JSON on line 901 of .*l.jsonl"):
             getattr(readers.read_json_lines(spark, str(tmp_path)), action)()
     assert readers.read_json_lines(spark, str(tmp_path / "ok.jsonl")).count() == sum(bool(x) for x in lines)
+
+
+def test_search_opens_possible_files_only(spark, tmp_path):
+    data, words = str(tmp_path / "data"), ["Alpha", "bravo", "CHARLIE", "delta é", "echo"]
+    df = spark.range(500).select("id", F.element_at(F.array(*map(F.lit, words)), (F.col("id") / 100).cast("int") + 1).alias("word"),
+                                 F.create_map(F.lit("k"), F.concat(F.lit("tail"), (F.col("id") / 100).cast("int").cast("string"))).alias("fields"))
+    df.repartitionByRange(5, "id").write.parquet(data)
+    index = search_index.SearchIndex(spark, data, str(tmp_path / "filters"))
+    assert len(index.files("word", "alpha")) == 5  # nothing is known yet
+    index.add()
+    index.add()
+    assert index.unknown() == [] and index.filters().select("file").distinct().count() == 5
+    whole = spark.read.parquet(data)
+    for column, text, most in (("word", "aLPHA", 1), ("word", "harli", 1), ("word", "a é", 1), ("word", "zulu", 0), ("word", "lp", 5), ("WORD", "*arl*", 1),
+                               (None, "tail3", 1), (None, "bravo", 1), (None, "499", 1), ("user", "echo", 1)):
+        got = index.search(column, text)
+        want = whole.where(any_field_contains(whole, text) if column is None else field_contains(whole, column, text))
+        assert len(index.files(column, text)) <= most and sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
+        assert len(got.inputFiles()) <= most
+    df.where("id < 3").select(F.col("id") + 900, F.lit("zulu").alias("word"), "fields").toDF("id", "word", "fields").coalesce(1).write.mode("append").parquet(data)
+    assert index.search("word", "zulu").count() == 3 and len(index.files("word", "zulu")) == 1  # not indexed yet, still found
+    index.add()
+    assert len(index.files("word", "zulu")) == 1 and len(index.files("word", "echo")) == 1
