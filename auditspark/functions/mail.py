@@ -43,8 +43,10 @@ def wrap_id_list(c: Column) -> Column:
 
 
 def ids_in_text(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(presets.MESSAGE_ID_VALUE), F.lit(1)),
-                       format_message_id)
+    """What stands between blanks and angle brackets, where an ``@`` has something on both sides."""
+    parts = F.split(F.coalesce(c, F.lit("")), r"[<>\s]+", -1)
+    named = F.filter(parts, lambda p: F.substring(p, F.lit(2), F.greatest(F.length(p) - 2, F.lit(0))).contains("@"))
+    return F.transform(named, format_message_id)
 
 
 def ids_in_payload(c: Column) -> Column:

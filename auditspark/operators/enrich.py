@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,12 +108,13 @@ def domain_references(df: DataFrame, domains: Column, reference: DataFrame, name
 
 
 def _holds_app_id(name: Column) -> Column:
-    return ~name.startswith("AppMapping.") & name.rlike(presets.APP_ID_COLUMN)
+    low = F.lower(name)
+    return ~name.startswith("AppMapping.") & reduce(lambda a, b: a | b, [low.endswith(e) for e in presets.APP_ID_ENDINGS])
 
 
 def app_columns(columns: Sequence[str]) -> list[str]:
     """Columns that hold application ids."""
-    return [c for c in columns if not c.startswith("AppMapping.") and re.search(presets.APP_ID_COLUMN, c)]
+    return [c for c in columns if not c.startswith("AppMapping.") and c.lower().endswith(presets.APP_ID_ENDINGS)]
 
 
 def map_app_names(df: DataFrame, apps: DataFrame, *, app_id: str = "app_id", app_name: str = "name",

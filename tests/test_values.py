@@ -6,6 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from auditspark.functions import mail, network, payload, text, times
+from auditspark.operators import enrich
 
 ADDRESSES = [
     "1.2.3.4", " '1.2.3.4' ", "1.2.3.4:80", "[::1]:443", "2001:DB8::0001", "::", "::ffff:1.2.3.4", "01.2.3.4", "1.2.3",
@@ -87,6 +88,21 @@ def test_mail_texts(spark):
     assert long.select(mail.email_domains(F.col("v")).alias("d")).first()["d"] == ["y.org"]
 
 
+def test_ids_in_texts(spark):
+    cases = {"<a@b> c@d": ["<a@b>", "<c@d>"], "x<<a@b>y@z>": ["<a@b>", "<y@z>"], "@a a@ @ a@@": ["<a@@>"], "@a@b": ["<@a@b>"], "a@b@c\tq@r\n": ["<a@b@c>", "<q@r>"],
+             "<no at>": [], "": [], None: [], "to:<first.last+tag@mail.example.com>;next": ["<first.last+tag@mail.example.com>"]}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, v string")
+    got = {r["i"]: r["ids"] for r in df.select("i", mail.ids_in_text(F.col("v")).alias("ids")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_columns_of_application_ids(spark):
+    names = ["AppId", "ApplicationId", "Actor.ClientAppID", "ResourceAPPLICATIONID", "AppIdName", "ApplicationName", "AppMapping.AppId", "appid2"]
+    assert enrich.app_columns(names) == names[:4]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r["n"] for r in df.where(enrich._holds_app_id(F.col("n"))).collect()] == names[:4]
+
+
 def test_flatten_keeps_every_leaf(spark):
     doc = {"A": {"B": 1, "C": [{"x": 1}], "E": {}, "F": {"G": {"H": "deep"}}}, "D": None, "T": True, "U": "é"}
     df = spark.createDataFrame([(json.dumps(doc),), ("[1]",), ("bad",)], "v string")
