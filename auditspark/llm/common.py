@@ -21,6 +21,7 @@ _RUN = re.compile(r"[^\W\d_]+")  # letters, and numerals that are not digits
 
 _own_folder: list[str] = []
 _shipped: set[str] = set()
+_archives: list[tempfile.TemporaryDirectory] = []
 
 Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -30,7 +31,9 @@ def ship_package(spark: SparkSession) -> None:
     if spark.sparkContext.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    held = tempfile.TemporaryDirectory(prefix="package-")  # goes with the application's process
+    _archives.append(held)
+    archive = Path(held.name) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
@@ -47,10 +50,12 @@ def in_batches(df: DataFrame, function: Batches, schema: T.StructType) -> DataFr
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset, as in local tests, a temporary folder takes its place.
+    Only where that setting is unset and everything runs in one process, as in local tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+            raise ValueError("On a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="llm-"))
         base = _own_folder[0]

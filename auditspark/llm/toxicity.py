@@ -6,8 +6,9 @@ probabilities then tell which sentences offend.  A sentence without any weighted
 alone never raises a score.
 
 Results in odd cases: a text that is null, empty or without letters has score 0; labels that are null are left out, of
-several labels of a document the highest counts; without a label of either kind every score is 0; repeated rows each
-give a row; an empty table gives an empty table.
+several labels of a document the highest counts; without any label every score is 0, and with labels of one class alone
+all scores lean to it as far as the weights go; repeated rows each give a row; an empty table gives an empty table; a very
+long text is scored whole; columns named like the results are replaced, all others stay.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ Archives lie in the shared folder.  A task names the files it has written, and o
 read, so files of lost or repeated tasks do no harm.
 
 Results in odd cases: a null payload is empty; a null address gives the record's own name as target; a row without an id
-is a response if no row with an id has its payload, and reads back with a null id; repeated rows of one id and payload
-are written alike; an empty table gives an empty archive table.
+is a response if no row with an id has its payload, and reads back with a null id; an empty text is an id like others;
+repeated rows of one id and payload are written alike; very long payloads are many chunks; columns other than id, address
+and payload are not read; an empty table gives an empty archive table.
 """
 
 from __future__ import annotations
@@ -33,44 +34,45 @@ from pyspark.sql import types as T
 from .common import column, in_batches, shared_folder, stored
 
 NAME = "urn:page:"
+UNNAMED = "urn:unnamed-page"  # rows without an id
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, min_bytes: int = 0) -> DataFrame:
-    """(id, url, size, sha1, refers_to, payload): one row per record; ``refers_to`` is null for responses, ``payload`` for revisits.
+def chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, min_bytes: int = 0,
+           chunk_bytes: int = 1 << 16) -> DataFrame:
+    """(id, url, size, sha1, refers_to, row, chunk, data): all records as runs of chunk rows, which follow each other in a partition.
 
-    Payloads of fewer than ``min_bytes`` bytes are all responses.
+    What becomes of a record is decided from (id, size, sha1) alone.  A payload is cut where it is read, so only chunks
+    move, to meet the one id that keeps them; that join has no hot keys.  ``refers_to`` is null for responses; a revisit has
+    one empty chunk.  Payloads of fewer than ``min_bytes`` bytes are all responses.
     """
     payload = F.coalesce(column(payload_col).cast("string"), F.lit("")).cast("binary")
-    read = pages.select(column(id_col).alias("id"), column(url_col).cast("string").alias("url"), payload.alias("payload"))
+    read = pages.select(column(id_col).alias("id"), column(url_col).cast("string").alias("url"), payload.alias("payload"),
+                        F.monotonically_increasing_id().alias("row"))
     read = read.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     names = stored(read.select("id", "url", "size", "sha1"))
     long_enough = names.where(F.col("size") >= min_bytes)
     keepers = stored(long_enough.groupBy("sha1").agg(F.max("id").alias("keeper")))
-    # Payloads move only to meet the one id that keeps them; that join has no hot keys.
-    kept = read.join(keepers.withColumnRenamed("sha1", "__sha1"), F.col("id").eqNullSafe(F.col("keeper")) & (F.col("sha1") == F.col("__sha1")))
-    nothing = F.lit(None)
-    responses = kept.select("id", "url", "size", "sha1", nothing.cast(names.schema["id"].dataType).alias("refers_to"), "payload")
+    last = F.greatest(F.ceil(F.col("size") / chunk_bytes), F.lit(1)).cast("int") - 1
+    cut = read.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    data = F.substring(F.col("payload"), F.col("chunk") * F.lit(chunk_bytes) + 1, F.lit(chunk_bytes))
+    nobody = F.lit(None).cast(names.schema["id"].dataType).alias("refers_to")
+    cut = cut.select("id", "url", "size", "sha1", nobody, "row", "chunk", data.alias("data"))
+    found = cut.where(F.col("size") >= min_bytes).join(
+        keepers.withColumnRenamed("sha1", "__sha1"), F.col("id").eqNullSafe(F.col("keeper")) & (F.col("sha1") == F.col("__sha1"))).select(*cut.columns)
     revisits = (long_enough.join(keepers, "sha1").where(~F.col("id").eqNullSafe(F.col("keeper")))
-                .select("id", "url", "size", "sha1", F.col("keeper").alias("refers_to"), nothing.cast("binary").alias("payload")))
+                .select("id", "url", "size", "sha1", F.col("keeper").alias("refers_to"), F.lit(-1).cast("long").alias("row"), F.lit(0).alias("chunk"),
+                        F.lit(b"").alias("data")))
     if min_bytes > 0:
-        responses = responses.unionAll(read.where(F.col("size") < min_bytes).select(
-            "id", "url", "size", "sha1", nothing.cast(names.schema["id"].dataType).alias("refers_to"), "payload"))
-    return responses.unionAll(revisits)
-
-
-def chunks(found: DataFrame, chunk_bytes: int = 1 << 16) -> DataFrame:
-    """(id, url, size, sha1, refers_to, chunk, data): payloads as runs of chunk rows; a record without one has one empty chunk."""
-    count = F.greatest(F.ceil(F.octet_length("payload") / chunk_bytes), F.lit(1))
-    data = F.substring(F.col("payload"), F.col("chunk") * F.lit(chunk_bytes) + 1, F.lit(chunk_bytes))
-    numbered = found.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)).cast("int") - 1)))
-    return numbered.select("id", "url", "size", "sha1", "refers_to", "chunk", F.coalesce(data, F.lit(b"")).alias("data"))
+        found = found.unionAll(cut.where(F.col("size") < min_bytes))
+    # Chunks of one record come from one task, so no split of a large partition parts them.
+    return found.sortWithinPartitions("id", "sha1", "row", "chunk").unionAll(revisits)
 
 
 # --- writing -------------------------------------------------------------------------------------
 
 def _name(value: object) -> str:
-    return NAME + ("" if value is None else quote(str(value), safe=""))
+    return UNNAMED if value is None else NAME + quote(str(value), safe="")
 
 
 def _digest(sha1_hex: str) -> str:
@@ -144,8 +146,9 @@ def _fields(stream: BinaryIO) -> dict[str, str]:
 
 
 def _named(reference: str | None) -> str | None:
-    name = unquote((reference or "").strip("<>").removeprefix(NAME))
-    return name or None
+    """The id of a record's name; an empty id is not a missing one."""
+    name = (reference or "").strip("<>")
+    return unquote(name.removeprefix(NAME)) if name.startswith(NAME) else None
 
 
 def _read_record(stream: BinaryIO, chunk_bytes: int) -> Iterator[dict]:
@@ -206,7 +209,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                chunk_bytes: int = 1 << 16, **writing) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back as chunk rows."""
     folder = shared_folder(pages.sparkSession)
-    files = write(chunks(records(pages, id_col, url_col, payload_col, min_bytes=min_bytes), chunk_bytes), folder, **writing)
+    files = write(chunks(pages, id_col, url_col, payload_col, min_bytes=min_bytes, chunk_bytes=chunk_bytes), folder, **writing)
     return read(files, folder, chunk_bytes=chunk_bytes)
 
 

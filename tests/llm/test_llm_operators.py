@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -136,6 +137,45 @@ def toxic_tables(spark):
     return texts, marks
 
 
+def test_noisy_or_equals_plain_steps():
+    """A few steps of the same fit, a bag and a sentence at a time."""
+    bags = [[[0, 1], [2]], [[1], [0, 2, 3]], [[3]], [[0], [1], [2, 3]], [[2]], []]
+    labels, buckets = [1, 0, 1, 1, 0, 0], 4
+    weights, bias, first, second = [0.0] * buckets, -5.0, [0.0] * (buckets + 1), [0.0] * (buckets + 1)
+    for step in range(1, 8):
+        gradient = [0.0] * (buckets + 1)
+        for bag, label in zip(bags, labels):
+            chances = [1 / (1 + math.exp(-(bias + sum(weights[f] for f in s)))) for s in bag]
+            some = min(1.0, max(1e-4, 1 - math.prod(1 - p for p in chances)))
+            for s, p in zip(bag, chances):
+                push = (-(1 - some) / some if label else 1.0) * p / len(bags)
+                for f in [*s, buckets]:
+                    gradient[f] += push
+        for f in range(buckets + 1):
+            first[f] = 0.9 * first[f] + 0.1 * gradient[f]
+            second[f] = 0.99 * second[f] + 0.01 * gradient[f] ** 2
+            scale = 0.1 / (math.sqrt(second[f] / (1 - 0.99 ** step)) + 1e-6)
+            move = scale * first[f] / (1 - 0.9 ** step)
+            if f == buckets:
+                bias -= move
+            else:
+                moved = weights[f] - move
+                weights[f] = math.copysign(max(abs(moved) - scale * 1e-4, 0), moved)
+    made = [[np.array(s, np.int32) for s in bag] for bag in bags]
+    got, got_bias = toxicity.fit(made, np.array(labels), buckets, least_docs=1, steps=7)
+    assert np.allclose(got, weights, atol=1e-9) and abs(got_bias - bias) < 1e-9
+    model = toxicity.Model({f: w for f, w in enumerate(weights) if w}, bias, buckets)
+    assert toxicity._probability({0, 2}, model) == pytest.approx(1 / (1 + math.exp(-(bias + weights[0] + weights[2]))))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_class(spark, label):
+    texts = docs(spark, *[(i, "some words here. and more") for i in range(8)])
+    labels = spark.createDataFrame([(i, label) for i in range(8)], "doc_id bigint, toxic int")
+    scores = [r.toxicity for r in toxicity.score(texts, toxicity.learn(texts, labels, F.lit(True))).collect()]
+    assert len(set(scores)) == 1 and 0 <= scores[0] <= 1 and (scores[0] < 0.7 or label == 1)
+
+
 def test_noisy_or_learns_and_locates(spark):
     texts, marks = toxic_tables(spark)
     odd = [(1000, None), (1001, ""), (1002, "123 !!"), (1003, "mild words. You are NASTY, so there! fine"), (1004, "calm. " * 50000), (1005, "vile"), (1005, "vile")]
@@ -184,6 +224,30 @@ def test_archives_give_back_every_page(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_payloads_are_cut_before_they_move(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 5000), (2, "u", "y")], "page_id bigint, url string, html string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cut = warc.chunks(pages, chunk_bytes=1000)
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.id, r.chunk, len(r.data)) for r in cut.collect()) == [(1, n, 1000) for n in range(5)] + [(2, 0, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.index("Join") < plan.index("Generate")  # cut below the join
+
+
+def test_empty_ids_are_not_missing_ones(spark):
+    data = [("", "u", "a"), (None, "u", "a"), (None, "u", "b"), ("x/ y", "u", "a"), ("", "u", "c")]
+    pages = spark.createDataFrame(data, "page_id string, url string, html string")
+    got = warc.whole_records(warc.round_trip(pages), T.StringType()).collect()
+    assert sorted(((r.id, r.record_type, r.refers_to) for r in got), key=repr) == sorted([
+        ("", "revisit", "x/ y"), (None, "revisit", "x/ y"), (None, "response", None), ("x/ y", "response", None), ("", "response", None)], key=repr)
+    only_empty = spark.createDataFrame([("", "u", "a"), (None, "u", "a")], "page_id string, url string, html string")
+    found = warc.whole_records(warc.round_trip(only_empty), T.StringType()).collect()
+    assert sorted(((r.id, r.record_type, r.refers_to) for r in found), key=repr) == sorted([("", "response", None), (None, "revisit", "")], key=repr)
+
+
 # --- token counts --------------------------------------------------------------------------------
 
 def test_automaton_equals_greedy_search():
