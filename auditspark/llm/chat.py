@@ -7,7 +7,8 @@ turns; its control strings inside texts and roles are escaped, reversibly, so th
 Results in odd cases: a null text or role is empty; rows of a conversation are ordered by turn, equal turns by role and
 text, null turns first; rows without a conversation id are one conversation with a null id; a conversation without a reply
 has only the row of its remaining turns; repeated rows are repeated turns; an empty table gives an empty table.  As every
-example holds its whole context, the formatted text of a conversation must fit into a row.
+example holds its whole context, the formatted text of a conversation must fit into a row.  Columns other than
+conversation, turn, role and text are not read, so their names do not matter.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ holds more than one block.
 
 Results in odd cases: a null text has no words; an item without words matches nothing; an item shorter than the window
 is searched whole; items without an id match, but are listed under the empty text; repeated items count once for each
-different id; repeated rows each give a row; empty tables give no rows, or no matches.
+different id; repeated rows each give a row; a very long text is a shard of its own; columns other than id and text are not read, and
+names of kept ones may be any; empty tables give no rows, or no matches.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ document is put together again by position without the lines that are over the t
 
 Results in odd cases: a null text is an empty one and has one empty line; a document whose lines all go keeps the empty
 text; rows without an id together count as one document that comes after all others; repeated rows of one id are one
-document, each row is cleaned by itself; an empty table gives an empty table.  Columns of the input named like a result
+document, each row is cleaned by itself; a very long text is split like others, and put together again in one row; an
+empty table gives an empty table.  Columns of the input named like a result
 column are replaced.
 """
 

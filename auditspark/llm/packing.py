@@ -9,7 +9,8 @@ all is tried.  Then every piece finds its place in the plan by its rank among th
 pieces of its length; ranks are counted in slices, so that a length which many pieces share is many tasks' work.
 
 Results in odd cases: a null or empty text is one piece that holds the end token alone; repeated rows of one id are
-packed like different documents; an empty table gives an empty table.
+packed like different documents; pieces of one length are alike, so ties go by id, piece and start; a very long text is
+many pieces; columns other than id and text are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ directly or through others, are one component.
 
 Results in odd cases: a text that is null, empty or blank has the fingerprint zero and is linked like any other; rows
 without an id take part, but name a component only if it has no other rows (null then); repeated rows of one id each
-give a row, and with different texts each belongs to its own text's component; an empty table gives an empty table.
+give a row, and with different texts each belongs to its own text's component; a very long text is read whole; columns other than id and text are not read, and names of kept
+ones may be any; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ that step pops.  So each byte of a word moves the automaton once, links cost no
 is ever built.
 
 Results in odd cases: a null or empty text has no words; a word that the pieces cannot cover is one unknown token;
-repeated rows each give a row; an empty table gives an empty table.
+repeated rows each give a row; a very long text or word is read once from end to end; columns of the input named like
+the counts are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations

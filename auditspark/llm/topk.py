@@ -9,8 +9,8 @@ are then resolved exactly.  Results of earlier stretches of candidates raise tha
 
 Results in odd cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
 missing components of shorter vectors count as zero; candidates with the query's own id are left out, so repeated rows do
-not find each other; repeated candidates each take a rank; scores beyond 64 bits are cut off at the largest long; empty
-tables give an empty table.
+not find each other; repeated candidates each take a rank; scores beyond 64 bits are cut off at the largest long; columns
+other than id and vector are not read; empty tables give an empty table.
 """
 
 from __future__ import annotations
