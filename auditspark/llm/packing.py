@@ -21,7 +21,8 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import combinations
+from functools import lru_cache
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from tokenizers import Tokenizer
 
+from ..operators.ordering import Key, with_running
 from .common import column, in_batches, stored
 
 Pattern = tuple[int, ...]
@@ -141,9 +143,24 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 # --- the plan ----------------------------------------------------------------------------------
 
+@lru_cache(8)
+def _dual_feasible(capacity: int, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """For k = 1 to ``most`` the functions of Fekete and Schepers over all lengths, times k x capacity, and that factor.
+
+    A length x of a part (k + 1) x / capacity that is no whole number counts as the whole number below, in k-ths; so what
+    fits into one bin never counts for more than one.
+    """
+    k = np.arange(1, most + 1)[:, None]
+    scaled = (k + 1) * np.arange(capacity + 1)[None, :]
+    return np.where(scaled % capacity == 0, scaled * k // (k + 1), scaled // capacity * capacity), k[:, 0] * capacity
+
+
 def lower_bound(counts: np.ndarray) -> int:
-    """Bins that any packing needs: the sum, and Martello and Toth's bound for every threshold up to half the capacity."""
+    """Bins that any packing needs: the sum, Martello and Toth's bound for every threshold up to half the capacity, and
+    those of dual feasible functions."""
     capacity = len(counts) - 1
+    values, factors = _dual_feasible(capacity)
+    dual = int((-(-(values @ counts) // factors)).max()) if capacity else 0
     below = np.concatenate([[0], np.cumsum(counts)])             # pieces shorter than x
     weight = np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
     half = capacity // 2
@@ -154,7 +171,7 @@ def lower_bound(counts: np.ndarray) -> int:
     room = large * capacity - (weight[top] - weight[half + 1])
     small = weight[half + 1] - weight[least]
     bounds = alone + large + np.maximum(0, -((room - small) // capacity))
-    return max(-(-int(weight[-1]) // capacity), int(bounds.max()))
+    return max(-(-int(weight[-1]) // capacity), int(bounds.max()), dual)
 
 
 def best_fit(counts: np.ndarray) -> Counter[Pattern]:
@@ -244,10 +261,11 @@ def fillings(largest: int, counts: np.ndarray, most_waste: int, after: Pattern |
 
     def dominated(pattern: Pattern, waste: int) -> bool:
         """A free piece fits in, or could take the place of a shorter one or of two."""
-        pairs = {a + b for a, b in combinations(pattern, 2)}
-        for own in {0, *pattern} | pairs:
+        used = Counter(pattern)
+        pairs = {a + b for a, b in combinations_with_replacement(used, 2) if a != b or used[a] > 1}
+        for own in {0, *used} | pairs:
             for y in lengths[bisect_right(lengths, own - (own in pairs)):bisect_right(lengths, own + waste)]:
-                if number[y] > pattern.count(y):
+                if number[y] > used[y]:
                     return True
         return False
 
@@ -413,9 +431,10 @@ def place(cut: DataFrame, capacity: int = 2048, *, slice_rows: int = 1000, **sea
 
     n_slices = F.element_at(F.lit((counts // slice_rows + 1).tolist()), F.col("length").cast("int") + 1)
     sliced = cut.withColumn("__slice", F.pmod(F.xxhash64("id", "piece", "start"), n_slices))
-    sizes = sliced.groupBy("length", "__slice").agg(F.count("*").alias("__n"))
-    ahead = Window.partitionBy("length").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "__slice", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    # Slices of a popular length are many; their running sum goes over ranges of them.
+    sizes = stored(sliced.groupBy("length", "__slice").agg(F.count("*").alias("__n")))
+    sizes = with_running(sizes, [Key(F.col("__slice"))], {"__upto": F.col("__n")}, ["length"])
+    sizes = sizes.select("length", "__slice", (F.col("__upto") - F.col("__n")).alias("__before"))
     within = Window.partitionBy("length", "__slice").orderBy(*cut.columns)  # rows that tie are alike
     ranked = (sliced.withColumn("__rank", F.row_number().over(within) - 1).join(sizes, ["length", "__slice"])
               .select(*cut.columns, (F.col("__rank") + F.col("__before")).alias("__rank")))

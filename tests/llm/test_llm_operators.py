@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -374,6 +375,34 @@ def test_pieces_other_than_the_longest_fill_up(times):
     assert packing.lower_bound(counts) == sum(packing.pack(counts).values()) == 4 * times
 
 
+def test_hopeless_searches_end_early():
+    """Two of 700 to 799 fill a bin of 2,048 whatever the many short ones do."""
+    counts = np.zeros(2049, np.int64)
+    rnd = random.Random(4)
+    for _ in range(4001):
+        counts[rnd.randint(700, 799)] += 1
+    counts[1], counts[2] = 300_000, 60_000
+    begin = time.monotonic()
+    plan = packing.pack(counts)
+    assert sum(plan.values()) == packing.lower_bound(counts) == 2001 and time.monotonic() - begin < 10
+    packed = np.zeros(2049, np.int64)
+    for pattern, n in plan.items():
+        np.add.at(packed, list(pattern), n)
+    assert (packed == counts).all()
+
+
+def test_dual_feasible_bounds_hold():
+    rnd = random.Random(9)
+    for _ in range(300):
+        capacity = rnd.randint(3, 40)
+        values, factors = packing._dual_feasible(capacity)
+        pattern, left = [], capacity
+        while left and rnd.random() < 0.9:
+            pattern.append(rnd.randint(1, left))
+            left -= pattern[-1]
+        assert (values[:, pattern].sum(1) <= factors).all()
+
+
 def test_fillings_leave_out_dominated_ones_only():
     random.seed(5)
     for _ in range(300):
