@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import presets
 from ..functions.text import TAIL, WHITESPACE, field, is_populated, ref, strip, text_of
@@ -193,16 +195,47 @@ def load_reference(spark: SparkSession, path: str) -> DataFrame:
 
 def load_dataset(spark: SparkSession, path: str, case_id: str | None = None,
                  dataset_id: str | None = None) -> DataFrame:
-    """Stored rows; only the folders of the case and dataset are opened, for their schema too."""
-    folder = path
+    """Stored rows; only the folders of the case and dataset are opened.
+
+    Their columns come from the notes that ``write_dataset`` leaves, one a dataset.  Where a dataset has none, or two
+    disagree on a type, Spark merges the schemas of all files instead.
+    """
+    inner = ""
     for name, value in (("case_id", case_id), ("dataset_id", dataset_id)):
         if value is None:
             break
-        folder = f"{folder}/{name}={_escaped(spark, value)}"
-    df = spark.read.option("basePath", path).option("mergeSchema", True).parquet(folder)
+        inner += f"/{name}={_escaped(spark, value)}"
+    reader = spark.read.option("basePath", path)
+    schema = _noted_schema(spark, path, inner)
+    df = (reader.option("mergeSchema", True) if schema is None else reader.schema(schema)).parquet(path + inner)
     return df if dataset_id is None or case_id is not None else df.filter(ref("dataset_id") == dataset_id)
 
 
+def _dataset_folders(spark: SparkSession, store: str, inner: str) -> set[str]:
+    """The dataset folders below a store that the path ``inner`` leads to."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{store}{inner}" + "/*=*" * (2 - inner.count("/")))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return {"/".join(str(f.getPath()).rsplit("/", 2)[1:]) for f in found}
+
+
+def _noted_schema(spark: SparkSession, path: str, inner: str) -> T.StructType | None:
+    """The columns of all datasets together, if every dataset has noted its own and types agree."""
+    notes = f"{path}/{presets.SCHEMA_FOLDER}"
+    if not inner.startswith("/case_id") and inner:
+        return None
+    there = _dataset_folders(spark, path, inner)
+    if not there or there - _dataset_folders(spark, notes, inner):
+        return None
+    rows = spark.read.option("basePath", notes).parquet(notes + inner).orderBy("case_id", "dataset_id").select("columns").collect()  # one a dataset
+    fields: dict[str, T.StructField] = {}
+    for row in rows:
+        for f in T.StructType.fromJson(json.loads(row["columns"])).fields:
+            known = fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType))
+            if known.dataType != f.dataType:
+                return None
+    return T.StructType([*fields.values(), T.StructField("case_id", T.StringType()), T.StructField("dataset_id", T.StringType())])
+
+
 def _escaped(spark: SparkSession, value: str) -> str:
     """A partition value as it is written in folder names."""
     return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)

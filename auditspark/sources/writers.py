@@ -22,10 +22,16 @@ def _csv(df: DataFrame, path: str) -> None:
 
 
 def write_dataset(df: DataFrame, path: str, case_id: str, dataset_id: str) -> None:
-    """K1: one dataset of one case; other datasets under the path stay as they are."""
-    (df.withColumns({"case_id": F.lit(case_id), "dataset_id": F.lit(dataset_id)})
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("case_id", "dataset_id").parquet(path))
+    """K1: one dataset of one case; other datasets under the path stay as they are.
+
+    The dataset's columns are noted beside it, so that a reader of the case need not open every file for them.
+    """
+    def put(rows: DataFrame, folder: str) -> None:
+        (rows.withColumns({"case_id": F.lit(case_id), "dataset_id": F.lit(dataset_id)})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_id", "dataset_id").parquet(folder))
+
+    put(df, path)
+    put(df.sparkSession.range(1).select(F.lit(df.schema.json()).alias("columns")), f"{path}/{presets.SCHEMA_FOLDER}")
 
 
 def export_filtered(df: DataFrame, path: str, columns: Sequence[str] | None = None, tail: str = TAIL, *,

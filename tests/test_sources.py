@@ -285,3 +285,22 @@ def test_search_opens_possible_files_only(spark, tmp_path):
     assert index.search("word", "zulu").count() == 3 and len(index.files("word", "zulu")) == 1  # not indexed yet, still found
     index.add()
     assert len(index.files("word", "zulu")) == 1 and len(index.files("word", "echo")) == 1
+
+
+def test_columns_of_a_case_come_from_notes(spark, tmp_path):
+    store = str(tmp_path / "store")
+    one = spark.createDataFrame([(1, "x")], "_Row bigint, a string")
+    two = spark.createDataFrame([(2, 5, {"k": "v"})], "_Row bigint, b int, fields map<string,string>")
+    writers.write_dataset(one, store, "case 1", "set/1")
+    writers.write_dataset(two, store, "case 1", "set2")
+    writers.write_dataset(spark.createDataFrame([(3, 1.5)], "_Row bigint, c double"), store, "case2", "set1")
+    assert readers._noted_schema(spark, store, "/case_id=case 1").names == ["_Row", "a", "b", "fields", "case_id", "dataset_id"]
+    rows = {r["_Row"]: r.asDict() for r in readers.load_dataset(spark, store, "case 1").collect()}
+    assert rows[1] == {"_Row": 1, "a": "x", "b": None, "fields": None, "case_id": "case 1", "dataset_id": "set/1"}
+    assert rows[2]["fields"] == {"k": "v"} and rows[2]["b"] == 5 and len(rows) == 2
+    assert [r["_Row"] for r in readers.load_dataset(spark, store, "case 1", "set/1").collect()] == [1]
+    assert readers.load_dataset(spark, store).count() == 3 and "c" in readers.load_dataset(spark, store).columns
+    # A dataset that somebody else wrote, without a note: the files tell.
+    two.withColumnRenamed("b", "z").write.parquet(f"{store}/case_id=case 1/dataset_id=other")
+    assert readers._noted_schema(spark, store, "/case_id=case 1") is None
+    assert "z" in readers.load_dataset(spark, store, "case 1").columns and readers.load_dataset(spark, store, "case 1").count() == 3
