@@ -19,8 +19,8 @@ from .. import presets
 from ..functions.mail import email_domains, parent_domains
 from ..functions.network import classify_ip, ip_key, is_global, normalize_ip
 from ..functions.predicates import header_key
-from ..functions.text import TAIL, ref, strip, text_of
-from .ordering import Key, with_position, with_running
+from ..functions.text import TAIL, let, ref, strip, text_of
+from .ordering import Key, sample_borders, with_running
 
 
 def spread_missing(df: DataFrame, key: Column, row_id: str | None) -> Column:
@@ -223,56 +223,66 @@ def match_services(df: DataFrame, domain: str, services: DataFrame, *, service:
 def match_networks(df: DataFrame, ip: str, networks: DataFrame, *, cidr: str = "cidr", label: str = "label",
                    position: str = "position", name: str = "network", row_id: str | None = None) -> DataFrame:
     """J9 for a table of networks; the first listed one that holds the address wins."""
-    base = _bits(ip_key(F.substring_index(ref(cidr), "/", 1)))
     length = F.substring_index(ref(cidr), "/", -1).cast("int") + 1  # after the mark of the address family
-    sides = networks.select(F.rpad(F.substring(base, F.lit(1), length), F.length(base), F.lit("0")).alias("__low"),
-                            F.rpad(F.substring(base, F.lit(1), length), F.length(base), F.lit("1")).alias("__high"),
-                            ref(label).alias("__label"), ref(position).alias("__at"))
-    return _in_ranges(df, ip, sides, name, row_id)
+
+    def filled(base: Column, digit: str) -> Column:
+        return F.rpad(F.substring(base, F.lit(1), length), F.length(base), F.lit(digit))
+
+    ends = let(_bits(ip_key(F.substring_index(ref(cidr), "/", 1))), lambda base: F.struct(filled(base, "0").alias("low"), filled(base, "1").alias("high")))
+    return _in_ranges(df, ip, networks.select(ends.alias("__ends"), ref(label).alias("__label"), ref(position).alias("__at")), name, row_id)
 
 
 def match_ranges(df: DataFrame, ip: str, ranges: DataFrame, *, low: str = "low", high: str = "high", label: str = "label",
                  position: str = "position", name: str = "range", row_id: str | None = None) -> DataFrame:
     """J9 for a table of ranges from one canonical address to another, ends included; the first listed one that holds
     the address wins.  Ranges that end before they begin, or in the other address family, hold nothing."""
-    sides = ranges.select(_bits(ip_key(ref(low))).alias("__low"), _bits(ip_key(ref(high))).alias("__high"),
-                          ref(label).alias("__label"), ref(position).alias("__at"))
-    return _in_ranges(df, ip, sides.where(F.length("__low") == F.length("__high")), name, row_id)
+    ends = F.struct(_bits(ip_key(ref(low))).alias("low"), _bits(ip_key(ref(high))).alias("high"))
+    return _in_ranges(df, ip, ranges.select(ends.alias("__ends"), ref(label).alias("__label"), ref(position).alias("__at")), name, row_id)
 
 
 def _bits(key: Column) -> Column:
     """A hexadecimal address key as binary digits behind the mark of its family, so that texts sort like addresses."""
-    digits = F.array_join(F.transform(F.split(key, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
-    return F.concat(F.when(F.length(key) == 8, "4").otherwise("6"), digits)
+    def digits(k: Column) -> Column:
+        each = F.transform(F.split(k, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
+        return F.concat(F.when(F.length(k) == 8, "4").otherwise("6"), F.array_join(each, ""))
+
+    return let(key, digits)
 
 
-def _in_ranges(df: DataFrame, ip: str, sides: DataFrame, name: str, row_id: str | None) -> DataFrame:
+def _in_ranges(df: DataFrame, ip: str, ranges: DataFrame, name: str, row_id: str | None) -> DataFrame:
     """Every different address meets the one segment that it lies in; rows meet their address."""
-    segments = range_segments(sides.where("__low is not null and __high is not null"))
+    segments = range_segments(ranges)
     addresses = df.select(ref(ip).alias("__ip")).filter(F.col("__ip").isNotNull()).distinct()
-    points = addresses.select("__ip", _bits(ip_key(F.col("__ip"))).alias("__place"), F.lit(1).alias("__side"),
+    points = addresses.select("__ip", _bits(ip_key(F.col("__ip"))).alias("__place"), F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__number"),
                               F.lit(None).cast(segments.schema["__found"].dataType).alias("__found"))
-    merged = segments.select(F.lit(None).cast("string").alias("__ip"), "__place", "__side", "__found").unionAll(points.where("__place is not null"))
-    placed = with_running(merged, [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__ip"))],
-                          {"__last": F.when(F.col("__ip").isNull(), F.struct("__place", "__side", "__found"))}, greatest=True)
-    best = placed.where("__ip is not null").select("__ip", F.col("__last.__found.__label").alias("__label"))
+    merged = segments.select(F.lit(None).cast("string").alias("__ip"), "__place", "__side", "__number", "__found").unionAll(points)
+    keys = [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__number")), Key(F.col("__ip"))]
+    # Any borders are right; these come from the addresses alone, before segments are made.
+    borders = sample_borders(points.drop("__found"), keys)
+    last = F.when(F.col("__ip").isNull(), F.struct("__place", "__side", "__number", "__found"))
+    placed = with_running(merged, keys, {"__last": last}, borders=borders, greatest=True)
+    best = placed.where("__ip is not null and __place is not null").select("__ip", F.col("__last.__found.__label").alias("__label"))
     return (df.withColumn("__ip", spread_missing(df, ref(ip), row_id)).join(best, "__ip", "left")
             .withColumn(name, F.col("__label")).drop("__ip", "__label"))
 
 
-def range_segments(sides: DataFrame) -> DataFrame:
-    """Ranges that may overlap, as segments that do not: (__place, __side, __found) in their order, each up to the next one.
+def range_segments(ranges: DataFrame) -> DataFrame:
+    """Ranges (__ends, __label, __at) that may overlap, as segments that do not: (__place, __side, __number, __found), each up
+    to the next one.
 
-    ``__side`` is 0 where a segment begins with the place and 2 where it begins behind it; ``__found`` is the first listed
-    range (__at, __label) that holds the segment, or null.  Each range goes to the few nodes of a binary tree over the
-    segments that make it up, and each segment asks the nodes above it: equi joins, and a row for each range and level.
+    Every end of a range begins a segment, some of them empty, numbered in their order; ``__side`` is 0 where it begins with
+    the place and 2 where it begins behind it.  A range holds the numbers from its first end up to its last: it goes to
+    the few nodes of a binary tree over all numbers that make these up, and each segment asks the nodes above it for the
+    first listed range, ``__found`` (__at, __label).  Equi joins only, and a row for each range and level.
     """
-    cuts = sides.select(F.col("__low").alias("__place"), F.lit(0).alias("__side")).unionAll(
-        sides.select(F.col("__high"), F.lit(2))).distinct()
-    numbered = with_position(cuts, [Key(F.col("__place")), Key(F.col("__side"))], "__number")
-    starts = numbered.where("__side = 0").select(F.col("__place").alias("__low"), F.col("__number").alias("__first"))
-    ends = numbered.where("__side = 2").select(F.col("__place").alias("__high"), (F.col("__number") - 1).alias("__last"))
-    levels = (2 * sides.count() + 1).bit_length()
+    usable = (F.length("__ends.low") == F.length("__ends.high")) & (F.col("__ends.low") <= F.col("__ends.high"))
+    sides = F.array(F.struct(F.col("__ends.low").alias("__place"), F.lit(0).alias("__side")), F.struct(F.col("__ends.high").alias("__place"), F.lit(2).alias("__side")))
+    ends = ranges.select("*", F.when(usable, sides).alias("__sides")).select("__ends", "__label", "__at", F.explode("__sides").alias("__s"))
+    ends = ends.select(F.col("__s.__place").alias("__place"), F.col("__s.__side").alias("__side"), "__ends", "__label", "__at")
+    total = 2 * ranges.count()
+    keys = [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__at"))]
+    numbered = with_running(ends, keys, {"__number": F.lit(1).cast("bigint")}, borders=sample_borders(ends, keys, total=total))
+    levels = (total + 1).bit_length()
     node = "array<struct<level:int,at:bigint>>"
 
     def climb(state: Column, level: Column) -> Column:
@@ -284,12 +294,14 @@ def range_segments(sides: DataFrame) -> DataFrame:
         return F.struct(F.shiftright(first + 1, 1).alias("first"), F.shiftright(last - 1, 1).alias("last"),
                         F.concat(state["nodes"], F.coalesce(left.cast(node), none), F.coalesce(right.cast(node), none)).alias("nodes"))
 
-    begin = F.struct(F.col("__first").alias("first"), F.col("__last").alias("last"), F.array().cast(node).alias("nodes"))
+    begin = F.struct(F.col("first"), F.col("last"), F.array().cast(node).alias("nodes"))
     nodes = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), begin, climb)["nodes"]
-    held = (sides.join(starts, "__low").join(ends, "__high").select("__at", "__label", F.explode(nodes).alias("n"))
-            .groupBy("n.level", "n.at").agg(F.min(F.struct("__at", "__label")).alias("__best")))
-    above = numbered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("at", F.expr("shiftright(__number, level)"))
-    return above.join(held, ["level", "at"], "left").groupBy("__place", "__side").agg(F.min("__best").alias("__found"))
+    # Ranges that agree in everything are one.
+    held = numbered.groupBy("__ends", "__label", "__at").agg(F.min("__number").alias("first"), (F.max("__number") - 1).alias("last"))
+    held = (held.select("__at", "__label", F.explode(nodes).alias("n")).groupBy("n.level", "n.at").agg(F.min(F.struct("__at", "__label")).alias("__best")))
+    above = numbered.select("__place", "__side", "__number", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    above = above.withColumn("at", F.expr("shiftright(__number, level)"))
+    return above.join(held, ["level", "at"], "left").groupBy("__place", "__side", "__number").agg(F.min("__best").alias("__found"))
 
 
 def ip_columns(columns: Sequence[str]) -> list[str]:

@@ -50,15 +50,15 @@ class Borders:
         return F.array(*[F.lit(r[place]).cast(self.kinds[place]) for r in self.rows])
 
 
-def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None) -> Borders:
+def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None, total: int | None = None) -> Borders:
     """Borders that cut ``df`` into about equal ranges of these keys: a count and a bounded sample, which the driver sees.
 
-    Any borders give right results; these give even ones.
+    Any borders give right results; these give even ones.  ``total`` is the number of rows, where it is known.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     keyed = df.select(*[k.value.alias(n) for k, n in zip(keys, names)])
     kinds = [f.dataType.simpleString() for f in keyed.schema]
-    total = keyed.count()
+    total = keyed.count() if total is None else total
     if ranges is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(4 * tasks, MOST_RANGES, total // LEAST_ROWS + 1)

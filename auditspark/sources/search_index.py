@@ -17,25 +17,26 @@ from pyspark.sql import types as T
 
 from .. import presets
 from ..functions.predicates import any_field_contains, field_contains
-from ..functions.text import ref, text_of
+from ..functions.text import let, ref, text_of
 
 BITMAP = 32768  # bits of one bitmap
 SEEDS = (1, 2)  # bits of each trigram
 
 
-def _trigrams(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+def _bits(text: Column, bits: Column) -> Column:
+    """The bits of all trigrams of a folded text, each once."""
+    def of(letters: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1)))
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.pmod(F.xxhash64(
+            F.lit(seed), F.get(letters, i - 1), F.get(letters, i), F.get(letters, i + 1)), bits) for seed in SEEDS]))))
 
-
-def _bits(trigrams: Column, bits: Column) -> Column:
-    return F.flatten(F.transform(trigrams, lambda t: F.array(*[F.pmod(F.xxhash64(F.lit(seed), t), bits) for seed in SEEDS])))
+    return let(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), of)
 
 
 def build_filters(spark: SparkSession, files: str | Sequence[str], columns: Sequence[str] | None = None, bitmaps: int = 8) -> DataFrame:
     """(file, column, part, bitmap, bits): the filters of Parquet files, ``bitmaps`` times 32,768 bits for each file and column.
 
-    Every column counts as text, a map by its values.  Bits of a row collapse before the shuffle, so a file sends as many as its filter has.
+    Every column counts as text, a map by its values.  Bits are set where they are read, so a task sends its bitmaps and nothing else.
     """
     data = spark.read.parquet(*([files] if isinstance(files, str) else files))
     bits = bitmaps * BITMAP
@@ -45,11 +46,10 @@ def build_filters(spark: SparkSession, files: str | Sequence[str], columns: Sequ
         return F.coalesce(F.map_values(ref(name)), F.array().cast("array<string>")) if isinstance(kind, T.MapType) else F.array(text_of(data, name))
 
     def set_bits(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.array_compact(texts(name)), lambda t: _bits(_trigrams(t), F.lit(bits)))))
+        return F.array_distinct(F.flatten(F.transform(F.array_compact(texts(name)), lambda t: _bits(t, F.lit(bits)))))
 
     found = F.array(*[F.struct(F.lit(n).alias("column"), set_bits(n).alias("bits")) for n in columns or data.columns])
     rows = data.select(F.col("_metadata.file_path").alias("file"), F.explode(found).alias("x")).select("file", "x.column", F.explode_outer("x.bits").alias("bit"))
-    rows = rows.distinct()
     return (rows.groupBy("file", "column", F.floor(F.coalesce("bit", F.lit(0)) / BITMAP).cast("int").alias("part"))
             .agg(F.expr(f"bitmap_construct_agg(bit % {BITMAP})").alias("bitmap"), F.lit(bits).alias("bits")))
 
@@ -65,7 +65,7 @@ def possible_files(filters: DataFrame, column: str | None, text: str) -> DataFra
     pieces = [p for p in text.split("*") if len(p) >= 3]
     if not pieces:
         return own.select("file").distinct()
-    wanted = F.array_distinct(F.concat(*[_bits(_trigrams(F.lit(p)), F.col("bits")) for p in pieces]))
+    wanted = F.array_distinct(F.concat(*[_bits(F.lit(p), F.col("bits")) for p in pieces]))
     here = F.filter(wanted, lambda b: (F.floor(b / BITMAP) == F.col("part")) & _holds(F.col("bitmap"), b % BITMAP))
     counted = own.select("file", "column", F.size(wanted).alias("all"), F.size(here).alias("held"))
     hits = counted.groupBy("file", "column").agg(F.sum("held").alias("held"), F.max("all").alias("all"))
