@@ -8,7 +8,7 @@ others.  The borders come from a bounded sample.  One window works within each r
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 HOUR_MICROS = 3600 * 1000000
 MOST_RANGES = 4096
-LEAST_ROWS = 1024   # of a range, unless the caller asks for a number of ranges
+LEAST_ROWS = 1 << 18  # of a range, unless the caller asks for a number of ranges
 SAMPLED_ROWS = 24   # of each range, about
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
@@ -50,15 +50,20 @@ class Borders:
         return F.array(*[F.lit(r[place]).cast(self.kinds[place]) for r in self.rows])
 
 
-def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None, total: int | None = None) -> Borders:
+def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None, total: int | None = None,
+                   prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Borders:
     """Borders that cut ``df`` into about equal ranges of these keys: a count and a bounded sample, which the driver sees.
 
-    Any borders give right results; these give even ones.  ``total`` is the number of rows, where it is known.
+    Any borders give right results; these give even ones.  ``total`` is the number of rows, where it is known; ``prepare``
+    adds the columns that the keys need, to the sampled rows alone.
     """
     names = [f"__k{i}" for i in range(len(keys))]
-    keyed = df.select(*[k.value.alias(n) for k, n in zip(keys, names)])
-    kinds = [f.dataType.simpleString() for f in keyed.schema]
-    total = keyed.count() if total is None else total
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return prepare(rows).select(*[k.value.alias(n) for k, n in zip(keys, names)])
+
+    kinds = [f.dataType.simpleString() for f in keyed(df).schema]
+    total = df.count() if total is None else total
     if ranges is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(4 * tasks, MOST_RANGES, total // LEAST_ROWS + 1)
@@ -67,7 +72,7 @@ def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None
         return Borders([], kinds)
     share = min(1.0, SAMPLED_ROWS * ranges / total)
     order = [Key(F.col(n), k.descending).order for k, n in zip(keys, names)]
-    seen = [tuple(r) for r in (keyed if share == 1.0 else keyed.sample(share, seed=17)).orderBy(*order).collect()]
+    seen = [tuple(r) for r in keyed(df if share == 1.0 else df.sample(share, seed=17)).orderBy(*order).collect()]
     picked = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
     return Borders([r for i, r in enumerate(picked) if not i or repr(r) != repr(picked[i - 1])], kinds)
 
@@ -177,9 +182,10 @@ def with_running(df: DataFrame, keys: Sequence[Key], values: Mapping[str, Column
             .drop(*dealt.helpers, *[f"__{k}_{n}" for n in values for k in ("in", "before")]))
 
 
-def with_position(df: DataFrame, keys: Sequence[Key], name: str, partition: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[Key], name: str, partition: Sequence[str] = (), ranges: int | None = None,
+                  borders: Borders | None = None) -> DataFrame:
     """1-based position in the whole order (per ``partition``), without a one-task sort."""
-    return with_running(df, keys, {name: F.lit(1)}, partition, ranges).withColumn(name, F.col(name).cast("bigint"))
+    return with_running(df, keys, {name: F.lit(1)}, partition, ranges, borders).withColumn(name, F.col(name).cast("bigint"))
 
 
 def with_row_ids(df: DataFrame, natural_key: str, name: str = "_Row", partition: Sequence[str] = (),
@@ -287,7 +293,8 @@ def sorted_positions(df: DataFrame, column: str = "", direction: str = "asc", na
                      ranges: int | None = None, **options) -> DataFrame:
     """O1-O3 as a position column over the whole table."""
     spec = review_order(df, column, direction, **options)
-    return spec.detach(with_position(spec.attach(df), spec.keys, name, ranges=ranges))
+    borders = sample_borders(df, spec.keys, ranges, prepare=spec.attach)
+    return spec.detach(with_position(spec.attach(df), spec.keys, name, borders=borders))
 
 
 def sorted_page(df: DataFrame, column: str = "", direction: str = "asc", page: int = 1, size: int = 50,
