@@ -105,7 +105,8 @@ def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns after the first h; h is the crc32 of the id modulo 4.  Turns (conv, pos, role, text), and all ids."""
     blank = F.lit("")
     plain = rows.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
-    placed = stored(with_position(plain, [Key(F.col("turn")), Key(F.col("role")), Key(F.xxhash64("text"))], "at", ["conv_id"]))
+    placed = stored(with_position(plain, [Key(F.col("turn")), Key(F.col("role")), Key(F.xxhash64("text"))], "at", ["conv_id"],
+                                  trie.ranges_of(rows.sparkSession)))
     own = placed.groupBy(F.col("conv_id").alias("conv")).agg(F.max("at").alias("n"))
     kept = F.crc32(F.coalesce(F.col("conv").cast("string"), blank)) % 4
     convs = own.select("conv", (F.col("conv") - F.col("conv") % 20).alias("base"), kept.alias("h"))

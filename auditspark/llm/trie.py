@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,11 @@ from .common import in_batches, stored
 CHUNK = 4096  # ids that are joined to one text at once
 
 
+def ranges_of(spark: SparkSession) -> int:
+    """Some ranges for each task that a shuffle has, so that a small table of long conversations is spread too."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _key(place: Column, first: Column, second: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(",", place.cast("string"), first.cast("string"), second.cast("string"))))
 
@@ -42,7 +47,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
     rows = turns.select("conv", "pos", hashed(1).alias("h1"), hashed(2).alias("h2"),
                         F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
-    summed = with_running(rows, [Key(F.col("pos"))], {"s1": F.col("h1"), "s2": F.col("h2")}, ["conv"])
+    summed = with_running(rows, [Key(F.col("pos"))], {"s1": F.col("h1"), "s2": F.col("h2")}, ["conv"], ranges_of(turns.sparkSession))
     return summed.select("conv", "pos", _key(F.col("pos"), F.col("s1"), F.col("s2")).alias("node"),
                          _key(F.col("pos") - 1, F.col("s1") - F.col("h1"), F.col("s2") - F.col("h2")).alias("parent"), "words")
 
@@ -122,7 +127,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
 
     Ids are joined in chunks; a node's digest then reads its chunks one after the other, so none has to be held whole.
     """
-    placed = with_position(ends, [Key(F.col("conv"))], "at", ["node"])
+    placed = with_position(ends, [Key(F.col("conv"))], "at", ["node"], ranges_of(ends.sparkSession))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("id")))), lambda x: x["id"])
     chunks = (placed.groupBy("node", F.floor((F.col("at") - 1) / CHUNK).alias("chunk")).agg(F.array_join(texts, ",").alias("text"))
               .repartition("node").sortWithinPartitions("node", "chunk"))
