@@ -43,8 +43,10 @@ def normal_text(c: Column) -> Column:
 _MEMBERS = "array<struct<key:string,text:string,kind:string>>"
 
 
-def _kind(v: Column) -> Column:
-    return F.when(as_object(v).isNotNull(), "object").when(as_list(v).isNotNull(), "list").otherwise("")
+def _kind(text: Column, v: Column) -> Column:
+    """Whether a text that looks like an object or a list is one; a string can look so too."""
+    return (F.when(text.startswith("{"), F.when(as_object(v).isNotNull(), "object").otherwise(""))
+            .when(text.startswith("["), F.when(as_list(v).isNotNull(), "list").otherwise("")).otherwise(""))
 
 
 def members(text: Column) -> Column:
@@ -57,8 +59,8 @@ def members(text: Column) -> Column:
 
     def typed(all_: Column) -> Column:
         plain = F.transform(all_, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text"), F.lit("").alias("kind")))
-        looked = F.zip_with(all_, kinds, lambda e, v: F.struct(e["key"].alias("key"), e["value"].alias("text"), _kind(v).alias("kind")))
-        return F.when(F.exists(all_, lambda e: e["value"].rlike(r"^[\[{]")), looked).otherwise(plain)
+        looked = F.zip_with(all_, kinds, lambda e, v: F.struct(e["key"].alias("key"), e["value"].alias("text"), _kind(e["value"], v).alias("kind")))
+        return F.when(F.exists(all_, lambda e: e["value"].startswith("{") | e["value"].startswith("[")), looked).otherwise(plain)
 
     def last(all_: Column) -> Column:
         return let(F.array_distinct(F.transform(all_, lambda m: m["key"])), lambda keys: F.when(
@@ -71,7 +73,7 @@ def items(text: Column) -> Column:
     """The same for the elements of a JSON list; their keys are blank."""
     kinds = F.from_json(text, "array<variant>")
     return F.zip_with(F.from_json(text, "array<string>"), kinds, lambda t, v: F.struct(
-        F.lit("").alias("key"), t.alias("text"), _kind(v).alias("kind"))).cast(_MEMBERS)
+        F.lit("").alias("key"), t.alias("text"), _kind(t, v).alias("kind"))).cast(_MEMBERS)
 
 
 def as_object(v: Column) -> Column:
