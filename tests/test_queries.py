@@ -93,3 +93,13 @@ def test_busy_users_and_operations_are_split(spark):
 def test_values_of_a_growing_table(spark, sql, name):
     got = queries()[name](spark, DATA)
     assert got.count() == got.distinct().count() == sql.execute("SELECT count(*) FROM documents").fetchone()[0] > 25
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_deep_page_is_the_third_page(spark, size):
+    """Whatever the size of the table: the rows behind the first eighty, not those behind a fixed key."""
+    folder = f"/root/testdata/{size}"
+    got = [tuple(r) for r in queries()["deep_page"](spark, folder).collect()]
+    scored = sorted((-(r[0] % 50), r[0]) for r in table(spark, folder, "orders").select("o_orderkey").collect() if r[0] % 4)
+    assert got == [(key, str(-score)) for score, key in scored[80:120]]
+    assert "OFFSET 80" in oracle_sql()["deep_page"]
