@@ -107,6 +107,7 @@ class Dealt:
     parts: list[str]
     keys: list[Key]
     crossing: Column  # the row's partition goes over a border of its range
+    cut: bool  # there are several ranges
 
     @property
     def order(self) -> list[Column]:
@@ -116,8 +117,14 @@ class Dealt:
         return Window.partitionBy("__range", *self.parts).orderBy(*self.order)
 
     def handed_on(self, totals: Mapping[str, Column], handed: Mapping[str, Column]) -> DataFrame:
-        """For each range that continues a partition (at most one per range) what ``handed`` says of the ranges before."""
-        own = self.rows.filter(self.crossing).groupBy("__range", *self.parts).agg(*[c.alias(n) for n, c in totals.items()])
+        """For each range that continues a partition (at most one per range) what ``handed`` says of the ranges before.
+
+        Rows that cross no border meet in one group, which goes once it is added up.  A filter on the rows would move below
+        the keys, where every step of the search for a range computes them anew.
+        """
+        groups = [F.when(self.crossing, F.col(c)).alias(c) for c in ("__range", *self.parts)]
+        own = (self.rows.filter(F.lit(self.cut)).groupBy(*groups)
+               .agg(*[c.alias(n) for n, c in totals.items()], F.max(self.crossing).alias("__crosses")).filter("__crosses"))
         names = [f"__from{i}" for i in range(len(self.parts))]
         found = own.select(F.col("__range").alias("__to"), *[F.col(p).alias(n) for p, n in zip(self.parts, names)],
                            *[c.alias(n) for n, c in handed.items()])
@@ -155,8 +162,9 @@ def deal_ranges(df: DataFrame, partition: Sequence[Column], keys: Sequence[Key],
             inside = inside & F.element_at(borders.column(i), valid).eqNullSafe(F.col(p))
         return inside
 
-    crossing = at_border(F.col("__range")) | at_border(F.col("__range") + 1) if borders.rows else F.lit(False)
-    return Dealt(rows, parts, own, crossing)
+    # Without parts every range goes on where the one before ended.
+    crossing = at_border(F.col("__range")) | at_border(F.col("__range") + 1) if parts and borders.rows else F.lit(True)
+    return Dealt(rows, parts, own, crossing, bool(borders.rows))
 
 
 def with_running(df: DataFrame, keys: Sequence[Key], values: Mapping[str, Column], partition: Sequence[str] = (),

@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from auditspark.operators import hunts
-from auditspark.plans.bindings import QUERIES, ip_reference, logins, table
+from auditspark.operators import hunts, ordering
+from auditspark.plans.bindings import QUERIES, _time_texts, ip_reference, logins, table
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -103,3 +103,13 @@ def test_deep_page_is_the_third_page(spark, size):
     scored = sorted((-(r[0] % 50), r[0]) for r in table(spark, folder, "orders").select("o_orderkey").collect() if r[0] % 4)
     assert got == [(key, str(-score)) for score, key in scored[80:120]]
     assert "OFFSET 80" in oracle_sql()["deep_page"]
+
+
+def test_ranges_are_found_once_a_row(spark):
+    """What the ranges hand on is added up without a filter that would compute keys and ranges again beneath them."""
+    travel = hunts.impossible_travel(logins(spark, DATA), ip_reference(spark, DATA), ranges=6)
+    times = ordering.sorted_positions(_time_texts(spark, DATA), "Registered date", "desc", ranges=6)
+    for df in (travel, times):
+        optimized = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" in optimized
+        assert not any("Filter" in line and "aggregate(" in line for line in optimized.split("\n"))
