@@ -135,19 +135,25 @@ def map_app_names(df: DataFrame, apps: DataFrame, *, app_id: str = "app_id", app
     return result if columns or tail not in df.columns else _map_tail_apps(result, apps, app_id, app_name, row_id, tail)
 
 
+_NO_IDS = "[]"
+
+
 def _map_tail_apps(df: DataFrame, apps: DataFrame, app_id: str, app_name: str, row_id: str | None, tail: str) -> DataFrame:
     """Names of the application ids in the tail.  Only distinct lists of (field, id) are taken apart and joined."""
     held = F.filter(F.transform(F.map_entries(ref(tail)), lambda e: F.struct(
         e["key"].alias("field"), F.lower(strip(e["value"])).alias("id"))),
         lambda e: _holds_app_id(e["field"]) & F.coalesce(e["id"].rlike(presets.UUID), F.lit(False)))
-    keyed = df.withColumn("__ids", F.when(F.size(held) > 0, F.to_json(held)))
-    lists = keyed.filter(F.col("__ids").isNotNull()).select("__ids").distinct()
-    parts = lists.select("__ids", F.explode(F.from_json("__ids", "array<struct<field:string,id:string>>")).alias("e"))
+    # Never null: a test for null would move below the payload and take it apart once more, here and on the way to the join.
+    keyed = df.withColumn("__ids", F.coalesce(F.to_json(held), F.lit(_NO_IDS)))
+    lists = keyed.select("__ids").distinct()
+    parts = (lists.select("__ids", F.explode_outer(F.from_json("__ids", "array<struct<field:string,id:string>>")).alias("e"))
+             .filter(F.col("e").isNotNull()))
     named = lookup(parts, apps.select(ref(app_id), ref(app_name)), F.col("e.id"), app_id, "__hit")
     shown = F.struct(F.concat(F.lit("AppMapping."), F.col("e.field")).alias("k"),
                      F.coalesce(F.col("__hit")[app_name], F.lit(presets.UNLISTED_APP)).alias("v"))
     complete = named.groupBy("__ids").agg(F.map_from_entries(F.collect_list(shown)).alias("__names"))
-    joined = (keyed.withColumn("__ids", spread_missing(df, F.col("__ids"), row_id)).join(complete, "__ids", "left"))
+    own = spread_missing(df, F.nullif(F.col("__ids"), F.lit(_NO_IDS)), row_id)
+    joined = keyed.withColumn("__ids", own).join(complete, "__ids", "left")
     kept = F.map_filter(ref(tail), lambda k, _: ~F.map_contains_key("__names", k))
     return (joined.withColumn(tail, F.when(F.col("__names").isNull(), ref(tail)).otherwise(F.map_concat(kept, F.col("__names"))))
             .drop("__ids", "__names"))

@@ -113,3 +113,9 @@ def test_ranges_are_found_once_a_row(spark):
         optimized = df._jdf.queryExecution().optimizedPlan().toString()
         assert "aggregate(" in optimized
         assert not any("Filter" in line and "aggregate(" in line for line in optimized.split("\n"))
+
+
+def test_tails_are_taken_apart_twice_at_most(spark):
+    """Application names join lists of ids; neither looks into the payload again to see whether there are any."""
+    optimized = queries()["derived_records"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "map_entries(" in line for line in optimized.split("\n"))
