@@ -8,6 +8,7 @@ and distinct values stay exact: a value is there while any part counts it.  Over
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,28 +30,34 @@ def facet_parts(df: DataFrame, source: Column, members: Mapping[str, Column], *,
     listed.  Everything is one pass whose rows collapse before the shuffle.
     """
     op = F.coalesce(field(df, operation, tail), F.lit(""))
-    line = "array<struct<metric:string,value:string,kind:string,broad:array<string>>>"
+    line = "array<struct<value:string,kind:string,broad:array<string>>>"
 
-    def one(metric: str, value: Column, kind: Column | None = None, broad: Column | None = None) -> Column:
-        return F.array(F.struct(F.lit(metric).alias("metric"), value.alias("value"), (F.lit(None) if kind is None else kind).alias("kind"),
+    def one(value: Column, kind: Column | None = None, broad: Column | None = None) -> Column:
+        return F.array(F.struct(value.alias("value"), (F.lit(None) if kind is None else kind).alias("kind"),
                                 (F.lit(None) if broad is None else broad).alias("broad"))).cast(line)
 
-    def each(metric: str, found: Column) -> Column:
-        return F.flatten(F.transform(F.array_distinct(F.array_compact(found)), lambda v: one(metric, v)))
+    def each(found: Column) -> Column:
+        return F.flatten(F.transform(F.array_distinct(F.array_compact(found)), lambda v: one(v)))
 
     broad = F.array_compact(F.array(*[F.when(in_category(df, c, operation), F.lit(c)) for c in BROAD]))
     columns = [c for c in df.columns if c != tail]
     filled = F.array(*[F.when(is_populated(to_text(df, c)), F.lit(c)) for c in columns])
     nothing = F.array().cast(line)
-    lines = [one("rows", F.lit("")), one(_OPERATION, op, category_of(op), broad), each(_COLUMN, filled),
-             F.when(F.coalesce(field(df, tag, tail), F.lit("")) != "", one("tagged", F.lit(""))).otherwise(nothing),
-             *[F.coalesce(each(n, c), nothing) for n, c in members.items()],
-             *[one(f"value:{c}", F.coalesce(field(df, c, tail), F.lit(""))) for c in values]]
+    found = [("rows", one(F.lit(""))), (_OPERATION, one(op, category_of(op), broad)), (_COLUMN, each(filled)),
+             ("tagged", F.when(F.coalesce(field(df, tag, tail), F.lit("")) != "", one(F.lit(""))).otherwise(nothing)),
+             *[(n, F.coalesce(each(c), nothing)) for n, c in members.items()],
+             *[(f"value:{c}", one(F.coalesce(field(df, c, tail), F.lit("")))) for c in values]]
     if tail in df.columns:
         kept = F.map_keys(F.map_filter(ref(tail), lambda _, v: is_populated(v)))
-        lines.append(F.coalesce(each(_COLUMN, kept), nothing))
-    rows = df.select(source.alias("source"), ref(row_id).alias("__row"), F.explode(F.concat(*lines)).alias("x"))
-    return (rows.groupBy("source", "x.metric", "x.value", "x.kind", "x.broad")
+        found.append((_COLUMN, F.coalesce(each(kept), nothing)))
+    lines: dict[str, list[Column]] = {}
+    for metric, held in found:
+        lines.setdefault(metric, []).append(held)
+    # A row for each metric first, then its lines: what asks for one metric works out no other.
+    metrics = df.withColumns({"__source": source, "__row": ref(row_id)}).withColumn("__metric", F.explode(F.array(*[F.lit(m) for m in lines])))
+    wanted = reduce(lambda case, m: case.when(F.col("__metric") == m, F.concat(*lines[m])), lines, F)
+    rows = metrics.select(F.col("__source").alias("source"), "__row", F.col("__metric").alias("metric"), F.explode(wanted).alias("x"))
+    return (rows.groupBy("source", "metric", "x.value", "x.kind", "x.broad")
             .agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")))
 
 

@@ -119,3 +119,9 @@ def test_tails_are_taken_apart_twice_at_most(spark):
     """Application names join lists of ids; neither looks into the payload again to see whether there are any."""
     optimized = queries()["derived_records"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "map_entries(" in line for line in optimized.split("\n"))
+
+
+def test_one_metric_works_out_no_other(spark):
+    """The metric is chosen before the lines are made."""
+    optimized = queries()["merged_values"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("__metric") and "(x#" not in "".join(line for line in optimized.split("\n") if "Filter" in line)
