@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,39 +18,44 @@ from pyspark.sql import types as T
 
 from .. import presets
 from ..functions.predicates import any_field_contains, field_contains
-from ..functions.text import let, ref, text_of
+from ..functions.text import ref, text_of
 
 BITMAP = 32768  # bits of one bitmap
 SEEDS = (1, 2)  # bits of each trigram
 
 
-def _bits(text: Column, bits: Column) -> Column:
-    """The bits of all trigrams of a folded text, each once."""
-    def of(letters: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1)))
-        return F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.pmod(F.xxhash64(
-            F.lit(seed), F.get(letters, i - 1), F.get(letters, i), F.get(letters, i + 1)), bits) for seed in SEEDS]))))
+def _trigrams(text: Column) -> Column:
+    """The trigrams of a folded text, each once; a shorter text is its own."""
+    folded = F.lower(text)
+    return F.when(F.length(folded) < 3, F.array(folded)).otherwise(F.array_distinct(F.regexp_extract_all(folded, F.lit("(?s)(?=(...))"), F.lit(1))))
 
-    return let(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), of)
+
+def _bits(trigram: Column, bits: Column) -> Column:
+    """The bits of a trigram."""
+    return F.array(*[F.pmod(F.xxhash64(F.lit(seed), trigram), bits) for seed in SEEDS])
 
 
 def build_filters(spark: SparkSession, files: str | Sequence[str], columns: Sequence[str] | None = None, bitmaps: int = 8) -> DataFrame:
     """(file, column, part, bitmap, bits): the filters of Parquet files, ``bitmaps`` times 32,768 bits for each file and column.
 
-    Every column counts as text, a map by its values.  Bits are set where they are read, so a task sends its bitmaps and nothing else.
+    Every column counts as text, a map by its values.  Different bits are found where they are read, so a task sends each bit of
+    a file once at most, however many rows it reads.
     """
     data = spark.read.parquet(*([files] if isinstance(files, str) else files))
     bits = bitmaps * BITMAP
 
-    def texts(name: str) -> Column:
-        kind = data.schema[name].dataType
-        return F.coalesce(F.map_values(ref(name)), F.array().cast("array<string>")) if isinstance(kind, T.MapType) else F.array(text_of(data, name))
+    def held(name: str) -> Column:
+        if isinstance(data.schema[name].dataType, T.MapType):
+            return F.flatten(F.transform(F.array_compact(F.map_values(ref(name))), _trigrams))
+        return _trigrams(text_of(data, name))
 
-    def set_bits(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.array_compact(texts(name)), lambda t: _bits(t, F.lit(bits)))))
+    def set_bits(name: str) -> DataFrame:
+        grams = data.select(F.col("_metadata.file_path").alias("file"), F.explode_outer(held(name)).alias("gram"))
+        each = grams.select("file", F.explode(F.when(F.col("gram").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(
+            _bits(F.col("gram"), F.lit(bits)))).alias("bit"))
+        return each.distinct().select("file", F.lit(name).alias("column"), "bit")
 
-    found = F.array(*[F.struct(F.lit(n).alias("column"), set_bits(n).alias("bits")) for n in columns or data.columns])
-    rows = data.select(F.col("_metadata.file_path").alias("file"), F.explode(found).alias("x")).select("file", "x.column", F.explode_outer("x.bits").alias("bit"))
+    rows = reduce(DataFrame.unionAll, [set_bits(n) for n in columns or data.columns])
     return (rows.groupBy("file", "column", F.floor(F.coalesce("bit", F.lit(0)) / BITMAP).cast("int").alias("part"))
             .agg(F.expr(f"bitmap_construct_agg(bit % {BITMAP})").alias("bitmap"), F.lit(bits).alias("bits")))
 
@@ -65,7 +71,8 @@ def possible_files(filters: DataFrame, column: str | None, text: str) -> DataFra
     pieces = [p for p in text.split("*") if len(p) >= 3]
     if not pieces:
         return own.select("file").distinct()
-    wanted = F.array_distinct(F.concat(*[_bits(F.lit(p), F.col("bits")) for p in pieces]))
+    grams = F.array_distinct(F.concat(*[_trigrams(F.lit(p)) for p in pieces]))
+    wanted = F.array_distinct(F.flatten(F.transform(grams, lambda g: _bits(g, F.col("bits")))))
     here = F.filter(wanted, lambda b: (F.floor(b / BITMAP) == F.col("part")) & _holds(F.col("bitmap"), b % BITMAP))
     counted = own.select("file", "column", F.size(wanted).alias("all"), F.size(here).alias("held"))
     hits = counted.groupBy("file", "column").agg(F.sum("held").alias("held"), F.max("all").alias("all"))

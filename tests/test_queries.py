@@ -6,6 +6,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from auditspark.operators import hunts, ordering
 from auditspark.plans.bindings import QUERIES, _time_texts, ip_reference, logins, table
+from auditspark.sources import search_index
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -125,3 +126,11 @@ def test_one_metric_works_out_no_other(spark):
     """The metric is chosen before the lines are made."""
     optimized = queries()["merged_values"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("__metric") and "(x#" not in "".join(line for line in optimized.split("\n") if "Filter" in line)
+
+
+def test_bits_of_a_file_are_sent_once(spark):
+    """Different bits are found first, by hashing; only they become bitmaps."""
+    made = search_index.build_filters(spark, f"{DATA}/documents.parquet", ["text"])
+    plan = plan_of(made).split("== Initial Plan ==")[0]
+    first = plan.index("Generate")  # the scan's side comes last in a plan
+    assert "HashAggregate(keys=[file" in plan[:first] and plan[:first].rindex("HashAggregate") > plan[:first].rindex("bitmap_construct_agg")
