@@ -16,6 +16,7 @@ table; a very long text is a block of its own; columns other than text, id and l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -31,6 +32,7 @@ from .common import column, stored
 #: Lower-cases A-Z; tabs become blanks, and what ends a piece a line feed.
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if 10 <= b <= 13 or b in b".,;:!?" else b for b in range(256))
 BLANK, END = 32, 10
+RUNS = 1 << 16  # phrases that are written at a time
 
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so every power has an inverse
 _SENT = T.StructType([*DEALT.fields, T.StructField("counts", T.BinaryType())])
@@ -109,6 +111,23 @@ class Words:
                          zip(self.lang.tolist(), self.start.tolist(), self.end.tolist(), strict=True)], np.int64)
 
 
+    def joined(self, n: int, first: np.ndarray) -> Iterator[pa.Array]:
+        """The runs of ``n`` words that begin at these words, with one blank between words, some at a time: as bytes, never as objects."""
+        kept = (self.bytes != BLANK) & (self.bytes != END)
+        kept[self.end[self.end < len(kept)]] = True  # one byte behind each word
+        lean, sizes = self.bytes[kept], self.end - self.start
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        behind = begin + sizes
+        lean[behind[behind < len(lean)]] = BLANK
+        for at in range(0, len(first), RUNS):
+            own = first[at:at + RUNS]
+            long = behind[own + n - 1] - begin[own]
+            offsets = np.zeros(len(own) + 1, np.int32)
+            np.cumsum(long, out=offsets[1:])
+            places = np.arange(offsets[-1]) + np.repeat(begin[own] - offsets[:-1], long)
+            yield pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(lean[places])])
+
+
 def _seed(name: str) -> int:
     value = 0xCBF29CE484222325
     for byte in name.encode():
@@ -175,10 +194,12 @@ def count_texts(table: pa.Table, answers: pa.Table, *, max_words: int, bits: int
             key = np.stack([number[first + k] for k in range(n)], 1)
             _, lead, counts = np.unique(key, axis=0, return_index=True, return_counts=True)
         at = first[lead]
-        data, begin, end = words.data, words.start.tolist(), words.end.tolist()
-        texts = [b" ".join(data[begin[j]:end[j]] for j in range(i, i + n)) for i in at.tolist()]
-        langs = pa.DictionaryArray.from_arrays(pa.array(words.lang[at], pa.int32()), pa.array(words.names, pa.string())).cast(pa.string())
-        out.append(pa.table([langs, pa.array(np.full(len(at), n, np.int32)), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], schema))
+        del prints, first, key, lead
+        done = 0
+        for texts in words.joined(n, at):
+            some = slice(done, done := done + len(texts))
+            langs = pa.DictionaryArray.from_arrays(pa.array(words.lang[at[some]], pa.int32()), pa.array(words.names, pa.string())).cast(pa.string())
+            out.append(pa.table([langs, pa.array(np.full(len(texts), n, np.int32)), texts, pa.array(counts[some], pa.int64())], schema))
     return pa.concat_tables(out)
 
 

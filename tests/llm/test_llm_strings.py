@@ -265,3 +265,17 @@ def test_rebuilt_conversations(spark):
         assert [p for p, _, _ in got[c]] == list(range(1, len(want) + 1)) and len(got[c]) == len(want)
         if len({x[0] for x in own[c]}) == len(own[c]) and (not base or len({x[0] for x in own[c - c % 20]}) == len(base)):
             assert [x[1:] for x in got[c]] == want
+
+
+def test_phrases_are_written_some_at_a_time(monkeypatch):
+    """Phrases leave a block as bytes in slices, one blank between words, however words were parted."""
+    from auditspark.llm import phrases
+
+    monkeypatch.setattr(phrases, "RUNS", 3)
+    words = phrases.Words([b"A  b\tc d, e f", b"", "é \t g".encode(), b"x y z"], ["en", "en", "fr", "en"])
+    own = [words.data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist())]
+    for n in (1, 2, 3):
+        first, _ = words.grams(n)
+        slices = list(words.joined(n, first))
+        assert all(len(s) <= 3 for s in slices)
+        assert [x for s in slices for x in s.to_pylist()] == [b" ".join(own[i:i + n]) for i in first.tolist()]
