@@ -90,8 +90,7 @@ def _dotted(groups: Column) -> Column:
 
 def normalize_ip(c: Column) -> Column:
     """Canonical address or NULL."""
-    bare = bare_address(c)
-    return F.when(bare.rlike(_IPV4), bare).when(bare.contains(":"), let(bare, _normalize_v6))
+    return let(bare_address(c), lambda bare: F.when(bare.rlike(_IPV4), bare).when(bare.contains(":"), _normalize_v6(bare)))
 
 
 def ip_key(ip: Column) -> Column:

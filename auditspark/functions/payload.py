@@ -8,6 +8,8 @@ their fractions (``1.0``); VARIANT, which sorts members, only tells the kinds of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def as_list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _levels(text: Column) -> Column:
-    """At least one number for every level below the root of a JSON text."""
-    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+def _levels(text: Column, opening: str = "{[") -> Column:
+    """At least one number for every level below the root of a JSON text that these brackets open."""
+    brackets = sum(F.length(text) - F.length(F.replace(text, F.lit(b), F.lit(""))) for b in opening)
     return F.sequence(F.lit(0), F.greatest(brackets, F.lit(0)))
 
 
@@ -95,17 +97,26 @@ def flatten_texts(c: Column) -> Column:
 
     Lists are leaves, JSON null is blank, empty objects leave nothing.  Every object is opened once.
     """
-    def opened(prefix: Column | None, text: Column) -> Column:
-        return F.transform(members(text), lambda m: F.struct(
+    def shown(all_: Column, prefix: Column | None, value: str, deep: Callable[[Column], Column]) -> Column:
+        return F.transform(all_, lambda m: F.struct(
             (m["key"] if prefix is None else F.concat(prefix, F.lit("."), m["key"])).alias("path"),
-            F.coalesce(m["text"], F.lit("")).alias("text"), (m["kind"] == "object").alias("deep")))
+            F.coalesce(m[value], F.lit("")).alias("text"), F.coalesce(deep(m), F.lit(False)).alias("deep")))
+
+    def opened(prefix: Column | None, text: Column) -> Column:
+        """Kinds are looked up only where a string begins like an object.  In a normal text ``:"{`` stands nowhere else: within
+        strings quotes are escaped, and behind the end of a string there is no brace."""
+        looked = shown(members(text), prefix, "text", lambda m: m["kind"] == "object")
+        plain = let(F.from_json(text, "map<string,string>"), lambda held: F.when(
+            F.size(F.array_distinct(F.map_keys(held))) == F.size(held),
+            shown(F.map_entries(held), prefix, "value", lambda m: m["value"].startswith("{"))).otherwise(looked))
+        return F.when(text.contains(':"{'), looked).otherwise(plain)
 
     def step(entries: Column, _: Column) -> Column:
         deeper = F.flatten(F.transform(entries, lambda e: F.when(e["deep"], opened(e["path"], e["text"])).otherwise(F.array(e))))
         return F.when(F.exists(entries, lambda e: e["deep"]), deeper).otherwise(entries)
 
     def walked(text: Column) -> Column:
-        return let(opened(None, text), lambda start: F.when(start.isNotNull(), F.aggregate(_levels(text), start, step)))
+        return let(opened(None, text), lambda start: F.when(F.exists(start, lambda e: e["deep"]), F.aggregate(_levels(text, "{"), start, step)).otherwise(start))
 
     leaves = let(F.when(F.ltrim(c).startswith("{"), normal_text(c)), walked)
     return F.transform(leaves, lambda e: F.struct(e["path"].alias("path"), e["text"].alias("text")))
@@ -113,12 +124,14 @@ def flatten_texts(c: Column) -> Column:
 
 def map_of_last(entries: Column, key: str, value: str) -> Column:
     """A MAP of structs in an array; of several with one key the last counts, whatever the session does with repeated keys."""
+    def last(all_: Column, keys: Column) -> Column:
+        return let(F.array_distinct(keys), lambda names: F.map_from_arrays(
+            names, F.transform(names, lambda n: F.element_at(F.filter(all_, lambda e: e[key] == n), -1)[value])))
+
     def build(all_: Column) -> Column:
-        values = F.transform(all_, lambda e: e[value])
         keys = F.transform(all_, lambda e: e[key])
-        return let(F.array_distinct(keys), lambda names: F.when(
-            F.size(names) == F.size(all_), F.map_from_arrays(keys, values)).otherwise(
-            F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(all_, lambda e: e[key] == n), -1)[value]))))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(all_), F.map_from_arrays(keys, F.transform(all_, lambda e: e[value]))).otherwise(last(all_, keys))
+
     return let(entries, lambda all_: F.when(all_.isNotNull(), build(all_)))
 
 

@@ -125,6 +125,18 @@ def test_members_keep_order_and_numbers(spark):
                     ("r.w", "2"), ("big", "12345678901234567890")], [("b", "true"), ("a.d", ""), ("a.c", "x")], None]
 
 
+def test_kinds_are_looked_up_where_a_string_begins_like_an_object(spark):
+    """Other payloads are read once a level; brackets are counted without going through the text letter by letter."""
+    doc = ('{"a": {"b": {"c": 1}, "d:": "x"}, "l": "[{\\"Name\\":\\"{\\"}]", "e": {}}', '{"a": "{\\"x\\":1}", "b": {"c": "{", "d": {"x": 2}}}',
+           '{"a": {"x": 1}, "a": {"y": "{}"}, ":": {"{": 3}}', '{"a": "\\u007b", "b": {"\\":": {"c": "\\":{"}}}')
+    df = spark.createDataFrame([(d,) for d in doc], "v string").select(payload.flatten_texts(F.col("v")).alias("m"))
+    assert [[tuple(e) for e in r["m"]] for r in df.collect()] == [
+        [("a.b.c", "1"), ("a.d:", "x"), ("l", '[{"Name":"{"}]')], [("a", '{"x":1}'), ("b.c", "{"), ("b.d.x", "2")],
+        [("a.y", "{}"), (":.{", "3")], [("a", "{"), ('b.":.c', '":{')]]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "Contains(" in plan
+
+
 def test_first_subject_and_size_in_document_order(spark):
     doc = ('{"Z":{"SizeInBytes":7,"InternetMessageId":"a@b","Subject":"first"},"A":[{"Subject":"second","InternetMessageId":"a@b"},'
            '{"internetmessageid":"<c@d>","subject":"old","Subject":"new","B":{"InternetMessageId":"e@f"},"A":{"InternetMessageId":"g@h"}}]}')
