@@ -19,8 +19,8 @@ from .. import presets
 from ..functions.mail import email_domains, parent_domains
 from ..functions.network import classify_ip, ip_key, is_global, normalize_ip
 from ..functions.predicates import header_key
-from ..functions.text import TAIL, let, ref, strip, text_of
-from .ordering import Key, sample_borders, with_running
+from ..functions.text import TAIL, ref, strip, text_of
+from .ordering import Key, sample_borders, with_runs
 
 
 def spread_missing(df: DataFrame, key: Column, row_id: str | None) -> Column:
@@ -229,85 +229,84 @@ def match_services(df: DataFrame, domain: str, services: DataFrame, *, service:
 def match_networks(df: DataFrame, ip: str, networks: DataFrame, *, cidr: str = "cidr", label: str = "label",
                    position: str = "position", name: str = "network", row_id: str | None = None) -> DataFrame:
     """J9 for a table of networks; the first listed one that holds the address wins."""
-    length = F.substring_index(ref(cidr), "/", -1).cast("int") + 1  # after the mark of the address family
+    key, length = ip_key(F.substring_index(ref(cidr), "/", 1)), F.substring_index(ref(cidr), "/", -1).cast("int")
+    listed = networks.select(key.alias("__key"), length.alias("__length"), ref(label).alias("__label"), ref(position).alias("__at"))
+    whole = F.floor(F.col("__length") / 4).cast("int")  # digits that lie in the prefix; the next one may do so in part
+    digit = F.conv(F.substring("__key", whole + 1, F.lit(1)), 16, 10).cast("int")
+    free = F.expr("shiftright(15, cast(__length % 4 as int))")
 
-    def filled(base: Column, digit: str) -> Column:
-        return F.rpad(F.substring(base, F.lit(1), length), F.length(base), F.lit(digit))
+    def filled(last: Column, fill: str) -> Column:
+        start = F.concat(F.substring("__key", F.lit(1), whole), F.coalesce(F.lower(F.hex(last)), F.lit("")))
+        return F.when(F.col("__length") >= 0, _place(F.rpad(start, F.length("__key"), F.lit(fill))))
 
-    ends = let(_bits(ip_key(F.substring_index(ref(cidr), "/", 1))), lambda base: F.struct(filled(base, "0").alias("low"), filled(base, "1").alias("high")))
-    return _in_ranges(df, ip, networks.select(ends.alias("__ends"), ref(label).alias("__label"), ref(position).alias("__at")), name, row_id)
+    low, high = filled(digit.bitwiseAND(F.lit(15) - free), "0"), filled(digit.bitwiseOR(free), "f")
+    return _in_ranges(df, ip, listed.select(low.alias("__low"), high.alias("__high"), "__label", "__at"), name, row_id)
 
 
 def match_ranges(df: DataFrame, ip: str, ranges: DataFrame, *, low: str = "low", high: str = "high", label: str = "label",
                  position: str = "position", name: str = "range", row_id: str | None = None) -> DataFrame:
     """J9 for a table of ranges from one canonical address to another, ends included; the first listed one that holds
     the address wins.  Ranges that end before they begin, or in the other address family, hold nothing."""
-    ends = F.struct(_bits(ip_key(ref(low))).alias("low"), _bits(ip_key(ref(high))).alias("high"))
-    return _in_ranges(df, ip, ranges.select(ends.alias("__ends"), ref(label).alias("__label"), ref(position).alias("__at")), name, row_id)
+    return _in_ranges(df, ip, ranges.select(_place(ip_key(ref(low))).alias("__low"), _place(ip_key(ref(high))).alias("__high"),
+                                            ref(label).alias("__label"), ref(position).alias("__at")), name, row_id)
 
 
-def _bits(key: Column) -> Column:
-    """A hexadecimal address key as binary digits behind the mark of its family, so that texts sort like addresses."""
-    def digits(k: Column) -> Column:
-        each = F.transform(F.split(k, ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
-        return F.concat(F.when(F.length(k) == 8, "4").otherwise("6"), F.array_join(each, ""))
-
-    return let(key, digits)
+def _place(key: Column) -> Column:
+    """A hexadecimal address key behind the mark of its family, so that texts sort like addresses."""
+    return F.concat(F.when(F.length(key) == 8, "4").otherwise("6"), key)
 
 
 def _in_ranges(df: DataFrame, ip: str, ranges: DataFrame, name: str, row_id: str | None) -> DataFrame:
-    """Every different address meets the one segment that it lies in; rows meet their address."""
-    segments = range_segments(ranges)
-    addresses = df.select(ref(ip).alias("__ip")).filter(F.col("__ip").isNotNull()).distinct()
-    points = addresses.select("__ip", _bits(ip_key(F.col("__ip"))).alias("__place"), F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__number"),
-                              F.lit(None).cast(segments.schema["__found"].dataType).alias("__found"))
-    merged = segments.select(F.lit(None).cast("string").alias("__ip"), "__place", "__side", "__number", "__found").unionAll(points)
-    keys = [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__number")), Key(F.col("__ip"))]
-    # Any borders are right; these come from the addresses alone, before segments are made.
-    borders = sample_borders(points.drop("__found"), keys)
-    last = F.when(F.col("__ip").isNull(), F.struct("__place", "__side", "__number", "__found"))
-    placed = with_running(merged, keys, {"__last": last}, borders=borders, greatest=True)
-    best = placed.where("__ip is not null and __place is not null").select("__ip", F.col("__last.__found.__label").alias("__label"))
+    """First listed range (__low, __high, __label, __at) of every different address; rows meet their address.
+
+    Addresses and ends of ranges go into one order, where addresses without an end between them make up a cell.  A range
+    holds all cells from its low end up to its high end: it goes to the few nodes of a binary tree over the cells that make
+    these up, and each cell asks the nodes above it for the first listed range.  Equi joins only.
+    """
+    # An end without an order among addresses, or in another family than the other end, has no place and holds nothing.
+    usable = F.length("__low") == F.length("__high")
+    sides = F.array(F.struct(F.when(usable, F.col("__low")).alias("__place"), F.lit(0).alias("__side")),
+                    F.struct(F.when(usable, F.col("__high")).alias("__place"), F.when(usable, F.lit(2)).otherwise(0).alias("__side")))
+    ends = ranges.select(F.explode(sides).alias("__s"), "__low", "__high", "__label", "__at").select("__s.*", "__low", "__high", "__label", "__at")
+    text = F.lit(None).cast("string")
+    named = df.select(ref(ip).alias("__ip")).filter(F.col("__ip").isNotNull())
+
+    def together(addresses: DataFrame, place: Column) -> DataFrame:
+        absent = [F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in ("__low", "__high", "__label", "__at")]
+        points = addresses.select(place.alias("__place"), F.lit(1).alias("__side"), *absent, "__ip")
+        return ends.withColumn("__ip", text).unionAll(points)
+
+    keys = [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__at"))]
+    listed, rows = ranges.count(), df.count()
+    # All rows stand for the different addresses here, which takes no shuffle: a range of the order has at most as many.
+    place = _place(ip_key(F.col("__ip")))
+    borders = sample_borders(together(named, text), keys, total=2 * listed + rows, prepare=lambda seen: seen.withColumn(
+        "__place", F.when(F.col("__side") == 1, place).otherwise(F.col("__place"))))
+    placed = with_runs(together(named.distinct(), place), keys, F.col("__side") == 1, "__cell", borders=borders)
+    points = placed.where("__ip is not null and __place is not null").select("__ip", "__cell")
+    found = _first_ranges(placed.where("__side <> 1"), points.select("__cell").distinct(), min(2 * listed + len(borders.rows) + 1, rows))
+    best = points.join(found, "__cell").select("__ip", F.col("__best.__label").alias("__label"))
     return (df.withColumn("__ip", spread_missing(df, ref(ip), row_id)).join(best, "__ip", "left")
             .withColumn(name, F.col("__label")).drop("__ip", "__label"))
 
 
-def range_segments(ranges: DataFrame) -> DataFrame:
-    """Ranges (__ends, __label, __at) that may overlap, as segments that do not: (__place, __side, __number, __found), each up
-    to the next one.
+def _first_ranges(ends: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """(__cell, __best): the first listed range (__at, __label) of those of these cells, at most ``most``, that a range holds.
 
-    Every end of a range begins a segment, some of them empty, numbered in their order; ``__side`` is 0 where it begins with
-    the place and 2 where it begins behind it.  A range holds the numbers from its first end up to its last: it goes to
-    the few nodes of a binary tree over all numbers that make these up, and each segment asks the nodes above it for the
-    first listed range, ``__found`` (__at, __label).  Equi joins only, and a row for each range and level.
+    A range that holds no cell, since no address lies in it or it ends before it begins, goes to no node.
     """
-    usable = (F.length("__ends.low") == F.length("__ends.high")) & (F.col("__ends.low") <= F.col("__ends.high"))
-    sides = F.array(F.struct(F.col("__ends.low").alias("__place"), F.lit(0).alias("__side")), F.struct(F.col("__ends.high").alias("__place"), F.lit(2).alias("__side")))
-    ends = ranges.select("*", F.when(usable, sides).alias("__sides")).select("__ends", "__label", "__at", F.explode("__sides").alias("__s"))
-    ends = ends.select(F.col("__s.__place").alias("__place"), F.col("__s.__side").alias("__side"), "__ends", "__label", "__at")
-    total = 2 * ranges.count()
-    keys = [Key(F.col("__place")), Key(F.col("__side")), Key(F.col("__at"))]
-    numbered = with_running(ends, keys, {"__number": F.lit(1).cast("bigint")}, borders=sample_borders(ends, keys, total=total))
-    levels = (total + 1).bit_length()
-    node = "array<struct<level:int,at:bigint>>"
-
-    def climb(state: Column, level: Column) -> Column:
-        """The nodes of a level that lie within the range but not within a node above."""
-        first, last = state["first"], state["last"]
-        left = F.when((first <= last) & (first % 2 == 1), F.array(F.struct(level.alias("level"), first.alias("at"))))
-        right = F.when((first <= last) & (last % 2 == 0) & ~((first % 2 == 1) & (first == last)), F.array(F.struct(level.alias("level"), last.alias("at"))))
-        none = F.array().cast(node)
-        return F.struct(F.shiftright(first + 1, 1).alias("first"), F.shiftright(last - 1, 1).alias("last"),
-                        F.concat(state["nodes"], F.coalesce(left.cast(node), none), F.coalesce(right.cast(node), none)).alias("nodes"))
-
-    begin = F.struct(F.col("first"), F.col("last"), F.array().cast(node).alias("nodes"))
-    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(levels)), begin, climb)["nodes"]
-    # Ranges that agree in everything are one.
-    held = numbered.groupBy("__ends", "__label", "__at").agg(F.min("__number").alias("first"), (F.max("__number") - 1).alias("last"))
-    held = (held.select("__at", "__label", F.explode(nodes).alias("n")).groupBy("n.level", "n.at").agg(F.min(F.struct("__at", "__label")).alias("__best")))
-    above = numbered.select("__place", "__side", "__number", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    above = above.withColumn("at", F.expr("shiftright(__number, level)"))
-    return above.join(held, ["level", "at"], "left").groupBy("__place", "__side", "__number").agg(F.min("__best").alias("__found"))
+    first, last = F.min(F.when(F.col("__side") == 0, F.col("__cell") + 1)), F.max(F.when(F.col("__side") == 2, F.col("__cell")))
+    held = (ends.groupBy("__low", "__high").agg(first.alias("first"), last.alias("last"), F.min(F.struct("__at", "__label")).alias("__best"))
+            .where("first <= last"))
+    # What is left to make up on a level begins and ends at these nodes; it takes in the first one if that is a right child,
+    # and the last one if that is a left child.
+    levels = held.select("first", "last", "__best", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.expr("last - first + 1"))) - 1)).alias("level"))
+    levels = levels.select("level", "__best", F.expr("shiftright(first + shiftleft(1L, level) - 1, level)").alias("begin"),
+                           F.expr("shiftright(last + 1, level) - 1").alias("end")).where("begin <= end")
+    taken = F.array(F.when(F.expr("begin % 2 = 1"), F.col("begin")), F.when(F.expr("end % 2 = 0"), F.col("end")))
+    nodes = levels.select("level", "__best", F.explode(taken).alias("at")).where("at is not null").groupBy("level", "at").agg(F.min("__best").alias("__best"))
+    above = cells.select("__cell", F.explode(F.sequence(F.lit(0), F.lit(most.bit_length()))).alias("level")).withColumn("at", F.expr("shiftright(__cell, level)"))
+    return above.join(nodes, ["level", "at"]).groupBy("__cell").agg(F.min("__best").alias("__best"))
 
 
 def ip_columns(columns: Sequence[str]) -> list[str]:

@@ -9,7 +9,7 @@ others.  The borders come from a bounded sample.  One window works within each r
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -72,7 +72,9 @@ def sample_borders(df: DataFrame, keys: Sequence[Key], ranges: int | None = None
         return Borders([], kinds)
     share = min(1.0, SAMPLED_ROWS * ranges / total)
     order = [Key(F.col(n), k.descending).order for k, n in zip(keys, names)]
-    seen = [tuple(r) for r in keyed(df if share == 1.0 else df.sample(share, seed=17)).orderBy(*order).collect()]
+    sampled = keyed(df if share == 1.0 else df.sample(share, seed=17))
+    # A bounded sample sorts in one task; a sort by ranges would read the table twice.
+    seen = [tuple(r) for r in sampled.repartition(1).sortWithinPartitions(*order).collect()]
     picked = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
     return Borders([r for i, r in enumerate(picked) if not i or repr(r) != repr(picked[i - 1])], kinds)
 
@@ -174,7 +176,19 @@ def with_running(df: DataFrame, keys: Sequence[Key], values: Mapping[str, Column
 
     Nulls are keys like others, in partitions too; no row is lost.  ``borders`` of (partition, keys) can serve several calls.
     """
-    dealt = deal_ranges(df, [ref(p) for p in partition], keys, ranges, borders)
+    return _running(deal_ranges(df, [ref(p) for p in partition], keys, ranges, borders), values, greatest)
+
+
+def with_runs(df: DataFrame, keys: Sequence[Key], member: Column, name: str, ranges: int | None = None, borders: Borders | None = None) -> DataFrame:
+    """How many runs of members have begun up to a row in the whole order, as column ``name``: members without another row
+    between them make up a run, or several where borders cut it."""
+    dealt = deal_ranges(df.withColumn("__member", member), [], keys, ranges, borders)
+    begins = F.col("__member") & ~F.coalesce(F.lag("__member").over(dealt.within()), F.lit(False))
+    rows = dealt.rows.withColumn("__begins", begins.cast("bigint"))
+    return _running(replace(dealt, rows=rows), {name: F.col("__begins")}).drop("__member", "__begins")
+
+
+def _running(dealt: Dealt, values: Mapping[str, Column], greatest: bool = False) -> DataFrame:
     total = F.max if greatest else F.sum
     sofar = dealt.within().rowsBetween(Window.unboundedPreceding, 0)
     rows = dealt.rows.withColumns({f"__in_{n}": total(v).over(sofar) for n, v in values.items()})

@@ -300,3 +300,29 @@ def test_ranges_that_overlap(spark):
     assert {r["id"]: r["range"] for r in got} == {i: first(a) if a else None for i, a in enumerate(addresses)} and len(got) == len(addresses)
     none = enrich.match_ranges(df, "ip", spark.createDataFrame([], "low string, high string, label string, position bigint"))
     assert none.where("range is null").count() == len(addresses)
+
+
+def test_borders_of_range_matches_count_ends_too(spark, monkeypatch):
+    """Many ranges and few addresses, or one address in many rows, meet in ranges of the order like any others."""
+    monkeypatch.setattr(ordering, "LEAST_ROWS", 100)
+    cuts, sampled = [], ordering.sample_borders
+    monkeypatch.setattr(enrich, "sample_borders", lambda *a, **k: cuts.append(sampled(*a, **k)) or cuts[-1])
+    listed = [(f"10.0.{i // 250}.{i % 250}", f"10.0.{i // 250}.{i % 250 + i % 4}", f"r{i}", 2000 - i) for i in range(1000)]
+    ranges = spark.createDataFrame(listed, "low string, high string, label string, position bigint")
+    df = spark.createDataFrame([(i, f"10.0.{i}.{i + 7}") for i in range(4)] + [(4, "10.0.9.9")], "id bigint, ip string")
+    got = enrich.match_ranges(df, "ip", ranges).collect()
+    assert {r["id"]: r["range"] for r in got} == {0: "r7", 1: "r258", 2: "r509", 3: "r760", 4: None}
+    assert len(cuts[0].rows) > 4
+
+
+def test_networks_of_every_length(spark):
+    rnd = random.Random(5)
+    nets = [str(ipaddress.ip_network((rnd.getrandbits(32) & 0x0F00FFFF | 0x0A000000, n), strict=False)) for n in range(33) for _ in range(3)]
+    nets += [str(ipaddress.ip_network(((0x20010DB8 << 96) | rnd.getrandbits(12), n), strict=False)) for n in (0, 1, 30, 33, 64, 113, 121, 126, 127, 128)]
+    held = [ipaddress.ip_network(n) for n in nets]
+    listed = spark.createDataFrame([(n, n, -i) for i, n in enumerate(nets)], "cidr string, label string, position int")
+    addresses = [str(n[rnd.choice([0, -1])]) for n in held] + [str(n[-1] + 1) for n in held if n.prefixlen > 8] + ["2001:db8::77", "4000::1"]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(addresses)], "id bigint, ip string")
+    got = {r["id"]: r["network"] for r in enrich.match_networks(df, "ip", listed).collect()}
+    # Later networks stand first in the list.
+    assert got == {i: next((n for n, h in reversed(list(zip(nets, held))) if ipaddress.ip_address(a) in h), None) for i, a in enumerate(addresses)}
